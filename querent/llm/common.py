@@ -32,7 +32,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 def stored_bytes(df: DataFrame) -> int:
     """The optimizer's size of a plan; for a table scan, the bytes of its files. Only degrees of parallelism depend on it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def buckets(df: DataFrame, per: int = BUCKET_BYTES) -> int:

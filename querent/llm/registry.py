@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from querent.llm.decontaminate import OP8_SQL, op8_decontamination
+from querent.llm.language_id import op9_language_id
 from querent.llm.media_columns import op3_media_columns
 from querent.llm.packing import op5_packing
 from querent.llm.token_counts import op6_token_counts
+from querent.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_media_columns": op3_media_columns,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
+    "op8_decontamination": op8_decontamination,
+    "op9_language_id": op9_language_id,
 }
 
-#: None of these can be put in SQL: containers, tokenizers, learned models and hashes of removed text. Tests compare them with brute force.
-ORACLES: dict[str, str] = {}
+#: The rest can't be put in SQL: containers, tokenizers and learned models. Tests compare them with brute force.
+ORACLES: dict[str, str] = {"op8_decontamination": OP8_SQL}
