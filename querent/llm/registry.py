@@ -5,6 +5,7 @@ from __future__ import annotations
 from querent.llm.decontaminate import OP8_SQL, op8_decontamination
 from querent.llm.language_id import op9_language_id
 from querent.llm.media_columns import op3_media_columns
+from querent.llm.minhash_dedup import OP2_SQL, op2_minhash_dedup
 from querent.llm.packing import op5_packing
 from querent.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from querent.llm.token_counts import op6_token_counts
@@ -12,6 +13,7 @@ from querent.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_media_columns": op3_media_columns,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
@@ -21,4 +23,4 @@ QUERIES = {
 }
 
 #: The rest can't be put in SQL: containers, tokenizers and learned models. Tests compare them with brute force.
-ORACLES: dict[str, str] = {"op4_substring_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
