@@ -7,6 +7,7 @@ from querent.llm.language_id import op9_language_id
 from querent.llm.media_columns import op3_media_columns
 from querent.llm.minhash_dedup import OP2_SQL, op2_minhash_dedup
 from querent.llm.packing import op5_packing
+from querent.llm.sharding import op7_sharding
 from querent.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from querent.llm.token_counts import op6_token_counts
 from querent.llm.toxicity import op1_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
 }
