@@ -8,15 +8,14 @@ no step needs the histogram in one place.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querent.llm.common import append, strings, table, texts
+from querent.llm.common import append, cut, strings, table, texts
 from querent.llm.encode import encoder
 
-SPAN = 1024
+SPAN = 64
 
 
 def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -24,7 +23,7 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(array: pa.Array) -> list[pa.Array]:
         enc, text = encoder(path), strings(array)
-        return [pa.array(np.fromiter((len(enc.ids([x])[0]) // 4 for x in text), dtype=np.int64, count=len(text)))]
+        return [pa.array([len(x) // 4 for at in range(0, len(text), 512) for x in enc.ids(text[at : at + 512])], type=pa.int64())]
 
     return append(texts(docs), "text", "n_tokens long", work).drop("text")
 
@@ -75,4 +74,4 @@ def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of the encoded lengths of all documents with suffix sums for every limit."""
-    return suffix_sums(histogram(lengths(table(spark, sf_dir, "documents"))))
+    return suffix_sums(cut(histogram(lengths(table(spark, sf_dir, "documents")))))
