@@ -1,13 +1,14 @@
 """Which fingerprints occur more than once, and where: a shuffle that no hot fingerprint can skew.
 
 Every Arrow batch of documents is a sender. It looks for repeats within itself, then
-sends each distinct fingerprint once, packed by hash bucket: so a fingerprint in a third
-of all rows costs its bucket one entry for each batch, not one for each row. A bucket
-finds the fingerprints that several senders have and answers each sender; the answers of
-a sender, a bounded group, become places in its documents. One linear plan, no join.
-
-A place is (document of the sender, position); documents are told apart by doc_id and a
-hash of the text, so repeated rows get the same places. A null doc_id ranks after all others.
+sends each fingerprint packed by hash bucket: one that recurs within the sender goes out
+once, as news for others, so a fingerprint in a third of all rows costs its bucket one
+entry for each batch, not one for each row. A bucket finds the fingerprints that several
+senders have and answers each sender; the answers of a sender, a bounded group, become
+places in its documents. One linear plan, no join.
+
+Documents are told apart by doc_id and a hash of the text, so repeated rows get the same
+places. A null doc_id ranks after all others.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from querent.llm import kernels as K
 
 LAST = 2**63 - 1
 
-_SENT = "bucket int, sender long, ids binary, fps binary, docs binary, places binary, orders binary"
-_FIELDS = ["bucket", "sender", "ids", "fps", "docs", "places", "orders"]
+FIELDS = ["bucket", "sender", "ids", "docs", "places", "values"]
+SENT = "bucket int, sender long, ids binary, docs binary, places binary, values binary"
+_KINDS = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
 
-#: (document in the piece, position, fingerprint) of the marks of a piece.
+#: (document in the piece, position, fingerprint) of the marks of a piece, in order of document and position.
 Marks = Callable[[K.Piece, pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -37,126 +39,138 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
 
 
-def _pack(places: np.ndarray) -> bytes:
-    return places.astype("<u4").tobytes()
+def pack(values: np.ndarray) -> bytes:
+    return values.astype("<u4").tobytes()
+
+
+def unpack(data: bytes | None) -> np.ndarray:
+    return np.frombuffer(data or b"", dtype="<u4").astype(np.int64)
+
+
+def row(bucket: int, sender: int, **parts: bytes) -> tuple:
+    return (bucket, sender, *(parts.get(x) for x in FIELDS[2:]))
+
+
+def record(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], names=FIELDS)
+
 
+def sender_ids(batch: pa.RecordBatch) -> bytes:
+    """doc_id and _h of a sender's documents."""
+    return np.stack([batch.column(0).fill_null(LAST).to_numpy(), batch.column(2).to_numpy()]).tobytes()
 
-def _row(bucket: int, sender: int, **parts: bytes) -> tuple:
-    return (bucket, sender, *(parts.get(x) for x in _FIELDS[2:]))
 
+def senders(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    task = TaskContext.get().partitionId()
+    for number, batch in enumerate(batches):
+        yield (task << 32) | number, batch
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 7
-    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_FIELDS)
 
+def collected(batch: pa.RecordBatch, marks: Marks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The marks of all pieces of a batch; documents are numbered in the batch."""
+    parts = [(d + piece.first, p, f) for piece in K.pieces(batch.column(1)) for d, p, f in [marks(piece, batch.slice(piece.first, piece.n))]]
+    if not parts:
+        none = np.empty(0, dtype=np.int64)
+        return none, none, none.astype(np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-def repeated(docs: DataFrame, marks: Marks, n: int, earlier: bool = False) -> DataFrame:
+
+def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal values of an ordered array."""
+    if not len(values):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return first, np.diff(np.concatenate((first, [len(values)])))
+
+
+def by_sender(answers: DataFrame, bytes_each: int) -> DataFrame:
+    """(doc_id, _h, places, values) from answers; values hold bytes_each bytes for each place (0: null)."""
+
+    def gather(group: pa.Table) -> pa.Table:
+        ids = next(x for x in group["ids"].to_pylist() if x is not None)
+        own = np.frombuffer(ids, dtype=np.int64).reshape(2, -1)
+        doc = np.concatenate([unpack(x) for x in group["docs"].to_pylist()])
+        pos = np.concatenate([unpack(x) for x in group["places"].to_pylist()])
+        value = np.frombuffer(b"".join(x or b"" for x in group["values"].to_pylist()), dtype=np.uint8).reshape(-1, bytes_each) if bytes_each else None
+        order = np.lexsort((pos, doc))
+        doc, pos = doc[order], pos[order]
+        first, size = groups(doc)
+        ends = list(zip(first, first + size, strict=True))
+        values = [value[order[a:b]].tobytes() for a, b in ends] if bytes_each else [None] * len(ends)
+        return pa.table({"doc_id": pa.array(own[0][doc[first]]), "_h": pa.array(own[1][doc[first]]), "places": pa.array([pack(pos[a:b]) for a, b in ends], pa.binary()), "values": pa.array(values, pa.binary())})
+
+    found = answers.groupBy("sender").applyInArrow(gather, "doc_id long, _h long, places binary, values binary")
+    # repeated rows of one text have equal places and values
+    return found.groupBy("doc_id", "_h").agg(F.max(F.struct("places", "values")).alias("_own")).select("doc_id", "_h", "_own.places", "_own.values")
+
+
+def repeated(docs: DataFrame, marks: Marks, n: int, within: bool = True, bytes_each: int = 8) -> DataFrame:
     """(doc_id, _h, places): for each document its marks whose fingerprint occurs at another place too.
 
-    docs has doc_id, text, _h first, then what marks needs. marks gets a piece and its rows.
-    earlier: only marks whose fingerprint is in a document of another doc_id, in one of the two at least.
-    places is an array of unsigned 32-bit positions, ascending. Documents without any are left out.
+    docs has doc_id, text, _h first, then what marks needs; n is the number of buckets. within: other places of the
+    same document count. bytes_each: bytes of a fingerprint that are compared within a bucket, the upper ones (fewer
+    where a false match does no harm). places are unsigned 32-bit positions, ascending. Documents without any are left out.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
-            sender = (task << 32) | number
-            doc, pos, fp = [], [], []
-            for piece in K.pieces(batch.column(1)):
-                d, p, f = marks(piece, batch.slice(piece.first, piece.n))
-                doc.append(d + piece.first)
-                pos.append(p)
-                fp.append(f)
-            if not doc or not sum(map(len, doc)):
+        for sender, batch in senders(batches):
+            doc, pos, fp = collected(batch, marks)
+            if not len(fp):
                 continue
-            doc, pos, fp = np.concatenate(doc), np.concatenate(pos), np.concatenate(fp)
-            ids, hashes = batch.column(0).fill_null(LAST).to_numpy(), batch.column(2).to_numpy()
             order = np.argsort(fp, kind="stable")
-            doc, pos, fp = doc[order], pos[order], fp[order]
-            first = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
-            size = np.diff(np.concatenate((first, [len(fp)])))
-            if earlier:
-                own = ids[doc]
-                known = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-            else:
+            first, size = groups(fp[order])
+            if within:
                 known = size > 1
-            rows = []
-            here = np.repeat(known, size)
-            own = np.lexsort((pos[here], doc[here]))
-            rows.append(_row(sender % n, sender, ids=np.stack([ids, hashes]).tobytes(), docs=_pack(doc[here][own]), places=_pack(pos[here][own])))
-            u = fp[first]
-            to = (u % np.uint64(n)).astype(np.int64)
-            by = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[by], np.arange(n + 1))
-            least = np.minimum.reduceat(ids[doc], first) if earlier else None
-            for b in np.flatnonzero(np.diff(edges)):
-                at = by[edges[b] : edges[b + 1]]
-                single = at[~known[at]]
-                more = {"orders": np.concatenate([least[single], least[at[known[at]]]]).tobytes()} if earlier else {}
-                # fingerprints not known here come first, with their place; the known ones only tell others
-                if earlier:
-                    many = single[size[single] > 1]
-                    if len(many):  # several places in documents of one id: each is asked for
-                        reps = np.concatenate([np.arange(first[x], first[x] + size[x]) for x in single])
-                        groups = np.repeat(single, size[single])
-                        rows.append(_row(int(b), sender, fps=np.concatenate([u[groups], u[at[known[at]]]]).tobytes(), docs=_pack(doc[reps]), places=_pack(pos[reps]), orders=np.concatenate([least[groups], least[at[known[at]]]]).tobytes()))
-                        continue
-                rows.append(_row(int(b), sender, fps=np.concatenate([u[single], u[at[known[at]]]]).tobytes(), docs=_pack(doc[first[single]]), places=_pack(pos[first[single]]), **more))
-            yield _batch(rows)
+            else:
+                own = doc[order]
+                known = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+            is_known = np.empty(len(fp), dtype=bool)
+            is_known[order] = np.repeat(known, size)
+            rows = [row(sender % n, sender, ids=sender_ids(batch), docs=pack(doc[is_known]), places=pack(pos[is_known]))]
+            news = np.sort(order[first[known]])
+            asks = np.flatnonzero(~is_known)
+            to = (fp % np.uint64(n)).astype(np.int64)
+            top = np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8)[:, 8 - bytes_each :]
+            ask_by, news_by = asks[np.argsort(to[asks], kind="stable")], news[np.argsort(to[news], kind="stable")]
+            buckets = np.arange(n + 1)
+            ask_edges, news_edges = np.searchsorted(to[ask_by], buckets), np.searchsorted(to[news_by], buckets)
+            for b in np.flatnonzero(np.diff(ask_edges) + np.diff(news_edges)):
+                a, k = ask_by[ask_edges[b] : ask_edges[b + 1]], news_by[news_edges[b] : news_edges[b + 1]]
+                rows.append(row(int(b), sender, docs=pack(doc[a]), places=pack(pos[a]), values=top[a].tobytes() + top[k].tobytes()))
+            yield record(rows)
+
+    def wide(data: bytes) -> np.ndarray:
+        out = np.zeros((len(data) // bytes_each, 8), dtype=np.uint8)
+        out[:, 8 - bytes_each :] = np.frombuffer(data, dtype=np.uint8).reshape(-1, bytes_each)
+        return out.view(np.uint64)[:, 0]
 
     def answer(group: pa.Table) -> pa.Table:
-        fps_of, rows = group["fps"].to_pylist(), []
-        asked = [i for i, x in enumerate(fps_of) if x is not None]
-        cols = {x: group[x].to_pylist() for x in _FIELDS}
-        for i, x in enumerate(fps_of):
-            if x is None:
-                rows.append(tuple(cols[c][i] for c in _FIELDS))
+        cols = {x: group[x].to_pylist() for x in FIELDS}
+        rows = [tuple(cols[c][i] for c in FIELDS) for i, x in enumerate(cols["values"]) if x is None]
+        asked = [i for i, x in enumerate(cols["values"]) if x is not None]
         if asked:
-            fps = [np.frombuffer(fps_of[i], dtype=np.uint64) for i in asked]
+            fps = [wide(cols["values"][i]) for i in asked]
             every, where = np.unique(np.concatenate(fps), return_inverse=True)
-            if earlier:
-                order = np.concatenate([np.frombuffer(cols["orders"][i], dtype=np.int64) for i in asked])
-                low = np.full(len(every), np.iinfo(np.int64).max)
-                high = np.full(len(every), np.iinfo(np.int64).min)
-                np.minimum.at(low, where, order)
-                np.maximum.at(high, where, order)
-                known = np.concatenate([np.arange(len(f)) >= len(cols["docs"][i]) // 4 for f, i in zip(fps, asked, strict=True)])
-                shared = low != high
-                shared[where[known]] = True
-            else:
-                shared = np.bincount(where, minlength=len(every)) > 1
-                known = np.concatenate([np.arange(len(f)) >= len(cols["docs"][i]) // 4 for f, i in zip(fps, asked, strict=True)])
-                shared[where[known]] = True
-            at = 0
+            holders = np.zeros(len(every), dtype=np.int32)
+            at, spans = 0, []
             for f, i in zip(fps, asked, strict=True):
-                doc, pos = np.frombuffer(cols["docs"][i], dtype="<u4"), np.frombuffer(cols["places"][i], dtype="<u4")
-                hit = shared[where[at : at + len(doc)]]
+                own, asks = where[at : at + len(f)], len(cols["docs"][i]) // 4
+                holders[np.unique(own)] += 1
+                holders[own[asks:]] += 1  # recurs within its sender already
+                spans.append((i, own[:asks]))
                 at += len(f)
+            for i, own in spans:
+                hit = holders[own] > 1
                 if hit.any():
-                    rows.append(_row(cols["bucket"][i], cols["sender"][i], docs=doc[hit].tobytes(), places=pos[hit].tobytes()))
-        return pa.Table.from_batches([_batch(rows)])
-
-    def gather(group: pa.Table) -> pa.Table:
-        ids = next(x for x in group["ids"].to_pylist() if x is not None)
-        own = np.frombuffer(ids, dtype=np.int64).reshape(2, -1)
-        doc = np.concatenate([np.frombuffer(x, dtype="<u4") for x in group["docs"].to_pylist()])
-        pos = np.concatenate([np.frombuffer(x, dtype="<u4") for x in group["places"].to_pylist()])
-        order = np.lexsort((pos, doc))
-        doc, pos = doc[order], pos[order]
-        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, dtype=np.int64)
-        last = np.concatenate((first[1:], [len(doc)])) if len(doc) else first
-        return pa.table({"doc_id": pa.array(own[0][doc[first]]), "_h": pa.array(own[1][doc[first]]), "places": pa.array([pos[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())})
+                    rows.append(row(cols["bucket"][i], cols["sender"][i], docs=pack(unpack(cols["docs"][i])[hit]), places=pack(unpack(cols["places"][i])[hit])))
+        return pa.Table.from_batches([record(rows)])
 
-    answers = docs.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(answer, _SENT)
-    found = answers.groupBy("sender").applyInArrow(gather, "doc_id long, _h long, places binary")
-    # repeated rows of one text have equal places
-    return found.groupBy("doc_id", "_h").agg(F.max("places").alias("places"))
+    return by_sender(docs.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(answer, SENT), 0).drop("values")
 
 
 def with_places(docs: DataFrame, places: DataFrame, how: str = "left") -> DataFrame:
-    """keyed documents and their places (null: none)."""
-    own = places.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), "places")
+    """keyed documents with the other columns of places (null: none)."""
+    own = places.withColumnsRenamed({"doc_id": "_id", "_h": "_g"})
     same = (F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("_id")) & (F.col("_h") == F.col("_g"))
     return docs.join(own.hint("merge"), same, how).drop("_id", "_g")

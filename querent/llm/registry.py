@@ -7,6 +7,7 @@ from querent.llm.language_id import op9_language_id
 from querent.llm.media_columns import op3_media_columns
 from querent.llm.minhash_dedup import OP2_SQL, op2_minhash_dedup
 from querent.llm.packing import op5_packing
+from querent.llm.run_length_dedup import OP10_SQL, op10_run_length_dedup
 from querent.llm.sharding import op7_sharding
 from querent.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from querent.llm.token_counts import op6_token_counts
@@ -22,7 +23,8 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
+    "op10_run_length_dedup": op10_run_length_dedup,
 }
 
 #: The rest can't be put in SQL: containers, tokenizers and learned models. Tests compare them with brute force.
-ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op10_run_length_dedup": OP10_SQL}

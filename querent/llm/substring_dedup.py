@@ -64,7 +64,7 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
         doc = np.searchsorted(w.first, starts, side="right") - 1
         return doc, starts - w.first[doc], K.windows(w.hashes, window)[starts]
 
-    found = repeated(docs, seeds, n)
+    found = repeated(docs, seeds, n, bytes_each=6)
     return repeated(with_places(docs, found, "inner").select("doc_id", "text", "_h", "places"), candidates, n)
 
 
