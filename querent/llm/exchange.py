@@ -33,10 +33,11 @@ _KINDS = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
 Marks = Callable[[K.Piece, pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null as empty), and _h, which tells texts of one doc_id apart."""
+def keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
+    """doc_id, text (null as empty), _h, which tells texts of one doc_id apart, and _rest: the row as it was, if wanted."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
+    row = [F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("_rest")] if rest else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"), *row)
 
 
 def pack(values: np.ndarray) -> bytes:

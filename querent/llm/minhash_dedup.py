@@ -103,7 +103,7 @@ def _key(values: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (of the set; empty for the empty set), bands, sketch (as eight-byte words)."""
+    """doc_id, _h (of the text), n_shingles, key (of the set; empty for the empty set), bands, sketch (as eight-byte words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +120,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                         band.append(None)
                         sketch.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.first, piece.n), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "key", "bands", "sketch"],
+                    [batch.column(0).slice(piece.first, piece.n), batch.column(2).slice(piece.first, piece.n), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                    names=["doc_id", "_h", "n_shingles", "key", "bands", "sketch"],
                 )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>")
+    return texts(docs, F.xxhash64(F.col("text").cast("string")).alias("_h")).mapInArrow(run, "doc_id long, _h long, n_shingles long, key binary, bands array<long>, sketch array<long>")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -218,7 +218,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key, component_id (least doc_id reachable by links), kept (it is that document).
+    """doc_id, _h, n_shingles, key, component_id (least doc_id reachable by links), kept (it is that document).
 
     Documents without words are linked with nothing and kept. A null doc_id is never a component's least unless all are null;
     repeated rows of one doc_id share their component and are kept together.
@@ -231,14 +231,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labelled = least.join(found, least["key"] == found["node"], "left").withColumn("comp", F.coalesce("component", "key"))
         by = labelled.groupBy("comp").agg(F.min("least").alias("low"))
         least = labelled.join(by, "comp").select("key", F.col("low").alias("least"))
-    out = sig.select("doc_id", "n_shingles", "key").join(least, "key", "left")
+    out = sig.select("doc_id", "_h", "n_shingles", "key").join(least, "key", "left")
     component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", "n_shingles", "key", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "_h", "n_shingles", "key", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents less those that are not their component's least; their columns are unchanged, rows repeated in id and text become one."""
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"))
+    own = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    left = own.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
+    return left.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicates over all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_h", "key")
 
 
 OP2_SQL = r"""

@@ -41,7 +41,7 @@ def _anchors(piece: K.Piece, window: int, anchor: int) -> tuple[K.Words, np.ndar
     return w, starts, places, grams
 
 
-def _places(column: pa.Array, counts: np.ndarray) -> list[np.ndarray]:
+def _places(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype="<u4").astype(np.int64) if x else np.empty(0, dtype=np.int64) for x in column.to_pylist()]
 
 
@@ -58,7 +58,7 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     def candidates(piece: K.Piece, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w, starts, places, _ = _anchors(piece, window, anchor)
         seed = np.zeros(len(w.hashes), dtype=bool)
-        for d, own in enumerate(_places(rows.column(3), w.counts)):
+        for d, own in enumerate(_places(rows.column(3))):
             seed[w.first[d] + own] = True
         starts = starts[seed[places]]
         doc = np.searchsorted(w.first, starts, side="right") - 1
@@ -109,31 +109,48 @@ def _kept(piece: K.Piece, w: K.Words, gone: np.ndarray, d: int) -> bytes:
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text: bool = True) -> DataFrame:
-    """doc_id, _h, text (the kept words joined by one space; as it was where nothing is removed), n_words, n_removed, kept_sha256.
+    """doc_id, n_words, n_removed, kept_sha256; with keep_text also text (the kept words joined by one space; as it
+    was, null included, where nothing is removed) and _rest (the other columns of the row).
 
-    Null and empty texts have no words. Repeated rows repeat all their windows. keep_text=False leaves the text out.
+    Null and empty texts have no words. Repeated rows repeat all their windows.
     """
-    docs = keyed(docs)
-    found = recurring_windows(docs, window, anchor)
-    schema = "doc_id long, _h long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
+    own = keyed(docs)
+    found = recurring_windows(own, window, anchor)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    if keep_text:
+        full = keyed(docs.withColumn("_null", F.col("text").isNull()), rest=True)
+        schema += f", text string, _rest {full.schema['_rest'].dataType.simpleString()}"
+        own = full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in K.pieces(batch.column(1)):
                 w = K.words(piece, K.SPACE, False)
                 rows = batch.slice(piece.first, piece.n)
-                gone = _removed(w, _places(rows.column(3), w.counts), window)
+                gone = _removed(w, _places(rows.column(3)), window)
                 total = np.concatenate(([0], np.cumsum(gone)))
                 removed = total[w.first[1:]] - total[w.first[:-1]]
                 kept = [_kept(piece, w, gone, d) for d in range(piece.n)]
-                cols = [rows.column(0), rows.column(2), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
-                names = ["doc_id", "_h", "n_words", "n_removed", "kept_sha256"]
+                cols = [rows.column(0), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 if keep_text:
-                    cols.append(pa.array([x.decode() if r else piece.text(d).decode() for d, (x, r) in enumerate(zip(kept, removed, strict=True))], pa.string()))
-                    names.append("text")
+                    rest = rows.column(4)
+                    null = rest.field("_null").to_pylist()
+                    cols += [pa.array([x.decode() if r else None if null[d] else piece.text(d).decode() for d, (x, r) in enumerate(zip(kept, removed, strict=True))], pa.string()), rest]
+                    names += ["text", "_rest"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return with_places(docs, found).select("doc_id", "text", "_h", "places").mapInArrow(run, schema)
+    return with_places(own, found).select("doc_id", "text", "_h", "places", *["_rest"] * keep_text).mapInArrow(run, schema)
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents with recurring passages taken out of their texts; n_chars, if there, follows the text. No row goes."""
+    out = dedup(docs)
+    columns = [F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns]
+    out = out.select(*columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,6 +244,12 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     return append(docs, "text", "score double, predicted int", work)
 
 
+def accepted(docs: DataFrame, grammar: Grammar) -> DataFrame:
+    """The documents that are not predicted toxic; their columns are unchanged."""
+    own = score(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns}).withColumn("text", F.col("_own_text")), grammar)
+    return own.where("predicted = 0").select(*(F.col(f"_own_{c}").alias(c) for c in docs.columns))
+
+
 def held_out() -> object:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
