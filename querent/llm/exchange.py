@@ -170,6 +170,14 @@ def repeated(docs: DataFrame, marks: Marks, n: int, within: bool = True, bytes_e
     return by_sender(docs.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(answer, SENT), 0).drop("values")
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, _h, copy): keyed documents whose whole text a document of smaller doc_id has. Texts are compared by 128 bits of hash."""
+    order = F.coalesce("doc_id", F.lit(LAST))
+    own = docs.select(order.alias("doc_id"), "_h", F.xxhash64("text", F.lit(1)).alias("_k"))
+    least = own.groupBy("_h", "_k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("_h", "_k", "least")
+    return own.join(least, ["_h", "_k"]).where("doc_id > least").select("doc_id", "_h").distinct().withColumn("copy", F.lit(True))
+
+
 def with_places(docs: DataFrame, places: DataFrame, how: str = "left") -> DataFrame:
     """keyed documents with the other columns of places (null: none)."""
     own = places.withColumnsRenamed({"doc_id": "_id", "_h": "_g"})

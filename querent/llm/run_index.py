@@ -1,7 +1,7 @@
 """A run-compressed Burrows-Wheeler index over short strings, and matching statistics through it.
 
-The text is the strings end to end, each closed by a separator that ranks below all bytes
-and, among separators, by string. Its suffixes are ordered by doubling; the transform is
+The text is the strings end to end, each closed by a separator. Suffixes end at their
+separator; it ranks below all bytes, and equal suffixes rank by string. Its suffixes are ordered by doubling; the transform is
 kept as runs (heads, starts, occurrences before), with a text position sampled at both ends
 of each run. ``stream`` reads query strings backwards, all in step, through LF on the runs,
 with matches truncated at ``width``: an interval of ``width`` matched bytes is widened to the
@@ -28,39 +28,37 @@ class RunIndex:
         text[inside] = code[strings]
         self.starts, self.lengths, self.code = ends - lengths - 1, lengths, code
         self.sigma = int(code[-1]) + 1
-        self.order, classes = self._sorted(text, inside, int(lengths.max()) + 1)
+        left = np.repeat(ends, lengths + 1) - 1 - np.arange(n)
+        self.order, classes = self._sorted(text, left, int(lengths.max()) + 1)
         self._compress(text, classes)
 
-    def _sorted(self, text: np.ndarray, inside: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order, and the start row of each row's class of equal ``width`` first symbols."""
+    def _sorted(self, text: np.ndarray, left: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix order, and the first rows of classes of equal ``width`` first symbols. left: bytes before the separator."""
         n = len(text)
         bits = max(1, int(self.sigma).bit_length())
-        depth = 64 // bits
+        depth = min(64 // bits, self.width - 1)
         key = np.zeros(n, dtype=np.uint64)
         for i in range(depth):
             key <<= np.uint64(bits)
-            key[: n - i] |= text[i:]
+            key[: n - i] |= np.where(left[: n - i] >= i, text[i:], np.uint64(0))
         rank = self._ranks(key)
         at_width = None
-        if depth >= self.width:
-            raise ValueError("width must exceed the first step of the doubling")
         while True:
             if at_width is None and 2 * depth >= self.width:
-                at_width = self._ranks(self._pair(rank, self.width - depth))
+                at_width = self._ranks(self._pair(rank, self.width - depth, left))
             if depth >= longest:
                 break
-            rank = self._ranks(self._pair(rank, depth))
+            rank = self._ranks(self._pair(rank, depth, left))
             depth *= 2
         # suffixes equal up to their separator keep the order of the text, as LF on the transform needs
         order = np.argsort(rank << np.uint64(32) | np.arange(n, dtype=np.uint64))
         own = at_width[order]
-        change = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        return order, change
+        return order, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
 
     @staticmethod
-    def _pair(rank: np.ndarray, step: int) -> np.ndarray:
+    def _pair(rank: np.ndarray, step: int, left: np.ndarray) -> np.ndarray:
         key = rank << np.uint64(32)
-        key[:-step] |= rank[step:] + np.uint64(1)
+        key[:-step] |= np.where(left[:-step] >= step, rank[step:] + np.uint64(1), np.uint64(0))
         return key
 
     @staticmethod
@@ -89,6 +87,9 @@ class RunIndex:
         self.keys = self.heads[by].astype(np.int64) * (n + 1) + self.head_starts
         self.n = n
         self.class_starts = classes
+        before_run = np.empty(len(by), dtype=np.int64)
+        before_run[by] = self.head_before
+        self.run_jump = self.first_row[self.heads] + before_run - self.run_starts
 
     def rank(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Occurrences of each symbol in the transform before each row."""
@@ -104,6 +105,24 @@ class RunIndex:
         """For each class, the least of the strings' values over its suffixes."""
         return np.minimum.reduceat(values[self.string_of(self.order)], self.class_starts)
 
+    def stream_own(self) -> np.ndarray:
+        """stream() over the indexed strings."""
+        out = np.full(int(self.lengths.sum()), -1, dtype=np.int64)
+        ends = np.cumsum(self.lengths)
+        run_of = np.repeat(np.arange(len(self.run_starts)), np.diff(np.concatenate((self.run_starts, [self.n]))))
+        step_of = self.run_jump[run_of]
+        class_of = np.repeat(np.arange(len(self.class_starts)), np.diff(np.concatenate((self.class_starts, [self.n]))))
+        live = np.argsort(-self.lengths, kind="stable")
+        row = live.copy()  # separators rank first, in the order of the strings
+        sizes = self.lengths[live]
+        for step in range(int(sizes[0])):
+            n = int(np.searchsorted(-sizes, -step, side="left"))
+            row = row[:n]
+            row = row + step_of[row]
+            if step + 1 >= self.width:
+                out[ends[live[:n]] - 1 - step] = class_of[row]
+        return out
+
     def stream(self, strings: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """For each place of the query strings (end to end), the class of the ``width`` bytes that start there; -1 if none matches.
 

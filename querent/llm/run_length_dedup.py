@@ -4,6 +4,7 @@ A byte goes if a WINDOW-byte string that covers it also starts in a document of
 doc_id. An index of the whole corpus in one place can't be had, so the corpus is cut where
 matches are possible at all:
 
+0. A document whose whole text a smaller one has is settled; only its smallest copy goes on.
 1. Seeds. Every window has an anchor, the least of its hashed ANCHOR-byte strings; equal
    windows have equal anchors. ``exchange`` finds the anchors that several documents have.
 2. Shards. Around each such anchor, the bytes that windows with it can cover (its context)
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from querent.llm import kernels as K
 from querent.llm.common import buckets, table
-from querent.llm.exchange import FIELDS, SENT, by_sender, collected, groups, keyed, pack, record, repeated, row, sender_ids, senders, unpack, with_places
+from querent.llm.exchange import FIELDS, SENT, by_sender, copies, groups, keyed, pack, record, repeated, row, sender_ids, senders, unpack, with_places
 from querent.llm.run_index import RunIndex
 
 WINDOW = 50
@@ -39,6 +40,8 @@ ANCHOR = 16
 REACH = WINDOW - ANCHOR
 #: Stored bytes of input for each shard of anchors and contexts.
 SHARD_BYTES = 2 << 20
+#: Bytes of contexts in one index; all contexts of an anchor are in the same one.
+INDEX_BYTES = 1 << 19
 
 
 def _anchors(piece: K.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,11 +73,19 @@ def _every(lengths: np.ndarray) -> np.ndarray:
     return (np.uint64(1) << (lengths - WINDOW + 1).astype(np.uint64)) - np.uint64(1)
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the anchor, hash of the whole) of contexts; left is the anchor's place in them."""
+    raw = K._BYTE[data]
+    anchor = starts + left
+    return K.ranges(raw, anchor, anchor + ANCHOR), K.mix(K.ranges(raw, starts, starts + lengths) ^ K.mix(left.astype(np.uint64)))
+
+
 def _send(n: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sender, batch in senders(batches):
             order_of = np.frombuffer(sender_ids(batch), dtype=np.int64)[: batch.num_rows]
-            docs, starts, lengths, hashes, content, data, base = [], [], [], [], [], [], []
+            docs, starts, lengths, hashes, content, data, base, left = [], [], [], [], [], [], [], []
+            shift = 0
             for piece in K.pieces(batch.column(1)):
                 own = [unpack(x) for x in batch.column(3).slice(piece.first, piece.n).to_pylist()]
                 doc = np.repeat(np.arange(piece.n), [len(x) for x in own])
@@ -82,18 +93,20 @@ def _send(n: int):
                     continue
                 at = np.concatenate(own)
                 low, high = _contexts(piece, doc, at)
-                raw = K._BYTE[piece.data]
+                before = piece.offsets[doc] + at - low
+                h, c = _hashes(piece.data, low, high - low, before)
                 docs.append(doc + piece.first)
                 base.append(low - piece.offsets[doc])
                 lengths.append(high - low)
-                begin = piece.offsets[doc] + at
-                hashes.append(K.ranges(raw, begin, begin + ANCHOR))
-                content.append(K.mix(K.ranges(raw, low, high) ^ K.mix((begin - low).astype(np.uint64))))
-                starts.append(low + sum(map(len, data)))
+                left.append(before)
+                hashes.append(h)
+                content.append(c)
+                starts.append(low + shift)
                 data.append(piece.data)
+                shift += len(piece.data)
             if not docs:
                 continue
-            docs, starts, lengths, hashes, content, base, data = map(np.concatenate, (docs, starts, lengths, hashes, content, base, data))
+            docs, starts, lengths, hashes, content, base, left, data = map(np.concatenate, (docs, starts, lengths, hashes, content, base, left, data))
             own = order_of[docs]
             order = np.lexsort((own, content))
             first, size = groups(content[order])
@@ -107,16 +120,17 @@ def _send(n: int):
             edges = np.searchsorted(to[by], np.arange(n + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 k = by[edges[b] : edges[b + 1]]
-                head = np.stack([hashes[k].view(np.int64), content[k].view(np.int64), own[k], lengths[k]]).tobytes()
+                head = own[k].tobytes() + left[k].astype(np.uint8).tobytes() + lengths[k].astype(np.uint8).tobytes()
                 rows.append(row(int(b), sender, docs=pack(docs[k]), places=pack(base[k]), values=head + _gathered(data, starts[k], lengths[k]).tobytes()))
             yield record(rows)
 
     return send
 
 
-def _marks(hashes: np.ndarray, content: np.ndarray, own: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
+def _marks(own: np.ndarray, left: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
     """For each context of a shard, a bit for each of its windows that a smaller document has."""
     starts = np.cumsum(lengths) - lengths
+    hashes, content = _hashes(data, starts, lengths, left)
     _, first, string = np.unique(content, return_index=True, return_inverse=True)
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, string, own)
@@ -126,21 +140,33 @@ def _marks(hashes: np.ndarray, content: np.ndarray, own: np.ndarray, lengths: np
     many = np.flatnonzero(np.bincount(anchor)[anchor] > 1)
     if not len(many):
         return out
-    own_lengths = lengths[first[many]]
-    strings = _gathered(data, starts[first[many]], own_lengths)
-    index = RunIndex(strings, own_lengths, WINDOW)
-    classes = index.stream(strings, own_lengths)
-    smallest = index.class_least(least[many])
+    many = many[np.argsort(anchor[many], kind="stable")]
+    size = np.cumsum(lengths[first[many]])
+    ends = np.flatnonzero(np.concatenate((anchor[many][1:] != anchor[many][:-1], [True]))) + 1
+    every = np.zeros(len(first), dtype=np.uint64)
+    begin = 0
+    for end in ends[np.searchsorted(size[ends - 1] // INDEX_BYTES, np.arange(int(size[-1]) // INDEX_BYTES + 1), side="right") - 1].tolist() + [len(many)]:
+        if end > begin:
+            own_strings = many[begin:end]
+            at = first[own_strings]
+            every[own_strings] = _window_bits(_gathered(data, starts[at], lengths[at]), lengths[at], least[own_strings])
+            begin = end
+    return np.where(out > 0, out, every[string])
+
+
+def _window_bits(strings: np.ndarray, lengths: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each of some strings with documents (own), a bit for each of its windows that a smaller document's string has."""
+    index = RunIndex(strings, lengths, WINDOW)
+    classes = index.stream_own()
+    smallest = index.class_least(own)
     hit = classes >= 0
-    hit[hit] = smallest[classes[hit]] < np.repeat(least[many], own_lengths)[hit]
+    hit[hit] = smallest[classes[hit]] < np.repeat(own, lengths)[hit]
     at = np.flatnonzero(hit)
-    begins = np.cumsum(own_lengths) - own_lengths
+    begins = np.cumsum(lengths) - lengths
     of = np.searchsorted(begins, at, side="right") - 1
-    bits = np.zeros(len(many), dtype=np.uint64)
+    bits = np.zeros(len(lengths), dtype=np.uint64)
     np.bitwise_or.at(bits, of, np.uint64(1) << (at - begins[of]).astype(np.uint64))
-    every = np.zeros(len(first), dtype=np.uint64)
-    every[many] = bits
-    return np.where(out > 0, out, every[string])
+    return bits
 
 
 def _answer(group: pa.Table) -> pa.Table:
@@ -148,33 +174,36 @@ def _answer(group: pa.Table) -> pa.Table:
     rows = [tuple(cols[c][i] for c in FIELDS) for i, x in enumerate(cols["ids"]) if x is not None]
     asked = [i for i, x in enumerate(cols["ids"]) if x is None]
     if asked:
-        heads, data = [], []
+        parts: list[list[np.ndarray]] = [[], [], [], []]
         for i in asked:
-            n = len(cols["docs"][i]) // 4
-            heads.append(np.frombuffer(cols["values"][i], dtype=np.int64, count=4 * n).reshape(4, n))
-            data.append(np.frombuffer(cols["values"][i], dtype=np.uint8, offset=32 * n))
-        head = np.concatenate(heads, axis=1)
-        marks = _marks(head[0].view(np.uint64), head[1].view(np.uint64), head[2], head[3], np.concatenate(data))
+            n, held = len(cols["docs"][i]) // 4, cols["values"][i]
+            parts[0].append(np.frombuffer(held, dtype=np.int64, count=n))
+            parts[1].append(np.frombuffer(held, dtype=np.uint8, count=n, offset=8 * n).astype(np.int64))
+            parts[2].append(np.frombuffer(held, dtype=np.uint8, count=n, offset=9 * n).astype(np.int64))
+            parts[3].append(np.frombuffer(held, dtype=np.uint8, offset=10 * n))
+        marks = _marks(*map(np.concatenate, parts))
         at = 0
-        for i, h in zip(asked, heads, strict=True):
-            own = marks[at : at + h.shape[1]]
-            at += h.shape[1]
+        for i, part in zip(asked, parts[0], strict=True):
+            own = marks[at : at + len(part)]
+            at += len(part)
             hit = own > 0
             if hit.any():
                 rows.append(row(cols["bucket"][i], cols["sender"][i], docs=pack(unpack(cols["docs"][i])[hit]), places=pack(unpack(cols["places"][i])[hit]), values=own[hit].astype("<u8").tobytes()))
     return pa.Table.from_batches([record(rows)])
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, _h, places, values) of keyed documents: starts of contexts, and bits of the windows from there that are marked."""
-    n = buckets(docs, SHARD_BYTES)
+def marked(docs: DataFrame, whole: DataFrame, n: int) -> DataFrame:
+    """(doc_id, _h, places, values) of keyed documents that are no copies (whole): starts of contexts, and bits of the windows from there that are marked."""
+    docs = with_places(docs, whole).where("copy is null").drop("copy")
     seeds = repeated(docs, lambda piece, _: _anchors(piece), n, within=False, bytes_each=6)
     found = with_places(docs, seeds, "inner").select("doc_id", "text", "_h", "places").mapInArrow(_send(n), SENT)
     return by_sender(found.groupBy("bucket").applyInArrow(_answer, SENT), 8)
 
 
-def _covered(n: int, places: bytes | None, values: bytes | None) -> np.ndarray:
+def _covered(n: int, copy: bool | None, places: bytes | None, values: bytes | None) -> np.ndarray:
     """Mask over a document's bytes of those in marked windows."""
+    if copy:
+        return np.full(n, n >= WINDOW)
     if not places:
         return np.zeros(n, dtype=bool)
     bits = np.unpackbits(np.frombuffer(values, dtype=np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -195,9 +224,9 @@ def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         for batch in batches:
             for piece in K.pieces(batch.column(1)):
                 rows, own = [], batch.slice(piece.first, piece.n)
-                for d, (places, values) in enumerate(zip(own.column(3).to_pylist(), own.column(4).to_pylist(), strict=True)):
+                for d, marks in enumerate(zip(*(own.column(i).to_pylist() for i in (3, 4, 5)), strict=True)):
                     raw = piece.data[piece.offsets[d] : piece.offsets[d + 1]]
-                    gone = _covered(len(raw), places, values)
+                    gone = _covered(len(raw), *marks)
                     kept = raw[~gone].tobytes()
                     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and bool(gone[0])))
                     rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
@@ -207,7 +236,9 @@ def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                 names = ["doc_id", "_h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
                 yield pa.RecordBatch.from_arrays(arrays[: 6 + keep_text], names=names[: 6 + keep_text])
 
-    return with_places(docs, marked(docs)).select("doc_id", "text", "_h", "places", "values").mapInArrow(run, schema)
+    whole = copies(docs)
+    found = marked(docs, whole, buckets(docs, SHARD_BYTES))
+    return with_places(with_places(docs, whole), found).select("doc_id", "text", "_h", "copy", "places", "values").mapInArrow(run, schema)
 
 
 def op10_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
