@@ -6,7 +6,7 @@ equal fingerprints, so joining the documents' fingerprints with the items' and e
 each hit to the windows that it stands for finds every shared window. Found windows are
 compared word by word.
 
-Where the benchmark's stored size is at most BROADCAST_BYTES, its windows travel to the
+Where the benchmark's text is at most BROADCAST_BYTES, its windows travel to the
 documents and the plan is one map without any shuffle. Beyond that, fingerprints are joined
 by a shuffle, then windows, and hits return to their documents. Both give the same rows.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
-from querent.llm.common import append, buckets, stored_bytes, table, texts
+from querent.llm.common import append, buckets, table, text_bytes, texts
 
 WINDOW = 10
 GRAM = 5
@@ -236,7 +236,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     """
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
     windows = item_windows(benchmark)
-    return (_by_map if stored_bytes(benchmark) <= broadcast_bytes else _by_shuffle)(docs, windows)
+    return (_by_map if text_bytes(benchmark) <= broadcast_bytes else _by_shuffle)(docs, windows)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
