@@ -14,7 +14,8 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of stored input for which one more hash bucket is opened.
@@ -31,12 +32,19 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """The optimizer's size of a plan; for a table scan, the bytes of its files. Only degrees of parallelism depend on it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables below a plan, as far as the optimizer knows them. Only degrees of parallelism depend on it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """Exact bytes of a column, by one aggregate."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0))).first()[0]
 
 
 def buckets(df: DataFrame, per: int = BUCKET_BYTES) -> int:
-    """Hash buckets for data that grows with this input, two thirds full at most in a task's memory at any size."""
+    """Hash buckets for data that grows with this input: one for so many stored bytes, at least as many as shuffle partitions."""
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(1 << 22, math.ceil(stored_bytes(df) / per)))
@@ -55,6 +63,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hold(df: DataFrame, rows: int = 500_000, memory: bool = True) -> DataFrame:
+    """A reliable checkpoint in one file for so many rows, for the tables of an iteration: plans and lineage start anew there."""
+    return probed(df, [], rows, memory)[0]
+
+
+def probed(df: DataFrame, exprs: list[Column], rows: int = 500_000, memory: bool = True) -> tuple[DataFrame, Row]:
+    """hold(df), and one row of aggregates over it: the number of rows, then exprs."""
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK if memory else StorageLevel.DISK_ONLY)
+    seen = kept.agg(F.count(F.lit(1)), *exprs).first()
+    out = kept.coalesce(max(1, math.ceil(seen[0] / rows))).checkpoint(eager=True)
+    kept.unpersist()
+    return out, seen
+
+
 def append(df: DataFrame, column: str, schema: str, work: Callable[[pa.Array], list]) -> DataFrame:
     """df with new columns computed from one string column, batch by batch; equal names are replaced.
 

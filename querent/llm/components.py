@@ -2,8 +2,8 @@
 
 Each step sends every node's smallest neighbour to its other neighbours; edges end as
 stars around the smallest node of each component. Steps are joins and minimum aggregates
-with map-side combination, so a node with many neighbours is never gathered, and lineage is
-cut after each round by a reliable checkpoint.
+with map-side combination, so a node with many neighbours is never gathered. Lineage is
+cut after every round by a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import cut
+from querent.llm.common import probed
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,12 +31,11 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (u, v); component is the least node. Nodes of any comparable type; loops and repeats do no harm."""
-    now = cut(edges.select("u", "v").where("u <> v").distinct())
-    seen = None
+    state = [F.bit_xor(F.xxhash64("u", "v"))]
+    now, seen = probed(edges.select("u", "v").where("u <> v").distinct(), state)
     while True:
-        now = cut(_small(_large(now)))
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen:
+        now, after = probed(_small(_large(now)), state)
+        if after == seen:
             break
-        seen = state
+        seen = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

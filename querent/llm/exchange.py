@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
+from querent.llm.common import hold
 
 LAST = 2**63 - 1
 
@@ -171,10 +172,14 @@ def repeated(docs: DataFrame, marks: Marks, n: int, within: bool = True, bytes_e
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, _h, copy): keyed documents whose whole text a document of smaller doc_id has. Texts are compared by 128 bits of hash."""
+    """(doc_id, _h, copy): keyed documents whose whole text a document of smaller doc_id has. Texts are compared by 128 bits of hash.
+
+    The texts that have copies are held first: a join of two plain shuffles can split a text with very many copies over tasks.
+    """
     order = F.coalesce("doc_id", F.lit(LAST))
     own = docs.select(order.alias("doc_id"), "_h", F.xxhash64("text", F.lit(1)).alias("_k"))
     least = own.groupBy("_h", "_k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("_h", "_k", "least")
+    least = hold(least)
     return own.join(least, ["_h", "_k"]).where("doc_id > least").select("doc_id", "_h").distinct().withColumn("copy", F.lit(True))
 
 

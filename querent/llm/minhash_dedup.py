@@ -1,18 +1,22 @@
 """Operator 2, near-duplicates by MinHash bands and odd sketches.
 
 A document's set is its distinct SHINGLE-word shingles. Documents of one set are one class
-at once; everything after works on classes. BANDS bands of ROWS MinHash values put classes
-into buckets (a pair of Jaccard 0.85 misses all buckets with a chance of 2e-8). An odd
-sketch folds all PERMUTATIONS samples into a parity bitmap; the population count of the XOR
-of two sketches estimates high similarities closely, and pairs estimated below FLOOR (over
-five deviations under the threshold) are dropped before their texts are read. The rest are
+at once (63 bits of digest); everything after works on classes. BANDS bands of ROWS MinHash
+values put classes into buckets (a pair of Jaccard 0.85 misses all buckets with a chance of
+3e-7); ``exchange`` leaves only the buckets that several classes share. An odd sketch folds
+all PERMUTATIONS samples into a parity bitmap; the population count of the XOR of two
+sketches estimates high similarities closely, and pairs estimated below FLOOR (five
+deviations under the threshold) are dropped before their texts are read. The rest are
 confirmed on full sets.
 
-Buckets are never expanded to all pairs. Round t compares 2**t representatives of each
-bucket with its other members; then verified links are contracted, and buckets that lie in
-one component are done. A bucket of near copies, however large, costs one comparison a
-member. Rounds go on until no bucket has an unseen pair of two components, so no link
-between components is lost.
+Buckets are never expanded to pairs of rows. First the members of a bucket meet two of them;
+verified links are contracted, and buckets that lie in one component are done, so a bucket
+of near copies costs two comparisons a member. What is left is cut into blocks of at most
+BLOCK members, each pair of blocks of a bucket a task of its own. It compares sketches of
+members of different components as bit matrices; only members with a candidate go on, with
+their texts, to the same tasks for exact comparison, which give the links of a spanning
+forest. So every pair of a bucket has been compared or lies in one component: no link
+between components is lost, and no step makes more rows than members times blocks.
 """
 
 from __future__ import annotations
@@ -23,18 +27,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
-from querent.llm.common import cut, table, texts
+from querent.llm.common import buckets, cut, hold, probed, table, texts
 from querent.llm.components import components
+from querent.llm.exchange import repeated, unpack
 
 SHINGLE = 5
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 6
 PERMUTATIONS = 192
 SKETCH_BITS = 1024
-FLOOR = 0.70
+FLOOR = 0.72
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Bits of the filter that keeps texts of no candidate out of a shuffle; only its rate of needless rows depends on the corpus.
@@ -98,12 +103,13 @@ def estimate(differing: int, bits: int = SKETCH_BITS, samples: int = PERMUTATION
 MOST_DIFFERING = max(d for d in range(SKETCH_BITS // 2) if estimate(d) >= FLOOR)
 
 
-def _key(values: np.ndarray) -> bytes:
-    return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else b""
+def _key(values: np.ndarray) -> int | None:
+    """63 bits of a digest of a set; null for the empty set."""
+    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest()) >> 1 if len(values) else None
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, _h (of the text), n_shingles, key (of the set; empty for the empty set), bands, sketch (as eight-byte words)."""
+    """doc_id, _h (of the text), n_shingles, key (of the set; null for the empty set), bands, sketch (as eight-byte words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,17 +126,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                         band.append(None)
                         sketch.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.first, piece.n), batch.column(2).slice(piece.first, piece.n), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                    [batch.column(0).slice(piece.first, piece.n), batch.column(2).slice(piece.first, piece.n), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
                     names=["doc_id", "_h", "n_shingles", "key", "bands", "sketch"],
                 )
 
-    return texts(docs, F.xxhash64(F.col("text").cast("string")).alias("_h")).mapInArrow(run, "doc_id long, _h long, n_shingles long, key binary, bands array<long>, sketch array<long>")
+    return texts(docs, F.xxhash64(F.col("text").cast("string")).alias("_h")).mapInArrow(run, "doc_id long, _h long, n_shingles long, key long, bands array<long>, sketch array<long>")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Filter of FILTER_BITS bits over the first three bytes of the keys; what reaches the driver is bounded by it."""
-    place = F.conv(F.hex(F.substring("key", 1, 3)), 16, 10).cast("long")
-    rows = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits")).toArrow()
+    """Filter of FILTER_BITS bits over the keys; what reaches the driver is bounded by it."""
+    rows = keys.select((F.col("key") % FILTER_BITS).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
@@ -145,16 +150,17 @@ def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in K.pieces(batch.column(0)):
                 key = [_key(x) for x in shingle_sets(piece)]
-                at = [i for i, k in enumerate(key) if k and bits[(p := int.from_bytes(k[:3], "big")) >> 6] >> np.uint64(p & 63) & np.uint64(1)]
-                yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in at], pa.binary()), batch.column(0).take(pa.array([piece.first + i for i in at], pa.int64()))], names=["key", "text"])
+                at = [i for i, k in enumerate(key) if k is not None and bits[(p := k % FILTER_BITS) >> 6] >> np.uint64(p & 63) & np.uint64(1)]
+                yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in at], pa.int64()), batch.column(0).take(pa.array([piece.first + i for i in at], pa.int64()))], names=["key", "text"])
 
-    near = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key binary, text string")
+    near = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, text string")
     return near.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs of class keys (a, b) whose full sets reach the similarity."""
-    own = cut(_candidate_texts(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()))
+def _confirmed(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs of class keys (a, b) whose full sets reach the similarity; held has the text of each key."""
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    own = held.join(wanted, "key", "left_semi")
     left = own.withColumnsRenamed({"key": "a", "text": "ta"})
     right = own.withColumnsRenamed({"key": "b", "text": "tb"})
 
@@ -170,67 +176,197 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     hit.append(100 * same >= PERCENT * (len(x) + len(y) - same))
                 yield batch.filter(pa.array(hit, pa.bool_())).select([0, 1]).rename_columns(["u", "v"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "u binary, v binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs whose sizes allow the similarity and whose sketches do not rule it out."""
+    """Distinct pairs whose sizes allow the similarity and whose sketches do not rule it out, with their differing bits."""
     own = classes.select("key", "n_shingles", "sketch")
     left = own.withColumnsRenamed({"key": "a", "n_shingles": "na", "sketch": "sa"})
     right = own.withColumnsRenamed({"key": "b", "n_shingles": "nb", "sketch": "sb"})
     differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
     sizes = F.lit(100) * F.least("na", "nb") >= F.lit(PERCENT) * F.greatest("na", "nb")
     both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-    return both.where(sizes & (differing <= MOST_DIFFERING)).select("a", "b")
+    return both.withColumn("differing", differing).where(sizes & (F.col("differing") <= MOST_DIFFERING)).select("a", "b", "differing")
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """(bucket, key): the bands of each class that another class has too."""
+
+    def marks(piece: K.Piece, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values = rows.column(3).flatten().to_numpy().view(np.uint64)
+        return np.repeat(np.arange(piece.n), BANDS), np.tile(np.arange(BANDS), piece.n), values
+
+    rows = classes.select(F.col("key").alias("doc_id"), F.lit("").alias("text"), F.lit(0).cast("long").alias("_h"), "bands")
+    found = repeated(rows, marks, buckets(classes)).select(F.col("doc_id").alias("key"), "places")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [unpack(x) for x in batch.column(2).to_pylist()]
+            own = batch.column(1).flatten().to_numpy().reshape(-1, BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own[i][x] for i, x in enumerate(at)] or [np.empty(0, dtype=np.int64)])), batch.column(0).take(pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at])))], names=["bucket", "key"])
+
+    return classes.select("key", "bands").join(found, "key").mapInArrow(pick, "bucket long, key long")
+
+
+#: Members of a bucket in a block.
+BLOCK = 1024
+
+
+def _blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """members (bucket, ...) with i <= j: each once for every pair of blocks of its bucket that its own block is in."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("g"))
+    own = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    return dealt.select(*members.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _candidates(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y) of members of different components whose sizes and sketches allow the similarity."""
+    xs, ys = [], []
+    for at in range(0, len(comp), 256):
+        differing = np.zeros((min(256, len(comp) - at), len(comp)), dtype=np.uint16)
+        for w in range(sketch.shape[1]):
+            differing += np.bitwise_count(sketch[at : at + 256, w][:, None] ^ sketch[:, w][None, :])
+        a, b = size[at : at + 256][:, None], size[None, :]
+        ok = (differing <= MOST_DIFFERING) & (comp[at : at + 256][:, None] != comp[None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+        x, y = np.nonzero(ok)
+        x += at
+        xs.append(x[x < y])
+        ys.append(y[x < y])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(group.num_rows, -1)
+    return group["comp"].to_numpy(), group["n_shingles"].to_numpy(), sketch
+
+
+def _involved(group: pa.Table) -> pa.Table:
+    x, y = _candidates(*_columns(group))
+    return group.take(pa.array(np.union1d(x, y)))
+
+
+def _shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Intersection sizes of pairs of sets, by products of incidence matrices over the shingles that several have."""
+    values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    sizes = np.array([len(v) for v in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    many = times[inverse] > 1
+    owner, place = owner[many], column[inverse[many]]
+    out = np.zeros(len(x), dtype=np.int64)
+    by = np.argsort(place, kind="stable")
+    owner, place = owner[by], place[by]
+    width = max(1, (8 << 20) // max(1, len(sets)))
+    total = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        low, high = np.searchsorted(place, (start, start + width))
+        matrix = np.zeros((len(sets), min(width, int(place[-1]) + 1 - start)), dtype=np.float32)
+        matrix[owner[low:high], place[low:high] - start] = 1
+        total += matrix @ matrix.T
+    if len(x):
+        out = total[x, y].astype(np.int64)
+    return out
+
+
+def _spanning(group: pa.Table) -> pa.Table:
+    """Links (u, v) of a spanning forest over the confirmed pairs of a block."""
+    comp, size, sketch = _columns(group)
+    x, y = _candidates(comp, size, sketch)
+    sets = [v for piece in K.pieces(group["text"]) for v in shingle_sets(piece)]
+    same = _shared(sets, x, y) if sets else np.empty(0, dtype=np.int64)
+    hit = 100 * same >= PERCENT * (size[x] + size[y] - same)
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    edges = []
+    key = group["key"].to_pylist()
+    for p, q in zip(x[hit].tolist(), y[hit].tolist(), strict=True):
+        a, b = find(int(comp[p])), find(int(comp[q]))
+        if a != b:
+            root[a] = b
+            edges.append((key[p], key[q]))
+    return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+
+
+class Links:
+    """The components that confirmed links make so far."""
+
+    def __init__(self, held: DataFrame):
+        self.held = held
+        self.found: DataFrame | None = None
+
+    def take(self, edges: DataFrame) -> None:
+        """Adds confirmed links (u, v)."""
+        edges, n = probed(edges, [])
+        if n[0]:
+            stars = edges if self.found is None else edges.union(self.found.select("node", "component"))
+            self.found = hold(components(stars))
+
+    def labelled(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """rows with the component of a key, itself if it has no link."""
+        if self.found is None:
+            return rows.withColumn(name, F.col(key))
+        own = self.found.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+        return rows.join(own, F.col(key) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", key)).drop("_node", "_component")
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirms pairs (a, b, differing): first the likeliest of each b, then those that still lie in different components."""
+        pairs, n = probed(pairs, [])
+        if n[0]:
+            self.take(_confirmed(self.held, pairs.groupBy("b").agg(F.min_by("a", "differing").alias("a")).select("a", "b")))
+            apart, n = probed(self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"), [])
+            if n[0]:
+                self.take(_confirmed(self.held, apart))
+
+
+def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame | None:
     """(node, component) over class keys, from confirmed links that connect all linked classes; None if there are none."""
-    members = classes.select(F.explode("bands").alias("bucket"), "key")
-    shared = members.groupBy("bucket").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "rep")
-    alive = cut(members.join(shared, "bucket"))
-    pairs = alive.where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
-    alive = alive.where("key <> rep").select("bucket", "key")
-    edges = None
-    found: DataFrame | None = None
-    many = 1
-    while True:
-        new = cut(_alike(pairs, classes))
-        if new.limit(1).count():
-            confirmed = cut(_confirmed(docs, new))
-            edges = confirmed if edges is None else edges.union(confirmed)
-            found = components(edges)
-        labelled = alive if found is None else alive.join(found, alive["key"] == found["node"], "left")
-        labelled = labelled.select("bucket", "key", (F.col("key") if found is None else F.coalesce("component", "key")).alias("comp"))
-        sizes = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-        parts = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        rare = Window.partitionBy("bucket").orderBy("n", "comp")
-        ranked = sizes.join(parts, "bucket").withColumn("place", F.row_number().over(rare))
-        ranked = ranked.select("bucket", "comp", ((F.col("place") <= many) & (F.col("place") < F.col("parts"))).alias("asks"))
-        left = cut(labelled.join(ranked, ["bucket", "comp"]))
-        if not left.limit(1).count():
-            return found
-        asks = left.where("asks").select("bucket", F.col("key").alias("a"), F.col("comp").alias("ca"))
-        met = asks.join(left, "bucket").where("ca <> comp and (not asks or a < key)")
-        pairs = met.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
-        alive = left.where("not asks").select("bucket", "key")
-        many *= 2
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+    members = hold(shared_bands(classes))
+    state = Links(hold(_candidate_texts(docs, members.select("key").distinct()), rows=20_000, memory=False))
+    ends = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    met = members.join(ends, "bucket")
+    pairs = met.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).union(met.where("key not in (low, high)").select("high", "key"))
+    state.add(_alike(pairs, classes))
+    alive = state.labelled(met.where("key not in (low, high)").select("bucket", "key"), "key", "comp")
+    apart = alive.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket")
+    left, n = probed(alive.join(apart, "bucket").select("bucket", "key", "comp"), [])
+    if n[0]:
+        by = ["bucket", "i", "j"]
+        schema = "bucket long, i int, j int, key long, comp long, n_shingles long, sketch array<long>"
+        dealt = _blocked(left, block).join(classes.select("key", "n_shingles", "sketch"), "key").select(*schema_names(schema))
+        involved = hold(dealt.groupBy(*by).applyInArrow(_involved, schema))
+        texts_too = involved.join(state.held, "key").select(*schema_names(schema), "text")
+        state.take(texts_too.groupBy(*by).applyInArrow(_spanning, "u long, v long").distinct())
+    return state.found
+
+
+def schema_names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, _h, n_shingles, key, component_id (least doc_id reachable by links), kept (it is that document).
 
     Documents without words are linked with nothing and kept. A null doc_id is never a component's least unless all are null;
     repeated rows of one doc_id share their component and are kept together.
     """
     sig = cut(signatures(docs))
-    classes = cut(sig.where("n_shingles > 0").dropDuplicates(["key"]).select("key", "n_shingles", "bands", "sketch"))
-    found = links(docs, classes)
+    classes = hold(sig.where("n_shingles > 0").dropDuplicates(["key"]).select("key", "n_shingles", "bands", "sketch"), rows=20_000)
+    found = links(docs, classes, block)
     least = sig.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     if found is not None:
         labelled = least.join(found, least["key"] == found["node"], "left").withColumn("comp", F.coalesce("component", "key"))
         by = labelled.groupBy("comp").agg(F.min("least").alias("low"))
         least = labelled.join(by, "comp").select("key", F.col("low").alias("least"))
+    # held, so that the join is one of two plain shuffles and can split a set with very many copies over tasks
+    least = hold(least, rows=200_000)
     out = sig.select("doc_id", "_h", "n_shingles", "key").join(least, "key", "left")
     component = F.coalesce("least", "doc_id")
     return out.select("doc_id", "_h", "n_shingles", "key", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
