@@ -42,24 +42,33 @@ class RunIndex:
             key <<= np.uint64(bits)
             key[: n - i] |= np.where(left[: n - i] >= i, text[i:], np.uint64(0))
         rank = self._ranks(key)
-        at_width = None
-        while True:
-            if at_width is None and 2 * depth >= self.width:
-                at_width = self._ranks(self._pair(rank, self.width - depth, left))
-            if depth >= longest:
-                break
-            rank = self._ranks(self._pair(rank, depth, left))
+        while depth < self.width:
+            step = min(depth, self.width - depth)
+            rank = self._doubled(rank, step, left)
+            depth += step
+        at_width = rank
+        while depth < longest:
+            rank = self._doubled(rank, depth, left)
             depth *= 2
         # suffixes equal up to their separator keep the order of the text, as LF on the transform needs
-        order = np.argsort(rank << np.uint64(32) | np.arange(n, dtype=np.uint64))
+        order = (np.sort(rank << np.uint64(32) | np.arange(n, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         own = at_width[order]
         return order, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
 
     @staticmethod
-    def _pair(rank: np.ndarray, step: int, left: np.ndarray) -> np.ndarray:
-        key = rank << np.uint64(32)
-        key[:-step] |= np.where(left[:-step] >= step, rank[step:] + np.uint64(1), np.uint64(0))
-        return key
+    def _doubled(rank: np.ndarray, step: int, left: np.ndarray) -> np.ndarray:
+        """Ranks by the symbols that rank covers and ``step`` more, from those ``step`` places on."""
+        n = len(rank)
+        second = np.zeros(n, dtype=np.uint64)
+        second[:-step] = np.where(left[:-step] >= step, rank[step:] + np.uint64(1), np.uint64(0))
+        if n >= 1 << 20:
+            return RunIndex._ranks(rank << np.uint64(32) | second)
+        # both ranks and the place fit one word, and sorting words is faster than sorting places by them
+        key = np.sort(rank << np.uint64(42) | second << np.uint64(21) | np.arange(n, dtype=np.uint64))
+        own = key >> np.uint64(21)
+        new = np.empty(n, dtype=np.uint64)
+        new[(key & np.uint64((1 << 21) - 1)).astype(np.int64)] = np.cumsum(np.concatenate(([0], own[1:] != own[:-1]))).astype(np.uint64)
+        return new
 
     @staticmethod
     def _ranks(key: np.ndarray) -> np.ndarray:
