@@ -15,9 +15,14 @@ matches are possible at all:
    give, for every window, the class of equal windows, and the class its smallest document.
    A window is marked if that is smaller than its own. A context that is whole in a smaller
    document is marked throughout.
-4. Marks return to their documents, whose covered bytes go, judged on the input alone.
-
-Every pair of equal windows meets in the shard of their common anchor, so marks are exact.
+4. An anchor in over MANY different contexts of one sender (the edge of a line that very many
+   documents share) would fill its shard. Its windows go out one by one instead, equal ones of
+   a sender once, to buckets of their own hash; its shard is told so and passes on the windows
+   of what it got from other senders. There the smallest document of each window decides.
+5. Marks return to their documents, whose covered bytes go, judged on the input alone.
+
+Every pair of equal windows meets in the shard of their common anchor, or in the bucket of
+their hash, so marks are exact.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
 from querent.llm.common import buckets, table
@@ -40,6 +46,8 @@ ANCHOR = 16
 REACH = WINDOW - ANCHOR
 #: Stored bytes of input for each shard of anchors and contexts.
 SHARD_BYTES = 2 << 20
+#: Different contexts of an anchor that a sender sends to its shard at most.
+MANY = 512
 #: Bytes of contexts in one index; all contexts of an anchor are in the same one.
 INDEX_BYTES = 1 << 19
 
@@ -80,7 +88,7 @@ def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, left: np.
     return K.ranges(raw, anchor, anchor + ANCHOR), K.mix(K.ranges(raw, starts, starts + lengths) ^ K.mix(left.astype(np.uint64)))
 
 
-def _send(n: int):
+def _send(n: int, many: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sender, batch in senders(batches):
             order_of = np.frombuffer(sender_ids(batch), dtype=np.int64)[: batch.num_rows]
@@ -113,8 +121,20 @@ def _send(n: int):
             least = np.empty(len(own), dtype=np.int64)
             least[order] = np.repeat(own[order[first]], size)
             later = own > least
-            rows = [row(sender % n, sender, ids=sender_ids(batch), docs=pack(docs[later]), places=pack(base[later]), values=_every(lengths[later]).astype("<u8").tobytes())]
+            rows = [row(-1, sender, ids=sender_ids(batch), docs=pack(docs[later]), places=pack(base[later]), values=_every(lengths[later]).astype("<u8").tobytes())]
             asks = np.flatnonzero(~later)
+            order = asks[np.lexsort((content[asks], hashes[asks]))]
+            first, size = groups(hashes[order])
+            new = np.ones(len(order), dtype=np.int64)
+            new[1:] = content[order][1:] != content[order][:-1]
+            wide = np.add.reduceat(new, first) > many if len(first) else np.empty(0, dtype=bool)
+            hot = order[np.repeat(wide, size)]
+            if len(hot):
+                named = hashes[order[first[wide]]]
+                for b in np.unique(named % np.uint64(n)):
+                    rows.append(row(int(b), sender, values=named[named % np.uint64(n) == b].tobytes()))
+                rows += _windows_sent(sender, n, docs[hot], own[hot], base[hot], lengths[hot], _gathered(data, starts[hot], lengths[hot]))
+            asks = np.sort(order[~np.repeat(wide, size)])
             to = (hashes % np.uint64(n)).astype(np.int64)
             by = asks[np.argsort(to[asks], kind="stable")]
             edges = np.searchsorted(to[by], np.arange(n + 1))
@@ -127,6 +147,46 @@ def _send(n: int):
     return send
 
 
+def _windows_sent(sender: int, n: int, docs: np.ndarray, own: np.ndarray, base: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> list[tuple]:
+    """Rows for each window of some contexts of a sender: equal ones once to buckets from n on, those of later documents as marks."""
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    starts = K.spread(offsets, WINDOW)
+    of = np.searchsorted(offsets, starts, side="right") - 1
+    hashes, place, owner, doc = K.windows(K._BYTE[data], WINDOW)[starts], base[of] + starts - offsets[of], own[of], docs[of]
+    order = np.lexsort((place, doc, owner, hashes))
+    hashes, place, owner, doc = hashes[order], place[order], owner[order], doc[order]
+    first, size = groups(hashes)
+    later = owner > np.repeat(owner[first], size)
+    rows = [row(-1, sender, docs=pack(doc[later]), places=pack(place[later]), values=np.ones(int(later.sum()), dtype="<u8").tobytes())] if later.any() else []
+    hashes, place, owner, doc = hashes[~later], place[~later], owner[~later], doc[~later]
+    to = n + (hashes % np.uint64(n)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[by], n + np.arange(n + 1))
+    for b in np.flatnonzero(np.diff(edges)):
+        k = by[edges[b] : edges[b + 1]]
+        rows.append(row(n + int(b), sender, docs=pack(doc[k]), places=pack(place[k]), values=hashes[k].tobytes() + owner[k].tobytes()))
+    return rows
+
+
+def _windows_answered(group: pa.Table) -> pa.Table:
+    """Marks of the windows of a bucket that a smaller document has; marks and names pass."""
+    cols = {x: group[x].to_pylist() for x in FIELDS}
+    if cols["bucket"][0] < 0:
+        return group
+    parts = [np.frombuffer(v, dtype=np.int64).reshape(2, -1) for v in cols["values"]]
+    hashes, owner = np.concatenate(parts, axis=1)
+    _, where = np.unique(hashes, return_inverse=True)
+    least = np.full(where.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, where, owner)
+    later, rows, at = owner > least[where], [], 0
+    for i, part in enumerate(parts):
+        hit = later[at : at + part.shape[1]]
+        at += part.shape[1]
+        if hit.any():
+            rows.append(row(-1, cols["sender"][i], docs=pack(unpack(cols["docs"][i])[hit]), places=pack(unpack(cols["places"][i])[hit]), values=np.ones(int(hit.sum()), dtype="<u8").tobytes()))
+    return pa.Table.from_batches([record(rows)])
+
+
 def _marks(own: np.ndarray, left: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
     """For each context of a shard, a bit for each of its windows that a smaller document has."""
     starts = np.cumsum(lengths) - lengths
@@ -169,35 +229,56 @@ def _window_bits(strings: np.ndarray, lengths: np.ndarray, own: np.ndarray) -> n
     return bits
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    cols = {x: group[x].to_pylist() for x in FIELDS}
-    rows = [tuple(cols[c][i] for c in FIELDS) for i, x in enumerate(cols["ids"]) if x is not None]
-    asked = [i for i, x in enumerate(cols["ids"]) if x is None]
-    if asked:
-        parts: list[list[np.ndarray]] = [[], [], [], []]
-        for i in asked:
-            n, held = len(cols["docs"][i]) // 4, cols["values"][i]
-            parts[0].append(np.frombuffer(held, dtype=np.int64, count=n))
-            parts[1].append(np.frombuffer(held, dtype=np.uint8, count=n, offset=8 * n).astype(np.int64))
-            parts[2].append(np.frombuffer(held, dtype=np.uint8, count=n, offset=9 * n).astype(np.int64))
-            parts[3].append(np.frombuffer(held, dtype=np.uint8, offset=10 * n))
-        marks = _marks(*map(np.concatenate, parts))
-        at = 0
-        for i, part in zip(asked, parts[0], strict=True):
-            own = marks[at : at + len(part)]
-            at += len(part)
-            hit = own > 0
-            if hit.any():
-                rows.append(row(cols["bucket"][i], cols["sender"][i], docs=pack(unpack(cols["docs"][i])[hit]), places=pack(unpack(cols["places"][i])[hit]), values=own[hit].astype("<u8").tobytes()))
-    return pa.Table.from_batches([record(rows)])
-
-
-def marked(docs: DataFrame, whole: DataFrame, n: int) -> DataFrame:
+def _answer(n: int):
+    def answer(group: pa.Table) -> pa.Table:
+        cols = {x: group[x].to_pylist() for x in FIELDS}
+        bucket = cols["bucket"][0]
+        if bucket < 0 or bucket >= n:
+            return group
+        rows, asked, named = [], [], [np.empty(0, dtype=np.uint64)]
+        for i in range(group.num_rows):
+            if cols["docs"][i] is None:
+                named.append(np.frombuffer(cols["values"][i], dtype=np.uint64))
+            else:
+                asked.append(i)
+        if asked:
+            sizes = [len(cols["docs"][i]) // 4 for i in asked]
+            held = [cols["values"][i] for i in asked]
+            own = np.concatenate([np.frombuffer(h, dtype=np.int64, count=k) for h, k in zip(held, sizes, strict=True)])
+            left = np.concatenate([np.frombuffer(h, dtype=np.uint8, count=k, offset=8 * k) for h, k in zip(held, sizes, strict=True)]).astype(np.int64)
+            lengths = np.concatenate([np.frombuffer(h, dtype=np.uint8, count=k, offset=9 * k) for h, k in zip(held, sizes, strict=True)]).astype(np.int64)
+            data = np.concatenate([np.frombuffer(h, dtype=np.uint8, offset=10 * k) for h, k in zip(held, sizes, strict=True)])
+            docs = np.concatenate([unpack(cols["docs"][i]) for i in asked])
+            base = np.concatenate([unpack(cols["places"][i]) for i in asked])
+            sender = np.repeat([cols["sender"][i] for i in asked], sizes)
+            starts = np.cumsum(lengths) - lengths
+            wide = np.isin(_hashes(data, starts, lengths, left)[0], np.concatenate(named))
+            for s in np.unique(sender[wide]):
+                k = np.flatnonzero(wide & (sender == s))
+                rows += _windows_sent(int(s), n, docs[k], own[k], base[k], lengths[k], _gathered(data, starts[k], lengths[k]))
+            k = np.flatnonzero(~wide)
+            if len(k):
+                marks = np.zeros(len(own), dtype=np.uint64)
+                marks[k] = _marks(own[k], left[k], lengths[k], _gathered(data, starts[k], lengths[k]) if wide.any() else data)
+                edges = np.concatenate(([0], np.cumsum(sizes)))
+                for j, i in enumerate(asked):
+                    at = np.flatnonzero(marks[edges[j] : edges[j + 1]]) + edges[j]
+                    if len(at):
+                        rows.append(row(-1, cols["sender"][i], docs=pack(docs[at]), places=pack(base[at]), values=marks[at].astype("<u8").tobytes()))
+        return pa.Table.from_batches([record(rows)])
+
+    return answer
+
+
+def marked(docs: DataFrame, whole: DataFrame, n: int, many: int = MANY) -> DataFrame:
     """(doc_id, _h, places, values) of keyed documents that are no copies (whole): starts of contexts, and bits of the windows from there that are marked."""
     docs = with_places(docs, whole).where("copy is null").drop("copy")
     seeds = repeated(docs, lambda piece, _: _anchors(piece), n, within=False, bytes_each=6)
-    found = with_places(docs, seeds, "inner").select("doc_id", "text", "_h", "places").mapInArrow(_send(n), SENT)
-    return by_sender(found.groupBy("bucket").applyInArrow(_answer, SENT), 8)
+    found = with_places(docs, seeds, "inner").select("doc_id", "text", "_h", "places").mapInArrow(_send(n, many), SENT)
+    # rows that are answered have bucket -1 and are dealt by their sender
+    key = [F.col("bucket"), F.when(F.col("bucket") < 0, F.col("sender")).otherwise(-1).alias("_s")]
+    first = found.groupBy(*key).applyInArrow(_answer(n), SENT)
+    return by_sender(first.groupBy(*key).applyInArrow(_windows_answered, SENT), 8)
 
 
 def _covered(n: int, copy: bool | None, places: bytes | None, values: bytes | None) -> np.ndarray:
@@ -212,7 +293,7 @@ def _covered(n: int, copy: bool | None, places: bytes | None, values: bytes | No
     return K.covered(np.unique(starts), WINDOW, n)
 
 
-def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, keep_text: bool = True, many: int = MANY) -> DataFrame:
     """doc_id, _h, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and kept (binary) if wanted.
 
     Null and empty texts have no bytes. Documents of one doc_id are not smaller than each other. kept need not be valid UTF-8.
@@ -237,7 +318,7 @@ def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays[: 6 + keep_text], names=names[: 6 + keep_text])
 
     whole = copies(docs)
-    found = marked(docs, whole, buckets(docs, SHARD_BYTES))
+    found = marked(docs, whole, buckets(docs, SHARD_BYTES), many)
     return with_places(with_places(docs, whole), found).select("doc_id", "text", "_h", "copy", "places", "values").mapInArrow(run, schema)
 
 
