@@ -154,7 +154,8 @@ def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in at], pa.int64()), batch.column(0).take(pa.array([piece.first + i for i in at], pa.int64()))], names=["key", "text"])
 
     near = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, text string")
-    return near.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    # copies of a text become one in each task, before any shuffle
+    return near.dropDuplicates(["key"]).join(wanted, "key", "left_semi")
 
 
 def _confirmed(held: DataFrame, pairs: DataFrame) -> DataFrame:
