@@ -42,11 +42,13 @@ def keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
 
 
 def pack(values: np.ndarray) -> bytes:
-    return values.astype("<u4").tobytes()
+    """Unsigned 32-bit numbers, all lowest bytes first: the upper planes of small or ascending numbers compress to little."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def unpack(data: bytes | None) -> np.ndarray:
-    return np.frombuffer(data or b"", dtype="<u4").astype(np.int64)
+    planes = np.frombuffer(data or b"", dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64)
 
 
 def row(bucket: int, sender: int, **parts: bytes) -> tuple:
@@ -112,7 +114,7 @@ def repeated(docs: DataFrame, marks: Marks, n: int, within: bool = True, bytes_e
 
     docs has doc_id, text, _h first, then what marks needs; n is the number of buckets. within: other places of the
     same document count. bytes_each: bytes of a fingerprint that are compared within a bucket, the upper ones (fewer
-    where a false match does no harm). places are unsigned 32-bit positions, ascending. Documents without any are left out.
+    where a false match does no harm). places are packed positions, ascending. Documents without any are left out.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
 from querent.llm.common import buckets, table
-from querent.llm.exchange import keyed, repeated, with_places
+from querent.llm.exchange import keyed, repeated, unpack, with_places
 
 WINDOW = 35
 ANCHOR = 18
@@ -42,7 +42,7 @@ def _anchors(piece: K.Piece, window: int, anchor: int) -> tuple[K.Words, np.ndar
 
 
 def _places(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<u4").astype(np.int64) if x else np.empty(0, dtype=np.int64) for x in column.to_pylist()]
+    return [unpack(x) for x in column.to_pylist()]
 
 
 def recurring_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
