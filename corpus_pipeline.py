@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from querent.llm import decontaminate, minhash_dedup, packing, substring_dedup, toxicity
 from querent.llm.common import table
 
+#: Least Jaccard similarity, in percent, of near-duplicates in the pipeline; op2_minhash_dedup has its own.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar, learned from the labelled ones among them, does not reject."""
@@ -22,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least doc_id, of each group of near-duplicates."""
-    return minhash_dedup.representatives(docs)
+    return minhash_dedup.representatives(docs, NEAR_PERCENT)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """Operator 2, near-duplicates by MinHash bands and odd sketches.
 
 A document's set is its distinct SHINGLE-word shingles. Documents of one set are one class
-at once (63 bits of digest); everything after works on classes. BANDS bands of ROWS MinHash
-values put classes into buckets (a pair of Jaccard 0.85 misses all buckets with a chance of
-3e-7); ``exchange`` leaves only the buckets that several classes share. An odd sketch folds
-all PERMUTATIONS samples into a parity bitmap; the population count of the XOR of two
-sketches estimates high similarities closely, and pairs estimated below FLOOR (five
-deviations under the threshold) are dropped before their texts are read. The rest are
-confirmed on full sets.
+at once (63 bits of digest); everything after works on classes. The threshold is a
+parameter, and both filters follow it (``limits``): bands of MinHash values put classes into
+buckets (a pair just at the threshold misses all buckets with a chance of at most MISSED);
+``exchange`` leaves only the buckets that several classes share. An odd sketch folds all
+PERMUTATIONS samples into a parity bitmap; the population count of the XOR of two sketches
+estimates high similarities closely, and pairs estimated under a floor (DEVIATIONS below
+the threshold) are dropped before their texts are read. The rest are confirmed on full sets.
 
 Buckets are never expanded to pairs of rows. First the members of a bucket meet two of them;
 verified links are contracted, and buckets that lie in one component are done, so a bucket
@@ -22,8 +22,10 @@ between components is lost, and no step makes more rows than members times block
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,14 @@ from querent.llm.components import components
 from querent.llm.exchange import repeated, unpack
 
 SHINGLE = 5
-BANDS, ROWS = 32, 6
 PERMUTATIONS = 192
 SKETCH_BITS = 1024
-FLOOR = 0.72
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union; this is the percent of op2_minhash_dedup.
 PERCENT = 85
+#: Largest chance that a pair just at the threshold shares no band.
+MISSED = 5e-7
+#: Deviations of a sample of PERMUTATIONS between the threshold and the least estimate that is kept; a pair just at 0.80 or 0.85 is dropped with a chance under 5e-7.
+DEVIATIONS = 5.7
 #: Bits of the filter that keeps texts of no candidate out of a shuffle; only its rate of needless rows depends on the corpus.
 FILTER_BITS = 1 << 24
 
@@ -77,11 +81,11 @@ def signature(values: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands(least: np.ndarray) -> np.ndarray:
+def bands(least: np.ndarray, like: Limits) -> np.ndarray:
     """A 64-bit hash of each band's rows and number."""
-    own = least[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
+    own = least[: like.bands * like.rows].astype(np.uint64).reshape(like.bands, like.rows)
+    h = np.arange(1, like.bands + 1, dtype=np.uint64)
+    for i in range(like.rows):
         h = K.mix(h ^ own[:, i])
     return h
 
@@ -99,8 +103,24 @@ def estimate(differing: int, bits: int = SKETCH_BITS, samples: int = PERMUTATION
     return 1 + bits / (4 * samples) * float(np.log1p(-2 * differing / bits))
 
 
-#: Most differing bits of a pair estimated at FLOOR or above.
-MOST_DIFFERING = max(d for d in range(SKETCH_BITS // 2) if estimate(d) >= FLOOR)
+@dataclass(frozen=True)
+class Limits:
+    """A threshold in percent, the bands and rows that find it, and the most differing bits of a pair estimated at its floor or above."""
+
+    percent: int
+    bands: int
+    rows: int
+    most_differing: int
+
+
+def limits(percent: int) -> Limits:
+    """The filters of a threshold: bands of as many rows as MISSED allows, and the sketches' floor."""
+    share = percent / 100
+    fit = [r for r in range(1, PERMUTATIONS + 1) if (1 - share**r) ** (PERMUTATIONS // r) <= MISSED]
+    if not fit or percent > 100:
+        raise ValueError(f"no bands of {PERMUTATIONS} values find pairs of {percent} %")
+    floor = share - DEVIATIONS * math.sqrt(share * (1 - share) / PERMUTATIONS)
+    return Limits(percent, PERMUTATIONS // max(fit), max(fit), max(d for d in range(SKETCH_BITS // 2) if estimate(d) >= floor))
 
 
 def _key(values: np.ndarray) -> int | None:
@@ -108,7 +128,7 @@ def _key(values: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest()) >> 1 if len(values) else None
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, like: Limits) -> DataFrame:
     """doc_id, _h (of the text), n_shingles, key (of the set; null for the empty set), bands, sketch (as eight-byte words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +140,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     key.append(_key(values))
                     if len(values):
                         least = signature(values)
-                        band.append(bands(least).view(np.int64))
+                        band.append(bands(least, like).view(np.int64))
                         sketch.append(odd_sketch(least).view(np.int64))
                     else:
                         band.append(None)
@@ -158,7 +178,7 @@ def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.dropDuplicates(["key"]).join(wanted, "key", "left_semi")
 
 
-def _confirmed(held: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(held: DataFrame, pairs: DataFrame, like: Limits) -> DataFrame:
     """Those pairs of class keys (a, b) whose full sets reach the similarity; held has the text of each key."""
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     own = held.join(wanted, "key", "left_semi")
@@ -174,29 +194,29 @@ def _confirmed(held: DataFrame, pairs: DataFrame) -> DataFrame:
                 hit = []
                 for x, y in zip(sets[::2], sets[1::2], strict=True):
                     same = len(np.intersect1d(x, y, assume_unique=True))
-                    hit.append(100 * same >= PERCENT * (len(x) + len(y) - same))
+                    hit.append(100 * same >= like.percent * (len(x) + len(y) - same))
                 yield batch.filter(pa.array(hit, pa.bool_())).select([0, 1]).rename_columns(["u", "v"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, classes: DataFrame, like: Limits) -> DataFrame:
     """Distinct pairs whose sizes allow the similarity and whose sketches do not rule it out, with their differing bits."""
     own = classes.select("key", "n_shingles", "sketch")
     left = own.withColumnsRenamed({"key": "a", "n_shingles": "na", "sketch": "sa"})
     right = own.withColumnsRenamed({"key": "b", "n_shingles": "nb", "sketch": "sb"})
     differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
-    sizes = F.lit(100) * F.least("na", "nb") >= F.lit(PERCENT) * F.greatest("na", "nb")
+    sizes = F.lit(100) * F.least("na", "nb") >= F.lit(like.percent) * F.greatest("na", "nb")
     both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-    return both.withColumn("differing", differing).where(sizes & (F.col("differing") <= MOST_DIFFERING)).select("a", "b", "differing")
+    return both.withColumn("differing", differing).where(sizes & (F.col("differing") <= like.most_differing)).select("a", "b", "differing")
 
 
-def shared_bands(classes: DataFrame) -> DataFrame:
+def shared_bands(classes: DataFrame, like: Limits) -> DataFrame:
     """(bucket, key): the bands of each class that another class has too."""
 
     def marks(piece: K.Piece, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         values = rows.column(3).flatten().to_numpy().view(np.uint64)
-        return np.repeat(np.arange(piece.n), BANDS), np.tile(np.arange(BANDS), piece.n), values
+        return np.repeat(np.arange(piece.n), like.bands), np.tile(np.arange(like.bands), piece.n), values
 
     rows = classes.select(F.col("key").alias("doc_id"), F.lit("").alias("text"), F.lit(0).cast("long").alias("_h"), "bands")
     found = repeated(rows, marks, buckets(classes)).select(F.col("doc_id").alias("key"), "places")
@@ -204,7 +224,7 @@ def shared_bands(classes: DataFrame) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = [unpack(x) for x in batch.column(2).to_pylist()]
-            own = batch.column(1).flatten().to_numpy().reshape(-1, BANDS)
+            own = batch.column(1).flatten().to_numpy().reshape(-1, like.bands)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own[i][x] for i, x in enumerate(at)] or [np.empty(0, dtype=np.int64)])), batch.column(0).take(pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at])))], names=["bucket", "key"])
 
     return classes.select("key", "bands").join(found, "key").mapInArrow(pick, "bucket long, key long")
@@ -222,7 +242,7 @@ def _blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select(*members.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def _candidates(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, like: Limits) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (x, y) of members of different components whose sizes and sketches allow the similarity."""
     xs, ys = [], []
     for at in range(0, len(comp), 256):
@@ -230,7 +250,7 @@ def _candidates(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> tuple
         for w in range(sketch.shape[1]):
             differing += np.bitwise_count(sketch[at : at + 256, w][:, None] ^ sketch[:, w][None, :])
         a, b = size[at : at + 256][:, None], size[None, :]
-        ok = (differing <= MOST_DIFFERING) & (comp[at : at + 256][:, None] != comp[None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+        ok = (differing <= like.most_differing) & (comp[at : at + 256][:, None] != comp[None, :]) & (100 * np.minimum(a, b) >= like.percent * np.maximum(a, b))
         x, y = np.nonzero(ok)
         x += at
         xs.append(x[x < y])
@@ -243,8 +263,8 @@ def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return group["comp"].to_numpy(), group["n_shingles"].to_numpy(), sketch
 
 
-def _involved(group: pa.Table) -> pa.Table:
-    x, y = _candidates(*_columns(group))
+def _involved(group: pa.Table, like: Limits) -> pa.Table:
+    x, y = _candidates(*_columns(group), like)
     return group.take(pa.array(np.union1d(x, y)))
 
 
@@ -271,13 +291,13 @@ def _shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spanning(group: pa.Table) -> pa.Table:
+def _spanning(group: pa.Table, like: Limits) -> pa.Table:
     """Links (u, v) of a spanning forest over the confirmed pairs of a block."""
     comp, size, sketch = _columns(group)
-    x, y = _candidates(comp, size, sketch)
+    x, y = _candidates(comp, size, sketch, like)
     sets = [v for piece in K.pieces(group["text"]) for v in shingle_sets(piece)]
     same = _shared(sets, x, y) if sets else np.empty(0, dtype=np.int64)
-    hit = 100 * same >= PERCENT * (size[x] + size[y] - same)
+    hit = 100 * same >= like.percent * (size[x] + size[y] - same)
     root = {c: c for c in comp.tolist()}
 
     def find(c: int) -> int:
@@ -299,8 +319,9 @@ def _spanning(group: pa.Table) -> pa.Table:
 class Links:
     """The components that confirmed links make so far."""
 
-    def __init__(self, held: DataFrame):
+    def __init__(self, held: DataFrame, like: Limits):
         self.held = held
+        self.like = like
         self.found: DataFrame | None = None
 
     def take(self, edges: DataFrame) -> None:
@@ -321,20 +342,20 @@ class Links:
         """Confirms pairs (a, b, differing): first the likeliest of each b, then those that still lie in different components."""
         pairs, n = probed(pairs, [])
         if n[0]:
-            self.take(_confirmed(self.held, pairs.groupBy("b").agg(F.min_by("a", "differing").alias("a")).select("a", "b")))
+            self.take(_confirmed(self.held, pairs.groupBy("b").agg(F.min_by("a", "differing").alias("a")).select("a", "b"), self.like))
             apart, n = probed(self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"), [])
             if n[0]:
-                self.take(_confirmed(self.held, apart))
+                self.take(_confirmed(self.held, apart, self.like))
 
 
-def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame | None:
+def links(docs: DataFrame, classes: DataFrame, like: Limits, block: int = BLOCK) -> DataFrame | None:
     """(node, component) over class keys, from confirmed links that connect all linked classes; None if there are none."""
-    members = hold(shared_bands(classes))
-    state = Links(hold(_candidate_texts(docs, members.select("key").distinct()), rows=20_000, memory=False))
+    members = hold(shared_bands(classes, like))
+    state = Links(hold(_candidate_texts(docs, members.select("key").distinct()), rows=20_000, memory=False), like)
     ends = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     met = members.join(ends, "bucket")
     pairs = met.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).union(met.where("key not in (low, high)").select("high", "key"))
-    state.add(_alike(pairs, classes))
+    state.add(_alike(pairs, classes, like))
     alive = state.labelled(met.where("key not in (low, high)").select("bucket", "key"), "key", "comp")
     apart = alive.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket")
     left, n = probed(alive.join(apart, "bucket").select("bucket", "key", "comp"), [])
@@ -342,9 +363,9 @@ def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame
         by = ["bucket", "i", "j"]
         schema = "bucket long, i int, j int, key long, comp long, n_shingles long, sketch array<long>"
         dealt = _blocked(left, block).join(classes.select("key", "n_shingles", "sketch"), "key").select(*schema_names(schema))
-        involved = hold(dealt.groupBy(*by).applyInArrow(_involved, schema))
+        involved = hold(dealt.groupBy(*by).applyInArrow(lambda group: _involved(group, like), schema))
         texts_too = involved.join(state.held, "key").select(*schema_names(schema), "text")
-        state.take(texts_too.groupBy(*by).applyInArrow(_spanning, "u long, v long").distinct())
+        state.take(texts_too.groupBy(*by).applyInArrow(lambda group: _spanning(group, like), "u long, v long").distinct())
     return state.found
 
 
@@ -352,15 +373,16 @@ def schema_names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
     """doc_id, _h, n_shingles, key, component_id (least doc_id reachable by links), kept (it is that document).
 
-    Documents without words are linked with nothing and kept. A null doc_id is never a component's least unless all are null;
+    Links are pairs of Jaccard similarity of percent / 100 or more. Documents without words are linked with nothing and kept. A null doc_id is never a component's least unless all are null;
     repeated rows of one doc_id share their component and are kept together.
     """
-    sig = cut(signatures(docs))
+    like = limits(percent)
+    sig = cut(signatures(docs, like))
     classes = hold(sig.where("n_shingles > 0").dropDuplicates(["key"]).select("key", "n_shingles", "bands", "sketch"), rows=20_000)
-    found = links(docs, classes, block)
+    found = links(docs, classes, like, block)
     least = sig.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     if found is not None:
         labelled = least.join(found, least["key"] == found["node"], "left").withColumn("comp", F.coalesce("component", "key"))
@@ -373,9 +395,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("doc_id", "_h", "n_shingles", "key", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents less those that are not their component's least; their columns are unchanged, rows repeated in id and text become one."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"))
+    gone = near_duplicates(docs, percent=percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"))
     own = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
     left = own.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
     return left.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from querent.llm import components, minhash_dedup, run_length_dedup, substring_dedup
 from querent.llm.run_index import RunIndex
 from tests.llm.corpus import empty, frame, sha, texts, words
@@ -81,6 +82,22 @@ def test_chain_of_near_copies(spark):
     assert got == {0}
 
 
+def test_threshold_is_a_parameter(spark):
+    """A pair of Jaccard 0.82 is one in the pipeline and two for op2."""
+    base = [f"w{i}" for i in range(204)]
+    edited = [*base[:100], "x", *base[101:150], "y", *base[151:180], "z", *base[181:200], "v", *base[201:]]
+    a, b = shingles(" ".join(base)), shingles(" ".join(edited))
+    assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edited)), (3, "another text")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in minhash_dedup.representatives(docs).collect()) == [1, 2, 3]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+    like = minhash_dedup.limits(85)
+    assert (like.bands, like.rows) == (32, 6)
+    for percent in (80, 85):
+        like = minhash_dedup.limits(percent)
+        assert (1 - (percent / 100) ** like.rows) ** like.bands <= minhash_dedup.MISSED and like.bands * like.rows <= minhash_dedup.PERMUTATIONS
+
+
 def test_representatives_keep_columns(spark):
     docs = frame(spark)
     kept = minhash_dedup.representatives(docs)
