@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,60 @@ _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[0x0A, 0x21, 0x2E, 0x3B, 0x3F]] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
-_LETTER[0x80:] = True
-_OTHER = ~_LETTER
+_CHAR = re.compile(r"[^\W\d_]")
+#: Bytes of a UTF-8 character by its first byte (0: no first byte), and the least code point of each length.
+_SIZE = np.zeros(256, dtype=np.uint8)
+_SIZE[0xC2:0xE0], _SIZE[0xE0:0xF0], _SIZE[0xF0:0xF5] = 2, 3, 4
+_LEAST = (0, 0, 0x80, 0x800, 0x10000)
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter of _WORD."""
+    out = np.zeros(0x110000, dtype=bool)
+    out[[ord(c) for c in _CHAR.findall("".join(map(chr, range(0x110000))))]] = True
+    return out
+
+
+def letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Mask of the bytes that belong to letters of _WORD; bytes that are no UTF-8 within their document do not."""
+    out = _LETTER[data]
+    lead = np.flatnonzero(_SIZE[data])
+    if not len(lead):
+        return out
+    n = len(data)
+    inner = np.zeros(n + 4, dtype=bool)
+    inner[:n] = (data & 0xC0) == 0x80
+    inner[offsets] = False
+    low = np.zeros(n + 4, dtype=np.int64)
+    low[:n] = data & 0x3F
+    sizes = _SIZE[data[lead]]
+    for size in (2, 3, 4):
+        at = lead[sizes == size]
+        code = data[at].astype(np.int64) & (0x7F >> size)
+        whole = np.ones(len(at), dtype=bool)
+        for k in range(1, size):
+            whole &= inner[at + k]
+            code = code << 6 | low[at + k]
+        whole &= (code >= _LEAST[size]) & (code < 0x110000)
+        at = at[whole][_letters()[code[whole]]]
+        for k in range(size):
+            out[at + k] = True
+    return out
+
+
+def words(piece: K.Piece) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of all runs of letters, then of all pairs of runs joined by an apostrophe: every word that _WORD finds is among them."""
+    inside = letters(piece.data, piece.offsets)
+    cut = np.zeros(len(inside) + 1, dtype=bool)
+    cut[piece.offsets] = True
+    edge = np.concatenate(([False], inside, [False]))
+    starts = np.flatnonzero(inside & (~edge[:-2] | cut[:-1]))
+    ends = np.flatnonzero(inside & (~edge[2:] | cut[1:])) + 1
+    document = np.searchsorted(piece.offsets, starts, side="right")
+    joined = np.flatnonzero((starts[1:] == ends[:-1] + 1) & (document[1:] == document[:-1]))
+    joined = joined[piece.data[ends[joined]] == 0x27]
+    return np.concatenate([starts, starts[joined]]), np.concatenate([ends, ends[joined + 1]])
 
 
 def beginnings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -127,21 +180,21 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * raw + self.offset))))
 
     def raws(self, array: pa.Array, compiled: list[np.ndarray]) -> np.ndarray:
-        """Raw values of the texts of a batch; clauses are read only where a word matches."""
+        """Raw values of the texts of a batch; clauses are read only where a word, or what could be one, matches."""
         out = np.zeros(len(array))
         for piece in K.pieces(array):
             data = K.lower(piece.data)
             body = K.Piece(piece.first, data, piece.offsets)
-            w = K.words(body, _OTHER, False)
-            hit = np.zeros(len(w.starts), dtype=bool)
-            for own, hashes in zip(compiled, beginnings(data, w.starts, w.ends), strict=True):
+            starts, ends = words(body)
+            hit = np.zeros(len(starts), dtype=bool)
+            for own, hashes in zip(compiled, beginnings(data, starts, ends), strict=True):
                 if len(own):
                     hit |= own[np.minimum(np.searchsorted(own, hashes), len(own) - 1)] == hashes
             at = np.flatnonzero(hit)
             if not len(at):
                 continue
             cuts = np.union1d(np.flatnonzero(_ENDS[data]), piece.offsets)
-            place = np.searchsorted(cuts, w.starts[at], side="right")
+            place = np.searchsorted(cuts, starts[at], side="right")
             first = np.unique(place)
             owner = np.searchsorted(piece.offsets, cuts[first - 1], side="right") - 1
             for p, d in zip(first, owner, strict=True):

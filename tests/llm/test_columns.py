@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -267,6 +268,33 @@ def test_grammar_scores_clauses():
     assert g.clause(["loweiig"]) == 2.0 and g.clause(["lowei"]) == 0.0
 
 
+_CLAUSE = re.compile(r"[\n!.;?]")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["idiot", "IDIOT", "loweiig", "töten", "don'tcare", "kill", "not", "you", "é", "日", "x", "²", "٣", "'", "’", "“", "”", "¡", "…", "«", "\u00a0", "»", "_", "7", " ", ".", "\n", "𝒳", "\U0001F600"]), max_size=8).map("".join), max_size=5))
+def test_every_clause_of_a_word_is_read(rows):
+    """Scores of batches equal those of a grammar that reads every clause."""
+    g = toxicity.Grammar({"idiot": 3.0, "lowei*": 2.0, "don'tcare": 4.0, "é'x": 1.5}, {"kill": 1.0, "töten": 1.0})
+    low = [t.translate(toxicity._FOLD) for t in rows]
+    want = [sum(g.clause(toxicity._WORD.findall(c), c.count('"') >= 2 or "“" in c or "«" in c) for c in _CLAUSE.split(t)) for t in low]
+    assert g.raws(pa.array(rows, pa.string()), g.compiled()).tolist() == pytest.approx(want)
+
+
+@pytest.mark.parametrize("text", ["¡idiota!", "“idiota”", "l’idiota", "…idiota", "«\u00a0idiota\u00a0»", "idiota—", "don'tcare", "x'don'tcare"])
+def test_words_at_typographic_punctuation(text):
+    g = toxicity.Grammar({"idiot*": 3.0, "don'tcare": 3.0, "tcare": 3.0}, {})
+    assert g.raws(pa.array([text, "nothing"]), g.compiled()).tolist()[0] > 0
+
+
+def test_broken_bytes_are_no_letters():
+    data = [b"\xc3", b"\xa9t idiot\xff", b"\xe2\x80idiot", b"\xc0\xafidiot", b"\xed\xa0\x80idiot", b"\xf4\x90\x80\x80idiot", b"\xf0\x9f"]
+    offsets = pa.array([0, *(sum(map(len, data[: i + 1])) for i in range(len(data)))], pa.int32())
+    texts = pa.Array.from_buffers(pa.string(), len(data), [None, offsets.buffers()[1], pa.py_buffer(b"".join(data))])
+    g = toxicity.Grammar({"idiot": 3.0}, {})
+    assert g.raws(texts, g.compiled()).tolist() == [0.0, 3.0, 3.0, 3.0, 3.0, 3.0, 0.0]
+
+
 def test_grammar_without_labels(spark):
     docs = frame(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")
