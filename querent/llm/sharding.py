@@ -3,11 +3,16 @@
 Documents that share a group (a link is a group of two; copies of one text are one group)
 should share a shard, and the shards' row counts stay at most one apart throughout. Labels
 start balanced. In each round a join gives every linked document the number of its
-neighbours in each shard, and it asks to move to the shard with most of them (ties: the
-lower shard). Flows between two shards cancel; what is left over is paid back by documents
-without links, which move the other way. A shard without such documents left is closed, so
-a group larger than a shard fills one after another. Where a flow exceeds its quota, the
-first documents by group size and group go, so small groups stay whole.
+neighbours in each shard, and it asks to move to the shard with most of them. Swaps and
+cycles between shards are granted first; what is left over is paid back by documents
+without links, which move the other way. Where a flow exceeds its quota, the first documents
+by group size and group go, so small groups stay whole.
+
+First only shards with unlinked documents left are open (ties: the lower shard), so a group
+larger than a shard fills one after another. When no more can move so, linked documents ask
+for every shard and make room for each other; ties then fall by group and round, so that
+about as many ask each way. A shard that no one could enter is shut for the next round. After
+PATIENCE rounds in which nothing moved, or 2 * rounds in all, what is still parted stays so.
 
 Neighbour counts are aggregates by (group, shard), at most one row for each shard however
 large the group. Ranks within a shard come from a range partitioning and counts by
@@ -23,6 +28,7 @@ from querent.llm.common import cut, table
 
 SHARDS = 8
 ROUNDS = 16
+PATIENCE = 4
 
 
 def ranked(df: DataFrame, classes: list[str], order: list[str | Column], name: str) -> DataFrame:
@@ -37,19 +43,50 @@ def ranked(df: DataFrame, classes: list[str], order: list[str | Column], name: s
     return out.withColumn(name, (F.row_number().over(within) - 1 + F.col("_before")).cast("long")).drop("_part", "_before")
 
 
+def _way(a: int, b: int, flows: dict[tuple[int, int], int], left: list[int]) -> list[int]:
+    """Shards from a to b of a shortest way along flows, or by an unlinked document where some are left; empty if there is none."""
+    came = {a: a}
+    queue = [a]
+    for x in queue:
+        for y in range(len(left)):
+            if y not in came and (flows.get((x, y), 0) or left[x]):
+                came[y] = x
+                queue.append(y)
+    if b not in came:
+        return []
+    way = [b]
+    while way[-1] != a:
+        way.append(came[way[-1]])
+    return way[::-1]
+
+
 def _quotas(asked: dict[tuple[int, int], int], free: list[int]) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
-    """(documents that may go from a to b, unlinked documents that go back from b to a) for each ordered pair."""
-    left = list(free)
-    go: dict[tuple[int, int], int] = {}
-    back: dict[tuple[int, int], int] = {}
-    for (a, b), n in sorted(asked.items()):
-        other = asked.get((b, a), 0)
-        net = min(max(0, n - other), left[b])
-        left[b] -= net
-        go[a, b] = min(n, other) + net
-        if net:
-            back[b, a] = net
-    return go, back
+    """(linked documents that may go from a to b, unlinked documents that go from a to b) for each ordered pair.
+
+    Every shard loses as many as it gets. Cycles of linked documents come first, those of two shards before longer ones.
+    """
+    rest, left = dict(sorted(asked.items())), list(free)
+    go, back = dict.fromkeys(rest, 0), dict.fromkeys([(a, b) for a in range(len(free)) for b in range(len(free))], 0)
+    for a, b in rest:
+        n = min(rest[a, b], rest.get((b, a), 0))
+        for x in ((a, b), (b, a)) if n else ():
+            rest[x] -= n
+            go[x] += n
+    for have in ([0] * len(left), left):
+        for a, b in rest:
+            while rest[a, b] and (way := _way(b, a, rest, have)):
+                steps = [((x, y), rest.get((x, y), 0)) for x, y in zip(way, way[1:], strict=False)]
+                n = min(rest[a, b], *(own or have[x] for (x, _), own in steps))
+                rest[a, b] -= n
+                go[a, b] += n
+                for (x, y), own in steps:
+                    if own:
+                        rest[x, y] -= n
+                        go[x, y] += n
+                    else:
+                        have[x] -= n
+                        back[x, y] += n
+    return go, {x: n for x, n in back.items() if n}
 
 
 def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -69,20 +106,31 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds
     left = [have.get(s, 0) for s in range(shards)]
     used = [0] * shards
     paid: list[tuple[int, int, int, int]] = []
-    for _ in range(rounds):
+    swapping, idle, shut = False, 0, set()
+    for turn in range(2 * rounds):
+        swapping = swapping or turn >= rounds
         by = members.join(labels.select("node", "shard"), "node")
         seen = by.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("c")).withColumnRenamed("shard", "at")
         votes = by.join(seen, "grp").groupBy("node", "at").agg(F.sum(F.col("c") - (F.col("at") == F.col("shard")).cast("int")).alias("c"))
-        open_to = F.col("at").isin([s for s in range(shards) if left[s]]) if any(left) else F.lit(False)
+        targets = [s for s in range(shards) if (s not in shut if swapping else left[s])]
+        open_to = F.col("at").isin(targets) if targets else F.lit(False)
         best = votes.join(labels, "node").where(open_to | (F.col("at") == F.col("shard")))
         # one's own copy counts at home, so that all of a group see the same order of shards
-        rank = F.struct((F.col("c") + (F.col("at") == F.col("shard")).cast("int")).alias("c"), (-F.col("at")).alias("low"))
+        tie = F.xxhash64("first.grp", "at", F.lit(turn)) if swapping else F.lit(0).cast("long")
+        rank = F.struct((F.col("c") + (F.col("at") == F.col("shard")).cast("int")).alias("c"), tie.alias("tie"), (-F.col("at")).alias("low"))
         best = best.groupBy("node", "shard", "first").agg(F.max(rank).alias("best"))
         asks = cut(best.select("node", "shard", "first", (-F.col("best.low")).cast("int").alias("to")).where("to <> shard"))
         asked = {(r["shard"], r["to"]): r["n"] for r in asks.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
         go, back = _quotas(asked, left)
-        if not sum(go.values()):
-            break
+        entered = {b for (_, b), n in go.items() if n}
+        if swapping:
+            shut = {b for _, b in asked} - entered
+            idle = 0 if entered else idle + 1
+            if idle == PATIENCE or not entered and not shut and len(targets) == shards:
+                break
+        if not entered:
+            swapping = True
+            continue
         if any(go[x] < n for x, n in asked.items()):
             quota = F.create_map(*(F.lit(x) for (a, b), n in go.items() for x in (a * shards + b, n)))
             asks = ranked(asks, ["shard", "to"], ["first", "node"], "turn").where(F.col("turn") < quota[F.col("shard") * shards + F.col("to")])

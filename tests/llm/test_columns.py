@@ -145,6 +145,38 @@ def test_shards(spark):
     assert sum(len(p) > 1 for p in places.values()) == 1
 
 
+def _parted(spark, groups):
+    """The groups, lists of nodes, that more than one shard has; row counts are at most one apart."""
+    nodes = spark.createDataFrame([(i,) for g in groups for i in g], "node long")
+    members = spark.createDataFrame([(i, k) for k, g in enumerate(groups) for i in g], "node long, grp long")
+    shard = {r["node"]: r["shard"] for r in sharding.propagate(nodes, members, 8).collect()}
+    counts = Counter(shard.values())
+    assert len(shard) == sum(map(len, groups)) and max(counts.values()) - min(counts.values()) <= 1
+    return [g for g in groups if len({shard[i] for i in g}) > 1]
+
+
+@pytest.mark.parametrize("alone", [0, 150])
+def test_copies_gather_without_unlinked_documents(spark, alone):
+    """600 pairs and 40 triples, with no or few documents that could make room."""
+    groups, at = [], 0
+    for size in [2] * 600 + [3] * 40 + [1] * alone:
+        groups.append(list(range(at, at + size)))
+        at += size
+    parted = _parted(spark, groups)
+    assert len(parted) <= 32
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.tuples(st.integers(0, 4), st.integers(0, 4)).filter(lambda x: x[0] != x[1]), st.integers(1, 9)), st.lists(st.integers(0, 9), min_size=5, max_size=5))
+def test_quotas_keep_counts(asked, free):
+    go, back = sharding._quotas(asked, free)
+    assert set(go) == set(asked) and all(0 <= go[x] <= asked[x] for x in asked)
+    both = [*go.items(), *back.items()]
+    assert all(sum(n for (a, _), n in both if a == s) == sum(n for (_, b), n in both if b == s) for s in range(5))
+    assert all(sum(n for (a, _), n in back.items() if a == s) <= free[s] for s in range(5))
+    assert not any(asked[a, b] > go[a, b] and asked.get((b, a), 0) > go.get((b, a), 0) for a, b in asked)
+
+
 def test_overlapping_groups_gather(spark):
     nodes = spark.range(400).withColumnRenamed("id", "node")
     members = spark.createDataFrame([(i, g) for g in range(40) for i in (3 * g, 3 * g + 1, 3 * g + 2, 3 * g + 3)], "node long, grp long")
