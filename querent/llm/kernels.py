@@ -84,16 +84,26 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def winnow(grams: np.ndarray, w: int) -> np.ndarray:
-    """For every w consecutive grams, the index of the leftmost least one.
+#: Lowest bits of a gram that winnow gives to its place.
+PLACE_BITS = 24
 
-    Order is by the upper 40 bits, so equal content always picks the same place.
+
+def winnow(grams: np.ndarray, w: int, bits: int = PLACE_BITS) -> np.ndarray:
+    """For every w consecutive grams (at most 2**bits), the index of the leftmost least one.
+
+    Order is by the bits above the lowest, so equal content always picks the same place.
+    More than 2**bits grams are taken in stretches that overlap by w - 1.
     """
-    place = np.arange(len(grams), dtype=np.uint64)
-    low = _U((1 << 24) - 1)
-    assert len(grams) <= int(low), "a piece holds at most 2**24 grams"
-    least = sliding_min((grams & ~low) | place, w)
-    return (least & low).astype(np.int64)
+    size = 1 << bits
+    if w > size:
+        raise ValueError(f"a window of {w} grams is longer than a stretch")
+    low = _U(size - 1)
+    out = np.empty(max(0, len(grams) - w + 1), dtype=np.int64)
+    for at in range(0, len(out), size - w + 1):
+        part = grams[at : at + size]
+        least = sliding_min((part & ~low) | np.arange(len(part), dtype=np.uint64), w)
+        out[at : at + len(least)] = (least & low).astype(np.int64) + at
+    return out
 
 
 @dataclass

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from querent.llm import components, minhash_dedup, run_length_dedup, substring_dedup
+from querent.llm import components, kernels, minhash_dedup, run_length_dedup, substring_dedup
 from querent.llm.run_index import RunIndex
 from tests.llm.corpus import empty, frame, sha, texts, words
 
@@ -118,6 +118,22 @@ def test_estimate():
         assert minhash_dedup.estimate(int(np.unpackbits(a ^ b).sum())) == pytest.approx(share, abs=0.13)
 
 
+@pytest.mark.parametrize("n", [0, 3, 4, 8, 15, 16, 17, 29, 30, 200])
+def test_winnow_in_stretches(n):
+    """Stretches of 16 grams pick the places that the whole array would, ties (equal upper bits) to the left."""
+    grams = np.random.default_rng(n).integers(0, 6 << 4, n).astype(np.uint64)
+    want = [min(range(i, i + 4), key=lambda j: (int(grams[j]) >> 4, j)) for i in range(n - 3)]
+    assert kernels.winnow(grams, 4, bits=4).tolist() == want
+
+
+def test_winnow_of_more_than_a_stretch():
+    grams = kernels.mix(np.arange((1 << 24) + 1000, dtype=np.uint64))
+    got = kernels.winnow(grams, 26)
+    assert len(got) == len(grams) - 25
+    tail = (1 << 24) - 500
+    assert (got[tail:] == kernels.winnow(grams[tail:], 26) + tail).all()
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 9), (1, 2), (2, 3), (3, 1), (7, 7)] + [(100, i) for i in range(101, 150)] + [(i, i + 1) for i in range(200, 260)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
