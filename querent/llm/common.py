@@ -50,11 +50,37 @@ def buckets(df: DataFrame, per: int = BUCKET_BYTES) -> int:
     return max(least, min(1 << 22, math.ceil(stored_bytes(df) / per)))
 
 
+#: Hash buckets that a task takes at most.
+TASK_BUCKETS = 8
+
+
+def grouped(df: DataFrame, n: int, keys: list[str], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """groupBy(keys).applyInArrow, over tasks whose number follows that of the buckets, n."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, math.ceil(n / TASK_BUCKETS)), *keys).groupBy(*keys).applyInArrow(work, schema)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has: name, with underscores added until it is new (names are compared as Spark does)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what is set on the context, else spark.checkpoint.dir. Only a local master, as in tests, gets one of its own."""
+    held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if held:
+        return held
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="querent-checkpoint-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder is kept; only where none is named (as in tests) a local one is set."""
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="querent-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:

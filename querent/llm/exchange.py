@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
-from querent.llm.common import hold
+from querent.llm.common import grouped, hold
 
 LAST = 2**63 - 1
 
@@ -88,8 +88,8 @@ def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate((first, [len(values)])))
 
 
-def by_sender(answers: DataFrame, bytes_each: int) -> DataFrame:
-    """(doc_id, _h, places, values) from answers; values hold bytes_each bytes for each place (0: null)."""
+def by_sender(answers: DataFrame, bytes_each: int, n: int) -> DataFrame:
+    """(doc_id, _h, places, values) from answers of n buckets; values hold bytes_each bytes for each place (0: null)."""
 
     def gather(group: pa.Table) -> pa.Table:
         ids = next(x for x in group["ids"].to_pylist() if x is not None)
@@ -104,7 +104,7 @@ def by_sender(answers: DataFrame, bytes_each: int) -> DataFrame:
         values = [value[order[a:b]].tobytes() for a, b in ends] if bytes_each else [None] * len(ends)
         return pa.table({"doc_id": pa.array(own[0][doc[first]]), "_h": pa.array(own[1][doc[first]]), "places": pa.array([pack(pos[a:b]) for a, b in ends], pa.binary()), "values": pa.array(values, pa.binary())})
 
-    found = answers.groupBy("sender").applyInArrow(gather, "doc_id long, _h long, places binary, values binary")
+    found = grouped(answers, n, ["sender"], gather, "doc_id long, _h long, places binary, values binary")
     # repeated rows of one text have equal places and values
     return found.groupBy("doc_id", "_h").agg(F.max(F.struct("places", "values")).alias("_own")).select("doc_id", "_h", "_own.places", "_own.values")
 
@@ -170,16 +170,16 @@ def repeated(docs: DataFrame, marks: Marks, n: int, within: bool = True, bytes_e
                     rows.append(row(cols["bucket"][i], cols["sender"][i], docs=pack(unpack(cols["docs"][i])[hit]), places=pack(unpack(cols["places"][i])[hit])))
         return pa.Table.from_batches([record(rows)])
 
-    return by_sender(docs.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(answer, SENT), 0).drop("values")
+    return by_sender(grouped(docs.mapInArrow(send, SENT), n, ["bucket"], answer, SENT), 0, n).drop("values")
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, _h, copy): keyed documents whose whole text a document of smaller doc_id has. Texts are compared by 128 bits of hash.
+    """(doc_id, _h, copy): keyed documents whose whole text a document of smaller doc_id has. Texts are compared by their SHA-256.
 
     The texts that have copies are held first: a join of two plain shuffles can split a text with very many copies over tasks.
     """
     order = F.coalesce("doc_id", F.lit(LAST))
-    own = docs.select(order.alias("doc_id"), "_h", F.xxhash64("text", F.lit(1)).alias("_k"))
+    own = docs.select(order.alias("doc_id"), "_h", F.unhex(F.sha2("text", 256)).alias("_k"))
     least = own.groupBy("_h", "_k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("_h", "_k", "least")
     least = hold(least)
     return own.join(least, ["_h", "_k"]).where("doc_id > least").select("doc_id", "_h").distinct().withColumn("copy", F.lit(True))

@@ -10,6 +10,7 @@ Null texts are empty texts in every kernel.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,6 +63,64 @@ def windows(values: np.ndarray, k: int) -> np.ndarray:
         return mix((total[k:] - total[:-k]) * _power("down", _BASE_INV, n - k + 1))
 
 
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 4096
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of data[starts:ends] for every pair: eight bytes at a time through a bijective mixer, so no pattern of bytes cancels out."""
+    eight = eights(data)
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + _BASE)
+    live = np.flatnonzero(size <= LONG_WORD) if len(size) and size.max() > LONG_WORD else np.arange(len(size))
+    at = 0
+    while len(live):
+        part = np.minimum(size[live] - at, 8)
+        out[live] = mix(out[live] ^ (eight[starts[live] + at] & _MASK[part]))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest())
+    return out
+
+
+def equal_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sizes bytes (8 or more each) from ``at`` on and from ``to`` on are the same, byte by byte; a and b are eights()."""
+    same = np.arange(len(at))
+    step = 0
+    while len(same) and step < int(sizes[same].max()):
+        place = np.minimum(step, sizes[same] - 8)
+        same = same[a[at[same] + place] == b[to[same] + place]]
+        step += 8
+    out = np.zeros(len(at), dtype=bool)
+    out[same] = True
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a first index of each, number of each) of strings that differ in a byte; hashes only propose which are the same."""
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    eight = eights(data)
+    like = first[of]
+    alone = np.flatnonzero(~((sizes == sizes[like]) & equal_spans(eight, starts, eight, starts[like], np.minimum(sizes, sizes[like]))))
+    known: dict[tuple[int, bytes], int] = {}
+    more: list[int] = []
+    for i in alone.tolist():
+        key = (int(of[i]), data[starts[i] : starts[i] + sizes[i]].tobytes())
+        if key not in known:
+            known[key] = len(first) + len(more)
+            more.append(i)
+        of[i] = known[key]
+    return np.concatenate([first, np.array(more, dtype=np.int64)]), of
+
+
 def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of values[starts:ends] for every pair; equal content gives equal hashes."""
     n = len(values)
@@ -206,12 +265,7 @@ def words(piece: Piece, table: np.ndarray, fold: bool) -> Words:
     body = inside[1:-1]
     starts = np.flatnonzero(body & (~inside[:-2] | cut[:-1]))
     ends = np.flatnonzero(body & (~inside[2:] | cut[1:])) + 1
-    with np.errstate(over="ignore"):
-        total = np.empty(n + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[data] * _power("up", _BASE, n), out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * _power("down", _BASE_INV, n + 1)[starts])
-    return Words(starts, ends, hashes, np.searchsorted(starts, piece.offsets))
+    return Words(starts, ends, spans(data, starts, ends), np.searchsorted(starts, piece.offsets))
 
 
 def owners(first: np.ndarray) -> np.ndarray:

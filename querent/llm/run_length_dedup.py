@@ -7,18 +7,21 @@ matches are possible at all:
 0. A document whose whole text a smaller one has is settled; only its smallest copy goes on.
 1. Seeds. Every window has an anchor, the least of its hashed ANCHOR-byte strings; equal
    windows have equal anchors. ``exchange`` finds the anchors that several documents have.
-2. Shards. Around each such anchor, the bytes that windows with it can cover (its context)
-   go to the shard of the anchor's hash. A sender sends equal contexts once, from its
-   smallest document; contexts that are equal in the shard are one string there.
-3. Index. The strings of a shard become a run-compressed Burrows-Wheeler index with sampled
-   run ends, and all of them stream through it: matching statistics truncated at WINDOW
-   give, for every window, the class of equal windows, and the class its smallest document.
-   A window is marked if that is smaller than its own. A context that is whole in a smaller
+2. Shards. Around each such anchor, the bytes of the windows that have it (its context) go to
+   the shard of the anchor's hash. A sender sends equal contexts once, from its smallest
+   document; contexts that are equal in the shard are one string there. Hashes propose which
+   are equal, their bytes decide.
+3. Index. The strings of a shard that a newer document could repeat become a run-compressed
+   Burrows-Wheeler index with sampled run ends, and those that an older document could have
+   stream through it. Matching statistics truncated at WINDOW give the windows that the index
+   has, and the run that a window lands in the smallest document of all that have it. A
+   window is marked if that is smaller than its own. A context that is whole in a smaller
    document is marked throughout.
 4. An anchor in over MANY different contexts of one sender (the edge of a line that very many
    documents share) would fill its shard. Its windows go out one by one instead, equal ones of
-   a sender once, to buckets of their own hash; its shard is told so and passes on the windows
-   of what it got from other senders. There the smallest document of each window decides.
+   a sender once, to buckets of the hash of their bytes; its shard is told so and passes on the
+   windows of what it got from other senders. There equal windows meet whole: their bytes are
+   compared, and the smallest document of each decides.
 5. Marks return to their documents, whose covered bytes go, judged on the input alone.
 
 Every pair of equal windows meets in the shard of their common anchor, or in the bucket of
@@ -36,37 +39,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
-from querent.llm.common import buckets, table
+from querent.llm.common import buckets, grouped, table
 from querent.llm.exchange import FIELDS, SENT, by_sender, copies, groups, keyed, pack, record, repeated, row, sender_ids, senders, unpack, with_places
 from querent.llm.run_index import RunIndex
 
 WINDOW = 50
 ANCHOR = 16
-#: Bytes on either side of an anchor that a window with it can reach.
-REACH = WINDOW - ANCHOR
 #: Stored bytes of input for each shard of anchors and contexts.
 SHARD_BYTES = 2 << 20
 #: Different contexts of an anchor that a sender sends to its shard at most.
 MANY = 512
 #: Bytes of contexts in one index; all contexts of an anchor are in the same one.
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 18
 
 
-def _anchors(piece: K.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place in it, hash) of the anchors of a piece."""
+def _anchors(piece: K.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first byte, byte after the last) of the anchors of a piece and of the windows that have them."""
     starts = K.spread(piece.offsets, WINDOW)
     if not len(starts):
-        return starts, starts, np.empty(0, dtype=np.uint64)
+        return starts, np.empty(0, dtype=np.uint64), starts, starts
     grams = K.windows(K._BYTE[piece.data], ANCHOR)
-    at = np.unique(K.winnow(grams, WINDOW - ANCHOR + 1)[starts])
-    doc = np.searchsorted(piece.offsets, at, side="right") - 1
-    return doc, at - piece.offsets[doc], grams[at]
+    places = K.winnow(grams, WINDOW - ANCHOR + 1)[starts]
+    first, size = groups(places)
+    at = places[first]
+    return at, grams[at], starts[first], starts[first + size - 1] + WINDOW
 
 
-def _contexts(piece: K.Piece, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds in the piece of the contexts of anchors at places of documents."""
-    low, high = piece.offsets[doc], piece.offsets[doc + 1]
-    return np.maximum(low + at - REACH, low), np.minimum(low + at + ANCHOR + REACH, high)
+def _seeds(piece: K.Piece, _: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, hashes, _, _ = _anchors(piece)
+    doc = np.searchsorted(piece.offsets, at, side="right") - 1
+    return doc, at - piece.offsets[doc], hashes
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -81,52 +83,42 @@ def _every(lengths: np.ndarray) -> np.ndarray:
     return (np.uint64(1) << (lengths - WINDOW + 1).astype(np.uint64)) - np.uint64(1)
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the anchor, hash of the whole) of contexts; left is the anchor's place in them."""
-    raw = K._BYTE[data]
-    anchor = starts + left
-    return K.ranges(raw, anchor, anchor + ANCHOR), K.mix(K.ranges(raw, starts, starts + lengths) ^ K.mix(left.astype(np.uint64)))
+def _later(own: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a smaller document has the same string, least document of each string)."""
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, of, own)
+    return own > least[of], least
 
 
 def _send(n: int, many: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sender, batch in senders(batches):
             order_of = np.frombuffer(sender_ids(batch), dtype=np.int64)[: batch.num_rows]
-            docs, starts, lengths, hashes, content, data, base, left = [], [], [], [], [], [], [], []
+            parts: list[tuple[np.ndarray, ...]] = []
             shift = 0
             for piece in K.pieces(batch.column(1)):
-                own = [unpack(x) for x in batch.column(3).slice(piece.first, piece.n).to_pylist()]
-                doc = np.repeat(np.arange(piece.n), [len(x) for x in own])
-                if not len(doc):
-                    continue
-                at = np.concatenate(own)
-                low, high = _contexts(piece, doc, at)
-                before = piece.offsets[doc] + at - low
-                h, c = _hashes(piece.data, low, high - low, before)
-                docs.append(doc + piece.first)
-                base.append(low - piece.offsets[doc])
-                lengths.append(high - low)
-                left.append(before)
-                hashes.append(h)
-                content.append(c)
-                starts.append(low + shift)
-                data.append(piece.data)
-                shift += len(piece.data)
-            if not docs:
+                wanted = np.zeros(len(piece.data), dtype=bool)
+                for d, x in enumerate(batch.column(3).slice(piece.first, piece.n).to_pylist()):
+                    wanted[piece.offsets[d] + unpack(x)] = True
+                at, hashes, low, high = _anchors(piece)
+                own = wanted[at]
+                at, hashes, low, high = at[own], hashes[own], low[own], high[own]
+                doc = np.searchsorted(piece.offsets, at, side="right") - 1
+                sizes = high - low
+                parts.append((doc + piece.first, low - piece.offsets[doc], sizes, hashes, K.spans(piece.data, low, high), np.cumsum(sizes) - sizes + shift, _gathered(piece.data, low, sizes)))
+                shift += len(parts[-1][-1])
+            if not shift:
                 continue
-            docs, starts, lengths, hashes, content, base, left, data = map(np.concatenate, (docs, starts, lengths, hashes, content, base, left, data))
+            docs, base, lengths, hashes, content, starts, data = map(np.concatenate, zip(*parts, strict=True))
             own = order_of[docs]
-            order = np.lexsort((own, content))
-            first, size = groups(content[order])
-            least = np.empty(len(own), dtype=np.int64)
-            least[order] = np.repeat(own[order[first]], size)
-            later = own > least
+            first, of = K.distinct_spans(data, starts, lengths, content)
+            later, _ = _later(own, of, len(first))
             rows = [row(-1, sender, ids=sender_ids(batch), docs=pack(docs[later]), places=pack(base[later]), values=_every(lengths[later]).astype("<u8").tobytes())]
             asks = np.flatnonzero(~later)
-            order = asks[np.lexsort((content[asks], hashes[asks]))]
+            order = asks[np.lexsort((of[asks], hashes[asks]))]
             first, size = groups(hashes[order])
             new = np.ones(len(order), dtype=np.int64)
-            new[1:] = content[order][1:] != content[order][:-1]
+            new[1:] = of[order][1:] != of[order][:-1]
             wide = np.add.reduceat(new, first) > many if len(first) else np.empty(0, dtype=bool)
             hot = order[np.repeat(wide, size)]
             if len(hot):
@@ -140,97 +132,109 @@ def _send(n: int, many: int):
             edges = np.searchsorted(to[by], np.arange(n + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 k = by[edges[b] : edges[b + 1]]
-                head = own[k].tobytes() + left[k].astype(np.uint8).tobytes() + lengths[k].astype(np.uint8).tobytes()
+                head = own[k].tobytes() + hashes[k].tobytes() + lengths[k].astype(np.uint8).tobytes()
                 rows.append(row(int(b), sender, docs=pack(docs[k]), places=pack(base[k]), values=head + _gathered(data, starts[k], lengths[k]).tobytes()))
             yield record(rows)
 
     return send
 
 
+#: Contexts that are cut into windows at a time.
+SLICE = 1 << 14
+
+
 def _windows_sent(sender: int, n: int, docs: np.ndarray, own: np.ndarray, base: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> list[tuple]:
     """Rows for each window of some contexts of a sender: equal ones once to buckets from n on, those of later documents as marks."""
-    offsets = np.concatenate(([0], np.cumsum(lengths)))
-    starts = K.spread(offsets, WINDOW)
-    of = np.searchsorted(offsets, starts, side="right") - 1
-    hashes, place, owner, doc = K.windows(K._BYTE[data], WINDOW)[starts], base[of] + starts - offsets[of], own[of], docs[of]
-    order = np.lexsort((place, doc, owner, hashes))
-    hashes, place, owner, doc = hashes[order], place[order], owner[order], doc[order]
-    first, size = groups(hashes)
-    later = owner > np.repeat(owner[first], size)
-    rows = [row(-1, sender, docs=pack(doc[later]), places=pack(place[later]), values=np.ones(int(later.sum()), dtype="<u8").tobytes())] if later.any() else []
-    hashes, place, owner, doc = hashes[~later], place[~later], owner[~later], doc[~later]
-    to = n + (hashes % np.uint64(n)).astype(np.int64)
-    by = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[by], n + np.arange(n + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        k = by[edges[b] : edges[b + 1]]
-        rows.append(row(n + int(b), sender, docs=pack(doc[k]), places=pack(place[k]), values=hashes[k].tobytes() + owner[k].tobytes()))
+    ends, rows = np.cumsum(lengths), []
+    for at in range(0, len(lengths), SLICE):
+        low = int(ends[at] - lengths[at])
+        offsets = np.concatenate(([low], ends[at : at + SLICE])) - low
+        part = data[low : low + int(offsets[-1])]
+        starts = K.spread(offsets, WINDOW)
+        of = at + np.searchsorted(offsets, starts, side="right") - 1
+        place, owner, doc = base[of] + starts - offsets[of - at], own[of], docs[of]
+        hashes = K.spans(part, starts, starts + WINDOW)
+        first, same = K.distinct_spans(part, starts, np.full(len(starts), WINDOW), hashes)
+        later, _ = _later(owner, same, len(first))
+        if later.any():
+            rows.append(row(-1, sender, docs=pack(doc[later]), places=pack(place[later]), values=np.ones(int(later.sum()), dtype="<u8").tobytes()))
+        left = np.flatnonzero(~later)
+        to = n + (hashes[left] % np.uint64(n)).astype(np.int64)
+        left = left[np.argsort(to, kind="stable")]
+        edges = np.searchsorted(np.sort(to), n + np.arange(n + 1))
+        for b in np.flatnonzero(np.diff(edges)):
+            k = left[edges[b] : edges[b + 1]]
+            rows.append(row(n + int(b), sender, docs=pack(doc[k]), places=pack(place[k]), values=owner[k].tobytes() + _gathered(part, starts[k], np.full(len(k), WINDOW)).tobytes()))
     return rows
 
 
 def _windows_answered(group: pa.Table) -> pa.Table:
-    """Marks of the windows of a bucket that a smaller document has; marks and names pass."""
+    """Marks of the windows of a bucket that a smaller document has; marks pass."""
+    group = group.select(FIELDS)
     cols = {x: group[x].to_pylist() for x in FIELDS}
     if cols["bucket"][0] < 0:
         return group
-    parts = [np.frombuffer(v, dtype=np.int64).reshape(2, -1) for v in cols["values"]]
-    hashes, owner = np.concatenate(parts, axis=1)
-    _, where = np.unique(hashes, return_inverse=True)
-    least = np.full(where.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, where, owner)
-    later, rows, at = owner > least[where], [], 0
-    for i, part in enumerate(parts):
-        hit = later[at : at + part.shape[1]]
-        at += part.shape[1]
+    sizes = [len(x) // 4 for x in cols["docs"]]
+    owner = np.concatenate([np.frombuffer(v, dtype=np.int64, count=k) for v, k in zip(cols["values"], sizes, strict=True)])
+    data = np.concatenate([np.frombuffer(v, dtype=np.uint8, offset=8 * k) for v, k in zip(cols["values"], sizes, strict=True)])
+    starts = np.arange(len(owner)) * WINDOW
+    first, of = K.distinct_spans(data, starts, np.full(len(starts), WINDOW), K.spans(data, starts, starts + WINDOW))
+    later, _ = _later(owner, of, len(first))
+    rows, at = [], 0
+    for i, size in enumerate(sizes):
+        hit = later[at : at + size]
+        at += size
         if hit.any():
             rows.append(row(-1, cols["sender"][i], docs=pack(unpack(cols["docs"][i])[hit]), places=pack(unpack(cols["places"][i])[hit]), values=np.ones(int(hit.sum()), dtype="<u8").tobytes()))
     return pa.Table.from_batches([record(rows)])
 
 
-def _marks(own: np.ndarray, left: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """For each context of a shard, a bit for each of its windows that a smaller document has."""
+def _marks(own: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each context of a shard, a bit for each of its windows that a smaller document has. hashes: of their anchors."""
     starts = np.cumsum(lengths) - lengths
-    hashes, content = _hashes(data, starts, lengths, left)
-    _, first, string = np.unique(content, return_index=True, return_inverse=True)
-    least = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(least, string, own)
-    out = np.where(own > least[string], _every(lengths), np.uint64(0))
+    first, string = K.distinct_spans(data, starts, lengths, K.spans(data, starts, starts + lengths))
+    later, least = _later(own, string, len(first))
+    out = np.where(later, _every(lengths), np.uint64(0))
     # an anchor with one context in the shard is settled by that
     anchor = np.unique(hashes[first], return_inverse=True)[1]
     many = np.flatnonzero(np.bincount(anchor)[anchor] > 1)
     if not len(many):
         return out
     many = many[np.argsort(anchor[many], kind="stable")]
+    begins, count = groups(anchor[many])
+    newest = np.repeat(np.maximum.reduceat(least[many], begins), count)
+    oldest = np.repeat(np.minimum.reduceat(least[many], begins), count)
     size = np.cumsum(lengths[first[many]])
-    ends = np.flatnonzero(np.concatenate((anchor[many][1:] != anchor[many][:-1], [True]))) + 1
+    ends = begins + count
     every = np.zeros(len(first), dtype=np.uint64)
     begin = 0
     for end in ends[np.searchsorted(size[ends - 1] // INDEX_BYTES, np.arange(int(size[-1]) // INDEX_BYTES + 1), side="right") - 1].tolist() + [len(many)]:
         if end > begin:
-            own_strings = many[begin:end]
-            at = first[own_strings]
-            every[own_strings] = _window_bits(_gathered(data, starts[at], lengths[at]), lengths[at], least[own_strings])
+            of = many[begin:end]
+            held, asked = of[least[of] < newest[begin:end]], of[least[of] > oldest[begin:end]]
+            if len(held):
+                every[asked] = _window_bits(data, starts[first], lengths[first], least, held, asked)
             begin = end
     return np.where(out > 0, out, every[string])
 
 
-def _window_bits(strings: np.ndarray, lengths: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """For each of some strings with documents (own), a bit for each of its windows that a smaller document's string has."""
-    index = RunIndex(strings, lengths, WINDOW)
-    classes = index.stream_own()
-    smallest = index.class_least(own)
-    hit = classes >= 0
-    hit[hit] = smallest[classes[hit]] < np.repeat(own, lengths)[hit]
-    at = np.flatnonzero(hit)
-    begins = np.cumsum(lengths) - lengths
+def _window_bits(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, own: np.ndarray, held: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For each asked string, a bit for each of its windows that a smaller document has in a held one."""
+    index = RunIndex(_gathered(data, starts[held], lengths[held]), lengths[held], own[held], WINDOW)
+    queries, sizes = _gathered(data, starts[asked], lengths[asked]), lengths[asked]
+    pointer, least = index.stream(queries, sizes)
+    at = index.matched(queries, sizes, pointer)
+    begins = np.cumsum(sizes) - sizes
     of = np.searchsorted(begins, at, side="right") - 1
-    bits = np.zeros(len(lengths), dtype=np.uint64)
-    np.bitwise_or.at(bits, of, np.uint64(1) << (at - begins[of]).astype(np.uint64))
+    smaller = least[at] < own[asked][of]
+    bits = np.zeros(len(asked), dtype=np.uint64)
+    np.bitwise_or.at(bits, of[smaller], np.uint64(1) << (at - begins[of])[smaller].astype(np.uint64))
     return bits
 
 
 def _answer(n: int):
     def answer(group: pa.Table) -> pa.Table:
+        group = group.select(FIELDS)
         cols = {x: group[x].to_pylist() for x in FIELDS}
         bucket = cols["bucket"][0]
         if bucket < 0 or bucket >= n:
@@ -245,21 +249,21 @@ def _answer(n: int):
             sizes = [len(cols["docs"][i]) // 4 for i in asked]
             held = [cols["values"][i] for i in asked]
             own = np.concatenate([np.frombuffer(h, dtype=np.int64, count=k) for h, k in zip(held, sizes, strict=True)])
-            left = np.concatenate([np.frombuffer(h, dtype=np.uint8, count=k, offset=8 * k) for h, k in zip(held, sizes, strict=True)]).astype(np.int64)
-            lengths = np.concatenate([np.frombuffer(h, dtype=np.uint8, count=k, offset=9 * k) for h, k in zip(held, sizes, strict=True)]).astype(np.int64)
-            data = np.concatenate([np.frombuffer(h, dtype=np.uint8, offset=10 * k) for h, k in zip(held, sizes, strict=True)])
+            hashes = np.concatenate([np.frombuffer(h, dtype=np.uint64, count=k, offset=8 * k) for h, k in zip(held, sizes, strict=True)])
+            lengths = np.concatenate([np.frombuffer(h, dtype=np.uint8, count=k, offset=16 * k) for h, k in zip(held, sizes, strict=True)]).astype(np.int64)
+            data = np.concatenate([np.frombuffer(h, dtype=np.uint8, offset=17 * k) for h, k in zip(held, sizes, strict=True)])
             docs = np.concatenate([unpack(cols["docs"][i]) for i in asked])
             base = np.concatenate([unpack(cols["places"][i]) for i in asked])
             sender = np.repeat([cols["sender"][i] for i in asked], sizes)
             starts = np.cumsum(lengths) - lengths
-            wide = np.isin(_hashes(data, starts, lengths, left)[0], np.concatenate(named))
+            wide = np.isin(hashes, np.concatenate(named))
             for s in np.unique(sender[wide]):
                 k = np.flatnonzero(wide & (sender == s))
                 rows += _windows_sent(int(s), n, docs[k], own[k], base[k], lengths[k], _gathered(data, starts[k], lengths[k]))
             k = np.flatnonzero(~wide)
             if len(k):
                 marks = np.zeros(len(own), dtype=np.uint64)
-                marks[k] = _marks(own[k], left[k], lengths[k], _gathered(data, starts[k], lengths[k]) if wide.any() else data)
+                marks[k] = _marks(own[k], hashes[k], lengths[k], _gathered(data, starts[k], lengths[k]) if wide.any() else data)
                 edges = np.concatenate(([0], np.cumsum(sizes)))
                 for j, i in enumerate(asked):
                     at = np.flatnonzero(marks[edges[j] : edges[j + 1]]) + edges[j]
@@ -273,12 +277,15 @@ def _answer(n: int):
 def marked(docs: DataFrame, whole: DataFrame, n: int, many: int = MANY) -> DataFrame:
     """(doc_id, _h, places, values) of keyed documents that are no copies (whole): starts of contexts, and bits of the windows from there that are marked."""
     docs = with_places(docs, whole).where("copy is null").drop("copy")
-    seeds = repeated(docs, lambda piece, _: _anchors(piece), n, within=False, bytes_each=6)
+    seeds = repeated(docs, _seeds, n, within=False, bytes_each=6)
     found = with_places(docs, seeds, "inner").select("doc_id", "text", "_h", "places").mapInArrow(_send(n, many), SENT)
-    # rows that are answered have bucket -1 and are dealt by their sender
-    key = [F.col("bucket"), F.when(F.col("bucket") < 0, F.col("sender")).otherwise(-1).alias("_s")]
-    first = found.groupBy(*key).applyInArrow(_answer(n), SENT)
-    return by_sender(first.groupBy(*key).applyInArrow(_windows_answered, SENT), 8)
+
+    def split(df: DataFrame) -> DataFrame:
+        # rows that are answered have bucket -1 and are dealt by their sender
+        return df.withColumn("dealt", F.when(F.col("bucket") < 0, F.col("sender")).otherwise(-1))
+
+    first = grouped(split(found), n, ["bucket", "dealt"], _answer(n), SENT)
+    return by_sender(grouped(split(first), n, ["bucket", "dealt"], _windows_answered, SENT), 8, n)
 
 
 def _covered(n: int, copy: bool | None, places: bytes | None, values: bytes | None) -> np.ndarray:

@@ -180,22 +180,30 @@ def test_smaller_documents_bytes(spark, many):
 
 
 def test_run_index_streams_any_string():
+    """Pointers share as many bytes as any text place; windows are found just where the text has them, with their least owner."""
     rng = np.random.default_rng(1)
-    for _ in range(10):
-        base = bytes(rng.integers(97, 100, 200).astype(np.uint8))
+    for _ in range(40):
+        base = bytes(rng.integers(97, 97 + int(rng.integers(1, 5)), 200).astype(np.uint8))
         own = []
         for _ in range(int(rng.integers(1, 30))):
             a, n = int(rng.integers(0, 150)), int(rng.integers(1, 85))
-            own.append(base[a : a + n] or b"a")
-        index = RunIndex(np.frombuffer(b"".join(own), dtype=np.uint8), np.array([len(s) for s in own]), 25)
-        asked = [*own, b"zzabbcab" * 6, bytes(rng.integers(97, 101, 80).astype(np.uint8))]
-        classes = index.stream(np.frombuffer(b"".join(asked), dtype=np.uint8), np.array([len(s) for s in asked]))
-        assert (index.stream_own() == classes[: sum(map(len, own))]).all()
-        least, at = index.class_least(np.arange(len(own))), 0
+            own.append(base[a : a + n])
+        owners, width = rng.integers(0, 10, len(own)), int(rng.integers(8, 30))
+        index = RunIndex(np.frombuffer(b"".join(own), dtype=np.uint8), np.array([len(s) for s in own]), owners, width)
+        assert all(len(v) <= len(index.starts) + 1 for x, v in vars(index).items() if isinstance(v, np.ndarray) and x not in ("text", "code", "edges"))
+        asked = [*own[:5], *(base[a : a + 60] for a in rng.integers(0, 190, 8)), b"zzabbcab" * 6, bytes(rng.integers(97, 101, 80).astype(np.uint8))]
+        strings, sizes = np.frombuffer(b"".join(asked), dtype=np.uint8), np.array([len(s) for s in asked])
+        pointer, least = index.stream(strings, sizes)
+        hit = set(index.matched(strings, sizes, pointer).tolist())
+        raw, at = b"\xff".join(own) + b"\xff", 0
         for q in asked:
             for i in range(len(q)):
-                found = [j for j, s in enumerate(own) if len(q[i : i + 25]) == 25 and q[i : i + 25] in s]
-                assert (classes[at + i] < 0) if not found else least[classes[at + i]] == found[0]
+                most = max(m for m in range(len(q) - i + 1) if q[i : i + m] in raw)
+                p = pointer[at + i]
+                assert raw[p : p + most] == q[i : i + most] if most else p < 0
+                holders = [o for o, x in zip(owners, own, strict=True) if len(q) - i >= width and q[i : i + width] in x]
+                assert (at + i in hit) == bool(holders)
+                assert not holders or least[at + i] == min(holders)
             at += len(q)
 
 
