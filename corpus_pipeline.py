@@ -6,13 +6,12 @@ and read again as the next one's docs. All but the last return the columns of do
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from querent.llm import decontaminate, minhash_dedup, packing, substring_dedup, toxicity
-from querent.llm.common import table
+from querent.llm.common import shared_folder, table
 
 #: Least Jaccard similarity, in percent, of near-duplicates in the pipeline; op2_minhash_dedup has its own.
 NEAR_PERCENT = 80
@@ -57,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; stages in between are stored in the shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="querent-pipeline-")
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
