@@ -88,15 +88,19 @@ def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate((first, [len(values)])))
 
 
-def by_sender(answers: DataFrame, bytes_each: int, n: int) -> DataFrame:
+def _as_sent(group: pa.Table, bytes_each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(document, place, value) of all answers to a sender."""
+    value = np.frombuffer(b"".join(x or b"" for x in group["values"].to_pylist()), dtype=np.uint8).reshape(-1, bytes_each) if bytes_each else None
+    return np.concatenate([unpack(x) for x in group["docs"].to_pylist()]), np.concatenate([unpack(x) for x in group["places"].to_pylist()]), value
+
+
+def by_sender(answers: DataFrame, bytes_each: int, n: int, read: Callable[[pa.Table, int], tuple[np.ndarray, np.ndarray, np.ndarray | None]] = _as_sent) -> DataFrame:
     """(doc_id, _h, places, values) from answers of n buckets; values hold bytes_each bytes for each place (0: null)."""
 
     def gather(group: pa.Table) -> pa.Table:
         ids = next(x for x in group["ids"].to_pylist() if x is not None)
         own = np.frombuffer(ids, dtype=np.int64).reshape(2, -1)
-        doc = np.concatenate([unpack(x) for x in group["docs"].to_pylist()])
-        pos = np.concatenate([unpack(x) for x in group["places"].to_pylist()])
-        value = np.frombuffer(b"".join(x or b"" for x in group["values"].to_pylist()), dtype=np.uint8).reshape(-1, bytes_each) if bytes_each else None
+        doc, pos, value = read(group, bytes_each)
         order = np.lexsort((pos, doc))
         doc, pos = doc[order], pos[order]
         first, size = groups(doc)

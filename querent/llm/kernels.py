@@ -92,12 +92,12 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def equal_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether sizes bytes (8 or more each) from ``at`` on and from ``to`` on are the same, byte by byte; a and b are eights()."""
+    """Whether sizes bytes from ``at`` on and from ``to`` on are the same, byte by byte; a and b are eights()."""
     same = np.arange(len(at))
     step = 0
-    while len(same) and step < int(sizes[same].max()):
-        place = np.minimum(step, sizes[same] - 8)
-        same = same[a[at[same] + place] == b[to[same] + place]]
+    while len(same) and step < max(1, int(sizes[same].max())):
+        place = np.maximum(np.minimum(step, sizes[same] - 8), 0)
+        same = same[(a[at[same] + place] ^ b[to[same] + place]) & _MASK[np.minimum(sizes[same], 8)] == 0]
         step += 8
     out = np.zeros(len(at), dtype=bool)
     out[same] = True
@@ -108,8 +108,10 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hash
     """(a first index of each, number of each) of strings that differ in a byte; hashes only propose which are the same."""
     _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
     eight = eights(data)
-    like = first[of]
-    alone = np.flatnonzero(~((sizes == sizes[like]) & equal_spans(eight, starts, eight, starts[like], np.minimum(sizes, sizes[like]))))
+    others = np.flatnonzero(first[of] != np.arange(len(of)))
+    like = first[of[others]]
+    same = (sizes[others] == sizes[like]) & equal_spans(eight, starts[others], eight, starts[like], np.minimum(sizes[others], sizes[like]))
+    alone = others[~same]
     known: dict[tuple[int, bytes], int] = {}
     more: list[int] = []
     for i in alone.tolist():

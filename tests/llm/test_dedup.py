@@ -140,8 +140,8 @@ def test_components(spark):
     assert got[9] == 4 and got[3] == 1 and got[149] == 100 and got[260] == 200 and 7 not in got
 
 
-@pytest.mark.parametrize("window, anchor", [(35, 18), (6, 3)])
-def test_repeated_passages(spark, window, anchor):
+@pytest.mark.parametrize("window, anchor, many", [(35, 18, 512), (6, 3, 512), (35, 18, 0), (6, 3, 1)])
+def test_repeated_passages(spark, window, anchor, many):
     docs = frame(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     count = Counter(tuple(w[i : i + window]) for _, t in rows for w in [words(t)] for i in range(len(w) - window + 1))
@@ -151,7 +151,7 @@ def test_repeated_passages(spark, window, anchor):
         gone = {j for i in range(len(w) - window + 1) if count[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         want[d, len(w), len(gone), sha(kept), kept.decode() if gone else t] += 1
-    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["text"]) for r in substring_dedup.dedup(docs, window, anchor).collect())
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["text"]) for r in substring_dedup.dedup(docs, window, anchor, many=many).collect())
     assert got == want
     cleaned = substring_dedup.cleaned(docs)
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
@@ -219,3 +219,48 @@ def test_no_repeats(spark):
     assert substring_dedup.dedup(docs).agg({"n_removed": "sum"}).first()[0] == 0
     assert run_length_dedup.dedup(docs).agg({"n_removed": "sum"}).first()[0] == 0
     assert minhash_dedup.near_duplicates(docs).where("kept").count() == 2
+
+
+def _passages(*rows):
+    """joined passages of one anchor: bytes of each, and all end to end."""
+    held = [(" ".join(r) + " ").encode() for r in rows]
+    return np.array([len(x) for x in held]), np.frombuffer(b"".join(held), dtype=np.uint8)
+
+
+def test_automata_decide():
+    """A phrase counts where it is found, inside longer passages too; candidates that occur once are refuted."""
+    a, b = [f"a{i}" for i in range(6)], [f"b{i}" for i in range(9)]
+    sizes, data = _passages(["x", *a, "y"], a, b)
+    of, start, size = substring_dedup._located(np.array([5, 5, 9], dtype=np.uint64), np.ones(3, dtype=np.int64), sizes, data, 6)
+    assert list(zip(of.tolist(), start.tolist(), size.tolist(), strict=True)) == [(0, 1, 6), (1, 0, 6)]
+    of, start, size = substring_dedup._located(np.array([5, 9], dtype=np.uint64), np.array([1, 2]), *_passages(a, b), 6)
+    assert list(zip(of.tolist(), start.tolist(), size.tolist(), strict=True)) == [(1, 0, 9)]
+    assert not len(substring_dedup._located(np.array([9], dtype=np.uint64), np.array([1]), *_passages(b), 6)[0])
+
+
+def thue_morse(flip):
+    out = [flip]
+    for _ in range(10):
+        out += [1 - x for x in out]
+    return "".join("ab"[x] for x in out)
+
+
+def test_patterned_words_differ(spark):
+    """Words of 1024 letters that a polynomial modulo a power of two can't tell apart."""
+    x, y = thue_morse(0), thue_morse(1)
+    rest = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"{x} {x} {x} {rest}"), (2, f"{y} {y} {y} {rest}"), (3, f"{x} {y}"), (4, f"{y} {x}")], "doc_id long, text string")
+    want = {d: len(shingles(t)) for d, t in docs.collect()}
+    rows = {r["doc_id"]: r for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert {d: r["n_shingles"] for d, r in rows.items()} == want and rows[4]["component_id"] == 4
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(docs).collect()} == {1: 60, 2: 60, 3: 0, 4: 0}
+
+
+def test_distinct_spans_confirm():
+    """Strings of one hash are told apart by their bytes, whatever their length."""
+    own = [b"a", b"b", b"a", b"long enough to need blocks", b"long enough to need blockz", b"long enough to need blocks", b"", b"", b"a\\x00"]
+    sizes = np.array([len(x) for x in own])
+    data, starts = np.frombuffer(b"".join(own), dtype=np.uint8), np.cumsum(sizes) - sizes
+    for hashes in (np.zeros(len(own), dtype=np.uint64), kernels.spans(data, starts, starts + sizes)):
+        first, of = kernels.distinct_spans(data, starts, sizes, hashes)
+        assert [own[first[i]] for i in of] == own and len(first) == len(set(own))
