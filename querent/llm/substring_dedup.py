@@ -221,7 +221,7 @@ def _located(hashes: np.ndarray, count: np.ndarray, sizes: np.ndarray, data: np.
     fresh = np.ones(len(at), dtype=bool)
     fresh[1:] = (at[1:] != at[:-1]) | (start[1:] > start[:-1] + window)
     head = np.flatnonzero(fresh)
-    tail = np.append(head[1:], len(at)) - 1
+    tail = np.append(head, len(at))[1:] - 1
     at, start, size = at[head], start[head], start[tail] + window - start[head]
     # of every passage, the stretches of its distinct one
     edges = np.searchsorted(at, np.arange(len(first) + 1))
