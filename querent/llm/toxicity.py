@@ -1,11 +1,16 @@
 """Operator 1, toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a clause word by word and emit weighted classes: insult and threat
-(stems and words), target, negation and reported speech. Their composition is one
-automaton over (how long ago a negation was read, whether speech is reported, whether a
-target was read); an insult or threat adds its weight, raised by a target and lowered by a
-negation shortly before it or by reported speech. Matched clauses are scored, not words:
-a document's raw value is the sum over its clauses, and a logistic curve turns it to 0..1.
+Five transducers read a clause (``grammar_machines``). A word offers its class (target,
+negation, report verb or other) and, if the lexicon has it, a nucleus: an insult or a threat
+with the weight of its entry. The insult machine takes one nucleus; the threat machine takes
+one and wants a target soon after it; the target machine weighs an insult by whether its clause
+aims it at someone, before or after it; the negation machine lowers a nucleus in the scope
+of a negation, the reported-speech machine one after a report verb. They are composed to
+two machines (insults, threats), run over the clauses in which the lexicon matches; the weight
+of a clause is the sum over its paths, one for each nucleus, and a document's the sum over its clauses.
+
+An undirected nucleus alone is no evidence: what no more than the strongest such path gives
+(``lone``) hardly counts (``evidence``). A logistic curve turns the evidence to 0..1.
 
 Insult and threat weights are log odds learned from labels on a sample of at most SAMPLE
 labelled rows (the rows of least hash of doc_id); the curve is fitted on the same rows.
@@ -27,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
-from querent.llm.common import append, strings, table, texts
+from querent.llm.common import append, cut, strings, table, texts
+from querent.llm.transducers import Machine, compose, copies
 
 #: Most labelled rows that are learned from.
 SAMPLE = 24_000
@@ -43,9 +49,64 @@ TARGETS = ("you", "your", "yours", "u", "they", "them", "he", "she", "him", "her
 NEGATIONS = ("not", "never", "isn't", "aren't", "wasn't", "don't", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "jamás")
 REPORTS = ("said", "says", "wrote", "quoted", "quote", "reported", "called", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió")
 
-#: Words after a negation that it still governs; factors of the composed arcs.
-SCOPE = 3
-NEGATED, REPORTED, TARGETED = 0.35, 0.6, 1.25
+#: Words after a negation that it still governs, and words after a threat among which its target must be.
+SCOPE, REACH = 3, 4
+#: Weights of arcs: a nucleus in the scope of a negation, in reported speech, aimed at a target, and aimed at none.
+NEGATED, REPORTED, TARGETED, UNDIRECTED = 0.35, 0.6, 1.25, 0.5
+#: Share of what one undirected nucleus can give that counts as evidence.
+HARDLY = 0.1
+
+# Symbols: other words, targets, negations, report verbs; an insult or a threat taken as the nucleus.
+OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT = "o", "t", "n", "r", "I", "H"
+_PLAIN = (OTHER, TARGET, NEGATION, REPORT)
+
+
+def insult_machine() -> Machine:
+    """Exactly one insult."""
+    return Machine(0, copies((0, 1), _PLAIN) | {(0, INSULT): [(1, INSULT, 1.0)]}, {1: 1.0})
+
+
+def threat_machine() -> Machine:
+    """Exactly one threat, directed if a target follows within REACH words."""
+    arcs = copies((0, "aimed", "none"), _PLAIN) | {(0, THREAT): [(REACH, THREAT, 1.0)]}
+    for left in range(1, REACH + 1):
+        for x in _PLAIN:
+            arcs[left, x] = [("aimed" if x == TARGET else left - 1 if left > 1 else "none", x, 1.0)]
+    return Machine(0, arcs, {"aimed": TARGETED, "none": UNDIRECTED, **dict.fromkeys(range(1, REACH + 1), UNDIRECTED)})
+
+
+def target_machine() -> Machine:
+    """An insult weighs more where its clause has a target, before or after it, and less where it has none."""
+    arcs = copies(("clear", "seen", "bare", "aimed"), _PLAIN)
+    arcs["clear", TARGET] = [("seen", TARGET, 1.0)]
+    arcs["clear", INSULT] = [("bare", INSULT, UNDIRECTED)]
+    arcs["seen", INSULT] = [("aimed", INSULT, TARGETED)]
+    arcs["bare", TARGET] = [("aimed", TARGET, TARGETED / UNDIRECTED)]
+    return Machine("clear", arcs, dict.fromkeys(("bare", "aimed"), 1.0))
+
+
+def negation_machine() -> Machine:
+    """A nucleus among the SCOPE words after a negation is weighed down."""
+    arcs = {}
+    for left in range(SCOPE + 1):
+        for x in (*_PLAIN, INSULT, THREAT):
+            arcs[left, x] = [(SCOPE if x == NEGATION else max(0, left - 1), x, NEGATED if left and x in (INSULT, THREAT) else 1.0)]
+    return Machine(0, arcs, dict.fromkeys(range(SCOPE + 1), 1.0))
+
+
+def report_machine(quoted: bool) -> Machine:
+    """A nucleus after a report verb, or in a clause with quotation marks, is weighed down."""
+    arcs = copies(("direct", "told"), (*_PLAIN, INSULT, THREAT)) | {("direct", REPORT): [("told", REPORT, 1.0)]}
+    arcs |= {("told", x): [("told", x, REPORTED)] for x in (INSULT, THREAT)}
+    return Machine("told" if quoted else "direct", arcs, {"direct": 1.0, "told": 1.0})
+
+
+@cache
+def grammar_machines(quoted: bool) -> tuple[Machine, Machine]:
+    """The composed machines of insults and of threats."""
+    rest = compose(negation_machine(), report_machine(quoted))
+    return compose(compose(insult_machine(), target_machine()), rest), compose(threat_machine(), rest)
+
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _ENDS = np.zeros(256, dtype=bool)
@@ -160,24 +221,30 @@ class Grammar:
                 best = max(best, entries.get(raw[:size].decode(errors="replace") + "*", 0.0))
         return best
 
-    def clause(self, words: list[str], quoted: bool = False) -> float:
-        """Weight of the best reading of a clause: the composed automaton over its words."""
-        since, reported, target, total = SCOPE + 1, quoted, False, 0.0
+    @property
+    def lone(self) -> float:
+        """The most that one undirected nucleus gives."""
+        return UNDIRECTED * max([0.0, *self.insults.values(), *self.threats.values()])
+
+    def offers(self, words: list[str]) -> list[list[tuple[str, float]]]:
+        """The symbols that each word offers: its class, and its nuclei with the weights of their entries."""
+        out = []
         for word in words:
-            since += 1
-            if word in _NEGATIONS:
-                since = 0
-            elif word in _REPORTS:
-                reported = True
-            elif word in _TARGETS:
-                target = True
-            w = max(self.weight(word, self.insults), self.weight(word, self.threats))
-            if w:
-                total += w * (NEGATED if since <= SCOPE else 1.0) * (REPORTED if reported else 1.0)
-        return total * (TARGETED if target else 1.0)
+            own = [(TARGET if word in _TARGETS else NEGATION if word in _NEGATIONS else REPORT if word in _REPORTS else OTHER, 1.0)]
+            own += [(x, w) for x, entries in ((INSULT, self.insults), (THREAT, self.threats)) if (w := self.weight(word, entries))]
+            out.append(own)
+        return out
+
+    def clause(self, words: list[str], quoted: bool = False) -> float:
+        """Weight of a clause: the sum over the accepting paths of the composed machines."""
+        offers = self.offers(words)
+        return sum(machine.weight(offers) for machine in grammar_machines(quoted))
+
+    def evidence(self, raw: float) -> float:
+        return max(0.0, raw - self.lone) + HARDLY * min(raw, self.lone)
 
     def curve(self, raw: float) -> float:
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * raw + self.offset))))
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * self.evidence(raw) + self.offset))))
 
     def raws(self, array: pa.Array, compiled: list[np.ndarray]) -> np.ndarray:
         """Raw values of the texts of a batch; clauses are read only where a word, or what could be one, matches."""
@@ -268,7 +335,10 @@ def fit(rows: DataFrame) -> Grammar:
             yield pa.RecordBatch.from_arrays([pa.array(grammar.raws(batch.column(0), compiled)), batch.column(1)], names=["raw", "toxic"])
 
     found = rows.mapInArrow(run, "raw double, toxic int").toArrow()
-    grammar.slope, grammar.offset = _logistic(found["raw"].to_numpy(), found["toxic"].to_numpy())
+    grammar.slope, grammar.offset = _logistic(np.array([grammar.evidence(x) for x in found["raw"].to_pylist()]), found["toxic"].to_numpy())
+    # whatever the labels, one undirected nucleus alone stays under the threshold
+    bound = math.log(THRESHOLD / (1 - THRESHOLD)) - 0.05
+    grammar.offset = min(grammar.offset, bound - grammar.slope * grammar.evidence(grammar.lone))
     return grammar
 
 
@@ -309,7 +379,7 @@ def held_out() -> object:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Grammar from the labelled documents that are not held out."""
-    return fit(sampled(texts(docs), labels.where(~held_out())))
+    return fit(cut(sampled(texts(docs), labels.where(~held_out()))))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from querent.llm import decontaminate, encode, language_id, media_columns, packing, sharding, token_counts, toxicity
+from querent.llm.transducers import Machine, compose
 from tests.llm.corpus import empty, frame, sha, texts
 
 # --- media -------------------------------------------------------------------------------
@@ -278,7 +279,9 @@ def test_toxicity(spark):
         own = rng.choices(clean, k=30)
         toxic = int(i % 5 == 0)
         if toxic:
-            own[rng.randrange(30)] = rng.choice(bad) + rng.choice(["", "er", "ish"])
+            # aimed at someone, or twice
+            word = rng.choice(bad) + rng.choice(["", "er", "ish"])
+            own[5:7], own[20] = ("you", word) if i % 2 else (word, own[6]), own[20] if i % 2 else word
         rows.append((i, " ".join(own) + ". And so on.", "en"))
         labels.append((i, toxic))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -293,11 +296,58 @@ def test_toxicity(spark):
 
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"idiot": 3.0, "lowei*": 2.0}, {"kill": 1.0})
-    plain = g.clause(["an", "idiot"])
-    assert g.clause(["you", "are", "an", "idiot"]) > plain > g.clause(["not", "an", "idiot"]) > 0
-    assert plain > g.clause(["she", "said", "idiot"]) / toxicity.TARGETED
-    assert g.clause(["not", "a", "b", "c", "idiot"]) == plain
-    assert g.clause(["loweiig"]) == 2.0 and g.clause(["lowei"]) == 0.0
+    bare, aimed = 3.0 * toxicity.UNDIRECTED, 3.0 * toxicity.TARGETED
+    assert g.clause(["an", "idiot"]) == g.clause(["not", "a", "b", "c", "idiot"]) == bare
+    assert g.clause(["you", "are", "an", "idiot"]) == g.clause(["idiot", "that", "you", "are"]) == aimed
+    assert g.clause(["not", "an", "idiot"]) == bare * toxicity.NEGATED
+    assert g.clause(["she", "said", "idiot"]) == pytest.approx(aimed * toxicity.REPORTED)
+    assert g.clause(["an", "idiot"], quoted=True) == pytest.approx(bare * toxicity.REPORTED)
+    assert g.clause(["i", "kill", "you"]) == toxicity.TARGETED and g.clause(["you", "kill", "time"]) == g.clause(["kill", "a", "b", "c", "d", "you"]) == toxicity.UNDIRECTED
+    assert g.clause(["loweiig"]) == 2.0 * toxicity.UNDIRECTED and g.clause(["lowei"]) == 0.0
+    assert g.clause(["idiot", "idiot"]) == 2 * bare
+
+
+def test_one_undirected_insult_is_not_toxic(spark):
+    rows = [(i, "a b zorkel c. d zorkel" if i % 2 else f"a b c{i % 7} d", i % 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.fit(docs.select("text", "toxic"))
+    got = toxicity.score(spark.createDataFrame([(1, "a zorkel b"), (2, "you zorkel"), (3, "zorkel. b zorkel"), (4, ""), (5, None)], "doc_id long, text string"), grammar).collect()
+    assert [r["predicted"] for r in got] == [0, 1, 1, 0, 0] and got[0]["score"] > got[3]["score"] == got[4]["score"]
+
+
+_SYMBOLS = st.lists(st.sampled_from([*toxicity._PLAIN, toxicity.INSULT, toxicity.THREAT]), max_size=9)
+
+
+def _run(machine, symbols):
+    """Weight of the one path of a deterministic machine."""
+    state, weight = machine.start, 1.0
+    for x in symbols:
+        if (state, x) not in machine.arcs:
+            return 0.0
+        ((state, written, own),) = machine.arcs[state, x]
+        assert written == x
+        weight *= own
+    return weight * machine.final.get(state, 0.0)
+
+
+@settings(max_examples=400, deadline=None)
+@given(_SYMBOLS, st.booleans())
+def test_composition_is_the_product_of_its_machines(symbols, quoted):
+    rest = _run(toxicity.negation_machine(), symbols) * _run(toxicity.report_machine(quoted), symbols)
+    insult, threat = toxicity.grammar_machines(quoted)
+    path = [[(x, 1.0)] for x in symbols]
+    assert insult.weight(path) == pytest.approx(_run(toxicity.insult_machine(), symbols) * _run(toxicity.target_machine(), symbols) * rest)
+    assert threat.weight(path) == pytest.approx(_run(toxicity.threat_machine(), symbols) * rest)
+
+
+def test_compose_follows_what_is_written():
+    """The second machine reads what the first writes, over all paths of both."""
+    a = Machine(0, {(0, "x"): [(0, "y", 2.0), (1, "z", 3.0)], (1, "x"): [(1, "y", 1.0)]}, {1: 1.0})
+    b = Machine(0, {(0, "y"): [(0, "p", 0.5)], (0, "z"): [(0, "q", 4.0), (1, "q", 7.0)]}, {0: 1.0, 1: 10.0})
+    both = compose(a, b)
+    assert both.weight([[("x", 1.0)]]) == 3 * 4 + 3 * 7 * 10
+    # the nucleus is first (then y in state 0 only) or second
+    assert both.weight([[("x", 1.0)]] * 2) == 3 * 4 * 0.5 + 2 * 0.5 * (3 * 4 + 3 * 7 * 10)
 
 
 _CLAUSE = re.compile(r"[\n!.;?]")
@@ -324,7 +374,7 @@ def test_broken_bytes_are_no_letters():
     offsets = pa.array([0, *(sum(map(len, data[: i + 1])) for i in range(len(data)))], pa.int32())
     texts = pa.Array.from_buffers(pa.string(), len(data), [None, offsets.buffers()[1], pa.py_buffer(b"".join(data))])
     g = toxicity.Grammar({"idiot": 3.0}, {})
-    assert g.raws(texts, g.compiled()).tolist() == [0.0, 3.0, 3.0, 3.0, 3.0, 3.0, 0.0]
+    assert g.raws(texts, g.compiled()).tolist() == [0.0, 1.5, 1.5, 1.5, 1.5, 1.5, 0.0]
 
 
 def test_grammar_without_labels(spark):
