@@ -38,11 +38,6 @@ def stored_bytes(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 1 << 60)
 
 
-def text_bytes(df: DataFrame, column: str = "text") -> int:
-    """Exact bytes of a column, by one aggregate."""
-    return df.agg(F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0))).first()[0]
-
-
 def buckets(df: DataFrame, per: int = BUCKET_BYTES) -> int:
     """Hash buckets for data that grows with this input: one for so many stored bytes, at least as many as shuffle partitions."""
     spark = df.sparkSession
@@ -60,6 +55,23 @@ def grouped(df: DataFrame, n: int, keys: list[str], work: Callable[[pa.Table], p
     return df.repartition(max(least, math.ceil(n / TASK_BUCKETS)), *keys).groupBy(*keys).applyInArrow(work, schema)
 
 
+#: Keys that can each have more than one in so many rows of a table: at most as many.
+HOT = 10_000
+
+
+def hot_limit(rows: int) -> int:
+    """Rows from which a key is hot: so many that at most HOT keys of a table of this many rows are."""
+    return max(1024, rows // HOT)
+
+
+def hot_join(rows: DataFrame, by: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows inner joined with by, which has one row a key and the number of rows that have it. Hot keys, HOT at most,
+    travel to the rows, which stay where they are; only the rest meet in a shuffle."""
+    few = F.broadcast(by.where(F.col(count) > hot_limit(total)))
+    rest = rows.join(few.select(key), key, "left_anti").join(by.where(F.col(count) <= hot_limit(total)), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has: name, with underscores added until it is new (names are compared as Spark does)."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -6,9 +6,10 @@ equal fingerprints, so joining the documents' fingerprints with the items' and e
 each hit to the windows that it stands for finds every shared window. Found windows are
 compared word by word.
 
-Where the benchmark's text is at most BROADCAST_BYTES, its windows travel to the
-documents and the plan is one map without any shuffle. Beyond that, fingerprints are joined
-by a shuffle, then windows, and hits return to their documents. Both give the same rows.
+Where the index of the benchmark's windows, measured as built, is at most INDEX_BYTES, the
+windows travel to the documents and the plan is one map without any shuffle. Beyond that,
+fingerprints are joined by a shuffle, then windows, both salted, and hits return to their
+documents. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
-from querent.llm.common import append, buckets, table, text_bytes, texts
+from querent.llm.common import append, buckets, fresh, probed, table, texts
 
 WINDOW = 10
 GRAM = 5
-BROADCAST_BYTES = 16 << 20
+#: Most bytes of an index that travels, and what a window takes there besides its words and its item's id (342 in all were measured at 60 bytes of words).
+INDEX_BYTES, ENTRY_BYTES = 64 << 20, 280
+#: Salts of the shuffles: a fingerprint or window that very many documents have is dealt over so many tasks.
+SALTS = 16
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -167,7 +171,8 @@ def _by_map(docs: DataFrame, windows: DataFrame) -> DataFrame:
 def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Fingerprints join, then windows join; every group is one document's hits. A text's hash tells documents of one id apart."""
     n = buckets(docs)
-    keyed = docs.withColumn("_key", F.sha2("text", 256))
+    key, span_name, item_name, count_name = (fresh(x, docs) for x in ("_key", "_spans", "_items", "_n"))
+    keyed = docs.withColumn(key, F.sha2("text", 256))
     short = sorted(r[0] for r in windows.where(F.col("size") < WINDOW).select("size").distinct().collect())
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +205,18 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["_key", "pos", "size", "phrase"])
 
-    unique = keyed.select("_key", "text").dropDuplicates(["_key"])
-    fps = windows.select("fp").distinct()
-    candidates = unique.mapInArrow(marks, "fp long, _key string").join(fps, "fp").groupBy("_key").agg(F.collect_set("fp").alias("fps"))
-    hits = unique.join(candidates, "_key").mapInArrow(extend, "_key string, pos long, size int, phrase binary").repartition(n, "phrase").join(windows.select("phrase", "item_id"), "phrase")
-    by_doc = hits.groupBy("_key").agg(F.collect_set(F.struct("pos", "size")).alias("_spans"), F.array_sort(F.collect_set("item_id")).alias("_items"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")
+    unique = keyed.select(F.col(key).alias("_key"), "text").dropDuplicates(["_key"])
+    fps = windows.select("fp").distinct().withColumn("salt", salts)
+    candidates = unique.mapInArrow(marks, "fp long, _key string").withColumn("salt", salt).join(fps, ["fp", "salt"]).groupBy("_key").agg(F.collect_set("fp").alias("fps"))
+    found = unique.join(candidates, "_key").mapInArrow(extend, "_key string, pos long, size int, phrase binary").withColumn("salt", salt).repartition(n, "phrase", "salt")
+    hits = found.join(windows.select("phrase", "item_id").withColumn("salt", salts), ["phrase", "salt"])
+    by_doc = hits.groupBy(F.col("_key").alias(key)).agg(F.collect_set(F.struct("pos", "size")).alias(span_name), F.array_sort(F.collect_set("item_id")).alias(item_name))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, items, count = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("_spans", "_items", "_n"))
+            spans, items, count = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in (span_name, item_name, count_name))
             rows = []
             for own, found, n in zip(spans, items, count, strict=True):
                 mask = np.zeros(n, dtype=bool)
@@ -221,7 +229,7 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
         return [pa.array(np.concatenate([_folded(p)[1].counts for p in K.pieces(array)] or [np.empty(0, dtype=np.int64)]))]
 
     plain = [c for c in docs.columns if c not in NAMES]
-    joined = append(keyed.join(by_doc, "_key", "left"), "text", "_n long", count)
+    joined = append(keyed.join(by_doc, key, "left"), "text", f"`{count_name}` long", count)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in plain) + ", " + RESULT
     return joined.mapInArrow(finish, schema)
 
@@ -229,14 +237,15 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
 NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs with n_words, n_hit (words inside any occurrence of an item's window), n_items, items_sha256, contaminated.
 
     Null texts have no words; an empty benchmark hits nothing; repeated documents and items count as they stand.
     """
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
-    windows = item_windows(benchmark)
-    return (_by_map if text_bytes(benchmark) <= broadcast_bytes else _by_shuffle)(docs, windows)
+    size = F.octet_length("phrase") + F.octet_length("item_id") + ENTRY_BYTES
+    windows, seen = probed(item_windows(benchmark), [F.coalesce(F.sum(size), F.lit(0))])
+    return (_by_map if seen[1] <= index_bytes else _by_shuffle)(docs, windows)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

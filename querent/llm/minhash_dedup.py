@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
-from querent.llm.common import buckets, cut, hold, probed, table, texts
+from querent.llm.common import buckets, cut, fresh, hold, hot_join, probed, table, texts
 from querent.llm.components import components
 from querent.llm.exchange import repeated, unpack
 
@@ -46,8 +46,8 @@ PERCENT = 85
 MISSED = 5e-7
 #: Deviations of a sample of PERMUTATIONS between the threshold and the least estimate that is kept; a pair just at 0.80 or 0.85 is dropped with a chance under 5e-7.
 DEVIATIONS = 5.7
-#: Bits of the filter that keeps texts of no candidate out of a shuffle; only its rate of needless rows depends on the corpus.
-FILTER_BITS = 1 << 24
+#: Least and most bits of the filter that keeps texts of no candidate out of a shuffle: 16 for each candidate class in between.
+FILTER_BITS = 1 << 16, 1 << 28
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = (_RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -154,9 +154,11 @@ def signatures(docs: DataFrame, like: Limits) -> DataFrame:
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Filter of FILTER_BITS bits over the keys; what reaches the driver is bounded by it."""
-    rows = keys.select((F.col("key") % FILTER_BITS).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    """Filter over the keys; what reaches the driver is bounded by FILTER_BITS."""
+    least, most = FILTER_BITS
+    size = min(most, max(least, 1 << (16 * keys.count()).bit_length()))
+    rows = keys.select((F.col("key") % size).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, dtype=np.uint64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -167,10 +169,11 @@ def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
+        size = 64 * len(bits)
         for batch in batches:
             for piece in K.pieces(batch.column(0)):
                 key = [_key(x) for x in shingle_sets(piece)]
-                at = [i for i, k in enumerate(key) if k is not None and bits[(p := k % FILTER_BITS) >> 6] >> np.uint64(p & 63) & np.uint64(1)]
+                at = [i for i, k in enumerate(key) if k is not None and bits[(p := k % size) >> 6] >> np.uint64(p & 63) & np.uint64(1)]
                 yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in at], pa.int64()), batch.column(0).take(pa.array([piece.first + i for i in at], pa.int64()))], names=["key", "text"])
 
     near = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, text string")
@@ -230,14 +233,15 @@ def shared_bands(classes: DataFrame, like: Limits) -> DataFrame:
     return classes.select("key", "bands").join(found, "key").mapInArrow(pick, "bucket long, key long")
 
 
-#: Members of a bucket in a block.
-BLOCK = 1024
+#: Members of a bucket in a block, and about as many shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 
 
-def _blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """members (bucket, ...) with i <= j: each once for every pair of blocks of its bucket that its own block is in."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("g"))
-    own = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
+def _blocked(members: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
+    """members (bucket, key, n_shingles, ...) with i <= j: each once for every pair of blocks of its bucket that its own block is in."""
+    n = F.count(F.lit(1))
+    sizes = members.groupBy("bucket").agg(n.alias("_n"), F.ceil(F.greatest(n / block, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("g"))
+    own = hot_join(members, sizes, "bucket", "_n", total).withColumn("own", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     return dealt.select(*members.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -350,20 +354,20 @@ class Links:
 
 def links(docs: DataFrame, classes: DataFrame, like: Limits, block: int = BLOCK) -> DataFrame | None:
     """(node, component) over class keys, from confirmed links that connect all linked classes; None if there are none."""
-    members = hold(shared_bands(classes, like))
-    state = Links(hold(_candidate_texts(docs, members.select("key").distinct()), rows=20_000, memory=False), like)
-    ends = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    met = members.join(ends, "bucket")
+    members, total = probed(shared_bands(classes, like), [])
+    state = Links(hold(_candidate_texts(docs, hold(members.select("key").distinct())), rows=20_000, memory=False), like)
+    ends = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("_n")).where("low < high")
+    met = hot_join(members, hold(ends), "bucket", "_n", total[0]).drop("_n")
     pairs = met.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).union(met.where("key not in (low, high)").select("high", "key"))
     state.add(_alike(pairs, classes, like))
-    alive = state.labelled(met.where("key not in (low, high)").select("bucket", "key"), "key", "comp")
-    apart = alive.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket")
-    left, n = probed(alive.join(apart, "bucket").select("bucket", "key", "comp"), [])
+    alive, n = probed(state.labelled(met.where("key not in (low, high)").select("bucket", "key"), "key", "comp"), [])
+    apart = alive.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("_n")).where("least < most").select("bucket", "_n")
+    left, n = probed(hot_join(alive, hold(apart), "bucket", "_n", n[0]).select("bucket", "key", "comp"), [])
     if n[0]:
         by = ["bucket", "i", "j"]
         schema = "bucket long, i int, j int, key long, comp long, n_shingles long, sketch array<long>"
-        dealt = _blocked(left, block).join(classes.select("key", "n_shingles", "sketch"), "key").select(*schema_names(schema))
-        involved = hold(dealt.groupBy(*by).applyInArrow(lambda group: _involved(group, like), schema))
+        sized = hold(left.join(classes.select("key", "n_shingles", "sketch"), "key"))
+        involved = hold(_blocked(sized, n[0], block).select(*schema_names(schema)).groupBy(*by).applyInArrow(lambda group: _involved(group, like), schema))
         texts_too = involved.join(state.held, "key").select(*schema_names(schema), "text")
         state.take(texts_too.groupBy(*by).applyInArrow(lambda group: _spanning(group, like), "u long, v long").distinct())
     return state.found
@@ -397,10 +401,11 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
 
 def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents less those that are not their component's least; their columns are unchanged, rows repeated in id and text become one."""
-    gone = near_duplicates(docs, percent=percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"))
-    own = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    left = own.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
-    return left.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    key, other, text = fresh("_id", docs), fresh("_g", docs), fresh("_h", docs)
+    gone = near_duplicates(docs, percent=percent).where("not kept").select(F.col("doc_id").alias(key), F.col("_h").alias(other))
+    own = docs.withColumn(text, F.xxhash64(F.col("text").cast("string")))
+    left = own.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(text) == F.col(other)), "left_anti")
+    return left.dropDuplicates(["doc_id", text]).select(*docs.columns)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

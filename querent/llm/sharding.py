@@ -15,7 +15,7 @@ about as many ask each way. A shard that no one could enter is shut for the next
 PATIENCE rounds in which nothing moved, or 2 * rounds in all, what is still parted stays so.
 
 Neighbour counts are aggregates by (group, shard), at most one row for each shard however
-large the group. Ranks within a shard come from a range partitioning and counts by
+large the group; members of a hot group are not brought together to meet them. Ranks within a shard come from a range partitioning and counts by
 partition, never from a window over a whole shard. Rounds cut lineage by checkpoints.
 """
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querent.llm.common import cut, table
+from querent.llm.common import cut, hot_join, hot_limit, table
 
 SHARDS = 8
 ROUNDS = 16
@@ -96,7 +96,9 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds
     """
     members = members.distinct()
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(members.join(sizes, "grp"))
+    total = nodes.count()
+    members = cut(hot_join(members, sizes, "grp", "size", total))
+    hot = F.col("size") > hot_limit(total)
     linked = members.groupBy("node").agg(F.min(F.struct("size", "grp")).alias("first"))
     start = ranked(nodes.select("node"), [], [F.xxhash64("node"), "node"], "place")
     start = start.select("node", F.pmod("place", F.lit(shards)).cast("int").alias("shard")).join(linked, "node", "left")
@@ -110,8 +112,10 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds
     for turn in range(2 * rounds):
         swapping = swapping or turn >= rounds
         by = members.join(labels.select("node", "shard"), "node")
-        seen = by.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("c")).withColumnRenamed("shard", "at")
-        votes = by.join(seen, "grp").groupBy("node", "at").agg(F.sum(F.col("c") - (F.col("at") == F.col("shard")).cast("int")).alias("c"))
+        seen = by.groupBy("grp", "size", "shard").agg(F.count(F.lit(1)).alias("c")).withColumnRenamed("shard", "at")
+        # the counts of hot groups, a row for each shard, travel to their members
+        met = by.where(~hot).join(seen.where(~hot), ["grp", "size"]).unionByName(by.where(hot).join(F.broadcast(seen.where(hot)), ["grp", "size"]))
+        votes = met.groupBy("node", "at").agg(F.sum(F.col("c") - (F.col("at") == F.col("shard")).cast("int")).alias("c"))
         targets = [s for s in range(shards) if (s not in shut if swapping else left[s])]
         open_to = F.col("at").isin(targets) if targets else F.lit(False)
         best = votes.join(labels, "node").where(open_to | (F.col("at") == F.col("shard")))

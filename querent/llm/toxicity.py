@@ -369,7 +369,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
 def accepted(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """The documents that are not predicted toxic; their columns are unchanged."""
-    own = score(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns}).withColumn("text", F.col("_own_text")), grammar)
+    own = score(docs.select(*(F.col(c).alias(f"_own_{c}") for c in docs.columns), F.col("text").cast("string").alias("text")), grammar)
     return own.where("predicted = 0").select(*(F.col(f"_own_{c}").alias(c) for c in docs.columns))
 
 

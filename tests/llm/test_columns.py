@@ -202,8 +202,8 @@ def folded(text):
     return WORD.findall(bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))
 
 
-@pytest.mark.parametrize("broadcast_bytes", [1 << 24, -1])
-def test_decontamination(spark, broadcast_bytes):
+@pytest.mark.parametrize("index_bytes", [decontaminate.INDEX_BYTES, -1])
+def test_decontamination(spark, index_bytes):
     docs = frame(spark)
     own = texts()
     items = [(1, own[1][40:300]), (2, "short one"), (3, None), (4, "!!!"), (5, own[0].upper()), (5, "a b c d"), (None, "b"), (10, (own[2] or "").replace(" ", "--")), (6, "A")]
@@ -224,7 +224,7 @@ def test_decontamination(spark, broadcast_bytes):
                     hit |= set(range(p, p + n))
                     found |= windows[key]
         want[r["doc_id"], len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
-    got = Counter(tuple(r) for r in decontaminate.decontaminate(docs.select("doc_id", "text"), bench, broadcast_bytes).select("doc_id", *decontaminate.NAMES).collect())
+    got = Counter(tuple(r) for r in decontaminate.decontaminate(docs.select("doc_id", "text"), bench, index_bytes).select("doc_id", *decontaminate.NAMES).collect())
     assert got == want
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns
