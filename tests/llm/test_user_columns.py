@@ -12,7 +12,8 @@ SHARED = " ".join(f"s{i}" for i in range(40))
 
 
 def docs(spark):
-    texts = [f"alpha beta {SHARED}", f"gamma {SHARED} delta", None, "", "one two three four five six seven eight nine ten eleven", "plain words here"]
+    own = [" ".join(f"{x}{i}" for i in range(40)) for x in "ab"]
+    texts = [f"{own[0]} {SHARED}", f"{own[1]} {SHARED} delta", None, "", "one two three four five six seven eight nine ten eleven", "plain words here"]
     rows = [(i, t, *(f"{n}{i}" for n in NAMES)) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in NAMES))
 
