@@ -75,6 +75,40 @@ LOG = [
 ]
 LOG_SQL = _values([(i, q.replace("'", "''"), n.replace("'", "''"), s) for i, (q, n, s) in enumerate(LOG)], "k, query, normal, skel")
 
+#: Two tables, a column of each, and the columns that join them.
+_JOINED = [
+    ("customer", "orders", "c_name", "o_totalprice", "c_custkey", "o_custkey"),
+    ("nation", "customer", "n_name", "c_acctbal", "n_nationkey", "c_nationkey"),
+    ("region", "nation", "r_name", "n_nationkey", "r_regionkey", "n_regionkey"),
+    ("part", "lineitem", "p_name", "l_quantity", "p_partkey", "l_partkey"),
+]
+#: Statement, normal form and skeleton, the last two by hand: aliases of one side only, comma joins, subqueries, doubled quotes.
+_FORMS = [
+    ("SELECT {a} FROM {t} JOIN {u} AS T2 ON {t}.{x} = T2.{y}", "select {a} from {t} join {u} on {t}.{x} = {u}.{y}", "select _ from _ "),
+    ("SELECT p.{a}, q.{b} FROM {t} AS p , {u} AS q WHERE p.{x} = q.{y}", "select {t}.{a} , {u}.{b} from {t} , {u} where {t}.{x} = {u}.{y}", "select _ from _ where _"),
+    ("SELECT {a} FROM {t} WHERE {a} = 'it''s'", "select {a} from {t} where {a} = 'it''s'", "select _ from _ where _"),
+    ("SELECT q.{a} FROM {t} q WHERE q.{x} IN (SELECT r.{y} FROM {u} r WHERE r.{b} > 5)", "select {t}.{a} from {t} where {t}.{x} in ( select {u}.{y} from {u} where {u}.{b} > 5 )", "select _ from _ where _ in ( select _ from _ where _ )"),
+    ("SELECT T1.{a} FROM {t} T1 LEFT JOIN {u} T2 ON T1.{x} = T2.{y} AND T2.{b} > 1", "select {t}.{a} from {t} left join {u} on {t}.{x} = {u}.{y} and {u}.{b} > 1", "select _ from _ left join _ and _"),
+    ("SELECT count(DISTINCT {a}) AS n FROM {t} GROUP BY {x} HAVING count(*) > 2", "select count ( distinct {a} ) from {t} group by {x} having count ( * ) > 2", "select count ( distinct _ ) from _ group by _ having count ( _ ) > _"),
+    ("SELECT {a} FROM {t} UNION SELECT {b} FROM {u} ORDER BY 1", "select {a} from {t} union select {b} from {u} order by 1 asc", "select _ from _ union select _ from _ order by _ asc"),
+    ("SELECT {b} FROM {u} WHERE {b} BETWEEN 1 AND 2.5 OR {y} = -3", "select {b} from {u} where {b} between 1 and 2.5 or {y} = -3", "select _ from _ where _ between _ and _ or _"),
+    ('SELECT {a} FROM {t} WHERE {a} LIKE "%X%" AND {x} <> 4', "select {a} from {t} where {a} like '%X%' and {x} <> 4", "select _ from _ where _ like _ and _ <> _"),
+    ("SELECT T1.* FROM {t} AS T1 ORDER BY T1.{x} + 1 , T1.{a}", "select {t}.* from {t} order by {t}.{x} + 1 asc , {t}.{a}", "select _ from _ order by _ + _ asc , _"),
+    ("SELECT max({b}) - min({b}) FROM {u};", "select max ( {b} ) - min ( {b} ) from {u}", "select max ( _ ) - min ( _ ) from _"),
+    ("SELECT i.{a} FROM {t} AS i JOIN {u} AS j ON i.{x} = j.{y} JOIN {t} AS k ON k.{x} = j.{y}", "select {t}.{a} from {t} join {u} on {t}.{x} = {u}.{y} join {t} on {t}.{x} = {u}.{y}", "select _ from _ "),
+    ("SELECT s.n FROM (SELECT {a} AS n FROM {t}) AS s", "select s.n from ( select {a} from {t} )", "select s.n from ( select _ from _ )"),
+    ("SELECT {a} FROM {t} WHERE {x} >= 1 AND {x} <= 9 AND {a} != 'b' LIMIT 5", "select {a} from {t} where {x} >= 1 and {x} <= 9 and {a} != 'b' limit 5", "select _ from _ where _ limit _"),
+    ("SELECT {a} , {x} FROM {t} WHERE NOT EXISTS (SELECT * FROM {u} WHERE {u}.{y} = {t}.{x})", "select {a} , {x} from {t} where not exists ( select * from {u} where {u}.{y} = {t}.{x} )", "select _ from _ where not exists ( select _ from _ where _ )"),
+    ("SELECT T2.{b} FROM {t} , {u} T2 WHERE T2.{y} = 1", "select {u}.{b} from {t} , {u} where {u}.{y} = 1", "select _ from _ where _"),
+]
+#: The whole log: 72 statements.
+STATEMENTS = LOG + [tuple(x.format(**dict(zip("tuabxy", own, strict=True))) for x in form) for form in _FORMS for own in _JOINED]
+STATEMENTS_SQL = _values([(i, q.replace("'", "''"), n.replace("'", "''"), s) for i, (q, n, s) in enumerate(STATEMENTS)], "k, query, normal, skel")
+
+
+def statements(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(STATEMENTS)], "k int, query string")
+
 
 def log(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(LOG)], "k int, query string, normal string, skel string")

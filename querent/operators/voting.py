@@ -1,20 +1,24 @@
 """Candidate execution and self-consistency voting.
 
-Each distinct (database, candidate) runs once as a Spark query over registered views; its
-result becomes a fingerprint: row and column counts, and a hash that equal bags of rows
-share under any permutation of their columns. Votes are then plain aggregates.
-
-Fingerprints need no collected rows. Two results are equal under a column permutation only
-if their columns are equal as multisets in some pairing. The canonical order of columns is
-that of their multiset hashes; where hashes tie, columns are swapped only among equals, and
-the least hash over these orders is taken (bounded by PERMUTATIONS; beyond it columns
-beyond the bound keep their order, which can only split votes, never merge different ones).
+Each distinct (database, candidate) runs once as a Spark query over registered views, a few at a
+time; its result becomes a fingerprint: row and column counts, and a hash that equal bags of
+rows share under any permutation of their columns. Votes are then plain aggregates.
+
+Fingerprints need no collected rows. Columns get an order by colours that do not depend on
+how they stand: first the bag of a column's cells, then, as long as this tells more columns
+apart, the bag of its cells with the colours of their rows (a row's colour is the bag of its
+cells with the colours of their columns). Columns that stay equal are swapped where a swap changes
+nothing; where it does, each of them is tried first. The least hash over what is left is taken.
+So results are told apart, or taken as one, by 64-bit hashes alone; no order is left out.
+
+Only queries run: a candidate is parsed, and refused unless every part of its plan reads.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import islice, permutations, product
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,8 +26,14 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from querent.functions.answers import before_comment, fixed_year, joined_operators, without_distinct
 
-PERMUTATIONS = 720
-_READS = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
+#: Candidates that run at a time.
+AT_ONCE = 4
+#: Parts of a parsed plan that only read.
+_READS = frozenset("""Aggregate Deduplicate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset
+OneRowRelation Pivot Project Sample Sort SubqueryAlias Tail Union UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases
+UnresolvedWith Unpivot View Window WithWindowDefinition""".split())
+#: Functions that call into the process.
+_CALLS = re.compile(r"\b(java_method|reflect|try_reflect)\b", re.IGNORECASE)
 RESULT = StructType([StructField("status", StringType()), StructField("n_rows", LongType()), StructField("n_cols", LongType()), StructField("fingerprint", StringType())])
 
 
@@ -33,65 +43,124 @@ def executable(sql: Column) -> Column:
 
 
 def tagged(cell: Column, kind: str) -> Column:
-    """A cell as text under which equal values are equal: whole and decimal numbers share one form."""
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        value = F.concat(F.lit("n"), F.format_string("%.12e", cell.cast(DoubleType())))
-    elif kind == "boolean":
-        value = F.concat(F.lit("n"), F.format_string("%.12e", cell.cast("int").cast(DoubleType())))
+    """A cell as text under which equal values are equal: whole numbers of every type have all their digits, the rest is that of a double."""
+    if kind in ("tinyint", "smallint", "int", "bigint", "boolean"):
+        value = F.concat(F.lit("n"), (cell.cast("int") if kind == "boolean" else cell).cast("string"))
+    elif kind in ("float", "double") or kind.startswith("decimal"):
+        whole = cell.try_cast("decimal(38,0)").cast("string")
+        value = F.concat(F.lit("n"), F.when(cell == F.floor(cell), whole).otherwise(cell.cast(DoubleType()).cast("string")))
+        value = F.coalesce(value, F.concat(F.lit("n"), cell.cast(DoubleType()).cast("string")))
     else:
         value = F.concat(F.lit("s"), cell.cast("string"))
     return F.coalesce(value, F.lit("0"))
 
 
-def _bag(values: Column) -> Column:
+def _bag(*values: Column) -> Column:
     """An order-free hash of a bag: the sum of its members' hashes."""
-    return F.coalesce(F.sum(F.xxhash64(values).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+    return F.coalesce(F.sum(F.xxhash64(*values).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+
+
+class _Columns:
+    """The columns of a result, and colours that do not depend on their order."""
+
+    def __init__(self, cells: DataFrame):
+        self.cells, self.names = cells, cells.columns
+
+    def bags(self, values: dict[str, list[Column]]) -> dict[str, str]:
+        return self.cells.agg(*(_bag(*v).alias(k) for k, v in values.items())).first().asDict()
+
+    def refined(self, colours: dict[str, int]) -> dict[str, int]:
+        """Colours as long as they tell more columns apart; equal ones stay equal under any order of the columns."""
+        while len(set(colours.values())) < len(colours):
+            row = F.xxhash64(F.array_sort(F.array(*(F.struct(F.lit(colours[c]).alias("k"), F.col(c).alias("v")) for c in self.names))))
+            seen = self.bags({c: [row, F.col(c)] for c in self.names})
+            keys = {c: (colours[c], seen[c]) for c in self.names}
+            new = {c: sorted(set(keys.values())).index(keys[c]) for c in self.names}
+            if len(set(new.values())) == len(set(colours.values())):
+                break
+            colours = new
+        return colours
+
+    def orders(self, colours: dict[str, int]) -> Iterator[list[str]]:
+        """Orders of the columns by colours; of those that stay equal, each that a swap tells apart comes first once."""
+        colours = self.refined(colours)
+        by: dict[int, list[str]] = {}
+        for c in self.names:
+            by.setdefault(colours[c], []).append(c)
+        tied = next((by[k] for k in sorted(by) if len(by[k]) > 1), None)
+        if tied is None:
+            yield sorted(self.names, key=colours.__getitem__)
+            return
+        swapped = {c: [tied[0] if x == c else c if x == tied[0] else x for x in self.names] for c in tied}
+        bags = self.bags({c: [F.col(x) for x in order] for c, order in swapped.items()})
+        for c in [tied[0], *(c for c in tied[1:] if bags[c] != bags[tied[0]])]:
+            yield from self.orders({x: 2 * k + (k == colours[c] and x != c) for x, k in colours.items()})
 
 
 def fingerprint(df: DataFrame) -> tuple[int, int, str]:
     """(rows, columns, hash) of a result; all empty results share one hash."""
     cells = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    cells = cells.select(*(tagged(F.col(f.name), f.dataType.simpleString()).alias(f.name) for f in cells.schema.fields))
-    n = len(cells.columns)
-    first = cells.agg(F.count(F.lit(1)).alias("n"), *(_bag(F.col(c)).alias(c) for c in cells.columns)).first()
-    if not first["n"]:
-        return 0, n, "empty"
-    ties: dict[str, list[str]] = {}
-    for c in cells.columns:
-        ties.setdefault(first[c], []).append(c)
-    groups = [ties[h] for h in sorted(ties)]
-    orders = [[c for g in picked for c in g] for picked in islice(product(*(permutations(g) for g in groups)), PERMUTATIONS)]
-    hashes = cells.agg(*(_bag(F.concat_ws("\x1f", *order)).alias(f"o{i}") for i, order in enumerate(orders))).first()
-    return first["n"], n, min(hashes)
+    cells = cells.select(*(tagged(F.col(f.name), f.dataType.simpleString()).alias(f.name) for f in cells.schema.fields)).persist()
+    try:
+        n = len(cells.columns)
+        first = cells.agg(F.count(F.lit(1)).alias("n"), *(_bag(F.col(c)).alias(c) for c in cells.columns)).first()
+        if not first["n"]:
+            return 0, n, "empty"
+        columns, kinds = _Columns(cells), sorted({first[c] for c in cells.columns})
+        orders = list(columns.orders({c: kinds.index(first[c]) for c in cells.columns}))
+        hashes = columns.bags({f"o{i}": [F.col(x) for x in order] for i, order in enumerate(orders)})
+        return first["n"], n, min(hashes.values())
+    finally:
+        cells.unpersist()
+
+
+def reads_only(spark: SparkSession, sql: str) -> bool:
+    """Whether a statement parses as a query of which every part reads. Nothing is looked up or run."""
+    if _CALLS.search(sql):
+        return False
+
+    def reads(plan) -> bool:
+        if plan.getClass().getSimpleName() not in _READS:
+            return False
+        inner = [plan.children(), plan.innerChildren()]
+        return all(reads(x.apply(i)) for x in inner for i in range(x.size()) if _is_plan(x.apply(i)))
+
+    def _is_plan(node) -> bool:
+        return "plans.logical" in node.getClass().getName() or "catalyst.analysis" in node.getClass().getName()
+
+    try:
+        return reads(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
+    except Exception:  # what does not parse does not run
+        return False
 
 
 def execute(spark: SparkSession, candidates: DataFrame, timeout_s: int = 60) -> DataFrame:
     """(db_id, sql, status, n_rows, n_cols, fingerprint) for each distinct candidate (db_id, sql).
 
-    Only single SELECT or WITH statements run; what fails or takes too long is a status, not an error. Views of a
-    database are registered by the caller. The driver loops over statements, never over rows.
+    Only single queries run; what fails or takes too long is a status, not an error. Views of a database are
+    registered by the caller. AT_ONCE statements run at a time, and only statements come to the driver, never rows.
     """
-    rows = candidates.select("db_id", "sql", executable(F.col("sql")).alias("run")).distinct().collect()
-    out = []
-    for r in rows:
-        spark.sparkContext.setInterruptOnCancel(True)
-        out.append((r["db_id"], r["sql"], *_run(spark, r["run"], timeout_s)))
+    rows = candidates.select("db_id", "sql", executable(F.col("sql")).alias("run")).distinct().orderBy("db_id", "sql").collect()
+    spark.sparkContext.setInterruptOnCancel(True)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        done = list(pool.map(lambda r: (r["db_id"], r["sql"], *_run(spark, r["run"], timeout_s)), rows))
     schema = StructType([StructField("db_id", StringType()), StructField("sql", StringType()), *RESULT.fields])
-    return spark.createDataFrame(out, schema)
+    return spark.createDataFrame(done, schema)
 
 
 def _run(spark: SparkSession, sql: str | None, timeout_s: int) -> tuple[str, int | None, int | None, str | None]:
     import threading
     import uuid
 
-    if not sql or not _READS.match(sql) or ";" in re.sub(r"'[^']*'", "", sql).rstrip().rstrip(";"):
+    sql = (sql or "").rstrip().rstrip(";")
+    if not reads_only(spark, sql):
         return "refused", None, None, None
     tag = f"candidate-{uuid.uuid4().hex}"
     timer = threading.Timer(timeout_s, lambda: spark.interruptTag(tag))
     spark.addTag(tag)
     timer.start()
     try:
-        return ("ok", *fingerprint(spark.sql(sql.rstrip().rstrip(";"))))
+        return ("ok", *fingerprint(spark.sql(sql)))
     except Exception as e:  # a model's statement may fail in any way
         return f"error: {type(e).__name__}", None, None, None
     finally:
@@ -118,6 +187,24 @@ def first_candidates(answers: DataFrame, n: int) -> DataFrame:
     return answers.select("idx", "db_id", F.posexplode(F.slice("p_sqls", 1, n)).alias("cand_no", "sql")).withColumn("sql", before_comment(F.col("sql")))
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """One row, rows and hash: of the rows as they stand, in the order of the frame, cells as in a vote. The hash of a place and its row is summed, so no row is collected."""
+    cells = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    text = F.xxhash64(*(tagged(F.col(f.name), f.dataType.simpleString()) for f in cells.schema.fields))
+    # a sorted frame has its partitions in order; places count within them, and partitions by their rows before
+    held = cells.select(text.alias("row"), F.monotonically_increasing_id().alias("id")).persist()
+    part = F.shiftright("id", 33)
+    before = held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + F.coalesce("before", F.lit(0))
+    return held.join(F.broadcast(before), part == F.col("part")).agg(F.count(F.lit(1)).alias("rows"), _bag(place, F.col("row")).alias("hash"))
+
+
+def same_list(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row, equal: whether two frames hold the same rows in the same order; columns by place, 1 and 1.0 as equal."""
+    x, y = in_order(a), in_order(b).withColumnsRenamed({"rows": "other_rows", "hash": "other_hash"})
+    return x.join(y).select(((F.col("rows") == F.col("other_rows")) & (F.col("hash") == F.col("other_hash"))).alias("equal"))
+
+
 def same_bag(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row, equal: whether two frames of equal column names hold the same bag of rows; signed counts, no collected rows."""
     cols = a.columns

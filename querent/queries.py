@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querent import fixtures as X
@@ -54,16 +54,25 @@ def jaccard_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- SQL text -----------------------------------------------------------------------------
 
 
-@query("sql_normalize", f"SELECT vec_id, normal FROM embeddings JOIN {X.LOG_SQL} ON k = vec_id % 8")
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % len(X.STATEMENTS)).cast("int").alias("k"))
+    return rows.join(F.broadcast(X.statements(spark)), "k")
+
+
+_LOGGED = f"embeddings JOIN {X.STATEMENTS_SQL} ON k = vec_id % {len(X.STATEMENTS)}"
+
+
+@query("sql_normalize", f"SELECT vec_id, normal FROM {_LOGGED}")
 def sql_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.vectors(spark, sf_dir).select(F.col("idx").alias("vec_id"), sql_text.normalize(F.col("query")).alias("normal"))
+    return _logged(spark, sf_dir).select("vec_id", sql_text.normalize(F.col("query")).alias("normal"))
 
 
-@query("sql_skeleton", f"SELECT vec_id, skel FROM embeddings JOIN {X.LOG_SQL} ON k = vec_id % 8")
+@query("sql_skeleton", f"SELECT vec_id, skel FROM {_LOGGED}")
 def sql_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = X.catalog(spark).per_database().where(F.col("db_id") == X.DB).select("table_names", "column_names")
     skel = sql_text.skeleton(F.col("query"), F.col("table_names"), F.col("column_names"))
-    return X.vectors(spark, sf_dir).join(F.broadcast(names)).select(F.col("idx").alias("vec_id"), skel.alias("skel"))
+    return _logged(spark, sf_dir).join(F.broadcast(names)).select("vec_id", skel.alias("skel"))
+
 
 
 _NUMBERS = ["5", "-7", "+3", "1.5", "-1.50", ".5", "5.", "1e5", "1_000", "nan", "-inf", "abc", "1.2.3", "", "-", "12a", "1__0", "Infinity"]
@@ -387,9 +396,19 @@ def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _RAN = [(s, "ok", n, c) for s, n, c in [("SELECT n_name, n_regionkey FROM nation", 25, 2), ("SELECT n_regionkey, n_name FROM nation", 25, 2), ("SELECT r_name FROM region", 5, 1), ("SELECT count(*) FROM nation", 1, 1), ("SELECT count(*) FROM region", 1, 1), ("SELECT DISTINCT 25.0 AS c", 1, 1), ("SELECT 5", 1, 1), ("SELECT r_name FROM region WHERE r_regionkey > 100", 0, 1), ("SELECT 1 AS a, 2 AS b FROM region WHERE r_regionkey < 0", 0, 2)]]
 
 
-@query("vote_fingerprint", "SELECT sql, status, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_cols AS BIGINT) AS n_cols FROM " + X._values(_RAN, "sql, status, n_rows, n_cols"))
+#: By hand: of the candidates with equal results, the first by text, where it is another one.
+_SAME = {
+    "SELECT n_regionkey, n_name FROM nation": "SELECT n_name, n_regionkey FROM nation",
+    "SELECT count(*) FROM nation": "SELECT DISTINCT 25.0 AS c",
+    "SELECT count(*) FROM region": "SELECT 5",
+    "SELECT r_name FROM region WHERE r_regionkey > 100": "SELECT 1 AS a, 2 AS b FROM region WHERE r_regionkey < 0",
+}
+
+
+@query("vote_fingerprint", "SELECT sql, status, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_cols AS BIGINT) AS n_cols, same_as FROM " + X._values([(*r, _SAME.get(r[0], r[0])) for r in _RAN], "sql, status, n_rows, n_cols, same_as"))
 def vote_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(spark, sf_dir)[1].where("status = 'ok'").select("sql", "status", "n_rows", "n_cols")
+    same = Window.partitionBy("fingerprint", "n_rows", F.when(F.col("n_rows") > 0, F.col("n_cols")))
+    return _results(spark, sf_dir)[1].where("status = 'ok'").select("sql", "status", "n_rows", "n_cols", F.min("sql").over(same).alias("same_as"))
 
 
 @query("vote_clusters", "SELECT idx, cand_no, cluster, CAST(votes AS BIGINT) AS votes FROM " + X._values(_CLUSTERS, "idx, cand_no, cluster, votes"))

@@ -42,6 +42,13 @@ def test_jaccard_rule(spark):
         ("select a from t order by count(*) desc", "select a from t order by count ( * ) desc"),
         ("select x.a from t as x join u as y on x.i = y.i", "select t.a from t join u on t.i = u.i"),
         ("select t1.a from t t1 where t1.b = 2", "select t.a from t where t.b = 2"),
+        ("select a from t join u as T2 on t.a = T2.b", "select a from t join u on t.a = u.b"),
+        ("select x.a, y.b from t as x , u as y", "select t.a , u.b from t , u"),
+        ("select a from t where b = 'it''s' or c = ''", "select a from t where b = 'it''s' or c = ''"),
+        ("select a from t where b = 'open", "select a from t where b = 'open"),
+        ("select q.a from t q where q.b in (select r.c from u as r)", "select t.a from t where t.b in ( select u.c from u )"),
+        ("select a from (select b as a from t) as s, u v where v.c = 1", "select a from ( select b from t ) , u where u.c = 1"),
+        ("select a from t x order by x.a - 1, b", "select a from t order by t.a - 1 asc , b"),
         ("", ""),
     ],
 )
@@ -56,6 +63,9 @@ def test_normalize(spark, sql, want):
         ("select a from t join u on t.a = u.b and t.c = u.d", "select _ from _ "),
         ("select a from t order by nothing", "select _ from _ order by _ asc"),
         ("select max(a) from t where b < -3", "select max ( _ ) from _ where _"),
+        ("select a from t join u as T2 on t.a = T2.b where c = 1", "select _ from _ where _"),
+        ("select a from t join u on t.a = u.b and t.c = u.d or t.a = u.d", "select _ from _ "),
+        ("select a from t where a = 1 and b = 2 and c = 3 or d = 4", "select _ from _ where _"),
     ],
 )
 def test_skeleton(spark, sql, want):
