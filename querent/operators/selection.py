@@ -1,7 +1,8 @@
 """Example selection: exact nearest neighbours with gates, thresholds and backfill.
 
 The ten strategies are one plan with parameters. Targets are a stated set of checked size
-that travels to the pool; each task scores its part of the pool in blocks, keeps the best k
+that travels to the pool; each task scores its part of the pool in blocks (one matrix product
+bounds all keys of a block; those that can be among the best are then computed exactly), keeps the best k
 of every target, and a window over these few rows picks the k of all. Nothing else is
 shuffled, and no pair of rows is ever materialised.
 
@@ -20,8 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most targets that travel at once; more are taken in parts.
+#: Targets that travel at once; more are taken in parts.
 BLOCK = 4096
+#: Most targets of one call: all of them pass through the driver, part by part. A longer set is split by the caller.
+TARGETS = 1 << 18
 THRESHOLD = 0.85
 
 
@@ -68,7 +71,7 @@ def select(pool: DataFrame, targets: DataFrame, strategy: Strategy, k: int, cros
     names = ["idx", "db_id", "question", "vector", *([strategy.skeleton] if strategy.skeleton else [])]
     if missing := [c for c in names if c not in pool.columns or c not in targets.columns]:
         raise ValueError(f"the strategy needs the columns {missing} on both sides")
-    held = targets.select(*names).orderBy("idx").toPandas()
+    held = _held(targets.select(*names).orderBy("idx"))
     parts = [_block(pool.select(*names), held.iloc[at : at + BLOCK], strategy, k, cross_domain, threshold) for at in range(0, max(1, len(held)), BLOCK)]
     best = parts[0]
     for part in parts[1:]:
@@ -79,6 +82,14 @@ def select(pool: DataFrame, targets: DataFrame, strategy: Strategy, k: int, cros
     return ranked.where(F.col("rank") <= k).select("t_idx", "c_idx", "rank", score.alias("score"), "sim")
 
 
+def _held(targets: DataFrame) -> pd.DataFrame:
+    """The targets on the driver, if they are as few as was said."""
+    rows = targets.limit(TARGETS + 1).toPandas()
+    if len(rows) > TARGETS:
+        raise ValueError(f"more than {TARGETS} targets: split them")
+    return rows
+
+
 def _block(pool: DataFrame, targets: pd.DataFrame, strategy: Strategy, k: int, cross_domain: bool, threshold: float) -> DataFrame:
     sent = pool.sparkSession.sparkContext.broadcast(targets)
 
@@ -89,47 +100,68 @@ def _block(pool: DataFrame, targets: pd.DataFrame, strategy: Strategy, k: int, c
         tv = np.stack(t["vector"].to_numpy()).astype(np.float64)
         t_db, t_q, t_idx = t["db_id"].to_numpy(), t["question"].to_numpy(), t["idx"].to_numpy()
         known: dict[tuple[str, str], float] = {}
-        best: list[pd.DataFrame | None] = [None] * len(t)
+        t_long = np.sqrt((tv * tv).sum(axis=1))
+        skeletons, t_skel = np.unique(t[strategy.skeleton].to_numpy(dtype=str), return_inverse=True) if strategy.skeleton else (None, None)
+        # the best so far of every target: late, key, c_idx and sim, k of each at most
+        best = [tuple(np.empty(0, dtype=d) for d in (np.int32, np.float64, np.int64, np.float64))] * len(t)
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 c = whole.iloc[at : at + 1024]
                 cv = np.stack(c["vector"].to_numpy()).astype(np.float64)
                 c_db, c_q, c_idx = c["db_id"].to_numpy(), c["question"].to_numpy(), c["idx"].to_numpy()
+                c_long = np.sqrt((cv * cv).sum(axis=1))
+                # one product for all pairs of the block; it bounds each exact key to within slack
+                product = tv @ cv.T
+                if strategy.metric == "cosine":
+                    near = -product / (t_long[:, None] * c_long[None, :])
+                    slack = np.full(len(t), 1e-9)
+                else:
+                    near = np.sqrt(np.maximum((t_long**2)[:, None] + (c_long**2)[None, :] - 2 * product, 0))
+                    slack = 1e-6 * (1 + t_long + c_long.max())
+                sims = None
+                if strategy.skeleton:
+                    kinds, of = np.unique(c[strategy.skeleton].to_numpy(dtype=str), return_inverse=True)
+                    for pair in ((a, b) for a in skeletons for b in kinds if (a, b) not in known):
+                        known[pair] = similarity(*pair)
+                    sims = np.array([[known[a, b] for b in kinds] for a in skeletons])[:, of]
                 for i in range(len(t)):
-                    if strategy.metric == "cosine":
-                        key = -(cv @ tv[i]) / (np.sqrt((cv * cv).sum(axis=1)) * np.sqrt((tv[i] * tv[i]).sum()))
-                    else:
-                        key = np.sqrt(((cv - tv[i]) ** 2).sum(axis=1))
                     ok = np.ones(len(c), dtype=bool)
-                    if strategy.most is not None:
-                        ok &= key <= threshold
                     if cross_domain:
                         ok &= c_db != t_db[i]
                     if strategy.other_question:
                         ok &= c_q != t_q[i]
-                    sim = np.full(len(c), np.nan)
-                    late = np.zeros(len(c), dtype=np.int32)
-                    if strategy.skeleton:
-                        own = t[strategy.skeleton].iloc[i]
-                        for x in pd.unique(c[strategy.skeleton]):
-                            if (own, x) not in known:
-                                known[own, x] = similarity(own, x)
-                        sim = np.array([known[own, x] for x in c[strategy.skeleton]])
-                        if strategy.metric == "hybrid":
-                            key = key - sim
-                        if strategy.gate:
-                            late = (sim < threshold).astype(np.int32)
-                            if not strategy.backfill:
-                                ok &= late == 0
+                    sim = np.full(len(c), np.nan) if sims is None else sims[t_skel[i]]
+                    late = (sim < threshold).astype(np.int32) if strategy.gate else np.zeros(len(c), dtype=np.int32)
+                    if strategy.gate and not strategy.backfill:
+                        ok &= late == 0
+                    rough = near[i] - sim if strategy.metric == "hybrid" else near[i]
+                    if strategy.most is not None:
+                        ok &= near[i] <= threshold + slack[i]
+                    held = best[i]
+                    if len(held[0]) == k:
+                        ok &= (late < held[0][-1]) | (late == held[0][-1]) & (rough <= held[1][-1] + slack[i])
                     kept = np.flatnonzero(ok)
+                    if len(kept) > k:
+                        for level in (0, 1):
+                            own = kept[late[kept] == level]
+                            if len(own) > k:
+                                kept = kept[(late[kept] != level) | (rough[kept] <= np.partition(rough[own], k - 1)[k - 1] + 2 * slack[i])]
                     if not len(kept):
                         continue
-                    order = kept[np.lexsort((c_idx[kept], key[kept], late[kept]))[:k]]
-                    part = pd.DataFrame({"t_idx": t_idx[i], "c_idx": c_idx[order], "late": late[order], "key": key[order], "sim": sim[order]})
-                    best[i] = part if best[i] is None else pd.concat([best[i], part]).sort_values(["late", "key", "c_idx"], kind="stable").iloc[:k]
-        for part in best:
-            if part is not None:
-                yield part
+                    if strategy.metric == "cosine":
+                        key = -(cv[kept] * tv[i]).sum(axis=1) / (c_long[kept] * t_long[i])
+                    else:
+                        key = np.sqrt(((cv[kept] - tv[i]) ** 2).sum(axis=1))
+                    if strategy.most is not None:
+                        kept, key = kept[key <= threshold], key[key <= threshold]
+                    if strategy.metric == "hybrid":
+                        key = key - sim[kept]
+                    both = [np.concatenate(x) for x in zip(held, (late[kept], key, c_idx[kept], sim[kept]), strict=True)]
+                    order = np.lexsort((both[2], both[1], both[0]))[:k]
+                    best[i] = tuple(x[order] for x in both)
+        for i, (late, key, found, sim) in enumerate(best):
+            if len(found):
+                yield pd.DataFrame({"t_idx": t_idx[i], "c_idx": found, "late": late, "key": key, "sim": sim})
 
     out = pool.mapInPandas(run, "t_idx long, c_idx long, late int, key double, sim double")
     return out.withColumn("sim", F.when(~F.isnan("sim"), F.col("sim")))
@@ -137,7 +169,7 @@ def _block(pool: DataFrame, targets: pd.DataFrame, strategy: Strategy, k: int, c
 
 def select_random(pool: DataFrame, targets: DataFrame, k: int, seed: int = 0, cross_domain: bool = False) -> DataFrame:
     """(t_idx, c_idx, rank): k pool rows of each target in an order fixed by the seed. A task's k first suffice, so only these are shuffled."""
-    held = targets.select(F.col("idx").alias("t_idx"), F.col("db_id").alias("t_db")).toPandas()
+    held = _held(targets.select(F.col("idx").alias("t_idx"), F.col("db_id").alias("t_db")))
     sent = pool.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,6 +16,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_TOKENS = 200
 STOP = ";"
@@ -119,3 +120,8 @@ def ask(prompts: DataFrame, factory: Callable[[], Client], n: int = 1, temperatu
                 yield pd.DataFrame({"idx": part["idx"].to_numpy(), "db_id": part["db_id"].to_numpy(), "p_sqls": texts, "total_tokens": [tokens, *[0] * (len(part) - 1)], "status": status})
 
     return prompts.select("idx", "db_id", "prompt").mapInPandas(run, ASKED)
+
+
+def token_totals(answers: DataFrame) -> DataFrame:
+    """One row: calls' rows, failed ones, and the sum of total_tokens over all."""
+    return answers.agg(F.count(F.lit(1)).alias("answers"), F.coalesce(F.sum((F.col("status") != "ok").cast("long")), F.lit(0)).alias("failed"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"))

@@ -17,6 +17,7 @@ from querent.operators import prompts as P
 from querent.operators import selection, voting
 from querent.plans.llm_client import Client, ask
 from querent.sources.catalog import Catalog
+from querent.sources.stored import stored
 
 #: Examples offered for each shot; the budget may pass over many.
 SCOPE = 100
@@ -62,14 +63,13 @@ def build_prompts(targets: DataFrame, pool: DataFrame, databases: DataFrame, con
 
 def answered(prompts: DataFrame, client: Callable[[], Client], config: Config, results: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """idx, db_id, sql: the clean answer, or with several answers the winner of the vote over their results."""
-    raw = ask(prompts, client, config.n, config.temperature)
+    # calls are paid: what comes back is written once, and all that follows reads the table
+    raw = stored(ask(stored(prompts.select("idx", "db_id", "prompt"), "prompts"), client, config.n, config.temperature), "answers")
     candidates = raw.select("idx", "db_id", F.posexplode_outer("p_sqls").alias("cand_no", "sql")).withColumn("sql", answer_sql(F.coalesce("sql", F.lit(""))))
     candidates = candidates.withColumn("cand_no", F.coalesce("cand_no", F.lit(0)))
     if config.n == 1 or results is None:
         return candidates.where("cand_no = 0").select("idx", "db_id", "sql")
-    # the calls must not run twice
-    held = candidates.persist()
-    return voting.winners(held, results(held)).select("idx", "db_id", "sql")
+    return voting.winners(candidates, results(candidates)).select("idx", "db_id", "sql")
 
 
 def run(targets: DataFrame, pool: DataFrame, catalog: Catalog, client: Callable[[], Client], config: Config, results: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

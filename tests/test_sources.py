@@ -111,6 +111,38 @@ def test_two_passes(spark):
     assert {r["sql"] for r in got} <= {"SELECT 1", "SELECT 1.0"}
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_every_prompt_is_paid_once_a_pass(spark, tmp_path, n):
+    from pyspark.sql import functions as F
+
+    from tests.conftest import SF
+
+    vectors = X.vectors(spark, SF).where("idx < 60").withColumn("db_id", F.when(F.col("idx") % 3 == 0, X.WEB).otherwise(X.DB)).drop("skeleton", "pre_skeleton")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    got = pipeline.run(vectors.where("idx < 20"), vectors.where("idx >= 20"), X.catalog(spark), Counting(str(calls)), pipeline.Config(layout="TEXT", shots=2, n=n), lambda c: voting.execute(spark, c))
+    assert got.count() == 20 and len(got.collect()) == 20
+    assert len(list(calls.iterdir())) == 20 * 2
+
+
+class Counting:
+    """Leaves a file for every prompt that it is asked."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self):
+        import os
+        import uuid
+
+        def answer(prompts, n, temperature):
+            for _ in prompts:
+                open(os.path.join(self.folder, uuid.uuid4().hex), "w").close()
+            return Answers([[f"SELECT {len(p) % 3}"] * n for p in prompts], 1)
+
+        return answer
+
+
 def test_resumed_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
