@@ -35,6 +35,7 @@ class Config:
     n: int = 1
     temperature: float = 0.0
     cross_domain: bool = False
+    scope: int = SCOPE
 
 
 def with_skeletons(items: DataFrame, databases: DataFrame, query: str = "query", to: str = "skeleton") -> DataFrame:
@@ -52,9 +53,9 @@ def build_prompts(targets: DataFrame, pool: DataFrame, databases: DataFrame, con
         nothing = targets.sparkSession.createDataFrame([], "t_idx long, rank int, c_idx long, example string")
         return P.few_shot(asked, nothing, config.style, 0, config.max_seq_len, config.max_ans_len)
     if selector == "RANDOM":
-        ranked = selection.select_random(pool, targets, config.shots * SCOPE, cross_domain=config.cross_domain)
+        ranked = selection.select_random(pool, targets, config.shots * config.scope, cross_domain=config.cross_domain)
     else:
-        ranked = selection.select(pool, targets, selection.STRATEGIES[selector], config.shots * SCOPE, config.cross_domain)
+        ranked = selection.select(pool, targets, selection.STRATEGIES[selector], config.shots * config.scope, config.cross_domain)
     solved = P.rendered(pool, databases, config.layout)
     texts = solved.select(F.col("idx").alias("c_idx"), P.example(config.style, F.col("question"), F.col("query"), F.col("block")).alias("example"))
     offers = ranked.join(texts, "c_idx").select("t_idx", "rank", "c_idx", "example")

@@ -21,6 +21,10 @@ class Catalog:
     columns: DataFrame
     foreign_keys: DataFrame
 
+    def kept(self) -> Catalog:
+        """The same frames, each computed once while they stay in memory; what an executor loses is read anew."""
+        return Catalog(self.tables.persist(), self.columns.persist(), self.foreign_keys.persist())
+
     def per_database(self) -> DataFrame:
         """db_id, tables (in order: name, columns, ddl), fks (`a=b` texts in order), table_names, column_names (both lower-case)."""
         columns = self.columns.groupBy("db_id", "table_id").agg(F.array_sort(F.collect_list(F.struct("col_id", "column_name"))).alias("c"))
@@ -91,6 +95,28 @@ def read_tables_json(spark: SparkSession, path: str) -> Catalog:
     return of_frames(tables, columns, fks)
 
 
+def key_sets(spark: SparkSession, path: str) -> DataFrame:
+    """db_id, column, representative (`__table.column__`) of the columns in foreign keys of a tables.json file.
+
+    Keys join a set in file order: the first that has either column, else a new one. Sets are not merged later; of a
+    column in two sets, the later one counts. The representative is the set's first column.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", TABLES_JSON)).alias("d")).select("d.*")
+
+    def step(sets: Column, pair: Column) -> Column:
+        at = F.array_position(F.transform(sets, lambda s: F.arrays_overlap(s, pair)), True)
+        grown = F.transform(sets, lambda s, i: F.when(i + 1 == at, F.array_union(s, pair)).otherwise(s))
+        return F.when(at > 0, grown).otherwise(F.concat(sets, F.array(F.array_distinct(pair))))
+
+    none = F.array().cast("array<array<int>>")
+    name = F.transform("column_names_original", lambda c: F.when(c[0].cast("int") >= 0, F.concat(F.lit("__"), F.lower(F.element_at("table_names_original", c[0].cast("int") + 1)), F.lit("."), F.lower(c[1]), F.lit("__"))).otherwise("__all__"))
+    grouped = raw.select("db_id", name.alias("names"), F.posexplode(F.aggregate("foreign_keys", none, step)).alias("place", "set"))
+    members = grouped.select("db_id", "names", "place", F.array_min("set").alias("least"), F.explode("set").alias("col_id"))
+    named = members.groupBy("db_id", "col_id").agg(F.max_by(F.struct("names", "least"), "place").alias("m"))
+    pick = lambda i: F.element_at("m.names", i + 1)
+    return named.select("db_id", pick(F.col("col_id")).alias("column"), pick(F.col("m.least")).alias("representative"))
+
+
 def preprocessed(catalog: Catalog) -> DataFrame:
     """One row a database: column_to_table, table_to_columns, table_bounds, primary_keys, foreign_keys, foreign_keys_tables, typed_columns.
 

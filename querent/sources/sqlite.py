@@ -99,6 +99,17 @@ def cells(spark: SparkSession, files: list[tuple[str, str]], frames: Catalog) ->
     return jobs.repartition(n, "db_id", "table_name").mapInPandas(run, "db_id string, col_id int, value string")
 
 
+def execute_query(path: str, queries: str | list[str]) -> list[tuple] | list[list[tuple]]:
+    """All rows of a query on a database file, or of each of a list of queries; for the few rows of catalogs and checks."""
+    if not isinstance(queries, str | list):
+        raise TypeError(f"queries cannot be {type(queries)}")
+    con = _open(path)
+    try:
+        return con.execute(queries).fetchall() if isinstance(queries, str) else [con.execute(q).fetchall() for q in queries]
+    finally:
+        con.close()
+
+
 def register(spark: SparkSession, path: str) -> list[str]:
     """Temporary views of a database's tables, for running candidates; their names."""
     con = _open(path)
