@@ -26,11 +26,13 @@ from querent.llm.common import append, table, texts
 
 GRAMS = (3, 4)
 LEAST = 2e-5
-#: An n-gram much rarer in a language than in another is not counted for it.
-SHARE = 0.2
 ROWS = 1 << 22
 HASHES = 3
 UNKNOWN = "und"
+#: Documents whose masks are counted at once.
+DOCS = 4096
+#: The eight bits of each byte, lowest first.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -99,10 +101,14 @@ class Model:
             if not len(hashes):
                 continue
             count += np.bincount(owner, minlength=piece.n)
-            masks = self.masks(hashes)
-            for i in range(len(self.langs)):
-                bit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-                hits[:, i] += np.bincount(owner, weights=bit.astype(np.float64), minlength=piece.n)
+            masks = np.ascontiguousarray(self.masks(hashes)).view(np.uint8).reshape(len(hashes), -1)
+            # eight languages at a time: how often a document has each byte of masks, times the bits of the byte
+            edges = np.searchsorted(owner, np.arange(0, piece.n + DOCS, DOCS))
+            for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                first, last = part * DOCS, min(part * DOCS + DOCS, piece.n)
+                for i in range(0, len(self.langs), 8):
+                    seen = np.bincount((owner[a:b] - first) << 8 | masks[a:b, i // 8], minlength=(last - first) << 8).reshape(-1, 256)
+                    hits[first:last, i : i + 8] += (seen @ BITS)[:, : len(self.langs) - i]
         with np.errstate(invalid="ignore", divide="ignore"):
             share = np.where(count[:, None] > 0, hits / np.maximum(count, 1)[:, None], 0)
         return np.clip((share - self.rates) / (1 - self.rates), 0, 1)
@@ -162,9 +168,6 @@ def fit(train: DataFrame) -> Model:
     frequent = share.where(F.col("share") >= LEAST).select("lang", "n", "gram", "share").toArrow().to_pandas()
     docs = {r["lang"]: r["count"] for r in train.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
     langs = sorted(docs, key=lambda x: (-docs[x], x))
-    if len(frequent):
-        most = frequent.groupby(["n", "gram"])["share"].transform("max")
-        frequent = frequent[frequent["share"] >= SHARE * most]
     place = {x: i for i, x in enumerate(langs)}
     return build(langs, frequent["gram"].to_numpy(dtype=np.int64).view(np.uint64), np.array([place[x] for x in frequent["lang"]], dtype=np.int64))
 

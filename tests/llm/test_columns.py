@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from querent.llm import decontaminate, encode, language_id, media_columns, packing, sharding, token_counts, toxicity
+from querent.llm import decontaminate, encode, kernels, language_id, media_columns, packing, sharding, token_counts, toxicity
 from querent.llm.transducers import Machine, compose
 from tests.llm.corpus import empty, frame, sha, texts
 
@@ -270,6 +270,31 @@ def test_sliced_filters_hold_what_was_put_in():
     assert all(masks[i, o // 64] >> np.uint64(o % 64) & np.uint64(1) for i, o in enumerate(owners))
 
 
+def test_shares_against_plain_counting(spark):
+    """Corrected popcounts of the filters are the shares of n-grams in plain sets of each language's frequent ones."""
+    rng = random.Random(4)
+    parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["ka", "ung", "eit", "ver"], "cc": ["éa", "ou", "lo", "ço"]}
+    rows = [(" ".join("".join(rng.choices(parts[x], k=3)) for _ in range(rng.randint(1, 30))), x) for x in [*parts] * 30]
+    plain = lambda t: " " + re.sub("[^a-zé-ÿç]+", " ", t.lower())
+
+    def found(text):
+        raw = plain(text).encode()
+        return [raw[i : i + n] for n in language_id.GRAMS for i in range(len(raw) - n + 1)]
+
+    sets = {}
+    for x in parts:
+        count = Counter(g for t, y in rows if x == y for g in found(t))
+        total = {n: sum(c for g, c in count.items() if len(g) == n) for n in language_id.GRAMS}
+        sets[x] = {g for g, c in count.items() if c / total[len(g)] >= language_id.LEAST}
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    asked = [t for t, _ in rows[:40]] + ["kalo zzz ungver", "qq"]
+    (piece,) = kernels.pieces(pa.array(asked))
+    shares = model.shares(piece)
+    for i, t in enumerate(asked):
+        own = found(t)
+        assert shares[i].tolist() == pytest.approx([sum(g in sets[x] for g in own) / len(own) for x in model.langs], abs=1e-6)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     clean = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(400)]
