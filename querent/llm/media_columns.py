@@ -37,8 +37,14 @@ def box(kind: bytes, *parts: bytes) -> bytes:
     return b"".join((head, *parts))
 
 
-def full(kind: bytes, *parts: bytes, flags: int = 0) -> bytes:
-    return box(kind, struct.pack(">I", flags), *parts)
+def full(kind: bytes, *parts: bytes, flags: int = 0, version: int = 0) -> bytes:
+    return box(kind, struct.pack(">I", version << 24 | flags), *parts)
+
+
+def timed(kind: bytes, before: bytes, duration: int, *parts: bytes, flags: int = 0) -> bytes:
+    """A header box: two times, which are 0, then fields, a duration, and the rest; of the 64-bit version where the duration needs it."""
+    wide = duration >= 1 << 32
+    return full(kind, bytes(16 if wide else 8), before, struct.pack(">Q" if wide else ">I", duration), *parts, flags=flags, version=int(wide))
 
 
 def padded(data: bytes) -> bytes:
@@ -73,9 +79,9 @@ def mux(payload: bytes) -> bytes:
         )
         dinf = box(b"dinf", full(b"dref", struct.pack(">I", 1), full(b"url ", flags=1)))
         minf = box(b"minf", full(b"smhd", struct.pack(">2H", 0, 0)), dinf, stbl)
-        mdia = box(b"mdia", full(b"mdhd", struct.pack(">4I2H", 0, 0, RATE, duration & 0xFFFFFFFF, 0x55C4, 0)), full(b"hdlr", struct.pack(">I4s3I", 0, b"soun", 0, 0, 0), b"samples\0"), minf)
-        tkhd = full(b"tkhd", struct.pack(">5I", 0, 0, 1, 0, duration & 0xFFFFFFFF), b"\0" * 8, struct.pack(">4H", 0, 0, 0x100, 0), _MATRIX, struct.pack(">2I", 0, 0), flags=7)
-        mvhd = full(b"mvhd", struct.pack(">4I", 0, 0, RATE, duration & 0xFFFFFFFF), struct.pack(">IHH2I", 0x10000, 0x100, 0, 0, 0), _MATRIX, b"\0" * 24, struct.pack(">I", 2))
+        mdia = box(b"mdia", timed(b"mdhd", struct.pack(">I", RATE), duration, struct.pack(">2H", 0x55C4, 0)), full(b"hdlr", struct.pack(">I4s3I", 0, b"soun", 0, 0, 0), b"samples\0"), minf)
+        tkhd = timed(b"tkhd", struct.pack(">2I", 1, 0), duration, b"\0" * 8, struct.pack(">4H", 0, 0, 0x100, 0), _MATRIX, struct.pack(">2I", 0, 0), flags=7)
+        mvhd = timed(b"mvhd", struct.pack(">I", RATE), duration, struct.pack(">IHH2I", 0x10000, 0x100, 0, 0, 0), _MATRIX, b"\0" * 24, struct.pack(">I", 2))
         return box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
     head = 16 if len(payload) + 8 >= 1 << 32 else 8

@@ -73,6 +73,14 @@ def pieces(docs: DataFrame, context: int = CONTEXT, path: str | None = None, kee
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Writes pieces to a folder for each length (bucket=k), so a reader gets all sequences of one length without a scan of the others.
+
+    Every task writes its own files, without a shuffle; most documents being long or all of one length skews nothing.
+    """
+    packed.write.partitionBy("bucket").parquet(path)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     return pieces(table(spark, sf_dir, "documents"))

@@ -52,6 +52,13 @@ def test_foreign_container():
     assert [media[s:e] for s, e in track.key_ranges] == [data[20:26]]
 
 
+@pytest.mark.parametrize("duration", [1000, (1 << 32) - 1, 1 << 32, 1 << 40])
+def test_durations_of_any_size(duration):
+    media = media_columns.box(b"moov", media_columns.box(b"trak", media_columns.box(b"mdia", media_columns.timed(b"mdhd", struct.pack(">I", 8000), duration, struct.pack(">2H", 0, 0)))))
+    (track,) = media_columns.demux(media)
+    assert (track.timescale, track.duration) == (8000, duration)
+
+
 def test_media_query_rows(spark):
     docs = frame(spark)
     rows = media_columns.append(docs.select("doc_id", "text"), "text", media_columns.DIGEST, media_columns._digest).collect()
@@ -238,6 +245,16 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.decontaminate(frame(spark), bench, -1).where("contaminated").count() == 0
 
 
+def test_buckets_hold_one_length(spark, tmp_path):
+    packed = packing.pieces(frame(spark))
+    packing.write_buckets(packed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == packed.count()
+    for folder in (tmp_path / "out").glob("bucket=*"):
+        sizes = {r["length"] for r in spark.read.parquet(str(folder)).select("length").distinct().collect()}
+        assert sizes == {1 << int(folder.name.split("=")[1])}
+
+
 # --- learned operators -------------------------------------------------------------------
 
 

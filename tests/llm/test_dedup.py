@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from querent.llm import components, kernels, minhash_dedup, run_length_dedup, substring_dedup
+from querent.llm import components, decontaminate, kernels, minhash_dedup, run_length_dedup, substring_dedup
 from querent.llm.run_index import RunIndex
 from tests.llm.corpus import empty, frame, sha, texts, words
 
@@ -264,3 +264,19 @@ def test_distinct_spans_confirm():
     for hashes in (np.zeros(len(own), dtype=np.uint64), kernels.spans(data, starts, starts + sizes)):
         first, of = kernels.distinct_spans(data, starts, sizes, hashes)
         assert [own[first[i]] for i in of] == own and len(first) == len(set(own))
+
+
+def test_text_longer_than_a_stretch_of_winnow(spark):
+    """One text of over 2**24 bytes: passages near its end are found by operators 4, 8 and 10."""
+    rng = np.random.default_rng(1)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 7))) for _ in range(5000)])
+    big = " ".join(words[rng.integers(0, 5000, 3_500_000)])
+    assert len(big) > 1 << 24
+    passage = big[17_000_000:17_002_000]
+    docs = spark.createDataFrame([(1, passage), (2, big), (3, f"x {passage[100:900]} y")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in run_length_dedup.dedup(docs, keep_text=False).collect()} == {1: 0, 2: 2000, 3: 800}
+    inner = passage.split(" ")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(docs, keep_text=False).collect()}
+    assert got[1] == got[2] and len(inner) - 2 <= got[1] <= len(inner)
+    bench = spark.createDataFrame([(1, " ".join(inner[5:40]))], "item_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.decontaminate(docs, bench).collect()}[2] == 35
