@@ -57,11 +57,20 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; stages in between are stored in the shared checkpoint folder."""
     folder = shared_folder(spark)
-    docs = table(spark, sf_dir, "documents")
+    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+            path = f"{folder}/{k}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before is not None:
+                _delete(spark, before)  # this stage is stored whole; nothing reads the one before any more
+            before = path
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
