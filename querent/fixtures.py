@@ -62,6 +62,15 @@ def catalog(spark: SparkSession) -> Catalog:
     return of_frames(tables, columns, spark.createDataFrame(FOREIGN_KEYS, "db_id string, table_name string, source string, ref_table string, ref_column string"))
 
 
+def raw_databases(spark: SparkSession) -> DataFrame:
+    """The first database as a row of a tables.json file."""
+    own = [t for t in TABLES if t[0] == DB]
+    columns = [["-1", "*"], *([str(i), c[0]] for i, t in enumerate(own) for c in t[3])]
+    place = {name: i for i, (_, name) in enumerate(columns)}
+    keys = [[place[source], place[ref]] for _, _, source, _, ref in FOREIGN_KEYS]
+    return spark.createDataFrame([(DB, [t[1] for t in own], columns, keys)], "db_id string, table_names_original array<string>, column_names_original array<array<string>>, foreign_keys array<array<int>>")
+
+
 #: Query log: text, normal form and skeleton, the last two derived by hand.
 LOG = [
     ("SELECT p_name FROM part WHERE p_size > 10;", "select p_name from part where p_size > 10", "select _ from _ where _"),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from querent import fixtures as X
 from querent.functions import answers, similarity, sql_text
 from querent.operators import linking, metrics, prompts, relations, selection, voting
+from querent.plans import dataset, hooks, llm_client
 from querent.sources import catalog as catalogs
+from querent.sources.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,7 +124,12 @@ for _query, _name, _threshold in [
     ORACLES[_query] = _select_sql(_name, threshold=_threshold)
 
 
-@query("select_random_k")
+# the product of two 64-bit numbers, modulo 2**64
+_MIXED = "(((idx::UHUGEINT * 11400714819323198485 + t_idx::UHUGEINT * 14029467366897019727 + 1) % 18446744073709551616)::UBIGINT)"
+_ONCE = f"(((xor({_MIXED}, {_MIXED} >> 31)::UHUGEINT * 15485907386658061715) % 18446744073709551616)::UBIGINT)"
+
+
+@query("select_random_k", f"SELECT t_idx, idx AS c_idx, CAST(row_number() OVER (PARTITION BY t_idx ORDER BY key, idx) AS INTEGER) AS rank FROM (SELECT t_idx, idx, xor({_ONCE}, {_ONCE} >> 32) >> 1 AS key FROM (SELECT c.vec_id AS idx, t.vec_id AS t_idx FROM embeddings c, embeddings t WHERE t.vec_id % 25 = 0 AND c.label <> t.label)) QUALIFY rank <= {K}")
 def select_random_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = X.vectors(spark, sf_dir)
     return selection.select_random(pool, X.targets(pool), K, cross_domain=True)
@@ -216,7 +223,8 @@ def link_match_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     q = X.questions(spark, sf_dir)
-    return q, _links(spark, sf_dir), linking.number_links(q, X.catalog(spark).columns), linking.value_links(q, X.cells(spark, sf_dir))
+    # links are used several times by what follows: made once
+    return q, stored(_links(spark, sf_dir), "links"), linking.number_links(q, X.catalog(spark).columns), stored(linking.value_links(q, X.cells(spark, sf_dir)), "values")
 
 
 def _masked_sql(values: str, mask: str, value: str) -> str:
@@ -447,10 +455,66 @@ def dedup_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.later_duplicates(_docs(spark, sf_dir).select("idx", F.sha2("text", 256).alias("text")), "text").select("idx")
 
 
-@query("bird_tokens", r"SELECT conv_id, turn, array_to_string(list_reduce(list_transform(list_filter(string_split(text, ' '), lambda t: t <> ''), lambda t: CASE WHEN length(t) > 1 AND right(t, 1) IN ('?', '.', ':', ';', ',') THEN [left(t, length(t) - 1), right(t, 1)] ELSE [t] END), lambda a, b: list_concat(a, b)), '|') AS toks FROM conversations WHERE trim(text) <> ''")
+_TOKENS = "flatten(list_transform(list_filter(string_split({0}, ' '), lambda t: t <> ''), lambda t: CASE WHEN length(t) > 1 AND right(t, 1) IN ('?', '.', ':', ';', ',') THEN [left(t, length(t) - 1), right(t, 1)] ELSE [t] END))"
+
+
+@query("bird_tokens", f"SELECT conv_id, turn, array_to_string({_TOKENS.format('text')}, '|') AS toks FROM conversations")
 def bird_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations").where(F.trim("text") != "")
-    return c.select("conv_id", "turn", F.array_join(answers.question_tokens(F.col("text")), "|").alias("toks"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(answers.question_tokens(F.col("text")), "|").alias("toks"))
+
+
+_ASKED = "trim(p_name || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' ' || p_brand END)"
+
+
+@query("bird_converted", f"SELECT p_partkey, {_ASKED} AS question, array_to_string({_TOKENS.format(_ASKED)}, '|') AS toks, 'SELECT ' || p_size AS query FROM part")
+def bird_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.col("p_brand"))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("question"), evidence.alias("evidence"), F.concat(F.lit("SELECT "), F.col("p_size").cast("string")).alias("SQL"))
+    return dataset.converted(rows).select("p_partkey", "question", F.array_join("question_toks", "|").alias("toks"), "query")
+
+
+@query("gold_answer", rf"SELECT vec_id, substring(trim(regexp_replace(query, '\s+', ' ', 'g')), 8) AS answer FROM {_LOGGED}")
+def gold_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _logged(spark, sf_dir).select("vec_id", answers.gold_answer(F.col("query")).alias("answer"))
+
+
+@query("first_candidates", "SELECT doc_id AS idx, CAST(i AS INTEGER) AS cand_no, string_split(text, ' ')[CAST(i AS INTEGER) + 1] AS sql FROM (SELECT doc_id, text, unnest(range(0, least(3, len(string_split(text, ' '))))) AS i FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[A-Za-z0-9 .,]*'))")
+def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = _table(spark, sf_dir, "documents").where("text rlike '^[A-Za-z0-9 .,]*$'")
+    rows = plain.select(F.col("doc_id").alias("idx"), F.lit(X.DB).alias("db_id"), F.split("text", " ").alias("p_sqls"))
+    return voting.first_candidates(rows, 3).select("idx", "cand_no", "sql")
+
+
+@query("token_totals", r"SELECT count(*) AS answers, CAST(0 AS BIGINT) AS failed, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS total_tokens FROM benchmark WHERE text IS NOT NULL")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "benchmark").where("text is not null").select(F.xxhash64("item_id").alias("idx"), F.lit(X.DB).alias("db_id"), F.col("text").alias("prompt"))
+    return llm_client.token_totals(llm_client.ask(rows, llm_client.Replay()))
+
+
+_LEMMA = "CASE " + " ".join(f"WHEN ends_with(t, '{end}') AND length(t) > {len(end) + 2} THEN left(t, length(t) - {len(end)}) || '{put}'" for end, put in hooks._ENDINGS) + " ELSE t END"
+
+
+@query("annotated_tokens", rf"SELECT item_id, array_to_string(list_transform(regexp_extract_all(lower(text), '\d+(?:\.\d+)?|[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'), lambda t: {_LEMMA}), ' ') AS toks FROM benchmark WHERE text IS NOT NULL")
+def annotated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hooks.with_tokens(_table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", "text"), hooks.PlainTokens(), "text")
+    return rows.select("item_id", F.array_join("toks", " ").alias("toks"))
+
+
+#: By hand: columns in foreign keys of the fixture's catalog, and the first column of their set.
+_KEY_SETS = [(x, y) for y, own in {"region.r_regionkey": ["nation.n_regionkey"], "nation.n_nationkey": ["customer.c_nationkey"], "customer.c_custkey": ["orders.o_custkey"], "orders.o_orderkey": ["lineitem.l_orderkey"], "part.p_partkey": ["lineitem.l_partkey"]}.items() for x in [y, *own]]
+
+
+@query("foreign_key_sets", "SELECT '__' || a || '__' AS \"column\", '__' || b || '__' AS representative FROM " + X._values(_KEY_SETS, "a, b"))
+def foreign_key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.key_sets(X.raw_databases(spark)).select("column", "representative")
+
+
+@query("list_equality", "SELECT * FROM (VALUES ('same', true), ('turned', false), ('shorter', false)) AS v(pair, equal)")
+def list_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("double"), "n_name").orderBy("n_nationkey")
+    pairs = {"same": _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey"), "turned": nation.orderBy(F.desc("n_nationkey")), "shorter": nation.where("n_nationkey > 3").orderBy("n_nationkey")}
+    out = [voting.same_list(nation, other).select(F.lit(name).alias("pair"), "equal") for name, other in pairs.items()]
+    return out[0].union(out[1]).union(out[2])
 
 
 @query("bird_evidence", "SELECT p_partkey, trim(p_name || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' ' || p_brand END) AS question FROM part")

@@ -79,7 +79,7 @@ def read_tables_json(spark: SparkSession, path: str) -> Catalog:
 
     A primary key is a column or a list of columns (a composite key). Names of one table or column may be null.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", TABLES_JSON)).alias("d")).select("d.*")
+    raw = read_databases(spark, path)
     tables = raw.select("db_id", F.posexplode(F.arrays_zip("table_names_original", "table_names")).alias("table_id", "t")).select("db_id", "table_id", F.col("t.table_names_original").alias("table_name"), F.col("t.table_names").alias("display"))
     # a composite key's columns count from 1; single keys have place 1
     keys = raw.select("db_id", F.explode(F.from_json("primary_keys", "array<string>")).alias("k"))
@@ -95,13 +95,17 @@ def read_tables_json(spark: SparkSession, path: str) -> Catalog:
     return of_frames(tables, columns, fks)
 
 
-def key_sets(spark: SparkSession, path: str) -> DataFrame:
-    """db_id, column, representative (`__table.column__`) of the columns in foreign keys of a tables.json file.
+def read_databases(spark: SparkSession, path: str) -> DataFrame:
+    """A tables.json file as it is: a row for each database."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", TABLES_JSON)).alias("d")).select("d.*")
+
+
+def key_sets(databases: DataFrame) -> DataFrame:
+    """db_id, column, representative (`__table.column__`) of the columns in foreign keys, from db_id, table_names_original, column_names_original, foreign_keys.
 
     Keys join a set in file order: the first that has either column, else a new one. Sets are not merged later; of a
     column in two sets, the later one counts. The representative is the set's first column.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", TABLES_JSON)).alias("d")).select("d.*")
 
     def step(sets: Column, pair: Column) -> Column:
         at = F.array_position(F.transform(sets, lambda s: F.arrays_overlap(s, pair)), True)
@@ -110,7 +114,7 @@ def key_sets(spark: SparkSession, path: str) -> DataFrame:
 
     none = F.array().cast("array<array<int>>")
     name = F.transform("column_names_original", lambda c: F.when(c[0].cast("int") >= 0, F.concat(F.lit("__"), F.lower(F.element_at("table_names_original", c[0].cast("int") + 1)), F.lit("."), F.lower(c[1]), F.lit("__"))).otherwise("__all__"))
-    grouped = raw.select("db_id", name.alias("names"), F.posexplode(F.aggregate("foreign_keys", none, step)).alias("place", "set"))
+    grouped = databases.select("db_id", name.alias("names"), F.posexplode(F.aggregate("foreign_keys", none, step)).alias("place", "set"))
     members = grouped.select("db_id", "names", "place", F.array_min("set").alias("least"), F.explode("set").alias("col_id"))
     named = members.groupBy("db_id", "col_id").agg(F.max_by(F.struct("names", "least"), "place").alias("m"))
     pick = lambda i: F.element_at("m.names", i + 1)

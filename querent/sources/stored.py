@@ -19,7 +19,8 @@ def folder(spark: SparkSession) -> str:
         return held
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="querent-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="querent-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

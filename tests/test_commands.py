@@ -99,7 +99,7 @@ def test_other_dataset(spark, tmp_path):
 def test_key_sets(spark, tmp_path):
     own = TABLES | {"foreign_keys": [[8, 1], [4, 3], [7, 4], [1, 3]]}
     (tmp_path / "t.json").write_text(json.dumps([own]))
-    got = {r["column"]: r["representative"] for r in catalog.key_sets(spark, str(tmp_path / "t.json")).collect()}
+    got = {r["column"]: r["representative"] for r in catalog.key_sets(catalog.read_databases(spark, str(tmp_path / "t.json"))).collect()}
     # [1, 3] joins the first set that has either; column 3 is then in two, and the later set counts
     assert got == {"__concert.singer_id__": "__singer.singer_id__", "__singer.singer_id__": "__singer.singer_id__", "__singer.age__": "__singer.country__", "__singer.country__": "__singer.country__", "__concert.year__": "__singer.country__"}
 
