@@ -1,23 +1,27 @@
 """Schema and value linking of question tokens, and what follows from the links.
 
 Questions are rows (idx, db_id, toks). Links are rows (idx, db_id, q_id, kind, target_id, flag);
-kind is `col`, `tab`, `num` or `cell`. n-grams meet names by equality of (db_id, text) or of
-(db_id, first token) with a residual prefix test; tokens meet cells through an inverted value
+kind is `col`, `tab`, `num` or `cell`. Tokens meet names by equality of (db_id, first word), and only those that
+do grow to n-grams for the residual test; tokens meet cells through an inverted value
 index. There is no scan of cells for each token and no theta join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querent.functions.sql_text import is_number
 
-# English function words that link to nothing.
+# English function words that link to nothing, the widely published list of 179 in its usual order.
 STOP_WORDS = tuple(
-    "i me my we our you your he him his she her it its they them their what which who whom this that these those am is are was were be been being have has had having do does did doing "
-    "a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again "
-    "further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself it it's its itself they them their theirs themselves "
+    "what which who whom this that that'll these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against "
+    "between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such "
+    "no nor not only own same so than too very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven "
+    "haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't".split()
 )
 PUNCTUATION = tuple("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 MAX_GRAM = 5
@@ -44,9 +48,22 @@ def names(columns: DataFrame, tables: DataFrame) -> DataFrame:
     return c.union(tables.select("db_id", F.lit("tab"), F.col("table_id"), F.col("display")))
 
 
-def exact_names(grams: DataFrame, named: DataFrame) -> DataFrame:
+def _meeting(questions: DataFrame, named: DataFrame, lead: Callable[[Column], Column], most: int) -> DataFrame:
+    """idx, db_id, start, n, gram and a name's kind, target_id, name: all n-grams whose first token and the name have one lead.
+
+    An n-gram has the lead of its first token, so tokens meet names before any n-gram is made.
+    """
+    tokens = questions.select("idx", "db_id", "toks", F.posexplode("toks").alias("start", "_token")).withColumn("_lead", lead(F.col("_token")))
+    met = tokens.join(named.withColumn("_lead", lead(F.col("name"))).where("_lead <> ''"), ["db_id", "_lead"])
+    grown = met.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("toks") - F.col("start")))).alias("n"))
+    gram = F.array_join(F.slice("toks", F.col("start") + 1, F.col("n")), " ")
+    return grown.select("idx", "db_id", "start", "n", gram.alias("gram"), "kind", "target_id", "name").where(F.trim("gram") != "")
+
+
+def exact_names(questions: DataFrame, named: DataFrame, most: int = MAX_GRAM) -> DataFrame:
     """idx, db_id, start, n, kind, target_id of the n-grams that are a name."""
-    return grams.join(named.withColumnRenamed("name", "gram"), ["db_id", "gram"]).select("idx", "db_id", "start", "n", "kind", "target_id")
+    met = _meeting(questions, named, lambda c: F.split_part(c, F.lit(" "), F.lit(1)), most)
+    return met.where("gram = name").select("idx", "db_id", "start", "n", "kind", "target_id")
 
 
 def starts_name(gram: Column, name: Column) -> Column:
@@ -56,18 +73,16 @@ def starts_name(gram: Column, name: Column) -> Column:
     return name.startswith(gram) & word(F.left(name, F.lit(1))) & (word(F.right(gram, F.lit(1))) != word(after))
 
 
-def partial_names(grams: DataFrame, named: DataFrame) -> DataFrame:
+def partial_names(questions: DataFrame, named: DataFrame, most: int = MAX_GRAM) -> DataFrame:
     """idx, db_id, start, n, kind, target_id of the n-grams that a name begins with; stop words and single marks are none."""
-    lead = lambda c: F.regexp_extract(c, r"(?U)^\w*", 0)
-    left = grams.where(~_ignored(F.col("gram"))).withColumn("lead", lead(F.col("gram")))
-    right = named.withColumn("lead", lead(F.col("name"))).where("lead <> ''")
-    return left.join(right, ["db_id", "lead"]).where(starts_name(F.col("gram"), F.col("name"))).select("idx", "db_id", "start", "n", "kind", "target_id")
+    met = _meeting(questions, named, lambda c: F.regexp_extract(c, r"(?U)^\w*", 0), most)
+    return met.where(~_ignored(F.col("gram")) & starts_name(F.col("gram"), F.col("name"))).select("idx", "db_id", "start", "n", "kind", "target_id")
 
 
 def name_links(questions: DataFrame, columns: DataFrame, tables: DataFrame) -> DataFrame:
     """Links of each token to columns and tables; an exact match of any n-gram over the token outranks partial ones."""
-    grams, named = ngrams(questions), names(columns, tables)
-    both = exact_names(grams, named).withColumn("exact", F.lit(True)).union(partial_names(grams, named).withColumn("exact", F.lit(False)))
+    named = names(columns, tables)
+    both = exact_names(questions, named).withColumn("exact", F.lit(True)).union(partial_names(questions, named).withColumn("exact", F.lit(False)))
     tokens = both.select("idx", "db_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("q_id"), "kind", "target_id", "exact")
     best = tokens.groupBy("idx", "db_id", "q_id", "kind", "target_id").agg(F.max("exact").alias("exact"))
     col, tab = F.when(F.col("exact"), COLUMN_EXACT).otherwise(COLUMN_PARTIAL), F.when(F.col("exact"), TABLE_EXACT).otherwise(TABLE_PARTIAL)

@@ -169,12 +169,12 @@ def _names(spark: SparkSession) -> DataFrame:
 
 @query("link_names_exact", _ints(_EXACT, "idx", "start", "n", "kind", "target_id"))
 def link_names_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.exact_names(linking.ngrams(X.questions(spark, sf_dir)), F.broadcast(_names(spark))).select("idx", "start", "n", "kind", "target_id")
+    return linking.exact_names(X.questions(spark, sf_dir), F.broadcast(_names(spark))).select("idx", "start", "n", "kind", "target_id")
 
 
 @query("link_names_partial", _ints(_PARTIAL, "idx", "start", "n", "kind", "target_id"))
 def link_names_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.partial_names(linking.ngrams(X.questions(spark, sf_dir)), F.broadcast(_names(spark))).select("idx", "start", "n", "kind", "target_id")
+    return linking.partial_names(X.questions(spark, sf_dir), F.broadcast(_names(spark))).select("idx", "start", "n", "kind", "target_id")
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
