@@ -234,7 +234,7 @@ def shared_bands(classes: DataFrame, like: Limits) -> DataFrame:
 
 
 #: Members of a bucket in a block, and about as many shingles.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22
 
 
 def _blocked(members: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
