@@ -123,14 +123,15 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hash
     return np.concatenate([first, np.array(more, dtype=np.int64)]), of
 
 
-def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[starts:ends] for every pair; equal content gives equal hashes."""
-    n = len(values)
-    with np.errstate(over="ignore"):
-        total = np.empty(n + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(values * _power("up", _BASE, n), out=total[1:])
-        return mix((total[ends] - total[starts]) * _power("down", _BASE_INV, n + 1)[starts] + mix((ends - starts).astype(np.uint64)))
+def crowded(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
+    """Keys that more than ``most`` different strings have."""
+    names, of, times = np.unique(keys, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(times[of] > most)
+    if not len(at):
+        return names[:0]
+    first, _ = distinct_spans(data, starts[at], sizes[at], spans(data, starts[at], starts[at] + sizes[at]))
+    names, times = np.unique(keys[at[first]], return_counts=True)
+    return names[times > most]
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:

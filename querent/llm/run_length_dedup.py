@@ -17,10 +17,10 @@ matches are possible at all:
    has, and the run that a window lands in the smallest document of all that have it. A
    window is marked if that is smaller than its own. A context that is whole in a smaller
    document is marked throughout.
-4. An anchor in over MANY different contexts of one sender (the edge of a line that very many
-   documents share) would fill its shard. Its windows go out one by one instead, equal ones of
-   a sender once, to buckets of the hash of their bytes; its shard is told so and passes on the
-   windows of what it got from other senders. There equal windows meet whole: their bytes are
+4. An anchor in over MANY different contexts of one sender, or CROWD of all in its shard (the edge
+   of a line that very many documents share), would fill an index that grows with the corpus. Its
+   windows go out one by one instead, equal ones of a sender once, to buckets of the hash of their
+   bytes: from the sender, or from the shard, which is told so. There equal windows meet whole: their bytes are
    compared, and the smallest document of each decides.
 5. Marks return to their documents, whose covered bytes go, judged on the input alone.
 
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
-from querent.llm.common import buckets, grouped, table
+from querent.llm.common import buckets, grouped, stored_bytes, table
 from querent.llm.exchange import FIELDS, SENT, by_sender, copies, groups, keyed, pack, record, repeated, row, sender_ids, senders, unpack, with_places
 from querent.llm.run_index import RunIndex
 
@@ -49,6 +49,10 @@ ANCHOR = 16
 SHARD_BYTES = 2 << 20
 #: Different contexts of an anchor that a sender sends to its shard at most.
 MANY = 512
+#: Different contexts of an anchor that a shard puts in an index at most.
+CROWD = 4096
+#: Stored bytes of a sender, about; of many senders each sends fewer contexts of an anchor to its shard, LEAST_MANY at least.
+SENDER_BYTES, LEAST_MANY = 16 << 20, 8
 #: Bytes of contexts in one index; all contexts of an anchor are in the same one.
 INDEX_BYTES = 1 << 18
 
@@ -232,7 +236,7 @@ def _window_bits(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, own:
     return bits
 
 
-def _answer(n: int):
+def _answer(n: int, crowd: int):
     def answer(group: pa.Table) -> pa.Table:
         group = group.select(FIELDS)
         cols = {x: group[x].to_pylist() for x in FIELDS}
@@ -256,7 +260,7 @@ def _answer(n: int):
             base = np.concatenate([unpack(cols["places"][i]) for i in asked])
             sender = np.repeat([cols["sender"][i] for i in asked], sizes)
             starts = np.cumsum(lengths) - lengths
-            wide = np.isin(hashes, np.concatenate(named))
+            wide = np.isin(hashes, np.concatenate([*named, K.crowded(data, starts, lengths, hashes, crowd)]))
             for s in np.unique(sender[wide]):
                 k = np.flatnonzero(wide & (sender == s))
                 rows += _windows_sent(int(s), n, docs[k], own[k], base[k], lengths[k], _gathered(data, starts[k], lengths[k]))
@@ -274,7 +278,7 @@ def _answer(n: int):
     return answer
 
 
-def marked(docs: DataFrame, whole: DataFrame, n: int, many: int = MANY) -> DataFrame:
+def marked(docs: DataFrame, whole: DataFrame, n: int, many: int, crowd: int) -> DataFrame:
     """(doc_id, _h, places, values) of keyed documents that are no copies (whole): starts of contexts, and bits of the windows from there that are marked."""
     docs = with_places(docs, whole).where("copy is null").drop("copy")
     seeds = repeated(docs, _seeds, n, within=False, bytes_each=6)
@@ -284,7 +288,7 @@ def marked(docs: DataFrame, whole: DataFrame, n: int, many: int = MANY) -> DataF
         # rows that are answered have bucket -1 and are dealt by their sender
         return df.withColumn("dealt", F.when(F.col("bucket") < 0, F.col("sender")).otherwise(-1))
 
-    first = grouped(split(found), n, ["bucket", "dealt"], _answer(n), SENT)
+    first = grouped(split(found), n, ["bucket", "dealt"], _answer(n, crowd), SENT)
     return by_sender(grouped(split(first), n, ["bucket", "dealt"], _windows_answered, SENT), 8, n)
 
 
@@ -300,7 +304,7 @@ def _covered(n: int, copy: bool | None, places: bytes | None, values: bytes | No
     return K.covered(np.unique(starts), WINDOW, n)
 
 
-def dedup(docs: DataFrame, keep_text: bool = True, many: int = MANY) -> DataFrame:
+def dedup(docs: DataFrame, keep_text: bool = True, many: int | None = None, crowd: int = CROWD) -> DataFrame:
     """doc_id, _h, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and kept (binary) if wanted.
 
     Null and empty texts have no bytes. Documents of one doc_id are not smaller than each other. kept need not be valid UTF-8.
@@ -324,8 +328,10 @@ def dedup(docs: DataFrame, keep_text: bool = True, many: int = MANY) -> DataFram
                 names = ["doc_id", "_h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
                 yield pa.RecordBatch.from_arrays(arrays[: 6 + keep_text], names=names[: 6 + keep_text])
 
+    if many is None:
+        many = max(LEAST_MANY, min(MANY, 8 * CROWD * SENDER_BYTES // max(1, stored_bytes(docs))))
     whole = copies(docs)
-    found = marked(docs, whole, buckets(docs, SHARD_BYTES), many)
+    found = marked(docs, whole, buckets(docs, SHARD_BYTES), many, crowd)
     return with_places(with_places(docs, whole), found).select("doc_id", "text", "_h", "copy", "places", "values").mapInArrow(run, schema)
 
 

@@ -12,9 +12,10 @@ covers it starts anywhere else too.
    that cover its passages into Aho-Corasick automata over words told apart by their bytes,
    and streams the passages of all documents through them. A phrase found at two places or
    more is a recurring one: the words of every place where it was found go.
-4. An anchor in over MANY different passages of one sender would fill its shard. Its windows go one
-   by one, equal ones of a sender once, to buckets of the hash of their words, where automata
-   decide as in a shard; its shard is told so and passes on what other senders sent.
+4. An anchor in over MANY different passages of one sender, or CROWD of all in its shard, would make
+   an automaton that grows with the corpus. Its windows go one by one, equal ones of a sender
+   once, to buckets of the hash of their words, where automata decide as in a shard: from the
+   sender, or from the shard, which is told so.
 
 All windows of an anchor's place lie in one passage, and windows that are equal have equal
 anchors, so each place of a phrase is found once. Decisions use the whole input, never what
@@ -39,6 +40,8 @@ WINDOW = 35
 ANCHOR = 18
 #: Different passages of an anchor that a sender sends to its shard at most.
 MANY = 512
+#: Different passages of an anchor in an automaton at most.
+CROWD = 4096
 
 
 def _anchors(piece: K.Piece, window: int, anchor: int) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +233,7 @@ def _located(hashes: np.ndarray, count: np.ndarray, sizes: np.ndarray, data: np.
     return np.repeat(np.arange(len(of)), n), start[pick], size[pick]
 
 
-def _answer(n: int, window: int, first_round: bool):
+def _answer(n: int, window: int, first_round: bool, crowd: int):
     """Answers the passages of a shard; those of an anchor that a sender names as hot go on, window by window, to buckets of their hash."""
 
     def answer(group: pa.Table) -> pa.Table:
@@ -251,7 +254,8 @@ def _answer(n: int, window: int, first_round: bool):
             sizes = np.concatenate([np.frombuffer(h, dtype="<u4", count=m, offset=8 * m) for h, m in zip(held, k, strict=True)]).astype(np.int64)
             data = np.concatenate([np.frombuffer(h, dtype=np.uint8, offset=12 * m) for h, m in zip(held, k, strict=True)])
             starts = np.cumsum(sizes) - sizes
-            wide = np.isin(hashes, named)
+            # a window of the second round has a key of its own
+            wide = np.isin(hashes, np.concatenate([named, K.crowded(data, starts, sizes, hashes, crowd)])) if first_round else np.zeros(len(hashes), dtype=bool)
             for s in np.unique(sender[wide]):
                 own = np.flatnonzero(wide & (sender == s))
                 body = _slices(data, starts[own], sizes[own])
@@ -287,7 +291,7 @@ def _told(group: pa.Table, bytes_each: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.repeat(doc, n), np.repeat(place, n) + start[pick], size[pick].astype("<u4").view(np.uint8).reshape(-1, bytes_each)
 
 
-def covered_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, many: int = MANY) -> DataFrame:
+def covered_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, many: int = MANY, crowd: int = CROWD) -> DataFrame:
     """(doc_id, _h, places, values): of keyed documents the first words, and numbers of words, of the stretches that recurring windows cover."""
     n = buckets(docs)
     wanted = with_places(docs, recurring_windows(docs, window, anchor), "inner").select("doc_id", "text", "_h", "places")
@@ -297,8 +301,8 @@ def covered_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, m
         return df.withColumn("dealt", F.when(F.col("bucket") < 0, F.col("sender")).otherwise(-1))
 
     keys = ["bucket", "dealt"]
-    first = grouped(split(wanted.mapInArrow(_send(n, window, anchor, many), SENT)), n, keys, _answer(n, window, True), SENT)
-    return by_sender(grouped(split(first), n, keys, _answer(n, window, False), SENT), 4, n, _told)
+    first = grouped(split(wanted.mapInArrow(_send(n, window, anchor, many), SENT)), n, keys, _answer(n, window, True, crowd), SENT)
+    return by_sender(grouped(split(first), n, keys, _answer(n, window, False, crowd), SENT), 4, n, _told)
 
 
 def _removed(w: K.Words, starts: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
@@ -319,14 +323,14 @@ def _kept(piece: K.Piece, w: K.Words, gone: np.ndarray, d: int) -> bytes:
     return b" ".join([raw[s:e].tobytes() for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text: bool = True, many: int = MANY) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep_text: bool = True, many: int = MANY, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with keep_text also text (the kept words joined by one space; as it
     was, null included, where nothing is removed) and _rest (the other columns of the row).
 
     Null and empty texts have no words. Repeated rows repeat all their windows.
     """
     own = keyed(docs)
-    found = covered_words(own, window, anchor, many)
+    found = covered_words(own, window, anchor, many, crowd)
     null = fresh("null", docs)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if keep_text:

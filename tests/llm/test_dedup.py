@@ -140,8 +140,8 @@ def test_components(spark):
     assert got[9] == 4 and got[3] == 1 and got[149] == 100 and got[260] == 200 and 7 not in got
 
 
-@pytest.mark.parametrize("window, anchor, many", [(35, 18, 512), (6, 3, 512), (35, 18, 0), (6, 3, 1)])
-def test_repeated_passages(spark, window, anchor, many):
+@pytest.mark.parametrize("window, anchor, many, crowd", [(35, 18, 512, 4096), (6, 3, 512, 4096), (35, 18, 0, 4096), (6, 3, 1, 4096), (6, 3, 512, 1), (35, 18, 2, 2)])
+def test_repeated_passages(spark, window, anchor, many, crowd):
     docs = frame(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     count = Counter(tuple(w[i : i + window]) for _, t in rows for w in [words(t)] for i in range(len(w) - window + 1))
@@ -151,14 +151,14 @@ def test_repeated_passages(spark, window, anchor, many):
         gone = {j for i in range(len(w) - window + 1) if count[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         want[d, len(w), len(gone), sha(kept), kept.decode() if gone else t] += 1
-    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["text"]) for r in substring_dedup.dedup(docs, window, anchor, many=many).collect())
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["text"]) for r in substring_dedup.dedup(docs, window, anchor, many=many, crowd=crowd).collect())
     assert got == want
     cleaned = substring_dedup.cleaned(docs)
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
 
 
-@pytest.mark.parametrize("many", [64, 1, 0])
-def test_smaller_documents_bytes(spark, many):
+@pytest.mark.parametrize("many, crowd", [(None, 4096), (64, 1), (1, 4096), (0, 4096), (2, 3)])
+def test_smaller_documents_bytes(spark, many, crowd):
     docs = frame(spark)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
     order = lambda d: (d is None, d or 0)
@@ -175,7 +175,7 @@ def test_smaller_documents_bytes(spark, many):
                 gone[i : i + 50] = True
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         want[d, len(b), int(gone.sum()), spans, sha(np.frombuffer(b, dtype=np.uint8)[~gone].tobytes())] += 1
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in run_length_dedup.dedup(docs, many=many).collect())
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in run_length_dedup.dedup(docs, many=many, crowd=crowd).collect())
     assert got == want
 
 
