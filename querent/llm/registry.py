@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from querent.llm.alignment import op13_alignment
 from querent.llm.decontaminate import OP8_SQL, op8_decontamination
+from querent.llm.embedding_dedup import op12_embedding_dedup
 from querent.llm.language_id import op9_language_id
 from querent.llm.media_columns import op3_media_columns
+from querent.llm.merkle import OP11_SQL, op11_merkle
 from querent.llm.minhash_dedup import OP2_SQL, op2_minhash_dedup
 from querent.llm.packing import op5_packing
 from querent.llm.run_length_dedup import OP10_SQL, op10_run_length_dedup
@@ -24,7 +27,10 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_run_length_dedup": op10_run_length_dedup,
+    "op11_merkle": op11_merkle,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_alignment": op13_alignment,
 }
 
 #: The rest can't be put in SQL: containers, tokenizers and learned models. Tests compare them with brute force.
-ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op10_run_length_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op10_run_length_dedup": OP10_SQL, "op11_merkle": OP11_SQL}
