@@ -34,16 +34,9 @@ def make_prompts(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _executed(spark: SparkSession, candidates: DataFrame, folder: str) -> DataFrame:
-    """Results of all candidates, a database at a time, as tables of several may have one name."""
-    paths = dict(sqlite.databases(folder))
-    out = None
-    for r in candidates.select("db_id").distinct().orderBy("db_id").collect():
-        names = sqlite.register(spark, paths[r["db_id"]]) if r["db_id"] in paths else []
-        done = voting.execute(spark, candidates.where(F.col("db_id") == r["db_id"]))
-        for name in names:
-            spark.catalog.dropTempView(name)
-        out = done if out is None else out.union(done)
-    return out if out is not None else voting.execute(spark, candidates)
+    """Results of all candidates over stored copies of their databases."""
+    tables = {db: sqlite.snapshot(spark, path) for db, path in sqlite.databases(folder)}
+    return voting.execute(spark, candidates, tables=tables)
 
 
 def ask(spark: SparkSession, args: argparse.Namespace) -> None:

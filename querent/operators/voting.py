@@ -11,23 +11,32 @@ cells with the colours of their columns). Columns that stay equal are swapped wh
 nothing; where it does, each of them is tried first. The least hash over what is left is taken.
 So results are told apart, or taken as one, by 64-bit hashes alone; no order is left out.
 
-Only queries run: a candidate is parsed, and refused unless every part of its plan reads.
+Candidates are written for SQLite: ``dialect`` rewrites them, so that a vote is over the results
+that they have there. Each database has a session of its own, with its tables as views.
+
+Only queries run: a candidate is parsed, and refused unless every part of its plan reads, and
+reads nothing but tables of its database and what the statement itself names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import threading
+import uuid
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from querent.functions import dialect
 from querent.functions.answers import before_comment, fixed_year, joined_operators, without_distinct
+from querent.sources.stored import folder
 
-#: Candidates that run at a time.
-AT_ONCE = 4
+#: Candidates that run at a time, and results that the driver holds before it writes them.
+AT_ONCE, HELD = 4, 2000
 #: Parts of a parsed plan that only read.
 _READS = frozenset("""Aggregate Deduplicate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset
 OneRowRelation Pivot Project Sample Sort SubqueryAlias Tail Union UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases
@@ -97,70 +106,142 @@ class _Columns:
             yield from self.orders({x: 2 * k + (k == colours[c] and x != c) for x, k in colours.items()})
 
 
-def fingerprint(df: DataFrame) -> tuple[int, int, str]:
-    """(rows, columns, hash) of a result; all empty results share one hash."""
+def fingerprint(df: DataFrame, ordered: bool = False) -> tuple[int, int, str]:
+    """(rows, columns, hash) of a result; all empty results share one hash. ordered: rows count with their places, columns still in any order."""
     cells = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    cells = cells.select(*(tagged(F.col(f.name), f.dataType.simpleString()).alias(f.name) for f in cells.schema.fields)).persist()
+    cells = cells.select(*(tagged(F.col(f.name), f.dataType.simpleString()).alias(f.name) for f in cells.schema.fields))
+    n = len(cells.columns)
+    held = [(_placed(cells) if ordered else cells).persist()]
     try:
-        n = len(cells.columns)
+        if ordered:
+            held.append(_numbered(held[0]).persist())
+        cells = held[-1]
         first = cells.agg(F.count(F.lit(1)).alias("n"), *(_bag(F.col(c)).alias(c) for c in cells.columns)).first()
         if not first["n"]:
             return 0, n, "empty"
         columns, kinds = _Columns(cells), sorted({first[c] for c in cells.columns})
-        orders = list(columns.orders({c: kinds.index(first[c]) for c in cells.columns}))
+        # a place is a colour of its own, so it stays where it is
+        orders = list(columns.orders({c: -1 if c == "place" else kinds.index(first[c]) for c in cells.columns}))
         hashes = columns.bags({f"o{i}": [F.col(x) for x in order] for i, order in enumerate(orders)})
         return first["n"], n, min(hashes.values())
     finally:
-        cells.unpersist()
+        for x in held:
+            x.unpersist()
+
+
+def _placed(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("id", F.monotonically_increasing_id())
+
+
+def _numbered(held: DataFrame) -> DataFrame:
+    """place, gapless, in place of the id of a sorted frame: its partitions are in order, so places count within them and the rows of those before."""
+    part = F.shiftright("id", 33)
+    sizes = {r["part"]: r["n"] for r in held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each partition
+    before = [(p, sum(sizes[q] for q in sizes if q < p)) for p in sizes]
+    own = F.broadcast(held.sparkSession.createDataFrame(before, "part long, before long"))
+    place = F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")
+    return held.join(own, part == F.col("part")).withColumn("place", place.cast("string")).drop("id", "part", "before")
 
 
-def reads_only(spark: SparkSession, sql: str) -> bool:
-    """Whether a statement parses as a query of which every part reads. Nothing is looked up or run."""
+def reads_only(spark: SparkSession, sql: str, names: frozenset[str] | None = None) -> bool:
+    """Whether a statement parses as a query of which every part reads, from tables of these names (lower case; None: any one-part name) and its own. Nothing is looked up or run."""
     if _CALLS.search(sql):
         return False
 
-    def reads(plan) -> bool:
-        if plan.getClass().getSimpleName() not in _READS:
+    def inner(node) -> list:
+        sets = [node.children(), node.innerChildren()]
+        return [x.apply(i) for x in sets for i in range(x.size()) if _is_plan(x.apply(i))]
+
+    def reads(plan, own: frozenset[str]) -> bool:
+        kind = plan.getClass().getSimpleName()
+        if kind not in _READS:
             return False
-        inner = [plan.children(), plan.innerChildren()]
-        return all(reads(x.apply(i)) for x in inner for i in range(x.size()) if _is_plan(x.apply(i)))
+        if kind == "UnresolvedRelation":
+            parts = plan.multipartIdentifier()
+            name = str(parts.apply(0)).lower()
+            return parts.size() == 1 and (names is None or name in names or name in own)
+        if kind == "UnresolvedWith":
+            held = plan.cteRelations()
+            own = own | {str(held.apply(i)._1()).lower() for i in range(held.size())}
+        return all(reads(x, own) for x in inner(plan))
 
     def _is_plan(node) -> bool:
         return "plans.logical" in node.getClass().getName() or "catalyst.analysis" in node.getClass().getName()
 
     try:
-        return reads(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
+        return reads(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset())
     except Exception:  # what does not parse does not run
         return False
 
 
-def execute(spark: SparkSession, candidates: DataFrame, timeout_s: int = 60) -> DataFrame:
-    """(db_id, sql, status, n_rows, n_cols, fingerprint) for each distinct candidate (db_id, sql).
+#: Frames of a database by name, made on a session.
+Tables = Callable[[SparkSession], dict[str, DataFrame]]
 
-    Only single queries run; what fails or takes too long is a status, not an error. Views of a database are
-    registered by the caller. AT_ONCE statements run at a time, and only statements come to the driver, never rows.
-    """
-    rows = candidates.select("db_id", "sql", executable(F.col("sql")).alias("run")).distinct().orderBy("db_id", "sql").collect()
-    spark.sparkContext.setInterruptOnCancel(True)
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        done = list(pool.map(lambda r: (r["db_id"], r["sql"], *_run(spark, r["run"], timeout_s)), rows))
-    schema = StructType([StructField("db_id", StringType()), StructField("sql", StringType()), *RESULT.fields])
-    return spark.createDataFrame(done, schema)
 
+class Database:
+    """A session of its own with the tables of a database as views."""
 
-def _run(spark: SparkSession, sql: str | None, timeout_s: int) -> tuple[str, int | None, int | None, str | None]:
-    import threading
-    import uuid
+    def __init__(self, spark: SparkSession, tables: Tables | None):
+        if tables is None:  # the views of the caller's session
+            self.session, own = spark, {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary}
+        else:
+            self.session = spark.newSession()
+            for key, value in spark.conf.getAll.items():
+                if key.startswith("spark.sql.") and self.session.conf.isModifiable(key):
+                    self.session.conf.set(key, value)
+            self.session.conf.set("spark.sql.ansi.enabled", "false")  # what is no number is NULL, as there
+            own = tables(self.session)
+            for name, df in own.items():
+                df.createOrReplaceTempView(f"`{name.replace('`', '``')}`")
+        self.names = dialect.names_of({name: df.dtypes for name, df in own.items()})
 
-    sql = (sql or "").rstrip().rstrip(";")
-    if not reads_only(spark, sql):
-        return "refused", None, None, None
+    def frame(self, sql: str, rewrite: bool = True) -> DataFrame | None:
+        """The statement's result, None if it is no query over these tables."""
+        try:
+            text = dialect.to_spark(sql, self.names) if rewrite else sql
+        except dialect.NotAQuery:
+            return None
+        return self.session.sql(text) if reads_only(self.session, text, self.names.tables) else None
+
+
+def execute(spark: SparkSession, candidates: DataFrame, timeout_s: int = 60, tables: dict[str, Tables] | None = None, rewrite: bool = True) -> DataFrame:
+    """(db_id, sql, status, n_rows, n_cols, fingerprint) for each distinct candidate (db_id, sql).
+
+    Only single queries run; what fails or takes too long is a status, not an error. tables has the tables of each
+    database, which gets a session; without it, candidates see the temporary views of this session. rewrite: statements are
+    SQLite's. AT_ONCE run at a time; statements come to the driver one database after the other, never rows, and HELD
+    results at a time go to a table in the shared folder.
+    """
+    schema = StructType([StructField("db_id", StringType()), StructField("sql", StringType()), *RESULT.fields])
+    path = f"{folder(spark)}/results-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    spark.sparkContext.setInterruptOnCancel(True)
+    rows = candidates.select("db_id", "sql", executable(F.col("sql")).alias("run")).distinct().orderBy("db_id", "sql").toLocalIterator()
+    for db_id, own in groupby(rows, key=lambda r: r["db_id"]):
+        if tables is not None and db_id not in tables:
+            place = lambda _: {}
+        else:
+            place = None if tables is None else tables[db_id]
+        database = Database(spark, place)
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            while part := list(islice(own, HELD)):
+                done = list(pool.map(lambda r, on=database: (r["db_id"], r["sql"], *_run(on, r["run"], timeout_s, rewrite)), part))
+                spark.createDataFrame(done, schema).coalesce(1).write.mode("append").parquet(path)
+        if place is not None:
+            for t in database.session.catalog.listTables():
+                database.session.catalog.dropTempView(t.name)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _run(database: Database, sql: str | None, timeout_s: int, rewrite: bool) -> tuple[str, int | None, int | None, str | None]:
+    spark = database.session
     tag = f"candidate-{uuid.uuid4().hex}"
     timer = threading.Timer(timeout_s, lambda: spark.interruptTag(tag))
     spark.addTag(tag)
     timer.start()
     try:
-        return ("ok", *fingerprint(spark.sql(sql)))
+        found = database.frame((sql or "").rstrip().rstrip(";"), rewrite)
+        return ("ok", *fingerprint(found)) if found is not None else ("refused", None, None, None)
     except Exception as e:  # a model's statement may fail in any way
         return f"error: {type(e).__name__}", None, None, None
     finally:
@@ -187,22 +268,10 @@ def first_candidates(answers: DataFrame, n: int) -> DataFrame:
     return answers.select("idx", "db_id", F.posexplode(F.slice("p_sqls", 1, n)).alias("cand_no", "sql")).withColumn("sql", before_comment(F.col("sql")))
 
 
-def in_order(df: DataFrame) -> DataFrame:
-    """One row, rows and hash: of the rows as they stand, in the order of the frame, cells as in a vote. The hash of a place and its row is summed, so no row is collected."""
-    cells = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    text = F.xxhash64(*(tagged(F.col(f.name), f.dataType.simpleString()) for f in cells.schema.fields))
-    # a sorted frame has its partitions in order; places count within them, and partitions by their rows before
-    held = cells.select(text.alias("row"), F.monotonically_increasing_id().alias("id")).persist()
-    part = F.shiftright("id", 33)
-    before = held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    place = F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + F.coalesce("before", F.lit(0))
-    return held.join(F.broadcast(before), part == F.col("part")).agg(F.count(F.lit(1)).alias("rows"), _bag(place, F.col("row")).alias("hash"))
-
-
 def same_list(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row, equal: whether two frames hold the same rows in the same order; columns by place, 1 and 1.0 as equal."""
-    x, y = in_order(a), in_order(b).withColumnsRenamed({"rows": "other_rows", "hash": "other_hash"})
-    return x.join(y).select(((F.col("rows") == F.col("other_rows")) & (F.col("hash") == F.col("other_hash"))).alias("equal"))
+    """One row, equal: whether two frames hold the same rows in the same order, under some order of their columns; 1 and 1.0 are equal, so are all empty results."""
+    x, y = fingerprint(a, ordered=True), fingerprint(b, ordered=True)
+    return a.sparkSession.createDataFrame([(x == y or x[0] == y[0] == 0,)], "equal boolean")
 
 
 def same_bag(a: DataFrame, b: DataFrame) -> DataFrame:

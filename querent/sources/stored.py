@@ -23,9 +23,13 @@ def folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table of its own and read back."""
+def write(df: DataFrame, name: str) -> str:
+    """The folder of a table of its own that df is written to."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a table of its own and read back."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
