@@ -11,9 +11,10 @@ size the vocabulary bounds. Where the shared folder is no mounted path (an objec
 the same counts are joined with the links instead, hot keys apart.
 
 Both tokenizers end a token wherever a space follows a character that is not white space
-(``Pair`` checks that of the vocabularies), so a text is encoded and aligned piece by piece
-between such places, and pieces seen before come from a cache. ``Pair.whole`` is the plain
-path, which also takes texts that a piece does not give back byte for byte.
+(``Pair`` checks that of the vocabularies), so a text is encoded piece by piece between such
+places, and the ids of pieces seen before come from a cache. ``Pair.whole`` is the plain path,
+which also takes texts that a piece does not give back byte for byte. Groups and links of many
+documents are made at once from the offsets.
 
 Null and empty texts, and texts whose tokens do not spell them, have no tokens: zeros and
 an empty groups_sha256. Repeated rows are documents each. Columns besides doc_id and text
@@ -26,8 +27,10 @@ import hashlib
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +42,14 @@ from querent.llm.common import hot_join, shared_folder, strings, table, texts
 
 #: The tokenizers of op13_alignment.
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Pieces a worker keeps aligned, and the bytes of their links; then the cache starts anew. Bounds memory only.
-CACHE, CACHE_BYTES = 300_000, 128 << 20
+#: Pieces whose ids a worker keeps, and their characters; then the cache starts anew. Bounds memory only.
+CACHE, CACHE_CHARS = 400_000, 16 << 20
 #: Distinct keys that a task merges before it passes its partial counts on. Bounds memory only.
 MERGED = 2_000_000
-#: Documents encoded at a time.
-CHUNK = 256
-#: Links of a group from which its distinct ids are multiplied as arrays.
-OUTER = 256
+#: Characters of documents that are aligned at a time.
+CHUNK = 1 << 20
+#: Links of a group from which its distinct ids are multiplied.
+OUTER = 4096
 
 _EDGE = re.compile(r"(?<=\S)(?= )")
 _loaded: dict[tuple[str, str], Pair] = {}
@@ -59,42 +62,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Aligned:
-    """A piece's tokens: their numbers, distinct link keys (unsorted) with how often each occurs, and its groups as text."""
-
-    __slots__ = ("groups", "keys", "n_a", "n_b", "n_groups", "n_links", "times")
-
-    def __init__(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]):
-        """ends: the byte offset after each token; the last of both are equal."""
-        parts, keys, times = [], [], []
-        small: dict[int, int] = {}
-        self.n_links = i = j = 0
-        while i < len(a):
-            at_a, at_b = i, j
-            while ends_a[i] != ends_b[j]:
-                if ends_a[i] < ends_b[j]:
-                    i += 1
-                else:
-                    j += 1
-            i, j = i + 1, j + 1
-            own_a, own_b = a[at_a:i], b[at_b:j]
-            parts.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            self.n_links += len(own_a) * len(own_b)
-            if len(own_a) * len(own_b) <= OUTER:
-                for x in own_a:
-                    for y in own_b:
-                        small[x << 32 | y] = small.get(x << 32 | y, 0) + 1
-            else:
-                (xa, na), (xb, nb) = (np.unique(np.array(x, dtype=np.int64), return_counts=True) for x in (own_a, own_b))
-                keys.append((xa[:, None] << 32 | xb[None, :]).ravel())
-                times.append(np.multiply.outer(na, nb).ravel())
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(parts)
-        self.groups = ";".join(parts)
-        self.keys, self.times = (np.fromiter(x, dtype=np.int64, count=len(small)) for x in (small.keys(), small.values()))
-        if keys:
-            self.keys, self.times = summed(np.concatenate([self.keys, *keys]), np.concatenate([self.times, *times]))
-
-
 def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of times of each."""
     own, inverse = np.unique(keys, return_inverse=True)
@@ -104,7 +71,7 @@ def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Pair:
-    """Both tokenizers, and the pieces that they have aligned."""
+    """Both tokenizers, and the ids of the pieces that they have encoded."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -119,50 +86,122 @@ class Pair:
         self.bytes_a: dict[int, bytes] = {i: bytes(letters[c] for c in x) if all(c in letters for c in x) else x.encode() for x, i in vocabulary.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
+        self.size_a = np.zeros(max(self.bytes_a) + 1, dtype=np.int64)
+        self.size_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
+        self.size_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
+        # ids as text, with what follows them in a group: for A a comma or the bar, for B a comma or the group's end
+        self.text = [f"{i}{x}" for i in range(len(self.size_a)) for x in ",|"] + [f"{i}{x}" for i in range(len(self.size_b)) for x in ",;"]
         # no piece of B goes on with a space, and A's pre-tokenizer is the usual one, which starts anew at a space
         self.cuts = not any(re.search("[^▁]▁", x) for x in pieces) and '"use_regex":true' in self.a.to_str().replace(" ", "")
-        self.known: dict[str, Aligned | None] = {}
+        self.space = [self.b.piece_to_id("▁")]
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
         self.held = 0
 
-    def _aligned(self, spaced: str, a: list[int], b: list[int]) -> Aligned | None:
-        of_a, of_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+    def _checked(self, spaced: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
+        """Ids as little-endian 32-bit numbers; None if they do not spell the text."""
         data = spaced.encode()
-        if b"".join(of_a) != data or b"".join(of_b) != data:
+        if b"".join([self.bytes_a[i] for i in a]) != data or b"".join([self.bytes_b[i] for i in b]) != data:
             return None
-        return Aligned(a, b, list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b))))
+        return array("i", a).tobytes(), array("i", b).tobytes()
 
-    def whole(self, text: str) -> Aligned | None:
-        """Alignment of space+text without the cache; None for texts without tokens."""
+    def whole(self, text: str) -> tuple[bytes, bytes] | None:
+        """Ids of space+text without the cache; None for texts without tokens."""
         if not text:
             return None
-        return self._aligned(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
+        return self._checked(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
 
     def _learn(self, pieces: list[str]) -> None:
         of_a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
         of_b = self.b.encode([x[1:] for x in pieces], num_threads=1)
         for x, a, b in zip(pieces, of_a, of_b, strict=True):
-            self.known[x] = got = self._aligned(x, a.ids, b) if len(x) > 1 else self._aligned(x, a.ids, [self.b.piece_to_id("▁")])
-            self.held += 16 * len(got.keys) + 2 * len(got.groups) if got else 0
+            self.known[x] = self._checked(x, a.ids, b if len(x) > 1 else self.space)
+            self.held += len(x)
 
-    def parts(self, own: list[str]) -> list[list[Aligned] | None]:
-        """The aligned pieces of each text in order; None for texts without tokens."""
-        if len(self.known) > CACHE or self.held > CACHE_BYTES:
+    def ids(self, own: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both tokenizers for each text; None for texts without tokens."""
+        if len(self.known) > CACHE or self.held > CACHE_CHARS:
             self.known.clear()
             self.held = 0
         split = [_EDGE.split(" " + x) if x and self.cuts else [] for x in own]
-        missing = list({x for pieces in split for x in pieces}.difference(self.known))
+        missing = list(set(chain.from_iterable(split)).difference(self.known))
         if missing:
             self._learn(missing)
-        out: list[list[Aligned] | None] = []
+        out: list[tuple[bytes, bytes] | None] = []
         for text, pieces in zip(own, split, strict=True):
-            found = [self.known[x] for x in pieces]
+            found = list(map(self.known.__getitem__, pieces))
             if not found or None in found:
-                got = self.whole(text)
-                found = [got] if got else None
-            out.append(found)
+                out.append(self.whole(text))
+            else:
+                of_a, of_b = zip(*found, strict=True)
+                out.append((b"".join(of_a), b"".join(of_b)))
         return out
 
 
+@dataclass
+class Aligned:
+    """Of each document: tokens, groups, links, the digest of the groups; then the distinct keys of all with how often each occurs, and where each document's end."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    sha: list[str]
+    keys: np.ndarray
+    times: np.ndarray
+    ends: np.ndarray
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def aligned(both: Pair, ids: list[tuple[bytes, bytes] | None]) -> Aligned:
+    """Alignment of documents by their ids, all at once: texts with tokens are laid end to end, so that offsets of both kinds of tokens are comparable."""
+    n = len(ids)
+    of_a, of_b = (np.frombuffer(b"".join([x[k] for x in ids if x]), dtype="<i4").astype(np.int64) for k in (0, 1))
+    n_a, n_b = (np.array([len(x[k]) // 4 if x else 0 for x in ids], dtype=np.int64) for k in (0, 1))
+    end_a, end_b = np.cumsum(both.size_a[of_a]), np.cumsum(both.size_b[of_b])
+    last_a = end_b[np.searchsorted(end_b, end_a)] == end_a if len(of_a) else np.empty(0, dtype=bool)
+    last_b = end_a[np.searchsorted(end_a, end_b)] == end_b if len(of_b) else np.empty(0, dtype=bool)
+    in_a, in_b = (np.concatenate([[0], np.cumsum(x)[:-1]])[: len(x)] for x in (last_a, last_b))  # the group of each token
+    groups = int(last_a.sum())
+    own_a, own_b = np.bincount(in_a, minlength=groups), np.bincount(in_b, minlength=groups)
+    at_a, at_b = _offsets(own_a), _offsets(own_b)
+    docs = np.repeat(np.arange(n), n_a)[last_a]  # the document of each group
+    n_groups = np.bincount(docs, minlength=n)
+    # groups in order, each its A ids and then its B ids, as places of a list of texts
+    codes = np.empty(len(of_a) + len(of_b), dtype=np.int64)
+    codes[np.arange(len(of_a)) + at_b[in_a]] = 2 * of_a + last_a
+    codes[np.arange(len(of_b)) + at_a[in_b + 1]] = 2 * (len(both.size_a) + of_b) + last_b
+    stops = _offsets(n_a + n_b)
+    sha = [hashlib.sha256("".join(map(both.text.__getitem__, codes[i:j].tolist()))[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+    links = own_a * own_b
+    n_links = np.zeros(n, dtype=np.int64)
+    np.add.at(n_links, docs, links)
+    # pairs: every A token with each B token of its group; large groups go by their distinct ids
+    large = links > OUTER
+    many = np.where(large, 0, own_b)[in_a]
+    first = np.repeat(at_b[in_a], many)
+    place = np.arange(int(many.sum())) - np.repeat(_offsets(many)[:-1], many)
+    doc, key = np.repeat(docs[in_a], many) if groups else np.empty(0, dtype=np.int64), np.repeat(of_a, many) << 32 | of_b[first + place]
+    times = np.ones(len(key), dtype=np.int64)
+    for g in np.flatnonzero(large).tolist():
+        (xa, na), (xb, nb) = (np.unique(x[at[g] : at[g + 1]], return_counts=True) for x, at in ((of_a, at_a), (of_b, at_b)))
+        doc = np.concatenate([doc, np.full(len(xa) * len(xb), docs[g])])
+        key = np.concatenate([key, (xa[:, None] << 32 | xb[None, :]).ravel()])
+        times = np.concatenate([times, np.multiply.outer(na, nb).ravel()])
+    bits_a, bits_b = (len(x).bit_length() for x in (both.size_a, both.size_b))
+    if large.any() or n.bit_length() + bits_a + bits_b > 63:
+        order = np.lexsort((key, doc))
+        doc, key, times = doc[order], key[order], times[order]
+    else:  # a document, A's id and B's in one number, which sorts several times as fast
+        packed = np.sort(doc << (bits_a + bits_b) | (key >> 32) << bits_b | key & ((1 << 32) - 1))
+        doc, key = packed >> (bits_a + bits_b), (packed >> bits_b & ((1 << bits_a) - 1)) << 32 | packed & ((1 << bits_b) - 1)
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))[: len(key)]
+    times = np.add.reduceat(times, new) if len(new) else times
+    return Aligned(n_a, n_b, n_groups, n_links, sha, key[new], times, np.searchsorted(doc[new], np.arange(n), side="right"))
+
+
 def pair(path_a: str | None = None, path_b: str | None = None) -> Pair:
     import public_tokenizers
 
@@ -172,6 +211,18 @@ def pair(path_a: str | None = None, path_b: str | None = None) -> Pair:
     return _loaded[key]
 
 
+def _chunks(own: list[str]) -> Iterator[tuple[int, int]]:
+    """Places of documents of about CHUNK characters together, a longer one alone."""
+    start = size = 0
+    for i, x in enumerate(own):
+        if size and size + len(x) > CHUNK:
+            yield start, i
+            start, size = i, 0
+        size += len(x)
+    if start < len(own):
+        yield start, len(own)
+
+
 LINKS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys array<long>, times array<long>"
 
 
@@ -180,22 +231,14 @@ def links(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(path_a, path_b)
-        none = np.empty(0, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                rows = []
-                for found in both.parts(strings(part.column(1))):
-                    if found is None:
-                        rows.append((0, 0, 0, 0, "", none, none))
-                        continue
-                    keys, times = summed(np.concatenate([x.keys for x in found]), np.concatenate([x.times for x in found]))
-                    sha = hashlib.sha256(";".join([x.groups for x in found]).encode()).hexdigest()
-                    rows.append((sum(x.n_a for x in found), sum(x.n_b for x in found), sum(x.n_groups for x in found), sum(x.n_links for x in found), sha, keys, times))
-                *numbers, sha, keys, times = zip(*rows, strict=True)
-                offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int64())) for x in (keys, times)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array(sha, pa.string()), *lists], names=[x.split()[0] for x in LINKS.split(", ")])
+            own = strings(batch.column(1))
+            for start, stop in _chunks(own):
+                got = aligned(both, both.ids(own[start:stop]))
+                offsets = pa.array(np.concatenate([[0], got.ends]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (got.keys, got.times)]
+                numbers = [pa.array(x, pa.int64()) for x in (got.n_a, got.n_b, got.n_groups, got.n_links)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *numbers, pa.array(got.sha, pa.string()), *lists], names=[x.split()[0] for x in LINKS.split(", ")])
 
     return texts(docs).mapInArrow(run, LINKS)
 

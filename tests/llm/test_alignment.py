@@ -75,12 +75,32 @@ def test_query(spark):
 
 
 def test_pieces_give_what_whole_texts_give():
-    both = alignment.Pair(alignment.pair().a and __import__("public_tokenizers").path(alignment.BYTE_BPE), __import__("public_tokenizers").path(alignment.PIECE_BPE))
-    for text in [*ODD, "one two\tthree  four\n\n five\u3000six seven ", " lead"]:
-        whole, parts = both.whole(text), both.parts([text])[0]
-        assert (whole is None) == (parts is None)
-        if whole:
-            assert whole.groups == ";".join(x.groups for x in parts) and whole.n_links == sum(x.n_links for x in parts)
+    import public_tokenizers
+
+    both = alignment.Pair(public_tokenizers.path(alignment.BYTE_BPE), public_tokenizers.path(alignment.PIECE_BPE))
+    own = [*ODD, "one two\tthree  four\n\n five\u3000six seven ", " lead", ""]
+    assert both.cuts and both.ids(own) == [both.whole(x) for x in own] == both.ids(own)
+
+
+@pytest.mark.parametrize("outer", [0, 3, alignment.OUTER])
+def test_large_groups_and_single_documents(monkeypatch, outer):
+    monkeypatch.setattr(alignment, "OUTER", outer)
+    both = alignment.pair()
+    own = [*ODD, "a b a b", ""]
+    got = alignment.aligned(both, both.ids(own))
+    start = 0
+    for i, text in enumerate(own):
+        one = alignment.aligned(both, both.ids([text]))
+        assert (one.n_a[0], one.n_b[0], one.n_groups[0], one.n_links[0], one.sha[0]) == (got.n_a[i], got.n_b[i], got.n_groups[i], got.n_links[i], got.sha[i])
+        stop = int(got.ends[i])
+        assert one.keys.tolist() == got.keys[start:stop].tolist() and one.times.tolist() == got.times[start:stop].tolist() and one.times.sum() == one.n_links[0]
+        start = stop
+
+
+def test_chunks():
+    assert list(alignment._chunks([])) == [] and list(alignment._chunks(["", "a"])) == [(0, 2)]
+    long = "x" * alignment.CHUNK
+    assert list(alignment._chunks([long, "a", long, long, "", "b"])) == [(0, 1), (1, 2), (2, 3), (3, 5), (5, 6)]
 
 
 def test_counts_over_batches_partitions_and_flushes(spark, monkeypatch):
