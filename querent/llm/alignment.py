@@ -34,6 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +43,12 @@ from querent.llm.common import hot_join, shared_folder, strings, table, texts
 
 #: The tokenizers of op13_alignment.
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Pieces whose ids a worker keeps, and their characters; then the cache starts anew. Bounds memory only.
-CACHE, CACHE_CHARS = 400_000, 16 << 20
+#: Pieces whose ids a worker keeps, and their characters, twice at most; then those that are not used again go. Bounds memory only.
+CACHE, CACHE_CHARS = 120_000, 4 << 20
 #: Distinct keys that a task merges before it passes its partial counts on. Bounds memory only.
 MERGED = 2_000_000
-#: Characters of documents that are aligned at a time.
-CHUNK = 1 << 20
+#: Bytes of documents that are aligned at a time.
+CHUNK = 512 << 10
 #: Links of a group from which its distinct ids are multiplied.
 OUTER = 4096
 
@@ -95,6 +96,7 @@ class Pair:
         self.cuts = not any(re.search("[^▁]▁", x) for x in pieces) and '"use_regex":true' in self.a.to_str().replace(" ", "")
         self.space = [self.b.piece_to_id("▁")]
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.before = self.known  # what was known before the cache was full; pieces that are used again go over
         self.held = 0
 
     def _checked(self, spaced: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
@@ -120,11 +122,14 @@ class Pair:
     def ids(self, own: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of both tokenizers for each text; None for texts without tokens."""
         if len(self.known) > CACHE or self.held > CACHE_CHARS:
-            self.known.clear()
-            self.held = 0
+            self.before, self.known, self.held = self.known, {}, 0
         split = [_EDGE.split(" " + x) if x and self.cuts else [] for x in own]
-        missing = list(set(chain.from_iterable(split)).difference(self.known))
-        if missing:
+        missing = set(chain.from_iterable(split)).difference(self.known)
+        again = missing.intersection(self.before)
+        for x in again:
+            self.known[x] = self.before[x]
+            self.held += len(x)
+        if missing := list(missing.difference(again)):
             self._learn(missing)
         out: list[tuple[bytes, bytes] | None] = []
         for text, pieces in zip(own, split, strict=True):
@@ -211,16 +216,16 @@ def pair(path_a: str | None = None, path_b: str | None = None) -> Pair:
     return _loaded[key]
 
 
-def _chunks(own: list[str]) -> Iterator[tuple[int, int]]:
-    """Places of documents of about CHUNK characters together, a longer one alone."""
+def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places of documents of about CHUNK bytes together, a longer one alone."""
     start = size = 0
-    for i, x in enumerate(own):
-        if size and size + len(x) > CHUNK:
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > CHUNK:
             yield start, i
             start, size = i, 0
-        size += len(x)
-    if start < len(own):
-        yield start, len(own)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 LINKS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys array<long>, times array<long>"
@@ -232,9 +237,8 @@ def links(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(path_a, path_b)
         for batch in batches:
-            own = strings(batch.column(1))
-            for start, stop in _chunks(own):
-                got = aligned(both, both.ids(own[start:stop]))
+            for start, stop in _chunks(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()):
+                got = aligned(both, both.ids(strings(batch.column(1).slice(start, stop - start))))
                 offsets = pa.array(np.concatenate([[0], got.ends]), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (got.keys, got.times)]
                 numbers = [pa.array(x, pa.int64()) for x in (got.n_a, got.n_b, got.n_groups, got.n_links)]
@@ -243,12 +247,19 @@ def links(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     return texts(docs).mapInArrow(run, LINKS)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A thousand documents at a time, so that arrays over their links stay small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            yield batch.slice(start, 1000)
+
+
 def counts(found: DataFrame) -> DataFrame:
     """(key, n): in how many documents each key occurs, sorted by key over range partitions."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = n = np.empty(0, dtype=np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             own, times = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
             keys, n = summed(np.concatenate([keys, own]), np.concatenate([n, times]))
             if len(keys) > MERGED:
@@ -348,7 +359,7 @@ def looked_up(found: DataFrame, folder: str, shards: list[tuple[int, int, str]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps, highest = Shards(folder, shards), sent.value
-        for batch in batches:
+        for batch in _slices(batches):
             lists = batch.column(batch.num_columns - 2)
             keys, times = lists.flatten().to_numpy(), batch.column(batch.num_columns - 1).flatten().to_numpy()
             own, inverse = np.unique(keys, return_inverse=True)

@@ -98,9 +98,11 @@ def test_large_groups_and_single_documents(monkeypatch, outer):
 
 
 def test_chunks():
-    assert list(alignment._chunks([])) == [] and list(alignment._chunks(["", "a"])) == [(0, 2)]
-    long = "x" * alignment.CHUNK
-    assert list(alignment._chunks([long, "a", long, long, "", "b"])) == [(0, 1), (1, 2), (2, 3), (3, 5), (5, 6)]
+    import numpy as np
+
+    n = alignment.CHUNK
+    assert list(alignment._chunks(np.array([]))) == [] and list(alignment._chunks(np.array([0, 1]))) == [(0, 2)]
+    assert list(alignment._chunks(np.array([n, 1, n, n, 0, 1]))) == [(0, 1), (1, 2), (2, 3), (3, 5), (5, 6)]
 
 
 def test_counts_over_batches_partitions_and_flushes(spark, monkeypatch):
