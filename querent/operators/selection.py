@@ -1,13 +1,19 @@
 """Example selection: exact nearest neighbours with gates, thresholds and backfill.
 
 The ten strategies are one plan with parameters. Targets are a stated set of checked size
-that travels to the pool; each task scores its part of the pool in blocks (one matrix product
-bounds all keys of a block; those that can be among the best are then computed exactly), keeps the best k
-of every target, and a window over these few rows picks the k of all. Nothing else is
-shuffled, and no pair of rows is ever materialised.
+that travels to the pool; each task scores its part of the pool in blocks. One matrix product
+gives rough keys of all pairs of a block; those that can be among the best k are computed
+exactly, and a task keeps the best k of every target. A window over these few rows picks the
+k of all. No pair of rows is ever materialised.
+
+The gate is a similarity join of the distinct skeletons of both sides (``similarity_join``);
+a pool row carries the targets' skeletons that its own passes with.
 
 Scores are in double precision, from differences of the vectors, so equal vectors have
-equal scores; ties go to the lower pool id.
+equal scores; ties go to the lower pool id. A zero vector has similarity 0 with every
+vector. Rows whose vector is null, empty, of another length than the first target's,
+or has null or non-finite components are not offered, and get no examples. Null skeletons
+count as the word None; a null db_id or question differs from every other.
 """
 
 from __future__ import annotations
@@ -18,9 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from querent.operators.similarity_join import similar
+
 #: Targets that travel at once; more are taken in parts.
 BLOCK = 4096
 #: Most targets of one call: all of them pass through the driver, part by part. A longer set is split by the caller.
@@ -72,14 +81,23 @@ def select(pool: DataFrame, targets: DataFrame, strategy: Strategy, k: int, cros
     if missing := [c for c in names if c not in pool.columns or c not in targets.columns]:
         raise ValueError(f"the strategy needs the columns {missing} on both sides")
     held = _held(targets.select(*names).orderBy("idx"))
-    parts = [_block(pool.select(*names), held.iloc[at : at + BLOCK], strategy, k, cross_domain, threshold) for at in range(0, max(1, len(held)), BLOCK)]
+    parts = []
+    for at in range(0, max(1, len(held)), BLOCK):
+        own = held.iloc[at : at + BLOCK]
+        rows = pool.select(*names)
+        parts.append(_block(_gated(rows, own, strategy, threshold) if strategy.gate else rows, own, strategy, k, cross_domain, threshold))
+    return ranked(parts, strategy, k)
+
+
+def ranked(parts: list[DataFrame], strategy: Strategy, k: int) -> DataFrame:
+    """The first k of the best rows of all tasks."""
     best = parts[0]
     for part in parts[1:]:
         best = best.union(part)
     order = [F.col("late"), F.col("key"), F.col("c_idx")]
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("t_idx").orderBy(*order)))
-    score = -F.col("key") if strategy.metric == "cosine" else F.col("key")
-    return ranked.where(F.col("rank") <= k).select("t_idx", "c_idx", "rank", score.alias("score"), "sim")
+    chosen = best.withColumn("rank", F.row_number().over(Window.partitionBy("t_idx").orderBy(*order))).where(F.col("rank") <= k)
+    score = F.lit(0.0) - F.col("key") if strategy.metric == "cosine" else F.col("key")
+    return chosen.select("t_idx", "c_idx", "rank", score.alias("score"), "sim")
 
 
 def _held(targets: DataFrame) -> pd.DataFrame:
@@ -90,81 +108,155 @@ def _held(targets: DataFrame) -> pd.DataFrame:
     return rows
 
 
-def _block(pool: DataFrame, targets: pd.DataFrame, strategy: Strategy, k: int, cross_domain: bool, threshold: float) -> DataFrame:
-    sent = pool.sparkSession.sparkContext.broadcast(targets)
+def vectors(column: pa.ListArray, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with a vector of that width (None: that of the first one) and finite components, and the matrix of these."""
+    values = column.values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    offsets, sizes = column.offsets.to_numpy(), np.diff(column.offsets.to_numpy())
+    known = column.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0)
+    if width is None:
+        width = int(sizes[known][0]) if known.any() else 0
+    at = np.flatnonzero(known & (sizes == width))
+    m = values[offsets[at][:, None] + np.arange(width)]
+    ok = np.isfinite(m).all(axis=1)
+    return at[ok], m[ok]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = sent.value
-        if not len(t):
+
+def _lengths(m: np.ndarray) -> np.ndarray:
+    return np.sqrt((m * m).sum(axis=1))
+
+
+class Scan:
+    """The best k pool rows of a block of targets so far, and the bounds that further rows must meet."""
+
+    def __init__(self, targets: pd.DataFrame, tv: np.ndarray, strategy: Strategy, k: int, cross_domain: bool, threshold: float):
+        self.strategy, self.k, self.cross_domain, self.threshold, self.tv = strategy, k, cross_domain, threshold, tv
+        self.db, self.question, self.idx = (targets[c].to_numpy() for c in ("db_id", "question", "idx"))
+        self.lengths = _lengths(tv)
+        self.kinds, self.kind = np.unique(targets[strategy.skeleton].to_numpy(dtype=str), return_inverse=True) if strategy.skeleton else (None, None)
+        self.known: dict[tuple[str, str], float] = {}
+        self.rows = tuple(np.empty(0, dtype=d) for d in (np.int64, np.int32, np.float64, np.int64, object))  # target, late, key, c_idx, skeleton
+        self.late, self.key = np.full(len(tv), 2), np.full(len(tv), np.inf)  # of the k-th row
+
+    def _near(self, at: slice, cv: np.ndarray, c_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all pairs by one matrix product, and how far they may be off."""
+        product = self.tv[at] @ cv.T
+        if self.strategy.metric == "cosine":
+            both = self.lengths[at][:, None] * c_lengths[None, :]
+            return -np.divide(product, both, out=np.zeros_like(product), where=both > 0), np.full(len(product), 1e-9)
+        near = np.sqrt(np.maximum((self.lengths[at] ** 2)[:, None] + (c_lengths**2)[None, :] - 2 * product, 0))
+        return near, 1e-6 * (1 + self.lengths[at] + c_lengths.max())
+
+    def _exact(self, i: np.ndarray, j: np.ndarray, cv: np.ndarray, c_lengths: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for start in range(0, len(i), 1 << 16):
+            x, y = self.tv[i[start : start + (1 << 16)]], cv[j[start : start + (1 << 16)]]
+            if self.strategy.metric == "cosine":
+                both = self.lengths[i[start : start + (1 << 16)]] * c_lengths[j[start : start + (1 << 16)]]
+                product = (x * y).sum(axis=1)
+                out[start : start + (1 << 16)] = -np.divide(product, both, out=np.zeros_like(product), where=both > 0)
+            else:
+                out[start : start + (1 << 16)] = np.sqrt(((y - x) ** 2).sum(axis=1))
+        return out
+
+    def _sims(self, skeletons: np.ndarray) -> np.ndarray:
+        """Similarities of the targets' skeletons and these."""
+        kinds, of = np.unique(skeletons.astype(str), return_inverse=True)
+        for pair in ((a, b) for a in self.kinds for b in kinds if (a, b) not in self.known):
+            self.known[pair] = similarity(*pair)
+        return np.array([[self.known[a, b] for b in kinds] for a in self.kinds])[:, of]
+
+    def add(self, c_idx: np.ndarray, cv: np.ndarray, db: np.ndarray, question: np.ndarray, skeletons: np.ndarray | None, passing: list | None) -> None:
+        """Takes in pool rows, about a thousand at a time. passing: for each row, the targets' skeletons that its own passes the gate with."""
+        s, k = self.strategy, self.k
+        c_lengths = _lengths(cv)
+        sims = self._sims(skeletons) if s.metric == "hybrid" else None
+        gate = None
+        if s.gate:
+            gate = np.zeros((len(self.kinds), len(cv)), dtype=bool)
+            sizes = [len(x) for x in passing]
+            gate[np.concatenate([np.asarray(x, dtype=np.int64) for x in passing]) if sum(sizes) else np.empty(0, dtype=np.int64), np.repeat(np.arange(len(cv)), sizes)] = True
+        found = []
+        for start in range(0, len(self.tv), 512):
+            at = slice(start, start + 512)
+            near, slack = self._near(at, cv, c_lengths)
+            ok = np.ones(near.shape, dtype=bool)
+            if self.cross_domain:
+                ok &= db[None, :] != self.db[at][:, None]
+            if s.other_question:
+                ok &= question[None, :] != self.question[at][:, None]
+            if s.most is not None:
+                ok &= near <= self.threshold + slack[:, None]
+            rough = near - sims[self.kind[at]] if sims is not None else near
+            first = gate[self.kind[at]] if gate is not None else np.ones(near.shape, dtype=bool)
+            for level, own in ((0, ok & first), (1, ok & ~first)):
+                if level and (gate is None or not s.backfill):
+                    continue
+                bound = np.where(self.late[at] > level, np.inf, np.where(self.late[at] == level, self.key[at] + slack, -np.inf))
+                ranked = np.where(own, rough, np.inf)
+                if near.shape[1] > k:
+                    bound = np.minimum(bound, np.partition(ranked, k - 1, axis=1)[:, k - 1] + 2 * slack)
+                i, j = np.nonzero(own & (ranked <= bound[:, None]))
+                if not len(i):
+                    continue
+                key = self._exact(i + start, j, cv, c_lengths)
+                if s.most is not None:
+                    i, j, key = i[key <= self.threshold], j[key <= self.threshold], key[key <= self.threshold]
+                if sims is not None:
+                    key = key - sims[self.kind[i + start], j]
+                found.append((i + start, np.full(len(i), level, dtype=np.int32), key, c_idx[j], np.empty(len(i), dtype=object) if skeletons is None else skeletons[j]))
+        if not found:
+            return
+        t, late, key, c, skeleton = (np.concatenate(x) for x in zip(self.rows, *found, strict=True))
+        order = np.lexsort((c, key, late, t))
+        t, late, key, c, skeleton = (x[order] for x in (t, late, key, c, skeleton))
+        rank = np.arange(len(t)) - np.searchsorted(t, t)
+        kept = rank < k
+        self.rows = tuple(x[kept] for x in (t, late, key, c, skeleton))
+        full = rank == k - 1
+        self.late[t[full]], self.key[t[full]] = late[full], key[full]
+
+
+def _block(pool: DataFrame, targets: pd.DataFrame, strategy: Strategy, k: int, cross_domain: bool, threshold: float, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """The best rows of each task for a block of targets. bounds: late and key that the k-th row of each target does not exceed, where known."""
+    at, tv = vectors(pa.array([None if v is None else list(v) for v in targets["vector"]], pa.list_(pa.float64())))
+    targets = targets.iloc[at].reset_index(drop=True)
+    sent = pool.sparkSession.sparkContext.broadcast((targets, tv, None if bounds is None else tuple(b[at] for b in bounds)))
+    columns = ["idx", "db_id", "question", "vector"] + [c for c in (strategy.skeleton, "_passing") if c in pool.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, tv, known = sent.value
+        if not len(own):
             return
-        tv = np.stack(t["vector"].to_numpy()).astype(np.float64)
-        t_db, t_q, t_idx = t["db_id"].to_numpy(), t["question"].to_numpy(), t["idx"].to_numpy()
-        known: dict[tuple[str, str], float] = {}
-        t_long = np.sqrt((tv * tv).sum(axis=1))
-        skeletons, t_skel = np.unique(t[strategy.skeleton].to_numpy(dtype=str), return_inverse=True) if strategy.skeleton else (None, None)
-        # the best so far of every target: late, key, c_idx and sim, k of each at most
-        best = [tuple(np.empty(0, dtype=d) for d in (np.int32, np.float64, np.int64, np.float64))] * len(t)
-        for whole in batches:
-            for at in range(0, len(whole), 1024):
-                c = whole.iloc[at : at + 1024]
-                cv = np.stack(c["vector"].to_numpy()).astype(np.float64)
-                c_db, c_q, c_idx = c["db_id"].to_numpy(), c["question"].to_numpy(), c["idx"].to_numpy()
-                c_long = np.sqrt((cv * cv).sum(axis=1))
-                # one product for all pairs of the block; it bounds each exact key to within slack
-                product = tv @ cv.T
-                if strategy.metric == "cosine":
-                    near = -product / (t_long[:, None] * c_long[None, :])
-                    slack = np.full(len(t), 1e-9)
-                else:
-                    near = np.sqrt(np.maximum((t_long**2)[:, None] + (c_long**2)[None, :] - 2 * product, 0))
-                    slack = 1e-6 * (1 + t_long + c_long.max())
-                sims = None
-                if strategy.skeleton:
-                    kinds, of = np.unique(c[strategy.skeleton].to_numpy(dtype=str), return_inverse=True)
-                    for pair in ((a, b) for a in skeletons for b in kinds if (a, b) not in known):
-                        known[pair] = similarity(*pair)
-                    sims = np.array([[known[a, b] for b in kinds] for a in skeletons])[:, of]
-                for i in range(len(t)):
-                    ok = np.ones(len(c), dtype=bool)
-                    if cross_domain:
-                        ok &= c_db != t_db[i]
-                    if strategy.other_question:
-                        ok &= c_q != t_q[i]
-                    sim = np.full(len(c), np.nan) if sims is None else sims[t_skel[i]]
-                    late = (sim < threshold).astype(np.int32) if strategy.gate else np.zeros(len(c), dtype=np.int32)
-                    if strategy.gate and not strategy.backfill:
-                        ok &= late == 0
-                    rough = near[i] - sim if strategy.metric == "hybrid" else near[i]
-                    if strategy.most is not None:
-                        ok &= near[i] <= threshold + slack[i]
-                    held = best[i]
-                    if len(held[0]) == k:
-                        ok &= (late < held[0][-1]) | (late == held[0][-1]) & (rough <= held[1][-1] + slack[i])
-                    kept = np.flatnonzero(ok)
-                    if len(kept) > k:
-                        for level in (0, 1):
-                            own = kept[late[kept] == level]
-                            if len(own) > k:
-                                kept = kept[(late[kept] != level) | (rough[kept] <= np.partition(rough[own], k - 1)[k - 1] + 2 * slack[i])]
-                    if not len(kept):
-                        continue
-                    if strategy.metric == "cosine":
-                        key = -(cv[kept] * tv[i]).sum(axis=1) / (c_long[kept] * t_long[i])
-                    else:
-                        key = np.sqrt(((cv[kept] - tv[i]) ** 2).sum(axis=1))
-                    if strategy.most is not None:
-                        kept, key = kept[key <= threshold], key[key <= threshold]
-                    if strategy.metric == "hybrid":
-                        key = key - sim[kept]
-                    both = [np.concatenate(x) for x in zip(held, (late[kept], key, c_idx[kept], sim[kept]), strict=True)]
-                    order = np.lexsort((both[2], both[1], both[0]))[:k]
-                    best[i] = tuple(x[order] for x in both)
-        for i, (late, key, found, sim) in enumerate(best):
-            if len(found):
-                yield pd.DataFrame({"t_idx": t_idx[i], "c_idx": found, "late": late, "key": key, "sim": sim})
-
-    out = pool.mapInPandas(run, "t_idx long, c_idx long, late int, key double, sim double")
-    return out.withColumn("sim", F.when(~F.isnan("sim"), F.col("sim")))
+        scan = Scan(own, tv, strategy, k, cross_domain, threshold)
+        if known is not None:
+            scan.late, scan.key = known[0].copy(), known[1].copy()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = dict(zip(columns, batch.slice(start, 1024).columns, strict=True))
+                rows, cv = vectors(part["vector"], tv.shape[1])
+                if not len(rows):
+                    continue
+                take = pa.array(rows)
+                db, question = (part[c].take(take).to_numpy(zero_copy_only=False) for c in ("db_id", "question"))
+                skeletons = part[strategy.skeleton].take(take).to_numpy(zero_copy_only=False) if strategy.skeleton else None
+                scan.add(part["idx"].take(take).to_numpy(), cv, db, question, skeletons, part["_passing"].take(take).to_pylist() if strategy.gate else None)
+        t, late, key, c, skeleton = scan.rows
+        sims = [similarity(scan.kinds[scan.kind[i]], str(x)) for i, x in zip(t.tolist(), skeleton.tolist(), strict=True)] if strategy.skeleton else [None] * len(t)
+        yield pa.RecordBatch.from_arrays([pa.array(own["idx"].to_numpy()[t], pa.int64()), pa.array(c, pa.int64()), pa.array(late, pa.int32()), pa.array(key, pa.float64()), pa.array(sims, pa.float64())], names=["t_idx", "c_idx", "late", "key", "sim"])
+
+    return pool.select(*columns[:3], F.col("vector").cast("array<double>").alias("vector"), *columns[4:]).mapInArrow(run, "t_idx long, c_idx long, late int, key double, sim double")
+
+
+def _gated(pool: DataFrame, targets: pd.DataFrame, strategy: Strategy, threshold: float) -> DataFrame:
+    """The pool with _passing: the numbers of those skeletons of the targets, in order, that a row's own is similar enough to."""
+    spark, column = pool.sparkSession, strategy.skeleton
+    kinds = np.unique(targets.iloc[vectors(pa.array([None if v is None else list(v) for v in targets["vector"]], pa.list_(pa.float64())))[0]][column].to_numpy(dtype=str)).tolist()
+    asked = spark.createDataFrame([(i, x) for i, x in enumerate(kinds)], "_kind int, text string")
+    own = pool.select(F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("text"))
+    passing = similar(asked, own, threshold).join(asked.withColumnRenamed("text", "a"), "a")
+    passing = passing.groupBy(F.col("b").alias("_own")).agg(F.collect_list("_kind").alias("_passing"))  # of the targets, which are few
+    met = pool.withColumn("_own", F.coalesce(F.col(column).cast("string"), F.lit("None"))).join(passing, "_own", "left").drop("_own")
+    return met.withColumn("_passing", F.coalesce("_passing", F.array().cast("array<int>")))
 
 
 def select_random(pool: DataFrame, targets: DataFrame, k: int, seed: int = 0, cross_domain: bool = False) -> DataFrame:
