@@ -1,7 +1,9 @@
 """Operator 2, near-duplicates by MinHash bands and odd sketches.
 
 A document's set is its distinct SHINGLE-word shingles. Documents of one set are one class
-at once (63 bits of digest); everything after works on classes. The threshold is a
+at once; everything after works on classes. A class is named by 63 bits of a digest of its set,
+and no name is taken that two sets share: 64 more bits tell them apart, and if any differ under
+one name, all names are made anew (``signed``). The threshold is a
 parameter, and both filters follow it (``limits``): bands of MinHash values put classes into
 buckets (a pair just at the threshold misses all buckets with a chance of at most MISSED);
 ``exchange`` leaves only the buckets that several classes share. An odd sketch folds all
@@ -123,21 +125,26 @@ def limits(percent: int) -> Limits:
     return Limits(percent, PERMUTATIONS // max(fit), max(fit), max(d for d in range(SKETCH_BITS // 2) if estimate(d) >= floor))
 
 
-def _key(values: np.ndarray) -> int | None:
-    """63 bits of a digest of a set; null for the empty set."""
-    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest()) >> 1 if len(values) else None
+def _key(values: np.ndarray, salt: int = 0) -> tuple[int, int] | tuple[None, None]:
+    """63 bits of a digest of a set, and 64 others; nulls for the empty set."""
+    if not len(values):
+        return None, None
+    digest = hashlib.blake2b(values.tobytes(), digest_size=16, salt=salt.to_bytes(16, "little")).digest()
+    return int.from_bytes(digest[:8]) >> 1, int.from_bytes(digest[8:], signed=True)
 
 
-def signatures(docs: DataFrame, like: Limits) -> DataFrame:
-    """doc_id, _h (of the text), n_shingles, key (of the set; null for the empty set), bands, sketch (as eight-byte words)."""
+def signatures(docs: DataFrame, like: Limits, salt: int = 0) -> DataFrame:
+    """doc_id, _h (of the text), n_shingles, key and other (of the set; null for the empty set), bands, sketch (as eight-byte words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in K.pieces(batch.column(1)):
-                n, key, band, sketch = [], [], [], []
+                n, key, other, band, sketch = [], [], [], [], []
                 for values in shingle_sets(piece):
                     n.append(len(values))
-                    key.append(_key(values))
+                    own = _key(values, salt)
+                    key.append(own[0])
+                    other.append(own[1])
                     if len(values):
                         least = signature(values)
                         band.append(bands(least, like).view(np.int64))
@@ -146,11 +153,23 @@ def signatures(docs: DataFrame, like: Limits) -> DataFrame:
                         band.append(None)
                         sketch.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.first, piece.n), batch.column(2).slice(piece.first, piece.n), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    names=["doc_id", "_h", "n_shingles", "key", "bands", "sketch"],
+                    [batch.column(0).slice(piece.first, piece.n), batch.column(2).slice(piece.first, piece.n), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(other, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                    names=["doc_id", "_h", "n_shingles", "key", "other", "bands", "sketch"],
                 )
 
-    return texts(docs, F.xxhash64(F.col("text").cast("string")).alias("_h")).mapInArrow(run, "doc_id long, _h long, n_shingles long, key long, bands array<long>, sketch array<long>")
+    return texts(docs, F.xxhash64(F.col("text").cast("string")).alias("_h")).mapInArrow(run, "doc_id long, _h long, n_shingles long, key long, other long, bands array<long>, sketch array<long>")
+
+
+def signed(docs: DataFrame, like: Limits) -> tuple[DataFrame, DataFrame, int]:
+    """signatures(docs) and its classes, both cut, under a salt by which no two sets share a name; and the salt."""
+    for salt in range(16):
+        sig = cut(signatures(docs, like, salt))
+        first = {x: F.first(x).alias(x) for x in ("n_shingles", "bands", "sketch")}
+        by = sig.where("n_shingles > 0").groupBy("key").agg(*first.values(), F.min("other").alias("_low"), F.max("other").alias("_high"))
+        classes, seen = probed(by, [F.count(F.when(F.col("_low") != F.col("_high"), 1))], rows=20_000)
+        if not seen[1]:
+            return sig, classes.drop("_low", "_high"), salt
+    raise RuntimeError("sets share a name under every salt")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -163,7 +182,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _candidate_texts(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
     """(key, text) for each wanted key: the text of any one document of the class."""
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
@@ -172,7 +191,7 @@ def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         size = 64 * len(bits)
         for batch in batches:
             for piece in K.pieces(batch.column(0)):
-                key = [_key(x) for x in shingle_sets(piece)]
+                key = [_key(x, salt)[0] for x in shingle_sets(piece)]
                 at = [i for i, k in enumerate(key) if k is not None and bits[(p := k % size) >> 6] >> np.uint64(p & 63) & np.uint64(1)]
                 yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in at], pa.int64()), batch.column(0).take(pa.array([piece.first + i for i in at], pa.int64()))], names=["key", "text"])
 
@@ -352,10 +371,10 @@ class Links:
                 self.take(_confirmed(self.held, apart, self.like))
 
 
-def links(docs: DataFrame, classes: DataFrame, like: Limits, block: int = BLOCK) -> DataFrame | None:
+def links(docs: DataFrame, classes: DataFrame, like: Limits, block: int = BLOCK, salt: int = 0) -> DataFrame | None:
     """(node, component) over class keys, from confirmed links that connect all linked classes; None if there are none."""
     members, total = probed(shared_bands(classes, like), [])
-    state = Links(hold(_candidate_texts(docs, hold(members.select("key").distinct())), rows=20_000, memory=False), like)
+    state = Links(hold(_candidate_texts(docs, hold(members.select("key").distinct()), salt), rows=20_000, memory=False), like)
     ends = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("_n")).where("low < high")
     met = hot_join(members, hold(ends), "bucket", "_n", total[0]).drop("_n")
     pairs = met.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).union(met.where("key not in (low, high)").select("high", "key"))
@@ -384,9 +403,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     repeated rows of one doc_id share their component and are kept together.
     """
     like = limits(percent)
-    sig = cut(signatures(docs, like))
-    classes = hold(sig.where("n_shingles > 0").dropDuplicates(["key"]).select("key", "n_shingles", "bands", "sketch"), rows=20_000)
-    found = links(docs, classes, like, block)
+    sig, classes, salt = signed(docs, like)
+    found = links(docs, classes, like, block, salt)
     least = sig.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     if found is not None:
         labelled = least.join(found, least["key"] == found["node"], "left").withColumn("comp", F.coalesce("component", "key"))

@@ -9,11 +9,15 @@ of a negation, the reported-speech machine one after a report verb. They are com
 two machines (insults, threats), run over the clauses in which the lexicon matches; the weight
 of a clause is the sum over its paths, one for each nucleus, and a document's the sum over its clauses.
 
-An undirected nucleus alone is no evidence: what no more than the strongest such path gives
-(``lone``) hardly counts (``evidence``). A logistic curve turns the evidence to 0..1.
-
-Insult and threat weights are log odds learned from labels on a sample of at most SAMPLE
-labelled rows (the rows of least hash of doc_id); the curve is fitted on the same rows.
+An undirected nucleus alone is no evidence: what no more than the strongest such path of its
+machine gives (``lone``) hardly counts (``evidence``). A logistic curve turns the sum of both
+machines' evidence to 0..1.
+
+Insult weights are log odds of the entry, learned from labels on a sample of at most SAMPLE
+labelled rows (the rows of least hash of doc_id). Threats are a fixed list, and so rare in a
+sample that their weights are log odds of a clause that aims the threat at someone, shrunk
+towards the middle insult weight (FIRM where no insult is learned) by as many documents as
+an insult needs for support. The curve is fitted on the same rows.
 Scoring reads every whole text in one map. The only inputs of a score are the words.
 """
 
@@ -55,6 +59,8 @@ SCOPE, REACH = 3, 4
 NEGATED, REPORTED, TARGETED, UNDIRECTED = 0.35, 0.6, 1.25, 0.5
 #: Share of what one undirected nucleus can give that counts as evidence.
 HARDLY = 0.1
+#: Weight of a threat where labels tell nothing.
+FIRM = 4.0
 
 # Symbols: other words, targets, negations, report verbs; an insult or a threat taken as the nucleus.
 OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT = "o", "t", "n", "r", "I", "H"
@@ -222,9 +228,9 @@ class Grammar:
         return best
 
     @property
-    def lone(self) -> float:
-        """The most that one undirected nucleus gives."""
-        return UNDIRECTED * max([0.0, *self.insults.values(), *self.threats.values()])
+    def lone(self) -> tuple[float, float]:
+        """The most that one undirected insult gives, and one undirected threat."""
+        return tuple(UNDIRECTED * max([0.0, *x.values()]) for x in (self.insults, self.threats))
 
     def offers(self, words: list[str]) -> list[list[tuple[str, float]]]:
         """The symbols that each word offers: its class, and its nuclei with the weights of their entries."""
@@ -235,20 +241,24 @@ class Grammar:
             out.append(own)
         return out
 
-    def clause(self, words: list[str], quoted: bool = False) -> float:
-        """Weight of a clause: the sum over the accepting paths of the composed machines."""
+    def parts(self, words: list[str], quoted: bool = False) -> tuple[float, float]:
+        """Weights of a clause by the machine of insults and by that of threats: sums over their accepting paths."""
         offers = self.offers(words)
-        return sum(machine.weight(offers) for machine in grammar_machines(quoted))
+        return tuple(machine.weight(offers) for machine in grammar_machines(quoted))
 
-    def evidence(self, raw: float) -> float:
-        return max(0.0, raw - self.lone) + HARDLY * min(raw, self.lone)
+    def clause(self, words: list[str], quoted: bool = False) -> float:
+        """Weight of a clause."""
+        return sum(self.parts(words, quoted))
 
-    def curve(self, raw: float) -> float:
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * self.evidence(raw) + self.offset))))
+    def evidence(self, insults: float, threats: float) -> float:
+        return sum(max(0.0, raw - lone) + HARDLY * min(raw, lone) for raw, lone in zip((insults, threats), self.lone, strict=True))
+
+    def curve(self, insults: float, threats: float) -> float:
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * self.evidence(insults, threats) + self.offset))))
 
     def raws(self, array: pa.Array, compiled: list[np.ndarray]) -> np.ndarray:
-        """Raw values of the texts of a batch; clauses are read only where a word, or what could be one, matches."""
-        out = np.zeros(len(array))
+        """Raw values (insults, threats) of the texts of a batch; clauses are read only where a word, or what could be one, matches."""
+        out = np.zeros((len(array), 2))
         for piece in K.pieces(array):
             data = K.lower(piece.data)
             body = K.Piece(piece.first, data, piece.offsets)
@@ -266,7 +276,7 @@ class Grammar:
             owner = np.searchsorted(piece.offsets, cuts[first - 1], side="right") - 1
             for p, d in zip(first, owner, strict=True):
                 text = data[cuts[p - 1] : cuts[p] if p < len(cuts) else len(data)].tobytes().decode(errors="replace")
-                out[piece.first + d] += self.clause(_WORD.findall(text), text.count('"') >= 2 or "“" in text or "«" in text)
+                out[piece.first + d] += self.parts(_WORD.findall(text), text.count('"') >= 2 or "“" in text or "«" in text)
         return out
 
 
@@ -315,30 +325,63 @@ def _counted(rows: DataFrame, entries: frozenset[str] | None) -> dict[str, int]:
     return {r["entry"]: r["n"] for r in (counted.where(F.col("n") >= SUPPORT) if entries is None else counted).collect()}
 
 
+def _aimed(rows: DataFrame) -> dict[tuple[str, int], int]:
+    """Documents of each label that aim a threat at someone, neither negated nor reported, by threat."""
+    single = {x: Grammar({}, {x: 1.0}) for x in THREATS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[tuple[str, int]] = Counter()
+        for batch in batches:
+            columns = [(x, own.raws(batch.column(0), own.compiled())[:, 1]) for x, own in single.items()]
+            for label in (0, 1):
+                is_label = batch.column(1).to_numpy() == label
+                found.update({(x, label): int((is_label & (raw >= TARGETED)).sum()) for x, raw in columns})
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())], names=["entry", "toxic", "n"])
+
+    counted = rows.select("text", "toxic").mapInArrow(run, "entry string, toxic int, n long").groupBy("entry", "toxic").agg(F.sum("n").alias("n"))
+    return {(r["entry"], r["toxic"]): r["n"] for r in counted.collect()}
+
+
+def _threats(rows: DataFrame, bad: int, good: int, firm: float) -> dict[str, float]:
+    """Threat weights: log odds of an aimed threat, shrunk towards firm."""
+    seen, out = _aimed(rows), {}
+    for x in THREATS:
+        b, g = seen.get((x, 1), 0), seen.get((x, 0), 0)
+        odds = math.log((b + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1))
+        weight = ((b + g) * odds + SUPPORT * firm) / (b + g + SUPPORT)
+        if weight > 0:
+            out[x] = weight
+    return out
+
+
 def fit(rows: DataFrame) -> Grammar:
     """Grammar from (text, toxic) rows of bounded number; without toxic rows, the fixed threats alone."""
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    threats = {x: 1.0 for x in THREATS}
     if not bad:
-        return Grammar({}, threats)
+        return Grammar({}, dict.fromkeys(THREATS, FIRM))
     with_bad = _counted(rows.where("toxic = 1"), None)
     with_good = _counted(rows.where("toxic = 0"), frozenset(with_bad))
     odds = {x: math.log((n + 0.5) / (bad + 1)) - math.log((with_good.get(x, 0) + 0.5) / (good + 1)) for x, n in with_bad.items()}
     kept = {x: w for x, w in odds.items() if w >= LEAST_ODDS and with_good.get(x, 0) <= 0.1 * with_bad[x]}
     insults = {x: w for x, w in kept.items() if x.endswith("*") or not any(x.encode().startswith(y.rstrip("*").encode()) for y in kept if y.endswith("*") and len(y) - 1 < len(x))}
-    grammar = Grammar(insults, {x: w for x, w in threats.items() if odds.get(x, w) > 0})
+    firm = float(np.median(list(insults.values()))) if insults else FIRM
+    grammar = Grammar(insults, _threats(rows, bad, good, firm))
     compiled = grammar.compiled()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(grammar.raws(batch.column(0), compiled)), batch.column(1)], names=["raw", "toxic"])
+            raw = grammar.raws(batch.column(0), compiled)
+            yield pa.RecordBatch.from_arrays([pa.array(raw[:, 0].copy()), pa.array(raw[:, 1].copy()), batch.column(1)], names=["insults", "threats", "toxic"])
 
-    found = rows.mapInArrow(run, "raw double, toxic int").toArrow()
-    grammar.slope, grammar.offset = _logistic(np.array([grammar.evidence(x) for x in found["raw"].to_pylist()]), found["toxic"].to_numpy())
+    found = rows.mapInArrow(run, "insults double, threats double, toxic int").toArrow()
+    evidence = [grammar.evidence(x, y) for x, y in zip(found["insults"].to_pylist(), found["threats"].to_pylist(), strict=True)]
+    grammar.slope, grammar.offset = _logistic(np.array(evidence), found["toxic"].to_numpy())
     # whatever the labels, one undirected nucleus alone stays under the threshold
     bound = math.log(THRESHOLD / (1 - THRESHOLD)) - 0.05
-    grammar.offset = min(grammar.offset, bound - grammar.slope * grammar.evidence(grammar.lone))
+    insult, threat = grammar.lone
+    grammar.offset = min(grammar.offset, bound - grammar.slope * max(grammar.evidence(insult, 0.0), grammar.evidence(0.0, threat)))
     return grammar
 
 
@@ -361,7 +404,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     compiled = grammar.compiled()
 
     def work(array: pa.Array) -> list[pa.Array]:
-        scores = [grammar.curve(x) for x in grammar.raws(array, compiled)]
+        scores = [grammar.curve(x, y) for x, y in grammar.raws(array, compiled).tolist()]
         return [pa.array(scores, pa.float64()), pa.array([int(x >= THRESHOLD) for x in scores], pa.int32())]
 
     return append(docs, "text", "score double, predicted int", work)
@@ -378,7 +421,7 @@ def held_out() -> object:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
-    """Grammar from the labelled documents that are not held out."""
+    """Grammar from the labelled documents that are not held out. A null doc_id is in neither part: it has no label, and its held_out is null."""
     return fit(cut(sampled(texts(docs), labels.where(~held_out()))))
 
 

@@ -14,6 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from querent.llm.common import texts as plain_texts
 from querent.llm import decontaminate, encode, kernels, language_id, media_columns, packing, sharding, token_counts, toxicity
 from querent.llm.transducers import Machine, compose
 from tests.llm.corpus import empty, frame, sha, texts
@@ -357,6 +358,23 @@ def test_one_undirected_insult_is_not_toxic(spark):
     assert [r["predicted"] for r in got] == [0, 1, 1, 0, 0] and got[0]["score"] > got[3]["score"] == got[4]["score"]
 
 
+def test_threats_end_to_end(spark):
+    """With a grammar learned from labels: aimed threats are toxic; negated, reported and undirected ones score less."""
+    grammar = toxicity.learn(plain_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    own = ["I will kill you", "we burn them", "I will not kill you", "she said I will kill you", "kill time", "a fire to burn wood", "", "plain words"]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, grammar).collect()}
+    assert got[0] >= toxicity.THRESHOLD and got[1] >= toxicity.THRESHOLD
+    assert max(got[2], got[3]) < got[0] and max(got[4], got[5]) < toxicity.THRESHOLD and got[6] == got[7] < got[4]
+
+
+def test_threats_are_learned(spark):
+    """A threat that clean documents aim at someone as often as toxic ones do loses its weight; one that only toxic ones aim keeps it."""
+    rows = [(i, f"x{i % 9} we hurt you now" if i % 4 else "nothing here", int(i % 2)) for i in range(200)] + [(300 + i, "they shoot you" if i % 2 else "nothing", i % 2) for i in range(100)]
+    grammar = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("text", "toxic"))
+    assert grammar.threats.get("hurt", 0.0) < grammar.threats["kill"] and grammar.threats["shoot"] > 3
+
+
 _SYMBOLS = st.lists(st.sampled_from([*toxicity._PLAIN, toxicity.INSULT, toxicity.THREAT]), max_size=9)
 
 
@@ -402,13 +420,13 @@ def test_every_clause_of_a_word_is_read(rows):
     g = toxicity.Grammar({"idiot": 3.0, "lowei*": 2.0, "don'tcare": 4.0, "é'x": 1.5}, {"kill": 1.0, "töten": 1.0})
     low = [t.translate(toxicity._FOLD) for t in rows]
     want = [sum(g.clause(toxicity._WORD.findall(c), c.count('"') >= 2 or "“" in c or "«" in c) for c in _CLAUSE.split(t)) for t in low]
-    assert g.raws(pa.array(rows, pa.string()), g.compiled()).tolist() == pytest.approx(want)
+    assert g.raws(pa.array(rows, pa.string()), g.compiled()).sum(axis=1).tolist() == pytest.approx(want)
 
 
 @pytest.mark.parametrize("text", ["¡idiota!", "“idiota”", "l’idiota", "…idiota", "«\u00a0idiota\u00a0»", "idiota—", "don'tcare", "x'don'tcare"])
 def test_words_at_typographic_punctuation(text):
     g = toxicity.Grammar({"idiot*": 3.0, "don'tcare": 3.0, "tcare": 3.0}, {})
-    assert g.raws(pa.array([text, "nothing"]), g.compiled()).tolist()[0] > 0
+    assert g.raws(pa.array([text, "nothing"]), g.compiled())[0].sum() > 0
 
 
 def test_broken_bytes_are_no_letters():
@@ -416,7 +434,7 @@ def test_broken_bytes_are_no_letters():
     offsets = pa.array([0, *(sum(map(len, data[: i + 1])) for i in range(len(data)))], pa.int32())
     texts = pa.Array.from_buffers(pa.string(), len(data), [None, offsets.buffers()[1], pa.py_buffer(b"".join(data))])
     g = toxicity.Grammar({"idiot": 3.0}, {})
-    assert g.raws(texts, g.compiled()).tolist() == [0.0, 1.5, 1.5, 1.5, 1.5, 1.5, 0.0]
+    assert g.raws(texts, g.compiled()).sum(axis=1).tolist() == [0.0, 1.5, 1.5, 1.5, 1.5, 1.5, 0.0]
 
 
 def test_grammar_without_labels(spark):

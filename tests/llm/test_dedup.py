@@ -280,3 +280,17 @@ def test_text_longer_than_a_stretch_of_winnow(spark):
     assert got[1] == got[2] and len(inner) - 2 <= got[1] <= len(inner)
     bench = spark.createDataFrame([(1, " ".join(inner[5:40]))], "item_id long, text string")
     assert {r["doc_id"]: r["n_hit"] for r in decontaminate.decontaminate(docs, bench).collect()}[2] == 35
+
+
+def test_no_two_sets_share_a_name(spark, monkeypatch):
+    """Names that clash are made anew; results are those without a clash."""
+    from pyspark.sql import functions as F
+
+    real = minhash_dedup.signatures
+    monkeypatch.setattr(minhash_dedup, "signatures", lambda docs, like, salt=0: real(docs, like, salt).withColumn("key", F.when(F.lit(salt) == 0, F.col("key") % 3).otherwise(F.col("key"))))
+    docs = frame(spark)
+    assert minhash_dedup.signed(docs, minhash_dedup.limits(85))[2] == 1
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(docs).drop("_h", "key").collect()), key=str)
+    monkeypatch.setattr(minhash_dedup, "signatures", real)
+    assert minhash_dedup.signed(docs, minhash_dedup.limits(85))[2] == 0
+    assert got == sorted(map(tuple, minhash_dedup.near_duplicates(docs).drop("_h", "key").collect()), key=str)
