@@ -30,7 +30,7 @@ def make_prompts(spark: SparkSession, args: argparse.Namespace) -> None:
     costs = {r["model"]: r["cost"] for r in metrics.costs(spark, found, args.max_ans_len).collect()}
     given = {k: str(v) for k, v in vars(args).items() if k != "run"}
     name = sinks.run_name(args.prompt_repr, args.k_shot, args.selector_type or "", args.example_type or "", args.max_seq_len, args.max_ans_len)
-    sinks.write_document(sinks.task_document(found, given, costs), f"{args.out}/{args.data_type.upper()}-{args.split.upper()}_{name}/questions.json")
+    sinks.write_task(found, given, costs, f"{args.out}/{args.data_type.upper()}-{args.split.upper()}_{name}/questions.json")
 
 
 def _executed(spark: SparkSession, candidates: DataFrame, folder: str) -> DataFrame:
@@ -62,7 +62,7 @@ def export(spark: SparkSession, args: argparse.Namespace) -> None:
     reference = files.questions(spark, args.bird_dev).select("idx", "question_id", "db_id")
     if not reference.count() or queries.count() != reference.count():
         raise SystemExit("the predictions are not as many as the questions")
-    sinks.write_document(sinks.export_document(queries, reference), args.output.replace(".txt", ".json"))
+    sinks.write_export(queries, reference, args.output.replace(".txt", ".json"))
 
 
 def parser() -> argparse.ArgumentParser:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querent.functions.sql_text import is_number
+from querent.operators.skew import split_join
 
 # English function words that link to nothing, the widely published list of 179 in its usual order.
 STOP_WORDS = tuple(
@@ -54,7 +55,8 @@ def _meeting(questions: DataFrame, named: DataFrame, lead: Callable[[Column], Co
     An n-gram has the lead of its first token, so tokens meet names before any n-gram is made.
     """
     tokens = questions.select("idx", "db_id", "toks", F.posexplode("toks").alias("start", "_token")).withColumn("_lead", lead(F.col("_token")))
-    met = tokens.join(named.withColumn("_lead", lead(F.col("name"))).where("_lead <> ''"), ["db_id", "_lead"])
+    leads = named.withColumn("_lead", lead(F.col("name"))).where("_lead <> ''").groupBy("db_id", "_lead").agg(F.collect_list(F.struct("kind", "target_id", "name")).alias("_names"))  # of one schema
+    met = split_join(tokens, leads, ["db_id", "_lead"]).select("*", F.explode("_names").alias("_name")).select("idx", "db_id", "toks", "start", "_name.*")
     grown = met.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("toks") - F.col("start")))).alias("n"))
     gram = F.array_join(F.slice("toks", F.col("start") + 1, F.col("n")), " ")
     return grown.select("idx", "db_id", "start", "n", gram.alias("gram"), "kind", "target_id", "name").where(F.trim("gram") != "")
@@ -102,19 +104,21 @@ def number_links(questions: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def value_index(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (db_id, col_id, value): distinct (db_id, col_id, token), and distinct (db_id, col_id, phrase). Lower case; one outer space is not part of a phrase.
+    """From (db_id, col_id, value): db_id, token, cols (all columns that have it), and distinct (db_id, col_id, phrase). Lower case; one outer space is not part of a phrase.
 
-    Distinct values come first, so each is split once however many rows hold it.
+    Distinct values come first, so each is split once however many rows hold it. A token is one row: its columns are as many as the database has.
     """
     values = cells.select("db_id", "col_id", F.lower(F.col("value").cast("string")).alias("value")).where("value is not null").distinct()
-    tokens = values.select("db_id", "col_id", F.explode(F.split("value", " ")).alias("token")).where("token <> ''").distinct()
-    return tokens, values.select("db_id", "col_id", F.regexp_replace("value", "^ | $", "").alias("phrase")).distinct()
+    tokens = values.select("db_id", "col_id", F.explode(F.split("value", " ")).alias("token")).where("token <> ''")
+    index = tokens.groupBy("db_id", "token").agg(F.sort_array(F.collect_set("col_id")).alias("cols"))
+    return index, values.select("db_id", "col_id", F.regexp_replace("value", "^ | $", "").alias("phrase")).distinct()
 
 
 def partial_values(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """idx, db_id, q_id, col_id: tokens that stand in a cell of a column, between spaces or its ends; numbers are none."""
+    """idx, db_id, q_id, col_id: tokens that stand in a cell of a column, between spaces or its ends; numbers are none. A token of very many questions stays in its tasks."""
     tokens = question_tokens(questions).where(~is_number(F.col("token"))).withColumn("token", F.lower("token"))
-    return tokens.join(index, ["db_id", "token"]).select("idx", "db_id", "q_id", "col_id").distinct()
+    met = split_join(tokens, index, ["db_id", "token"])
+    return met.select("idx", "db_id", "q_id", F.explode("cols").alias("col_id"))
 
 
 def value_links(questions: DataFrame, cells: DataFrame) -> DataFrame:
@@ -125,7 +129,7 @@ def value_links(questions: DataFrame, cells: DataFrame) -> DataFrame:
     runs = hits.withColumn("island", island).groupBy("idx", "db_id", "col_id", "island").agg(F.min("q_id").alias("first"), F.max("q_id").alias("last"))
     words = questions.select("idx", "toks").join(runs, "idx").withColumn("phrase", F.lower(F.array_join(F.slice("toks", F.col("first") + 1, F.col("last") - F.col("first") + 1), " ")))
     whole = phrases.withColumn("exact", F.lit(True))
-    flagged = words.join(whole, ["db_id", "col_id", "phrase"], "left")
+    flagged = split_join(words.drop("toks"), whole, ["db_id", "col_id", "phrase"], "left")
     return flagged.select("idx", "db_id", F.explode(F.sequence("first", "last")).alias("q_id"), F.lit("cell").alias("kind"), F.col("col_id").alias("target_id"), F.when(F.col("exact"), CELL_EXACT).otherwise(CELL_PARTIAL).alias("flag"))
 
 

@@ -18,7 +18,7 @@ from querent.operators.selection import Strategy
 from querent.plans.hooks import Annotator, Encoder, HashedWords, PlainTokens, with_tokens, with_vectors
 from querent.plans.pipeline import with_skeletons
 from querent.sources import catalog as C
-from querent.sources import files, sinks, sqlite
+from querent.sources import documents, files, sinks, sqlite
 from querent.sources.stored import stored
 
 
@@ -106,11 +106,11 @@ def preprocess(spark: SparkSession, folder: Folder, annotator: Callable[[], Anno
     if folder.kind == "bird":
         train = converted(train)
         test = converted(files.questions(spark, f"{folder.path}/dev/dev.json"))
-        sinks.write_document(sinks.json_document(test, indent=True), folder.test)
-        both = [spark.read.text(f"{folder.path}/{p}", wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("v")) for p in ("dev/dev_tables.json", "train/train_tables.json")]
+        sinks.write_json_array(test, folder.test, indent=True)
+        both = [spark.read.text(f"{folder.path}/{p}", wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("n", "v")) for p in ("dev/dev_tables.json", "train/train_tables.json")]
         merged = both[0].withColumn("k", F.lit(0)).union(both[1].withColumn("k", F.lit(1)))
-        sinks.write_document(merged.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]), ","), F.lit("]")).alias("value")), folder.tables)
-    sinks.write_document(sinks.json_document(train, indent=folder.kind == "bird"), folder.train)
+        documents.write(merged.withColumn("idx", F.struct("k", "n")), F.col("v"), folder.tables)
+    sinks.write_json_array(train, folder.train, indent=folder.kind == "bird")
     frames = folder.catalog(spark)
     wanted = folder.kind == "spider" if values is None else values
     cells = stored(sqlite.cells(spark, sqlite.databases(folder.databases), frames), "cells") if wanted and files.exists(spark, folder.databases) else None

@@ -1,7 +1,7 @@
 """Readers of dataset files. Position is identity there, so every reader gives ``idx`` from 0.
 
-A JSON array or a line-aligned file is one value that Spark reads whole (wholetext) and
-explodes with positions; no row number is made up from the partitions of a split file.
+A small JSON array or a line-aligned file is one value that Spark reads whole (wholetext) and
+explodes with positions; a large array is split over tasks with exact positions (``documents``).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.functions.answers import stripped
+from querent.sources import documents
 
 QUESTION = "struct<db_id:string,question:string,question_toks:array<string>,query:string,SQL:string,evidence:string,question_id:bigint>"
 LINKING = (
@@ -28,8 +29,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def json_array(spark: SparkSession, path: str, item: str) -> DataFrame:
-    """idx and the item's fields of a JSON array of structs."""
+def json_array(spark: SparkSession, path: str, item: str, whole: int = documents.WHOLE) -> DataFrame:
+    """idx and the item's fields of a JSON array of structs; a file of more bytes than ``whole`` is split over tasks."""
+    if documents.size(spark, path) > whole:
+        return documents.elements(spark, path).select("idx", F.from_json("value", item).alias("item")).select("idx", "item.*")
     raw = spark.read.text(path, wholetext=True)
     return raw.select(F.posexplode(F.from_json("value", f"array<{item}>")).alias("idx", "item")).select(F.col("idx").cast("long"), "item.*")
 

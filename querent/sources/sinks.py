@@ -1,15 +1,18 @@
 """Writers of dataset files.
 
 Scalable outputs are Spark directories (JSON lines, text) in order of ``idx``. The few
-formats that other tools want as one document are made as one value by aggregates.
+formats that other tools want as one document are joined from ranges (``documents``).
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querent.functions.answers import export_line
+from querent.sources import documents
 
 
 def linking_records(questions: DataFrame, links: DataFrame) -> DataFrame:
@@ -39,19 +42,20 @@ def write_lines(df: DataFrame, path: str, value: str = "sql", append: bool = Fal
     df.orderBy("idx").select(value).write.mode("append" if append else "overwrite").text(path)
 
 
-def json_document(df: DataFrame, indent: bool = False) -> DataFrame:
-    """One row, value: the rows by idx as one JSON array."""
-    fields = [c for c in df.columns if c != "idx"]
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("idx", F.struct(*fields).alias("row")))), lambda x: x["row"])
-    return df.agg(F.to_json(rows, {"pretty": "true"} if indent else {}).alias("value"))
+def write_json_array(df: DataFrame, path: str, indent: bool = False) -> None:
+    """Writes the rows by idx as one JSON array, without idx itself."""
+    row = F.to_json(F.struct(*(c for c in df.columns if c != "idx")), {"pretty": "true"} if indent else {})
+    if indent:
+        documents.write(df, row, path, "[ ", " ]", ", ")
+    else:
+        documents.write(df, row, path)
 
 
-def task_document(prompts: DataFrame, args: dict[str, str], costs: dict[str, float]) -> DataFrame:
-    """One row, value: the task document with its arguments, costs and prompts by idx."""
-    row = F.struct("prompt_tokens", "prompt", "response", "n_examples", "db_id")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("idx", row.alias("row")))), lambda x: x["row"])
-    literal = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) if m else F.create_map()
-    return prompts.agg(F.to_json(F.struct(literal(args).alias("args"), literal(costs).alias("costs"), rows.alias("questions"))).alias("value"))
+def write_task(prompts: DataFrame, args: dict[str, str], costs: dict[str, float], path: str) -> None:
+    """Writes the task document: its arguments, its costs, and the prompts by idx."""
+    row = F.to_json(F.struct("prompt_tokens", "prompt", "response", "n_examples", "db_id"))
+    head = json.dumps({"args": args, "costs": costs}, separators=(",", ":"), ensure_ascii=False)
+    documents.write(prompts, row, path, head[:-1] + ',"questions":[', "]}")
 
 
 def run_name(layout: str, shots: int, selector: str, style: str, max_seq_len: int, max_ans_len: int) -> str:
@@ -59,13 +63,8 @@ def run_name(layout: str, shots: int, selector: str, style: str, max_seq_len: in
     return f"{layout}_{shots}-SHOT" + (f"_{selector}_{style}-EXAMPLE" if shots else "") + f"_CTX-{max_seq_len}_ANS-{max_ans_len}"
 
 
-def export_document(predictions: DataFrame, reference: DataFrame) -> DataFrame:
-    """One row, value: {question_id: sql, mark, db_id} of predictions (idx, sql) aligned with (idx, question_id, db_id)."""
-    line = export_line(F.col("sql"), F.col("db_id"))
-    rows = predictions.join(reference, "idx").select("idx", F.col("question_id").cast("string").alias("k"), line.alias("v"))
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("idx", "k", "v"))), lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value")))
-    return rows.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
-
-
-def write_document(document: DataFrame, path: str) -> None:
-    document.select("value").coalesce(1).write.mode("overwrite").text(path)
+def write_export(predictions: DataFrame, reference: DataFrame, path: str) -> None:
+    """Writes {question_id: sql, mark, db_id} of predictions (idx, sql) aligned with (idx, question_id, db_id)."""
+    rows = predictions.join(reference, "idx").select("idx", F.create_map(F.col("question_id").cast("string"), export_line(F.col("sql"), F.col("db_id"))).alias("m"))
+    entry = F.to_json("m")
+    documents.write(rows, F.substr(entry, F.lit(2), F.length(entry) - 2), path, "{", "}")

@@ -41,7 +41,7 @@ def test_lines_and_positions(spark, tmp_path):
 
 def test_task_round_trip(spark, tmp_path):
     prompts = spark.createDataFrame([(1, 5, "p1", "r1", 0, "d"), (0, 6, "p0", "r0", 1, "e")], "idx long, prompt_tokens long, prompt string, response string, n_examples int, db_id string")
-    sinks.write_document(sinks.task_document(prompts, {"k": "1"}, {"gpt-4": 0.5}), str(tmp_path / "t"))
+    sinks.write_task(prompts, {"k": "1"}, {"gpt-4": 0.5}, str(tmp_path / "t"))
     back = files.task(spark, str(tmp_path / "t")).orderBy("idx").collect()
     assert [(r["idx"], r["prompt"], r["db_id"]) for r in back] == [(0, "p0", "e"), (1, "p1", "d")]
 
@@ -55,10 +55,11 @@ def test_linking_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, links.collect()))
 
 
-def test_export(spark):
+def test_export(spark, tmp_path):
     p = spark.createDataFrame([(0, "SELECT 1 /* x"), (1, "SELECT 2")], "idx long, sql string")
     r = spark.createDataFrame([(0, 10, "d"), (1, 11, "e")], "idx long, question_id long, db_id string")
-    assert json.loads(sinks.export_document(p, r).first()["value"]) == {"10": "SELECT 1 \t----- bird -----\td", "11": "SELECT 2\t----- bird -----\te"}
+    sinks.write_export(p, r, str(tmp_path / "e"))
+    assert json.loads((tmp_path / "e" / "part-00000").read_text()) == {"10": "SELECT 1 \t----- bird -----\td", "11": "SELECT 2\t----- bird -----\te"}
 
 
 def test_sqlite(spark, tmp_path):
