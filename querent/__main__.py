@@ -48,7 +48,7 @@ def ask(spark: SparkSession, args: argparse.Namespace) -> None:
     rows = relations.batches(rows, args.batch_size, args.start_index, args.end_index)
     client = llm_client.Replay(default=("count(*) FROM t",)) if args.model == "replay" else llm_client.OpenAICompatible(args.model)
     model = "" if args.model == "replay" else args.model
-    answers = stored(llm_client.ask(rows, client, args.n, args.temperature, args.batch_size, model=model), "answers")
+    answers = stored(llm_client.ask(rows, client, args.n, args.temperature, args.batch_size, model=model, ledger=args.ledger or f"{args.question}/ledger", calls_per_s=args.calls_per_s), "answers")
     candidates = answers.select("idx", "db_id", F.posexplode_outer(F.slice("p_sqls", 1, args.n)).alias("cand_no", "sql"))
     candidates = stored(candidates.withColumns({"cand_no": F.coalesce("cand_no", F.lit(0)), "sql": answer_sql(F.coalesce("sql", F.lit("")))}), "candidates")
     best = candidates.where("cand_no = 0") if args.n == 1 else voting.winners(candidates, _executed(spark, candidates, args.db_dir))
@@ -103,6 +103,8 @@ def parser() -> argparse.ArgumentParser:
         ("mini_index_path", {"default": ""}),
         ("batch_size", {"type": int, "default": 1}),
         ("n", {"type": int, "default": 5}),
+        ("ledger", {"default": "", "help": "folder of paid answers; by the question's own unless named"}),
+        ("calls_per_s", {"type": float}),
         ("db_dir", {"default": "dataset/spider/database"}),
     )
     command("export", export, ("output", {"required": True}), ("bird_dev", {"required": True}))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querent.plans.ledger import Ledger
+
 MAX_TOKENS = 200
 STOP = ";"
 #: Models that complete a batch of prompts at once, one answer each; the others chat, one prompt at a time, with any number of answers.
@@ -95,31 +97,71 @@ class OpenAICompatible:
         return answer
 
 
-def ask(prompts: DataFrame, factory: Callable[[], Client], n: int = 1, temperature: float = 0.0, batch_size: int = 1, retries: int = 3, pause_s: float = 1.0, model: str = "") -> DataFrame:
-    """(idx, db_id, p_sqls, total_tokens, status) of prompts (idx, db_id, prompt). total_tokens is on the first row of a batch."""
+def ask(
+    prompts: DataFrame,
+    factory: Callable[[], Client],
+    n: int = 1,
+    temperature: float = 0.0,
+    batch_size: int = 1,
+    retries: int = 3,
+    pause_s: float = 1.0,
+    model: str = "",
+    ledger: str = "",
+    calls_per_s: float | None = None,
+) -> DataFrame:
+    """(idx, db_id, p_sqls, total_tokens, status) of prompts (idx, db_id, prompt). total_tokens is on the first row of a batch.
+
+    ledger: a folder that all executors reach; what was answered there before is not asked again, and its tokens are those
+    that were paid then. calls_per_s: a bound on the calls of all executors together, which share it evenly.
+    """
     if model in COMPLETION_MODELS and n != 1:
         raise ValueError("completion models give one answer")
     if model and model not in COMPLETION_MODELS and batch_size != 1:
         raise ValueError("chat models take one prompt at a time")
+    tasks = prompts.sparkSession.sparkContext.defaultParallelism
+    every_s = tasks / calls_per_s if calls_per_s else 0.0  # of one task, as no more of them run
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = factory()
+        client, last = factory(), 0.0
+        book = Ledger(ledger) if ledger else None
+
+        def called(part: list[str]) -> tuple[str, list[list[str]], int]:
+            nonlocal last
+            status = ""
+            for attempt in range(retries + 1):
+                if (wait := last + every_s - time.monotonic()) > 0:
+                    time.sleep(wait)
+                last = time.monotonic()
+                try:
+                    got = client(part, n, temperature)
+                    return "ok", got.texts, got.total_tokens
+                except Exception as e:  # whatever the service raises
+                    status = f"error: {type(e).__name__}: {e}"[:300]
+                    if attempt < retries:
+                        time.sleep(pause_s)
+            return status, [[] for _ in part], 0
+
         for whole in batches:
             for at in range(0, len(whole), batch_size):
                 part = whole.iloc[at : at + batch_size]
-                status, texts, tokens = "", [[] for _ in range(len(part))], 0
-                for attempt in range(retries + 1):
-                    try:
-                        got = client(part["prompt"].tolist(), n, temperature)
-                        status, texts, tokens = "ok", got.texts, got.total_tokens
-                        break
-                    except Exception as e:  # whatever the service raises
-                        status = f"error: {type(e).__name__}: {e}"[:300]
-                        if attempt < retries:
-                            time.sleep(pause_s)
-                yield pd.DataFrame({"idx": part["idx"].to_numpy(), "db_id": part["db_id"].to_numpy(), "p_sqls": texts, "total_tokens": [tokens, *[0] * (len(part) - 1)], "status": status})
-
-    return prompts.select("idx", "db_id", "prompt").mapInPandas(run, ASKED)
+                asked = part["prompt"].tolist()
+                keys = [Ledger.key(p, model, n, temperature, max_tokens=MAX_TOKENS) for p in asked] if book else []
+                held = [book.get(k) for k in keys] if book else [None] * len(asked)
+                missing = [i for i, x in enumerate(held) if x is None]
+                status, tokens = "ok", sum(x[1] for x in held if x)
+                texts = [x[0] if x else [] for x in held]
+                if missing:
+                    status, new, paid = called([asked[i] for i in missing])
+                    tokens += paid
+                    for place, (i, own) in enumerate(zip(missing, new, strict=True)):
+                        texts[i] = own
+                        if book and status == "ok":
+                            book.put(keys[i], own, paid if place == 0 else 0)
+                statuses = [status if i in missing else "ok" for i in range(len(asked))]
+                yield pd.DataFrame({"idx": part["idx"].to_numpy(), "db_id": part["db_id"].to_numpy(), "p_sqls": texts, "total_tokens": [tokens, *[0] * (len(part) - 1)], "status": statuses})
+
+    rows = prompts.select("idx", "db_id", "prompt")
+    return (rows.coalesce(tasks) if calls_per_s else rows).mapInPandas(run, ASKED)
 
 
 def token_totals(answers: DataFrame) -> DataFrame:

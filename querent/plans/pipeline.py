@@ -36,6 +36,8 @@ class Config:
     temperature: float = 0.0
     cross_domain: bool = False
     scope: int = SCOPE
+    ledger: str = ""
+    calls_per_s: float | None = None
 
 
 def with_skeletons(items: DataFrame, databases: DataFrame, query: str = "query", to: str = "skeleton") -> DataFrame:
@@ -65,7 +67,7 @@ def build_prompts(targets: DataFrame, pool: DataFrame, databases: DataFrame, con
 def answered(prompts: DataFrame, client: Callable[[], Client], config: Config, results: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """idx, db_id, sql: the clean answer, or with several answers the winner of the vote over their results."""
     # calls are paid: what comes back is written once, and all that follows reads the table
-    raw = stored(ask(stored(prompts.select("idx", "db_id", "prompt"), "prompts"), client, config.n, config.temperature), "answers")
+    raw = stored(ask(stored(prompts.select("idx", "db_id", "prompt"), "prompts"), client, config.n, config.temperature, ledger=config.ledger, calls_per_s=config.calls_per_s), "answers")
     candidates = raw.select("idx", "db_id", F.posexplode_outer("p_sqls").alias("cand_no", "sql")).withColumn("sql", answer_sql(F.coalesce("sql", F.lit(""))))
     candidates = candidates.withColumn("cand_no", F.coalesce("cand_no", F.lit(0)))
     if config.n == 1 or results is None:
