@@ -5,7 +5,7 @@ Each comes as a DataFrame and as the DuckDB text of the same relation, made from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querent.sources.catalog import Catalog, of_frames
@@ -71,6 +71,50 @@ def raw_databases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(DB, [t[1] for t in own], columns, keys)], "db_id string, table_names_original array<string>, column_names_original array<array<string>>, foreign_keys array<array<int>>")
 
 
+#: A database for each region: its nations are tables, their suppliers columns, each nation's first one a key that refers to the region's first.
+TRADE_COLUMNS_SQL = "(SELECT r_name AS db_id, CAST(dense_rank() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS INTEGER) AS table_id, n_name AS table_name, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey, s_suppkey) AS INTEGER) AS col_id, s_name AS column_name, lower(s_name) AS display, ['number', 'text', 'time', 'boolean'][CAST(s_suppkey % 4 + 1 AS INTEGER)] AS type, CAST(CASE WHEN row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) = 1 THEN 1 ELSE 0 END AS INTEGER) AS pk FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)"
+TRADE_KEYS_SQL = f"(SELECT a.db_id, a.table_name, a.column_name AS source, b.table_name AS ref_table, b.column_name AS ref_column FROM {TRADE_COLUMNS_SQL} a JOIN {TRADE_COLUMNS_SQL} b ON b.db_id = a.db_id AND b.col_id = 1 AND a.pk = 1 AND a.table_id > 0)"
+TRADE_TABLES_SQL = f"(SELECT DISTINCT db_id, table_id, table_name, lower(table_name) AS display FROM {TRADE_COLUMNS_SQL})"
+
+
+def widened(sql: str) -> str:
+    """An oracle over the catalog, over the databases of the trade too."""
+    for own, more in ((TABLES_SQL, TRADE_TABLES_SQL), (COLUMNS_SQL, TRADE_COLUMNS_SQL), (FOREIGN_KEYS_SQL, TRADE_KEYS_SQL)):
+        sql = sql.replace(own, f"(SELECT * FROM {own} UNION ALL SELECT * FROM {more})")
+    return sql
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Columns and foreign keys of the trade's databases."""
+    supplier, nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation", "region"))
+    rows = supplier.join(nation, F.col("n_nationkey") == F.col("s_nationkey")).join(region, F.col("r_regionkey") == F.col("n_regionkey"))
+    by = Window.partitionBy("r_name")
+    table_id, col_id = F.dense_rank().over(by.orderBy("n_nationkey")) - 1, F.row_number().over(by.orderBy("n_nationkey", "s_suppkey"))
+    kind = F.element_at(F.array(*map(F.lit, ("number", "text", "time", "boolean"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    pk = F.when(F.row_number().over(Window.partitionBy("n_nationkey").orderBy("s_suppkey")) == 1, 1).otherwise(0)
+    columns = rows.select(F.col("r_name").alias("db_id"), table_id.alias("table_id"), F.col("n_name").alias("table_name"), col_id.alias("col_id"), F.col("s_name").alias("column_name"), F.lower("s_name").alias("display"), kind.alias("type"), pk.alias("pk"))
+    first = columns.where("col_id = 1").select("db_id", F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"))
+    keys = columns.where("pk = 1 and table_id > 0").join(first, "db_id").select("db_id", "table_name", F.col("column_name").alias("source"), "ref_table", "ref_column")
+    return columns, keys
+
+
+def wide_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalog, with the databases of the trade."""
+    own, (columns, keys) = catalog(spark), _trade(spark, sf_dir)
+    tables = columns.select("db_id", "table_id", "table_name", F.lower("table_name").alias("display")).distinct()
+    return of_frames(own.tables.drop("ddl").unionByName(tables), own.columns.unionByName(columns), own.foreign_keys.union(keys))
+
+
+def raw_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The databases of the trade as rows of a tables.json file."""
+    columns, keys = _trade(spark, sf_dir)
+    names = columns.groupBy("db_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("table_id", "table_name"))), lambda x: x["table_name"]).alias("table_names_original"), F.transform(F.array_sort(F.collect_list(F.struct("col_id", F.array(F.col("table_id").cast("string"), F.col("column_name")).alias("c")))), lambda x: x["c"]).alias("c"))
+    ids = columns.select("db_id", F.col("column_name").alias("source"), "col_id")
+    pairs = keys.join(ids, ["db_id", "source"]).groupBy("db_id").agg(F.transform(F.sort_array(F.collect_list("col_id")), lambda x: F.array(x, F.lit(1))).alias("foreign_keys"))
+    star = F.array(F.array(F.lit("-1"), F.lit("*")))
+    return names.join(pairs, "db_id", "left").select("db_id", "table_names_original", F.concat(star, "c").alias("column_names_original"), F.coalesce("foreign_keys", F.array().cast("array<array<int>>")).alias("foreign_keys"))
+
+
 #: Query log: text, normal form and skeleton, the last two derived by hand.
 LOG = [
     ("SELECT p_name FROM part WHERE p_size > 10;", "select p_name from part where p_size > 10", "select _ from _ where _"),

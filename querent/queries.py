@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from querent import fixtures as X
 from querent.functions import answers, similarity, sql_text
-from querent.operators import linking, metrics, prompts, relations, selection, voting
+from querent.operators import linking, metrics, nearest, prompts, relations, selection, similarity_join, voting
 from querent.plans import dataset, hooks, llm_client
 from querent.sources import catalog as catalogs
-from querent.sources.stored import stored
+from querent.sources import files, sinks
+from querent.sources.stored import folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,9 +84,17 @@ _NUMBERS = ["5", "-7", "+3", "1.5", "-1.50", ".5", "5.", "1e5", "1_000", "nan",
 _FLAGS = [(0, 1, 1), (1, 1, 1), (0, 0, 1), (0, 1, 1), (0, 1, 1), (0, 0, 1), (0, 0, 1), (0, 0, 1), (0, 0, 1), (0, 0, 1), (0, 0, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 1)]
 
 
-@query("number_token_flags", "SELECT k, word, negative_int, narrow_float, number FROM " + X._values([(i, w, *f) for i, (w, f) in enumerate(zip(_NUMBERS, _FLAGS, strict=True))], "k, word, negative_int, narrow_float, number"))
+#: Words of conversations, prices and sizes as they are written.
+_WORDS_SQL = "SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations UNION ALL SELECT CAST(p_size AS VARCHAR) || CASE WHEN p_size % 2 = 0 THEN '' ELSE '.5' END FROM part UNION ALL SELECT '-' || CAST(p_partkey AS VARCHAR) FROM part)"
+_WIDE = r"(?i)^[\x09-\x0D ]*([+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|[+-]?(nan|inf|infinity))[\x09-\x0D ]*$"
+
+
+@query("number_token_flags", "SELECT k, word, negative_int, narrow_float, number FROM " + X._values([(i, w, *f) for i, (w, f) in enumerate(zip(_NUMBERS, _FLAGS, strict=True))], "k, word, negative_int, narrow_float, number") + rf" UNION ALL SELECT -1, word, CAST(regexp_matches(word, '^-[0-9]+$') AS INTEGER), CAST(regexp_matches(word, '^-?[0-9]+([.][0-9]+)?$') AS INTEGER), CAST(regexp_matches(word, '{_WIDE}') AS INTEGER) FROM ({_WORDS_SQL})")
 def number_token_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_NUMBERS)), "k int, word string")
+    part = _table(spark, sf_dir, "part")
+    words = _table(spark, sf_dir, "conversations").select(F.explode(F.split("text", " ")).alias("word"))
+    words = words.union(part.select(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "").otherwise(".5")))).union(part.select(F.concat(F.lit("-"), F.col("p_partkey").cast("string"))))
+    rows = spark.createDataFrame(list(enumerate(_NUMBERS)), "k int, word string").union(words.distinct().select(F.lit(-1), "word"))
     flag = lambda c, n: c.cast("int").alias(n)
     w = F.col("word")
     return rows.select("k", "word", flag(sql_text.is_negative_int(w), "negative_int"), flag(sql_text.is_float(w), "narrow_float"), flag(sql_text.is_number(w), "number"))
@@ -215,9 +225,15 @@ _SHIFT = [(0, 0, "col", 1, "CEM"), (0, 0, "col", 2, "CPM"), (0, 1, "col", 1, "CE
 _SHIFTED = [(0, 0, "col", 1, "CEM"), (0, 1, "col", 1, "CEM"), (0, 2, "tab", 1, "TPM"), (1, 3, "col", 4, "CPM"), (1, 5, "col", 4, "CPM"), (2, 0, "col", 7, "CEM"), (2, 1, "col", 7, "CPM"), (2, 1, "col", 8, "CPM")]
 
 
-@query("link_match_shift", "SELECT * FROM " + X._values(_SHIFTED, "idx, q_id, kind, target_id, flag"))
+#: A question on each part whose one token matches two columns, one of them exactly for some parts.
+_PART_SHIFTED = "SELECT CAST(100 + p_partkey AS INTEGER) AS idx, 0 AS q_id, 'col' AS kind, p_size AS target_id, CASE WHEN p_size % 3 = 0 THEN 'CEM' ELSE 'CPM' END AS flag FROM part UNION ALL SELECT CAST(100 + p_partkey AS INTEGER), 0, 'col', 99, 'CPM' FROM part WHERE p_size % 3 <> 0"
+
+
+@query("link_match_shift", "SELECT * FROM " + X._values(_SHIFTED, "idx, q_id, kind, target_id, flag") + " UNION ALL " + _PART_SHIFTED)
 def link_match_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_SHIFT, "idx int, q_id int, kind string, target_id int, flag string").withColumn("db_id", F.lit(X.DB))
+    part = _table(spark, sf_dir, "part").select((F.col("p_partkey") + 100).cast("int").alias("idx"), F.lit(0).alias("q_id"), F.lit("col").alias("kind"), "p_size")
+    matches = part.select("idx", "q_id", "kind", F.col("p_size").alias("target_id"), F.when(F.col("p_size") % 3 == 0, "CEM").otherwise("CPM").alias("flag")).union(part.select("idx", "q_id", "kind", F.lit(99), F.lit("CPM")))
+    rows = spark.createDataFrame(_SHIFT, "idx int, q_id int, kind string, target_id int, flag string").union(matches).withColumn("db_id", F.lit(X.DB))
     return linking.shifted(rows).select(*_LINK)
 
 
@@ -268,12 +284,12 @@ def relevant_tables_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("catalog_columns", f"SELECT * FROM {X.COLUMNS_SQL}")
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.catalog(spark).columns
+    return X.wide_catalog(spark, sf_dir).columns
 
 
 @query("catalog_fk_pairs", f"SELECT db_id, '(' || table_name || '.' || source || ', ' || ref_table || '.' || ref_column || ')' AS text, table_name || '.' || source || '=' || ref_table || '.' || ref_column AS pair FROM {X.FOREIGN_KEYS_SQL}")
 def catalog_fk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogs.foreign_key_pairs(X.catalog(spark).foreign_keys).select("db_id", "text", "pair")
+    return catalogs.foreign_key_pairs(X.wide_catalog(spark, sf_dir).foreign_keys).select("db_id", "text", "pair")
 
 
 _DDL = f"(SELECT c.db_id, c.table_id, c.table_name, 'CREATE TABLE ' || c.table_name || ' (' || chr(10) || string_agg('  ' || column_name || ' ' || CASE type WHEN 'number' THEN 'REAL' WHEN 'time' THEN 'TIMESTAMP' WHEN 'boolean' THEN 'BOOLEAN' ELSE 'TEXT' END, ',' || chr(10) ORDER BY col_id) || coalesce(',' || chr(10) || '  PRIMARY KEY (' || string_agg(column_name, ', ' ORDER BY pk) FILTER (pk > 0) || ')', '') || coalesce(',' || chr(10) || any_value(f.refs), '') || chr(10) || ')' AS ddl FROM {X.COLUMNS_SQL} c LEFT JOIN (SELECT db_id, table_name, string_agg('  FOREIGN KEY (' || source || ') REFERENCES ' || ref_table || '(' || ref_column || ')', ',' || chr(10) ORDER BY source) AS refs FROM {X.FOREIGN_KEYS_SQL} GROUP BY db_id, table_name) f ON f.db_id = c.db_id AND f.table_name = c.table_name GROUP BY c.db_id, c.table_id, c.table_name)"
@@ -281,7 +297,7 @@ _DDL = f"(SELECT c.db_id, c.table_id, c.table_name, 'CREATE TABLE ' || c.table_n
 
 @query("catalog_ddl", f"SELECT db_id, table_name, ddl FROM {_DDL}")
 def catalog_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.catalog(spark).tables.select("db_id", "table_name", "ddl")
+    return X.wide_catalog(spark, sf_dir).tables.select("db_id", "table_name", "ddl")
 
 
 _FK_IDS = f"(SELECT f.db_id, a.col_id AS s, b.col_id AS r, a.table_id AS st, b.table_id AS rt FROM {X.FOREIGN_KEYS_SQL} f JOIN {X.COLUMNS_SQL} a ON a.db_id = f.db_id AND a.table_name = f.table_name AND a.column_name = f.source JOIN {X.COLUMNS_SQL} b ON b.db_id = f.db_id AND b.table_name = f.ref_table AND b.column_name = f.ref_column)"
@@ -290,10 +306,14 @@ _FK_IDS = f"(SELECT f.db_id, a.col_id AS s, b.col_id AS r, a.table_id AS st, b.t
 @query("schema_preprocessed", f"SELECT c.db_id, string_agg(col_id || ':' || table_id, ',' ORDER BY col_id) AS column_to_table, (SELECT string_agg(low, ',' ORDER BY table_id) FROM (SELECT table_id, CAST(min(col_id) AS VARCHAR) AS low FROM {X.COLUMNS_SQL} x WHERE x.db_id = c.db_id GROUP BY table_id)) || ',' || CAST(max(col_id) + 1 AS VARCHAR) AS table_bounds, string_agg(CAST(col_id AS VARCHAR), ',' ORDER BY table_id, pk) FILTER (pk > 0) AS primary_keys, coalesce((SELECT string_agg(s || ':' || r, ',' ORDER BY s) FROM {_FK_IDS} k WHERE k.db_id = c.db_id), '') AS foreign_keys, string_agg('<type: ' || type || '> ' || display, '|' ORDER BY col_id) AS typed_columns FROM {X.COLUMNS_SQL} c GROUP BY c.db_id")
 def schema_preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
-    p = catalogs.preprocessed(X.catalog(spark))
+    p = catalogs.preprocessed(X.wide_catalog(spark, sf_dir))
     return p.select("db_id", pairs("column_to_table").alias("column_to_table"), F.array_join("table_bounds", ",").alias("table_bounds"), F.array_join("primary_keys", ",").alias("primary_keys"), F.coalesce(pairs("foreign_keys"), F.lit("")).alias("foreign_keys"), F.array_join(F.transform("typed_columns", lambda t: F.array_join(t, " ")), "|").alias("typed_columns"))
 
 
+for _name in ("catalog_columns", "catalog_fk_pairs", "catalog_ddl", "schema_preprocessed"):
+    ORACLES[_name] = X.widened(ORACLES[_name])
+
+
 _BY_TABLE = f"(SELECT c.db_id, c.table_id, c.table_name, string_agg(column_name, ', ' ORDER BY col_id) AS cols, string_agg(c.table_name || '.' || column_name, ', ' ORDER BY col_id) AS dotted, any_value(d.ddl) AS ddl FROM {X.COLUMNS_SQL} c JOIN {_DDL} d ON d.db_id = c.db_id AND d.table_id = c.table_id GROUP BY c.db_id, c.table_id, c.table_name)"
 _DBS = f"(SELECT db_id, string_agg(ddl, chr(10) || chr(10) ORDER BY table_id) AS s_ddl, string_agg(table_name || ': ' || cols, chr(10) ORDER BY table_id) AS s_colon, string_agg('# ' || table_name || '(' || cols || ')', chr(10) ORDER BY table_id) AS s_sign, string_agg('Table ' || table_name || ', columns = [' || cols || ']', chr(10) ORDER BY table_id) AS s_list, string_agg(table_name || '(' || cols || ')', chr(10) ORDER BY table_id) AS s_call, '' AS s_none, string_agg(table_name, ', ' ORDER BY table_id) AS tables, string_agg(dotted, ', ' ORDER BY table_id) AS columns, coalesce((SELECT string_agg(f.table_name || '.' || source || '=' || ref_table || '.' || ref_column, ', ' ORDER BY t.table_id, source) FROM {X.FOREIGN_KEYS_SQL} f JOIN {X.TABLES_SQL} t ON t.db_id = f.db_id AND t.table_name = f.table_name WHERE f.db_id = b.db_id), '') AS fks FROM {_BY_TABLE} b GROUP BY db_id)"
 
@@ -478,10 +498,13 @@ def gold_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logged(spark, sf_dir).select("vec_id", answers.gold_answer(F.col("query")).alias("answer"))
 
 
-@query("first_candidates", "SELECT doc_id AS idx, CAST(i AS INTEGER) AS cand_no, string_split(text, ' ')[CAST(i AS INTEGER) + 1] AS sql FROM (SELECT doc_id, text, unnest(range(0, least(3, len(string_split(text, ' '))))) AS i FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[A-Za-z0-9 .,]*'))")
+_TRIMMED = r"regexp_replace(x, '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g')"
+
+
+@query("first_candidates", f"SELECT doc_id AS idx, CAST(i AS INTEGER) AS cand_no, split_part({_TRIMMED}, '/*', 1) AS sql FROM (SELECT doc_id, i, string_split(text, ' ')[CAST(i AS INTEGER) + 1] AS x FROM (SELECT doc_id, text, unnest(range(0, least(3, len(string_split(text, ' '))))) AS i FROM documents WHERE text IS NOT NULL))")
 def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = _table(spark, sf_dir, "documents").where("text rlike '^[A-Za-z0-9 .,]*$'")
-    rows = plain.select(F.col("doc_id").alias("idx"), F.lit(X.DB).alias("db_id"), F.split("text", " ").alias("p_sqls"))
+    texts = _table(spark, sf_dir, "documents").where("text is not null")
+    rows = texts.select(F.col("doc_id").alias("idx"), F.lit(X.DB).alias("db_id"), F.split("text", " ").alias("p_sqls"))
     return voting.first_candidates(rows, 3).select("idx", "cand_no", "sql")
 
 
@@ -504,9 +527,10 @@ def annotated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEY_SETS = [(x, y) for y, own in {"region.r_regionkey": ["nation.n_regionkey"], "nation.n_nationkey": ["customer.c_nationkey"], "customer.c_custkey": ["orders.o_custkey"], "orders.o_orderkey": ["lineitem.l_orderkey"], "part.p_partkey": ["lineitem.l_partkey"]}.items() for x in [y, *own]]
 
 
-@query("foreign_key_sets", "SELECT '__' || a || '__' AS \"column\", '__' || b || '__' AS representative FROM " + X._values(_KEY_SETS, "a, b"))
+@query("foreign_key_sets", "SELECT '__' || a || '__' AS \"column\", '__' || b || '__' AS representative FROM " + X._values(_KEY_SETS, "a, b") + f" UNION ALL SELECT DISTINCT '__' || lower(t) || '.' || lower(c) || '__', '__' || lower(first(t) OVER w) || '.' || lower(first(c) OVER w) || '__' FROM (SELECT c.db_id, c.table_name AS t, c.column_name AS c, c.col_id FROM {X.TRADE_COLUMNS_SQL} c JOIN (SELECT db_id, source AS c FROM {X.TRADE_KEYS_SQL} UNION SELECT db_id, ref_column FROM {X.TRADE_KEYS_SQL}) k ON k.db_id = c.db_id AND k.c = c.column_name) WINDOW w AS (PARTITION BY db_id ORDER BY col_id)")
 def foreign_key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogs.key_sets(X.raw_databases(spark)).select("column", "representative")
+    raw = X.raw_databases(spark)
+    return catalogs.key_sets(raw.unionByName(X.raw_trade(spark, sf_dir))).select("column", "representative")
 
 
 @query("list_equality", "SELECT * FROM (VALUES ('same', true), ('turned', false), ('shorter', false)) AS v(pair, equal)")
@@ -587,3 +611,115 @@ def line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("resume_antijoin", "SELECT o_orderkey AS idx FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
 def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.resumed(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx")), _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("idx")))
+
+
+# --- statements of another dialect -----------------------------------------------------------
+
+#: A statement for SQLite that gives one value, and the same for DuckDB as a number or a text.
+_DIALECT = [
+    ("SELECT sum(p_size) / count(*) FROM part", "sum(p_size) // count(*) FROM part", ""),
+    ("SELECT 7 * max(p_size) / 3 * 1.5 FROM part", "7 * max(p_size) // 3 * 1.5 FROM part", ""),
+    ("SELECT CAST(sum(p_size) AS REAL) / count(*) FROM part", "avg(p_size) FROM part", ""),
+    ("SELECT count(*) / 0 FROM nation", "NULL", ""),
+    ("SELECT -7 / 2 + count(*) % 4 FROM part", "-3 + count(*) % 4 FROM part", ""),
+    ("SELECT count(*) FROM part WHERE p_name LIKE '%R%' AND p_type NOT LIKE \"eco%\"", "count(*) FROM part WHERE p_name ILIKE '%r%' AND p_type NOT ILIKE 'eco%'", ""),
+    ("SELECT count(*) FROM part WHERE p_name GLOB '*R*' OR p_name GLOB '[a-m]*'", "count(*) FROM part WHERE regexp_matches(p_name, 'R|^[a-m]')", ""),
+    ("SELECT count(*) FROM customer WHERE c_mktsegment = \"BUILDING\" AND \"c_acctbal\" > 0 AND c_name IS NOT 'x'", "count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0", ""),
+    ("SELECT sum(p_size > 25), count(*) FROM part", "count(*) FILTER (p_size > 25) FROM part", ""),
+    ("SELECT count(*) FROM orders WHERE strftime('%Y', o_orderdate) = '1995' AND strftime('%m', o_orderdate) >= '07'", "count(*) FROM orders WHERE year(o_orderdate) = 1995 AND month(o_orderdate) >= 7", ""),
+    ("SELECT julianday(max(o_orderdate)) - julianday(min(o_orderdate)) FROM orders", "date_diff('day', min(o_orderdate), max(o_orderdate)) FROM orders", ""),
+    ("SELECT max(date(o_orderdate, 'start of month', '+1 month', '-1 day')) FROM orders", "", "CAST(last_day(max(o_orderdate)) AS VARCHAR) FROM orders"),
+    ("SELECT strftime('%d/%m/%Y', min(o_orderdate)) FROM orders", "", "strftime(min(o_orderdate), '%d/%m/%Y') FROM orders"),
+    ("SELECT iif(count(*) > 10, 'many', 'few') || '!' FROM supplier", "", "CASE WHEN count(*) > 10 THEN 'many' ELSE 'few' END || '!' FROM supplier"),
+    ("SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 1, 1", "", "p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 1 OFFSET 1"),
+    ("SELECT CAST('12abc' AS INTEGER) + CAST(' 3.5x' AS REAL) + count(*) FROM nation", "15.5 + count(*) FROM nation", ""),
+    ("SELECT p_partkey FROM part WHERE p_retailprice = (SELECT p_retailprice FROM part WHERE p_partkey = 3) ORDER BY p_partkey LIMIT 1", "min(p_partkey) FROM part WHERE p_retailprice = (SELECT p_retailprice FROM part WHERE p_partkey = 3)", ""),
+    ("SELECT max(o_totalprice), o_orderkey FROM orders WHERE o_custkey < 100", "max(o_totalprice) FROM orders WHERE o_custkey < 100", ""),
+    ("SELECT o_orderkey FROM (SELECT o_orderkey, max(o_totalprice) FROM orders)", "arg_max(o_orderkey, o_totalprice) FROM orders", ""),
+    ("SELECT total(l_quantity) FROM lineitem WHERE l_orderkey < 0", "0", ""),
+    ("SELECT upper(substr(n_name, 0, 4)) || length(n_name) FROM nation ORDER BY n_nationkey LIMIT 1", "", "upper(n_name[1:3]) || length(n_name) FROM nation ORDER BY n_nationkey LIMIT 1"),
+]
+
+
+def _shop(sf_dir: str) -> Callable[[SparkSession], dict[str, DataFrame]]:
+    """The tables of the catalog's first database."""
+    return lambda session: {t[1]: _table(session, sf_dir, t[1]) for t in X.TABLES if t[0] == X.DB} | {"supplier": _table(session, sf_dir, "supplier")}
+
+
+def _valued(k: int, number: str, text: str) -> str:
+    own, _, rest = (number or text).partition(" FROM ")
+    value = f"(SELECT {own} AS v" + (f" FROM {rest})" if rest else ")")
+    return f"SELECT {k} AS k, " + (f"round(CAST(v AS DOUBLE), 6) AS num, CAST(NULL AS VARCHAR) AS txt FROM {value}" if number else f"CAST(NULL AS DOUBLE) AS num, CAST(v AS VARCHAR) AS txt FROM {value}")
+
+
+@query("dialect_values", " UNION ALL ".join(_valued(k, number, text) for k, (_, number, text) in enumerate(_DIALECT)))
+def dialect_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    database = voting.Database(spark, _shop(sf_dir))
+    out = None
+    for k, (sql, number, _) in enumerate(_DIALECT):
+        found = database.frame(sql)
+        df = found.toDF(*(f"c{i}" for i in range(len(found.columns))))
+        num = F.round(F.col("c0").try_cast("double"), 6) if number else F.lit(None).cast("double")
+        txt = F.lit(None).cast("string") if number else F.col("c0").cast("string")
+        one = df.select(F.lit(k).alias("k"), num.alias("num"), txt.alias("txt"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+#: Two ways to ask one thing and one way to ask another; the last reads a file of the machine and is refused.
+_ALIKE = [
+    ("SELECT sum(p_size) / count(*) FROM part", "SELECT (sum(p_size) - sum(p_size) % count(*)) / count(*) FROM part", "SELECT sum(p_size) * 1.0 / count(*) + 0.123 FROM part"),
+    ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%R%'", "SELECT p_name, p_partkey FROM part WHERE p_name LIKE '%r%'", "SELECT p_partkey, p_name FROM part WHERE p_name GLOB '*R*'"),
+    ("SELECT count(*) FROM orders WHERE strftime('%Y', o_orderdate) = '1995'", "SELECT count(*) FROM orders WHERE date(o_orderdate, 'start of year') = '1995-01-01'", "SELECT 1 + count(*) FROM orders"),
+    ("SELECT c_mktsegment, count(*) FROM customer WHERE c_mktsegment = \"BUILDING\"", "SELECT count(*), [c_mktsegment] FROM customer GROUP BY `c_mktsegment` HAVING c_mktsegment IS 'BUILDING'", "SELECT c_mktsegment FROM customer LIMIT 0"),
+    ("SELECT n_name FROM nation WHERE n_regionkey = 1 ORDER BY n_nationkey LIMIT 0, 3", "SELECT n_name FROM nation WHERE n_regionkey = 1 ORDER BY n_nationkey LIMIT 3 OFFSET 0", "SELECT * FROM text.`/etc/hostname`"),
+]
+_ALIKE_ROWS = [(i, k, s) for i, own in enumerate(_ALIKE) for k, s in enumerate(own)]
+
+
+@query("vote_dialect", "SELECT idx, cand_no, cluster, CAST(votes AS BIGINT) AS votes FROM " + X._values([(i, k, 0 if k < 2 else 2, 2 if k < 2 else 1) for i, k, _ in _ALIKE_ROWS if (i, k) != (4, 2)], "idx, cand_no, cluster, votes"))
+def vote_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = spark.createDataFrame([(i, X.DB, k, s) for i, k, s in _ALIKE_ROWS], "idx int, db_id string, cand_no int, sql string")
+    return voting.clusters(candidates, voting.execute(spark, candidates, tables={X.DB: _shop(sf_dir)})).select("idx", "cand_no", "cluster", "votes")
+
+
+# --- joins and indexes of selection ----------------------------------------------------------
+
+
+_NUMBERED = "(SELECT t, w, row_number() OVER (PARTITION BY t, w) AS i FROM (SELECT t, unnest(string_split(t, ' ')) AS w FROM (SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_type AS t FROM part)))"
+
+
+@query("similar_texts", f"SELECT a, b, round(k / (len(string_split(a, ' ')) + len(string_split(b, ' ')) - k), 6) AS sim FROM (SELECT x.t AS a, y.t AS b, CAST(count(*) AS DOUBLE) AS k FROM {_NUMBERED} x JOIN {_NUMBERED} y ON x.w = y.w AND x.i = y.i GROUP BY ALL) WHERE k / (len(string_split(a, ' ')) + len(string_split(b, ' ')) - k) >= 0.6")
+def similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    return similarity_join.similar(texts, texts, 0.6).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query("knn_indexed", _select_sql("EUCDISTANCE"))
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = X.vectors(spark, sf_dir)
+    found, _ = nearest.search(nearest.build(pool), X.targets(pool), selection.STRATEGIES["EUCDISTANCE"], K)
+    return found.select("t_idx", "c_idx", "rank", F.round("score", 6).alias("score"), F.round("sim", 6).alias("sim"))
+
+
+#: Every seventh vector is zero.
+_SOME_ZERO = "(SELECT idx, db_id, question, CASE WHEN idx % 7 = 3 THEN list_transform(vector, lambda x: 0.0) ELSE vector END AS v, idx % 7 = 3 AS zero FROM " + X.vectors_sql() + ")"
+
+
+@query(
+    "knn_cosine_zero_vectors",
+    f"SELECT t_idx, c_idx, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY t_idx ORDER BY score DESC, c_idx) AS rank FROM (SELECT t.idx AS t_idx, c.idx AS c_idx, CASE WHEN t.zero OR c.zero THEN 0.0 ELSE list_cosine_similarity(t.v, c.v) END AS score FROM {_SOME_ZERO} t, {_SOME_ZERO} c WHERE t.idx % 25 = 0 AND c.db_id <> t.db_id AND c.question <> t.question)) WHERE rank <= {K}",
+)
+def knn_cosine_zero_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = X.vectors(spark, sf_dir)
+    pool = pool.withColumn("vector", F.when(F.col("idx") % 7 == 3, F.transform("vector", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("vector")))
+    return selection.select(pool, X.targets(pool), selection.STRATEGIES["COSSIMILAR"], K).select("t_idx", "c_idx", "rank", F.round("score", 6).alias("score"))
+
+
+@query("split_documents", "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx, doc_id, md5(text) AS digest FROM documents")
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as one JSON array, and that array read back by ranges of bytes."""
+    path = f"{folder(spark)}/array-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents")
+    sinks.write_json_array(docs.select(F.col("doc_id").alias("idx"), F.col("doc_id").alias("id"), "text"), path)
+    return files.json_array(spark, path, "struct<id:bigint,text:string>", whole=-1).select("idx", F.col("id").alias("doc_id"), F.md5("text").alias("digest"))

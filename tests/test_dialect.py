@@ -65,6 +65,7 @@ SELECT iif(age > 30, 'old', 'young'), ifnull(country, 'none'), coalesce(NULL, ag
 SELECT group_concat(name, '|') FROM (SELECT name FROM singer WHERE id < 2)
 SELECT CASE country WHEN 'Spain' THEN 1 WHEN "France" THEN 2 END, CASE WHEN age / 2 > 15 THEN 'x' ELSE 'y' END FROM singer
 SELECT country FROM singer UNION SELECT theme FROM concert
+SELECT name FROM (SELECT s.name, max(s.worth) FROM singer AS s)
 SELECT id FROM singer EXCEPT SELECT singer_id FROM concert
 SELECT id FROM singer INTERSECT SELECT singer_id FROM concert ORDER BY id
 SELECT country FROM singer UNION ALL SELECT country FROM singer WHERE age > 35
