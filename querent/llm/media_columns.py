@@ -2,8 +2,13 @@
 
 ``mux`` stores bytes as fixed-size samples of one raw 8-bit track (ftyp, moov with the
 sample tables, mdat); ``demux`` walks the nested boxes of any such container, resolves
-stsz/stz2, stsc, stco/co64, stts and stss into byte ranges, and returns codec, duration
-and keyframe ranges. The payload is only sliced, never decoded. Both are exact inverses.
+stsz/stz2, stsc, stco/co64, stts and stss into byte ranges, the tables of movie fragments
+(trex, tfhd, trun) too, and returns codec, duration and keyframe ranges. The payload is only
+sliced, never decoded. Both are exact inverses.
+
+A file says how many samples it has; none is believed to have more than bytes. Boxes deeper
+than DEPTH, and tables that reach beyond their box, are errors of ``Broken``, so any bytes end
+in tracks or in that.
 """
 
 from __future__ import annotations
@@ -25,12 +30,18 @@ RATE = 8000
 CHUNK = 32
 KEY_EVERY = 16
 CODEC = b"raw "
+#: Boxes within boxes.
+DEPTH = 32
 
 #: Boxes whose payload is a list of boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
+class Broken(ValueError):
+    """Bytes that are no such container."""
+
+
 def box(kind: bytes, *parts: bytes) -> bytes:
     size = 8 + sum(map(len, parts))
     head = struct.pack(">I4s", size, kind) if size < 1 << 32 else struct.pack(">I4sQ", 1, kind, size + 8)
@@ -99,13 +110,14 @@ def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, i
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
-            raise ValueError(f"box {kind!r} at {start} does not fit")
+            raise Broken(f"box {kind!r} at {start} does not fit")
         yield kind, start + head, start + size
         start += size
 
 
 @dataclass
 class Track:
+    number: int = 0
     codec: str = ""
     timescale: int = 0
     duration: int = 0
@@ -117,30 +129,48 @@ class Track:
         return [self.samples[k - 1] for k in self.keys if 0 < k <= len(self.samples)]
 
 
-def _tables(data: memoryview, at: dict[bytes, tuple[int, int]]) -> Track:
+Boxes = dict[bytes, tuple[int, int]]
+
+
+def _ints(data: memoryview, at: Boxes, kind: bytes, skip: int, n: int, code: str = "I") -> tuple[int, ...]:
+    """n numbers of a box, all within it."""
+    start, end = at[kind]
+    if start + skip + n * struct.calcsize(">" + code) > end:
+        raise Broken(f"the table {kind!r} is cut short")
+    return struct.unpack_from(f">{n}{code}", data, start + skip)
+
+
+def _tables(data: memoryview, at: Boxes) -> Track:
+    """A track by its sample tables."""
+
     def ints(kind: bytes, skip: int, n: int, code: str = "I") -> tuple[int, ...]:
-        return struct.unpack_from(f">{n}{code}", data, at[kind][0] + skip)
+        return _ints(data, at, kind, skip, n, code)
 
     track = Track()
+    if b"tkhd" in at:
+        (track.number,) = ints(b"tkhd", 20 if data[at[b"tkhd"][0]] == 1 else 12, 1)
     if b"mdhd" in at:
-        s = at[b"mdhd"][0]
-        track.timescale, track.duration = struct.unpack_from(">IQ", data, s + 20) if data[s] == 1 else struct.unpack_from(">2I", data, s + 12)
+        track.timescale, track.duration = (*ints(b"mdhd", 20, 1), *ints(b"mdhd", 24, 1, "Q")) if data[at[b"mdhd"][0]] == 1 else ints(b"mdhd", 12, 2)
     if b"stsd" in at:
-        track.codec = bytes(data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
+        track.codec = struct.pack(">I", *ints(b"stsd", 12, 1)).decode("latin-1")
     if b"stts" in at:
         (n,) = ints(b"stts", 4, 1)
         runs = ints(b"stts", 8, 2 * n)
         track.duration = sum(a * b for a, b in zip(runs[::2], runs[1::2], strict=True)) or track.duration
     if b"stsz" in at:
         same, n = ints(b"stsz", 4, 2)
+        if same and n * same > len(data):
+            raise Broken("more samples than bytes")
         sizes = (same,) * n if same else ints(b"stsz", 12, n)
     elif b"stz2" in at:
-        bits, n = data[at[b"stz2"][0] + 7], ints(b"stz2", 8, 1)[0]
+        ((word, n),) = (ints(b"stz2", 4, 2),)
+        bits = word & 255
         if bits == 4:
-            packed = data[at[b"stz2"][0] + 12 :]
-            sizes = tuple(packed[i // 2] >> 4 if i % 2 == 0 else packed[i // 2] & 15 for i in range(n))
-        else:
+            sizes = tuple(x for byte in ints(b"stz2", 12, (n + 1) // 2, "B") for x in (byte >> 4, byte & 15))[:n]
+        elif bits in (8, 16):
             sizes = ints(b"stz2", 12, n, {8: "B", 16: "H"}[bits])
+        else:
+            raise Broken(f"sizes of {bits} bits")
     else:
         sizes = ()
     wide = b"co64" in at
@@ -150,10 +180,10 @@ def _tables(data: memoryview, at: dict[bytes, tuple[int, int]]) -> Track:
     firsts, per = flat[::3], flat[1::3]
     i = 0
     for number, offset in enumerate(chunks, 1):
+        if i >= len(sizes):
+            break
         run = bisect_right(firsts, number) - 1
-        for _ in range(per[run] if run >= 0 else 0):
-            if i >= len(sizes):
-                break
+        for _ in range(min(per[run], len(sizes) - i) if run >= 0 else 0):
             track.samples.append((offset, offset + sizes[i]))
             offset += sizes[i]
             i += 1
@@ -161,23 +191,96 @@ def _tables(data: memoryview, at: dict[bytes, tuple[int, int]]) -> Track:
     return track
 
 
+#: Optional fields of a fragment's header and of its runs, in order: flag and number of bytes.
+_HEADER = ((0x1, 8), (0x2, 4), (0x8, 4), (0x10, 4), (0x20, 4))
+_RUN, _SAMPLE = ((0x1, 4), (0x4, 4)), ((0x100, 4), (0x200, 4), (0x400, 4), (0x800, 4))
+#: A sample's flag that tells it is no keyframe.
+_NO_KEY = 0x10000
+
+
+def _optional(data: memoryview, at: int, end: int, flags: int, fields: tuple[tuple[int, int], ...]) -> tuple[dict[int, int], int]:
+    """The fields that the flags say are there, and the place after them."""
+    found = {}
+    for flag, size in fields:
+        if flags & flag:
+            if at + size > end:
+                raise Broken("a fragment is cut short")
+            found[flag] = int.from_bytes(data[at : at + size], "big")
+            at += size
+    return found, at
+
+
+def _fragment(data: memoryview, track: Track, header: tuple[int, int], runs: list[tuple[int, int]], defaults: tuple[int, int, int], moof: int) -> None:
+    """Adds the samples of a fragment's runs. defaults: duration, size and flags of a sample."""
+    start, end = header
+    if start + 8 > end:
+        raise Broken("a fragment is cut short")
+    own, _ = _optional(data, start + 8, end, int.from_bytes(data[start + 1 : start + 4], "big"), _HEADER)
+    duration, size, flags = (own.get(flag, x) for flag, x in zip((0x8, 0x10, 0x20), defaults, strict=True))
+    base = own.get(0x1, moof)
+    at = base
+    for start, end in runs:
+        if start + 8 > end:
+            raise Broken("a fragment is cut short")
+        told = int.from_bytes(data[start + 1 : start + 4], "big")
+        n = int.from_bytes(data[start + 4 : start + 8], "big")
+        head, place = _optional(data, start + 8, end, told, _RUN)
+        each = sum(4 for flag, _ in _SAMPLE if told & flag)
+        if n * each > end - place or not each and n * max(1, size) > len(data):
+            raise Broken("more samples than bytes")
+        if 0x1 in head:
+            at = base + head[0x1] - (head[0x1] >> 31 << 32)  # a signed number
+        for i in range(n):
+            sample, place = _optional(data, place, end, told, _SAMPLE)
+            length = sample.get(0x200, size)
+            mark = sample.get(0x400, head[0x4] if i == 0 and 0x4 in head else flags)
+            track.samples.append((at, at + length))
+            track.duration += sample.get(0x100, duration)
+            if not mark & _NO_KEY:
+                track.keys.append(len(track.samples))
+            at += length
+
+
 def demux(media: bytes) -> list[Track]:
-    """Tracks of a container; ValueError or struct.error if it is not one."""
+    """Tracks of a container; Broken or struct.error if it is not one."""
     data = memoryview(media)
     tracks: list[Track] = []
-
-    def inner(start: int, end: int, at: dict[bytes, tuple[int, int]] | None) -> None:
+    tables: list[Boxes] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragments: list[tuple[int, Boxes, list[tuple[int, int]]]] = []  # start of the moof, boxes of a traf, its runs
+    ranges = [(0, len(data), 0, None, 0)]  # start, end, depth, boxes of the track or fragment around, start of the moof
+    while ranges:
+        start, end, depth, at, moof = ranges.pop()
+        if depth > DEPTH:
+            raise Broken("boxes nested too deep")
+        below = []
         for kind, s, e in walk(data, start, end):
             if kind == b"trak":
-                own: dict[bytes, tuple[int, int]] = {}
-                inner(s, e, own)
-                tracks.append(_tables(data, own))
+                tables.append({})
+                below.append((s, e, depth + 1, tables[-1], moof))
+            elif kind == b"traf":
+                fragments.append((moof, {}, []))
+                below.append((s, e, depth + 1, fragments[-1][1], moof))
+                fragments[-1][2].extend((rs, re_) for k, rs, re_ in walk(data, s, e) if k == b"trun")
             elif kind in CONTAINERS:
-                inner(s, e, at)
+                below.append((s, e, depth + 1, at, s - 8 if kind == b"moof" else moof))
+            elif kind == b"trex" and e - s >= 24:
+                number, _, *own = struct.unpack_from(">5I", data, s + 4)
+                defaults[number] = tuple(own)
             elif at is not None:
                 at.setdefault(kind, (s, e))
-
-    inner(0, len(data), None)
+        ranges += below[::-1]
+    tracks = [_tables(data, x) for x in tables]
+    by = {t.number: t for t in tracks[::-1]}
+    for moof, at, runs in fragments:
+        if b"tfhd" not in at:
+            raise Broken("a fragment without a header")
+        (number,) = _ints(data, at, b"tfhd", 4, 1)
+        if number not in by:
+            raise Broken("a fragment of no track")
+        if not by[number].samples:
+            by[number].duration = 0  # what the header of a fragmented track says is none
+        _fragment(data, by[number], at[b"tfhd"], runs, defaults.get(number, (0, 0, 0)), moof)
     return tracks
 
 
@@ -205,16 +308,25 @@ def inspect(df: DataFrame, column: str = "media") -> DataFrame:
     Null or broken containers: null values, and the reason in error.
     """
 
+    def one(media: bytes | None) -> tuple:
+        if media is None:
+            return (None, None, None, None, "null")
+        tracks = demux(media)
+        if not tracks:
+            raise Broken("no track")
+        track = tracks[0]
+        ranges = track.key_ranges
+        duration = track.duration * 1000 // max(1, track.timescale)
+        if duration >= 1 << 63 or any(not 0 <= s <= e < 1 << 63 for s, e in ranges):
+            raise Broken("numbers beyond 63 bits")
+        return (track.codec, duration, len(track.samples), [{"start": s, "end": e} for s, e in ranges], None)
+
     def work(array: pa.Array) -> list[pa.Array]:
         rows: list[tuple] = []
         for media in array.to_pylist():
             try:
-                track = next(iter(demux(media))) if media is not None else None
-                if track is None:
-                    rows.append((None, None, None, None, "null"))
-                else:
-                    rows.append((track.codec, track.duration * 1000 // max(1, track.timescale), len(track.samples), [{"start": s, "end": e} for s, e in track.key_ranges], None))
-            except (ValueError, struct.error, StopIteration, KeyError, IndexError) as e:
+                rows.append(one(media))
+            except (Broken, struct.error) as e:
                 rows.append((None, None, None, None, f"{type(e).__name__}: {e}"))
         cols = list(zip(*rows, strict=True)) or [()] * 5
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
