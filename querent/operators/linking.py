@@ -100,7 +100,7 @@ def number_links(questions: DataFrame, columns: DataFrame) -> DataFrame:
     """Number tokens to all number and time columns of their database."""
     numbers = question_tokens(questions).where(is_number(F.col("token")))
     typed = columns.where(F.col("type").isin("number", "time")).select("db_id", "col_id", "type")
-    return numbers.join(F.broadcast(typed), "db_id").select("idx", "db_id", "q_id", F.lit("num").alias("kind"), F.col("col_id").alias("target_id"), F.upper("type").alias("flag"))
+    return numbers.join(typed, "db_id").select("idx", "db_id", "q_id", F.lit("num").alias("kind"), F.col("col_id").alias("target_id"), F.upper("type").alias("flag"))
 
 
 def value_index(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,18 +182,18 @@ def relevant_tables(questions: DataFrame, schema: DataFrame, cells: DataFrame, c
     """idx, db_id, tables (sorted): tables of linked names and of exact cells; all tables of the database where there are none."""
     links = schema.unionByName(cells.where(F.col("flag") == CELL_EXACT))
     owner = columns.select("db_id", F.col("col_id").alias("target_id"), "table_id")
-    of_columns = links.where("kind <> 'tab'").join(F.broadcast(owner), ["db_id", "target_id"]).select("idx", "db_id", "table_id")
+    of_columns = links.where("kind <> 'tab'").join(owner, ["db_id", "target_id"]).select("idx", "db_id", "table_id")
     ids = of_columns.union(links.where("kind = 'tab'").select("idx", "db_id", F.col("target_id"))).distinct()
     named = tables.select("db_id", "table_id", "table_name")
-    found = ids.join(F.broadcast(named), ["db_id", "table_id"]).groupBy("idx").agg(F.sort_array(F.collect_set("table_name")).alias("found"))
+    found = ids.join(named, ["db_id", "table_id"]).groupBy("idx").agg(F.sort_array(F.collect_set("table_name")).alias("found"))
     every = named.groupBy("db_id").agg(F.sort_array(F.collect_set("table_name")).alias("every"))
-    return questions.select("idx", "db_id").join(found, "idx", "left").join(F.broadcast(every), "db_id").select("idx", "db_id", F.coalesce("found", "every").alias("tables"))
+    return questions.select("idx", "db_id").join(found, "idx", "left").join(every, "db_id").select("idx", "db_id", F.coalesce("found", "every").alias("tables"))
 
 
 def relevant_table_quality(relevant: DataFrame, queries: DataFrame, tables: DataFrame) -> DataFrame:
     """One row: total questions, and bad ones: their query (idx, query) names a table that is not among the relevant ones."""
     words = queries.select("idx", F.explode(F.split(F.lower("query"), r"\s+")).alias("w")).select("idx", F.explode(F.split("w", r"\.")).alias("word"))
-    used = words.join(relevant.select("idx", "db_id"), "idx").join(F.broadcast(tables.select("db_id", "table_name", F.lower("table_name").alias("word"))), ["db_id", "word"])
+    used = words.join(relevant.select("idx", "db_id"), "idx").join(tables.select("db_id", "table_name", F.lower("table_name").alias("word")), ["db_id", "word"])
     true = used.groupBy("idx").agg(F.collect_set("table_name").alias("true"))
     bad = F.size(F.array_except(F.coalesce("true", F.array().cast("array<string>")), "tables")) > 0
     return relevant.join(true, "idx", "left").agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("bad"))

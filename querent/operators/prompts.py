@@ -119,7 +119,7 @@ def rendered(questions: DataFrame, databases: DataFrame, name: str) -> DataFrame
     )
     parts = {"question": F.col("question"), "schema": F.col("_schema"), "fks": F.col("_fks"), "tables": F.col("_tables"), "columns": F.col("_columns")}
     block = filled(layout.info + layout.gap + layout.question, **parts)
-    out = questions.join(F.broadcast(own), "db_id").withColumn("block", block)
+    out = questions.join(own, "db_id").withColumn("block", block)
     return out.withColumn("prompt", F.concat("block", F.lit(layout.suffix))).drop("_schema", "_fks", "_tables", "_columns")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,7 +35,7 @@ def aligned(left: DataFrame, right: DataFrame, total: bool = False) -> DataFrame
 
 def subset(rows: DataFrame, positions: DataFrame) -> DataFrame:
     """The rows at given positions (place, idx), numbered in the order of the list."""
-    return rows.join(F.broadcast(positions), "idx").withColumn("idx", F.col("place")).drop("place")
+    return rows.join(positions, "idx").withColumn("idx", F.col("place")).drop("place")
 
 
 def batches(rows: DataFrame, size: int, start: int, end: int) -> DataFrame:
@@ -45,8 +45,11 @@ def batches(rows: DataFrame, size: int, start: int, end: int) -> DataFrame:
 
 
 def later_duplicates(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows of which an earlier one has the same keys."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("idx"))).where("_n > 1").drop("_n")
+    """Rows of which an earlier one has the same keys; equal nulls too. Each key's first place is a minimum with partial sums, and rows of a frequent key are not gathered."""
+    named = [f"_key{i}" for i in range(len(keys))]
+    first = rows.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True))).agg(F.min("idx").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named, strict=True)])
+    return rows.join(first, same).where(F.col("idx") > F.col("_first")).select(*rows.columns)
 
 
 def resumed(rows: DataFrame, done: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def records(questions: DataFrame, catalog: C.Catalog, cells: DataFrame | None, a
     )
     out = found.join(own.select("idx", F.col("question").alias("raw_question"), F.col("question_toks").alias("question_for_copying")), "idx")
     for part in (typed, named, schema):
-        out = out.join(F.broadcast(part), "db_id")
+        out = out.join(part, "db_id")
     order = "raw_question db_id question question_for_copying sc_link cv_link columns tables table_bounds column_to_table table_to_columns foreign_keys foreign_keys_tables primary_keys"
     return out.select("idx", *order.split())
 

@@ -45,7 +45,7 @@ def with_skeletons(items: DataFrame, databases: DataFrame, query: str = "query",
     names = databases.select("db_id", "table_names", "column_names")
     q = F.col(query)
     skel = F.when(F.length(F.coalesce(q, F.lit(""))) == 0, F.lit(None)).when(F.trim(q).startswith("SELECT"), skeleton(q, F.col("table_names"), F.col("column_names"))).otherwise(q)
-    return items.join(F.broadcast(names), "db_id").withColumn(to, skel).drop("table_names", "column_names")
+    return items.join(names, "db_id").withColumn(to, skel).drop("table_names", "column_names")
 
 
 def build_prompts(targets: DataFrame, pool: DataFrame, databases: DataFrame, config: Config, selector: str) -> DataFrame:
