@@ -97,23 +97,20 @@ def test_cuts(n):
 
 
 def test_packing(spark):
+    """Every piece that the documents' ids give, once each, and no other; repeated rows and null ids too."""
     docs = frame(spark)
     rows = packing.pieces(docs, keep_ids=True).collect()
     enc = encode.encoder()
     want = Counter()
     for r in docs.collect():
-        want[r["doc_id"], tuple(enc.exact(r["text"] or "")) + (packing.END,)] += 1
-    by = defaultdict(dict)
-    assert len({r["sequence_id"] for r in rows}) == len(rows)
-    for r in rows:
-        assert r["offset"] == 0 and r["length"] == len(r["ids"]) == 1 << r["bucket"]
-        assert r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r["ids"]))
-        by[r["doc_id"], r["doc_tokens"]].setdefault(r["start"], []).append(r["ids"])
-    assert sum(len(v) for parts in by.values() for v in parts.values()) == len(rows)
-    whole = {(d, n, tuple(x for s in sorted(p) for x in p[s][0])) for (d, n), p in by.items()}
-    for d, n, ids in whole:
-        if d is not None and len(ids) == n:
-            assert (d, ids) in want
+        ids, start = [*enc.exact(r["text"] or ""), packing.END], 0
+        for k in packing.cuts(len(ids)):
+            own = tuple(ids[start : start + k])
+            want[r["doc_id"], start, k, own, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in own)), len(ids)] += 1
+            start += k
+        assert start == len(ids)
+    assert Counter((r["doc_id"], r["start"], r["length"], tuple(r["ids"]), r["ids_crc32"], r["doc_tokens"]) for r in rows) == want
+    assert len({r["sequence_id"] for r in rows}) == len(rows) and all(r["offset"] == 0 and r["length"] == 1 << r["bucket"] for r in rows)
     with pytest.raises(ValueError):
         packing.pieces(docs, context=1000)
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import corpus_pipeline
-from querent.llm import toxicity
+from querent.llm import encode, packing, toxicity
 from querent.llm.common import table
 from tests.conftest import SF
+from tests.llm.corpus import words
 from tests.llm.test_columns import folded
 from tests.llm.test_dedup import shingles
 
@@ -41,9 +45,20 @@ def test_stages(spark, tmp_path):
                 root[max(x, y)] = min(x, y)
     assert set(kept) == {d for d in own if find(d) == d}
     assert set(rows["substring_dedup"]) == set(kept)
+    own_words = {d: words(t) for d, t in kept.items()}
+    seen = Counter(tuple(w[p : p + 35]) for w in own_words.values() for p in range(len(w) - 34))
+    for d, w in own_words.items():
+        gone = {q for p in range(len(w) - 34) if seen[tuple(w[p : p + 35])] > 1 for q in range(p, p + 35)}
+        assert words(rows["substring_dedup"][d]) == [x for q, x in enumerate(w) if q not in gone]
+    assert sum(map(len, own_words.values())) > sum(len(words(t)) for t in rows["substring_dedup"].values())
     items = [folded(r["text"]) for r in table(spark, SF, "benchmark").collect()]
     windows = {tuple(w[p : p + 10]) for w in items for p in range(max(1, len(w) - 9)) if w}
     dirty = {d for d, t in rows["substring_dedup"].items() for w in [folded(t)] if any(tuple(w[p : p + n]) in windows for n in {len(x) for x in windows} for p in range(len(w) - n + 1))}
     assert set(rows["decontamination"]) == set(kept) - dirty
-    packed = {(r["doc_id"]): r["n"] for r in held["packing"].groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
-    assert set(packed) == set(rows["decontamination"])
+    enc, want = encode.encoder(), Counter()
+    for d, t in rows["decontamination"].items():
+        ids, start = [*enc.exact(t or ""), packing.END], 0
+        for k in packing.cuts(len(ids)):
+            want[d, start, k, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[start : start + k])), len(ids)] += 1
+            start += k
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in held["packing"].collect()) == want
