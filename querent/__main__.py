@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from querent.functions.answers import answer_sql
 from querent.operators import metrics, prompts, relations, selection, voting
-from querent.plans import dataset, llm_client, pipeline
+from querent.plans import dataset, encoder, hooks, llm_client, pipeline, tokens
 from querent.sources import files, sinks, sqlite
 from querent.sources.stored import stored
 
@@ -23,9 +23,11 @@ def make_prompts(spark: SparkSession, args: argparse.Namespace) -> None:
     folder = dataset.Folder(args.data_dir, args.data_type)
     frames = folder.catalog(spark)
     strategy = selection.STRATEGIES.get(args.selector_type) if args.k_shot else None
-    config = pipeline.Config(layout=args.prompt_repr, style=args.example_type or "QA", shots=args.k_shot, max_seq_len=args.max_seq_len, max_ans_len=args.max_ans_len, cross_domain=args.split == "train", scope=args.scope_factor)
-    targets = dataset.items(spark, folder, args.split, frames, strategy, guesses=args.pre_test_result)
-    pool = dataset.items(spark, folder, "train", frames, strategy)
+    config = pipeline.Config(layout=args.prompt_repr, style=args.example_type or "QA", shots=args.k_shot, max_seq_len=args.max_seq_len, max_ans_len=args.max_ans_len, cross_domain=args.split == "train", scope=args.scope_factor, tokenizer=tokens.TokenFile(args.tokenizer) if args.tokenizer else None)
+    # vectors of both sides come from one encoder, fitted on the questions of the pool
+    factory = encoder.fit(files.questions(spark, folder.train)) if strategy and args.encoder == "fitted" else hooks.HashedWords()
+    targets = dataset.items(spark, folder, args.split, frames, strategy, factory, guesses=args.pre_test_result)
+    pool = dataset.items(spark, folder, "train", frames, strategy, factory)
     found = stored(pipeline.build_prompts(targets, pool, frames.per_database(), config, args.selector_type or ""), "prompts")
     costs = {r["model"]: r["cost"] for r in metrics.costs(spark, found, args.max_ans_len).collect()}
     given = {k: str(v) for k, v in vars(args).items() if k != "run"}
@@ -75,7 +77,7 @@ def parser() -> argparse.ArgumentParser:
             own.add_argument(f"--{flag}", **settings)
         own.set_defaults(run=run)
 
-    folder = ("data_dir", {"required": True}), ("data_type", {"choices": ["spider", "bird"], "default": "spider"})
+    folder = ("data_dir", {"required": True}), ("data_type", {"choices": ["spider", "realistic", "bird"], "default": "spider"})
     command("preprocess", preprocess, *folder)
     command(
         "prompts",
@@ -90,6 +92,8 @@ def parser() -> argparse.ArgumentParser:
         ("max_ans_len", {"type": int, "default": 200}),
         ("scope_factor", {"type": int, "default": 100}),
         ("pre_test_result", {}),
+        ("encoder", {"choices": ["fitted", "hashed"], "default": "fitted"}),
+        ("tokenizer", {"default": "", "help": "vocabulary file of a tokenizer that budgets and costs are counted with; words and marks without one"}),
         ("out", {"required": True}),
     )
     command(

@@ -6,9 +6,10 @@ database alone, so it is rendered once a database and joined to its questions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,12 +128,13 @@ def example(style: str, question: Column, query: Column, block: Column) -> Colum
     return filled(STYLES[style][1], question=question, query=query, full=block)
 
 
-def few_shot(targets: DataFrame, examples: DataFrame, style: str, shots: int, max_seq_len: int, max_ans_len: int = 200, count: Callable[[Column], Column] = token_count) -> DataFrame:
+def few_shot(targets: DataFrame, examples: DataFrame, style: str, shots: int, max_seq_len: int, max_ans_len: int = 200, count: Callable[[Column], Column] = token_count, tokenizer: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
     """idx, db_id, prompt, prompt_tokens, n_examples, response, chosen (ids of the examples).
 
     targets: idx, db_id, prompt, query. examples: t_idx, rank, c_idx, example (its text); of each target at most a bounded
     scope. In order of rank an example is taken if the whole prompt with it and the answer fit; one that does not fit is
     passed over, and later ones may still fit. The counter sees the whole prompt each time, so it need not be additive.
+    count is a Catalyst expression; a tokenizer (a factory of functions) counts in Arrow batches instead.
     """
     prefix = STYLES[style][0]
     listed = examples.groupBy("t_idx").agg(F.array_sort(F.collect_list(F.struct("rank", "c_idx", "example"))).alias("offers"))
@@ -151,6 +153,32 @@ def few_shot(targets: DataFrame, examples: DataFrame, style: str, shots: int, ma
         )
 
     offers = F.coalesce("offers", F.array().cast("array<struct<rank:int,c_idx:bigint,example:string>>"))
-    out = joined.withColumn("s", F.aggregate(offers, start, step))
+    if tokenizer is not None:
+        out = _counted(joined.select("idx", "db_id", "prompt", "query", offers.alias("offers")), prefix, shots, max_seq_len - max_ans_len, tokenizer)
+    else:
+        out = joined.withColumn("s", F.aggregate(offers, start, step))
     prompt = F.when(F.size("s.chosen") > 0, F.concat(F.lit(prefix), F.col("s.done"), F.col("prompt"))).otherwise(F.col("prompt"))
     return out.select("idx", "db_id", prompt.alias("prompt"), F.col("s.tokens").alias("prompt_tokens"), F.size("s.chosen").alias("n_examples"), gold_answer(F.col("query")).alias("response"), F.col("s.chosen").alias("chosen"))
+
+
+def _counted(rows: DataFrame, prefix: str, shots: int, most: int, tokenizer: Callable[[], Callable[[str], int]]) -> DataFrame:
+    """rows (idx, db_id, prompt, query, offers) with s (done, chosen, tokens): the fold over offers by a counter in Python."""
+    kind = "idx long, db_id string, prompt string, query string, s struct<done:string,chosen:array<long>,tokens:long>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = tokenizer()
+        for batch in batches:
+            folded = []
+            for prompt, offers in zip(batch["prompt"], batch["offers"], strict=True):
+                done, chosen, tokens = "", [], count(prompt)
+                for offer in offers:
+                    if len(chosen) == shots:
+                        break
+                    now = count(prefix + done + offer["example"] + GAP + prompt)
+                    if now <= most:
+                        done, tokens = done + offer["example"] + GAP, now
+                        chosen.append(offer["c_idx"])
+                folded.append({"done": done, "chosen": chosen, "tokens": tokens})
+            yield batch[["idx", "db_id", "prompt", "query"]].assign(s=folded)
+
+    return rows.mapInPandas(run, kind)

@@ -31,11 +31,11 @@ class Folder:
 
     @property
     def train(self) -> str:
-        return f"{self.path}/" + ("train_spider_and_others.json" if self.kind == "spider" else "train.json")
+        return f"{self.path}/" + ("train.json" if self.kind == "bird" else "train_spider_and_others.json")
 
     @property
     def test(self) -> str:
-        return f"{self.path}/dev.json"
+        return f"{self.path}/" + ("spider-realistic.json" if self.kind == "realistic" else "dev.json")
 
     @property
     def tables(self) -> str:
@@ -100,7 +100,7 @@ def records(questions: DataFrame, catalog: C.Catalog, cells: DataFrame | None, a
 
 def preprocess(spark: SparkSession, folder: Folder, annotator: Callable[[], Annotator] = PlainTokens(), values: bool | None = None) -> None:
     """Merges or converts the question files, and writes a linking file for each section; values (of cells) are linked unless the databases are of the large kind."""
-    source = {"spider": ("train_spider.json", "train_others.json"), "bird": ("train/train.json",)}[folder.kind]
+    source = ("train/train.json",) if folder.kind == "bird" else ("train_spider.json", "train_others.json")
     parts = [files.questions(spark, f"{folder.path}/{p}") for p in source]
     train = relations.union_splits(*parts)
     if folder.kind == "bird":
@@ -112,7 +112,7 @@ def preprocess(spark: SparkSession, folder: Folder, annotator: Callable[[], Anno
         documents.write(merged.withColumn("idx", F.struct("k", "n")), F.col("v"), folder.tables)
     sinks.write_json_array(train, folder.train, indent=folder.kind == "bird")
     frames = folder.catalog(spark)
-    wanted = folder.kind == "spider" if values is None else values
+    wanted = folder.kind != "bird" if values is None else values
     cells = stored(sqlite.cells(spark, sqlite.databases(folder.databases), frames), "cells") if wanted and files.exists(spark, folder.databases) else None
     for section, path in (("test", folder.test), ("train", folder.train)):
         sinks.write_json_lines(records(files.questions(spark, path), frames, cells, annotator).orderBy("idx").coalesce(1), folder.links(section))

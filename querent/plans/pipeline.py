@@ -36,6 +36,7 @@ class Config:
     temperature: float = 0.0
     cross_domain: bool = False
     scope: int = SCOPE
+    tokenizer: Callable[[], Callable[[str], int]] | None = None
     ledger: str = ""
     calls_per_s: float | None = None
 
@@ -53,7 +54,7 @@ def build_prompts(targets: DataFrame, pool: DataFrame, databases: DataFrame, con
     asked = P.rendered(targets, databases, config.layout)
     if not config.shots:
         nothing = targets.sparkSession.createDataFrame([], "t_idx long, rank int, c_idx long, example string")
-        return P.few_shot(asked, nothing, config.style, 0, config.max_seq_len, config.max_ans_len)
+        return P.few_shot(asked, nothing, config.style, 0, config.max_seq_len, config.max_ans_len, tokenizer=config.tokenizer)
     if selector == "RANDOM":
         ranked = selection.select_random(pool, targets, config.shots * config.scope, cross_domain=config.cross_domain)
     else:
@@ -61,7 +62,7 @@ def build_prompts(targets: DataFrame, pool: DataFrame, databases: DataFrame, con
     solved = P.rendered(pool, databases, config.layout)
     texts = solved.select(F.col("idx").alias("c_idx"), P.example(config.style, F.col("question"), F.col("query"), F.col("block")).alias("example"))
     offers = ranked.join(texts, "c_idx").select("t_idx", "rank", "c_idx", "example")
-    return P.few_shot(asked, offers, config.style, config.shots, config.max_seq_len, config.max_ans_len)
+    return P.few_shot(asked, offers, config.style, config.shots, config.max_seq_len, config.max_ans_len, tokenizer=config.tokenizer)
 
 
 def answered(prompts: DataFrame, client: Callable[[], Client], config: Config, results: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

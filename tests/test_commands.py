@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import sqlite3
 
+import public_tokenizers
 import pytest
 
 from querent.__main__ import main
 from querent.plans import dataset
+from querent.operators import prompts
+from querent.plans import tokens
 from querent.sources import catalog, files, sqlite
 
 QUESTIONS = [("how many singers are there ?", "SELECT count(*) FROM singer"), ("show the name of singers from France", "SELECT name FROM singer WHERE country = 'France'"), ("which concert was in 2014 ?", "SELECT title FROM concert WHERE year = 2014"), ("names of singers by age", "SELECT name FROM singer ORDER BY age")]
@@ -71,6 +74,30 @@ def test_from_files_to_answers(spark, tmp_path):
         main(["ask", "--question", str(run), "--model", "replay", "--n", str(n), "--db_dir", str(tmp_path / "database")], spark)
         assert written(run / "RESULTS_MODEL-replay.txt").splitlines() == ["SELECT count(*) FROM t"] * 2
     main(["prompts", "--data_dir", str(tmp_path), "--split", "train", "--prompt_repr", "TEXT", "--out", str(out)], spark)
+    # the other test file of the same kind of folder, budgets by a real tokenizer
+    (tmp_path / "spider-realistic.json").write_text(rows([("number of concerts ?", "SELECT count(*) FROM concert")]))
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    main(["prompts", "--data_dir", str(tmp_path), "--data_type", "realistic", "--split", "test", "--k_shot", "2", "--prompt_repr", "SQL", "--selector_type", "EUCDISTANCE", "--encoder", "hashed", "--tokenizer", vocabulary, "--out", str(tmp_path / "other")], spark)
+    (run,) = (tmp_path / "other").iterdir()
+    (asked,) = json.loads(written(run / "questions.json"))["questions"]
+    assert run.name.startswith("REALISTIC-TEST") and asked["n_examples"] == 2 and asked["prompt_tokens"] == tokens.TokenFile(vocabulary)()(asked["prompt"])
+
+
+@pytest.mark.parametrize("most", [40, 60, 90, 500])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_budget_by_a_tokenizer(spark, most, name):
+    """Examples are taken while the whole prompt fits, by the tokenizer's own count; one that does not fit is passed over."""
+    targets = spark.createDataFrame([(0, "d", "the asked prompt", "SELECT 1"), (1, "d", "another", "SELECT 2")], "idx long, db_id string, prompt string, query string")
+    sizes = [5, 40, 3, 8]
+    examples = spark.createDataFrame([(0, r, 10 + r, " ".join(["word"] * k)) for r, k in enumerate(sizes)], "t_idx long, rank int, c_idx long, example string")
+    factory = tokens.TokenFile(public_tokenizers.path(name))
+    got = {r["idx"]: r for r in prompts.few_shot(targets, examples, "QA", 3, most, 10, tokenizer=factory).collect()}
+    count, done, chosen = factory(), "", []
+    for r, k in enumerate(sizes):
+        text = prompts.STYLES["QA"][0] + done + " ".join(["word"] * k) + prompts.GAP + "the asked prompt"
+        if len(chosen) < 3 and count(text) + 10 <= most:
+            done, chosen = done + " ".join(["word"] * k) + prompts.GAP, [*chosen, 10 + r]
+    assert list(got[0]["chosen"]) == chosen and got[0]["prompt_tokens"] == count(got[0]["prompt"]) and got[1]["n_examples"] == 0
 
 
 def test_other_dataset(spark, tmp_path):
