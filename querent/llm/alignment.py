@@ -49,6 +49,8 @@ CACHE, CACHE_CHARS = 120_000, 4 << 20
 MERGED = 2_000_000
 #: Bytes of documents that are aligned at a time.
 CHUNK = 512 << 10
+#: New pieces that are encoded as one text.
+TOGETHER = 2000
 #: Links of a group from which its distinct ids are multiplied.
 OUTER = 4096
 
@@ -113,11 +115,36 @@ class Pair:
         return self._checked(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
 
     def _learn(self, pieces: list[str]) -> None:
-        of_a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
-        of_b = self.b.encode([x[1:] for x in pieces], num_threads=1)
-        for x, a, b in zip(pieces, of_a, of_b, strict=True):
-            self.known[x] = self._checked(x, a.ids, b if len(x) > 1 else self.space)
-            self.held += len(x)
+        """Encodes new pieces: those that end in no white space as one text, as a token ends between them; the rest one by one."""
+        together = [x for x in pieces if not x[-1].isspace()]
+        for start in range(0, len(together), TOGETHER):
+            self._learn_together(together[start : start + TOGETHER])
+        single = [x for x in pieces if x not in self.known]
+        if single:
+            of_a = self.a.encode_batch_fast(single, add_special_tokens=False)
+            of_b = self.b.encode([x[1:] for x in single], num_threads=1)
+            for x, a, b in zip(single, of_a, of_b, strict=True):
+                self.known[x] = self._checked(x, a.ids, b if len(x) > 1 else self.space)
+        self.held += sum(map(len, pieces))
+
+    def _learn_together(self, pieces: list[str]) -> None:
+        text = "".join(pieces)
+        found = self._checked(text, self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:]))
+        if found is None:
+            return
+        ends = np.cumsum(np.array([len(x.encode()) for x in pieces]))
+        cuts = []
+        for data, sizes in zip(found, (self.size_a, self.size_b), strict=True):
+            at = np.cumsum(sizes[np.frombuffer(data, dtype="<i4")])
+            place = np.searchsorted(at, ends)
+            if not np.array_equal(at[place], ends):
+                return
+            cuts.append((4 * (place + 1)).tolist())
+        i = j = 0
+        (a, b), known = found, self.known
+        for x, k, m in zip(pieces, *cuts, strict=True):
+            known[x] = a[i:k], b[j:m]
+            i, j = k, m
 
     def ids(self, own: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of both tokenizers for each text; None for texts without tokens."""
