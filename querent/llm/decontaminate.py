@@ -8,8 +8,11 @@ compared word by word.
 
 Where the index of the benchmark's windows, measured as built, is at most INDEX_BYTES, the
 windows travel to the documents and the plan is one map without any shuffle. Beyond that,
-fingerprints are joined by a shuffle, then windows, both salted, and hits return to their
-documents. Both give the same rows.
+fingerprints are joined by a shuffle, then windows, and hits return to their documents. How
+many documents have a fingerprint of the benchmark is counted over all of them, and in both
+joins a frequent one is dealt over as many salts as its count asks for: a document sends a
+window once, with all its places, so a window is no more frequent than its fingerprint.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -25,15 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
-from querent.llm.common import append, buckets, fresh, probed, table, texts
+from querent.llm.common import append, fresh, hot_limit, probed, table, texts
 
 WINDOW = 10
 GRAM = 5
 #: Most bytes of an index that travels, and what a window takes there besides its words and its item's id (342 in all were measured at 60 bytes of words).
 INDEX_BYTES, ENTRY_BYTES = 64 << 20, 280
-#: Salts of the shuffles: a fingerprint or window that very many documents have is dealt over so many tasks.
-SALTS = 16
-
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -168,9 +168,19 @@ def _by_map(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return append(docs, "text", RESULT, work)
 
 
+def salted_join(rows: DataFrame, by: DataFrame, counts: DataFrame, total: int, on: list[str]) -> DataFrame:
+    """rows (_key, fp, ...) joined with by (fp, ...). counts has the rows of each fp (_n), total in all. Beyond hot_limit(total),
+    which at most common.HOT keys exceed, a key's rows are dealt by _key over _n / hot_limit salts, and its rows of by go to each."""
+    limit = hot_limit(total)
+    hot = F.broadcast(counts.where(F.col("_n") > limit).select("fp", F.ceil(F.col("_n") / limit).cast("int").alias("_g")))
+    groups = F.coalesce("_g", F.lit(1))
+    dealt = rows.join(hot, "fp", "left").withColumn("_salt", F.pmod(F.xxhash64("_key"), groups).cast("int")).drop("_g")
+    each = by.join(hot, "fp", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), groups - 1))).drop("_g")
+    return dealt.join(each, [*on, "_salt"]).drop("_salt")
+
+
 def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Fingerprints join, then windows join; every group is one document's hits. A text's hash tells documents of one id apart."""
-    n = buckets(docs)
     key, span_name, item_name, count_name = (fresh(x, docs) for x in ("_key", "_spans", "_items", "_n"))
     keyed = docs.withColumn(key, F.sha2("text", 256))
     short = sorted(r[0] for r in windows.where(F.col("size") < WINDOW).select("size").distinct().collect())
@@ -192,27 +202,28 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
             fps = batch.column(2).to_pylist()
             for piece in K.pieces(batch.column(1)):
                 piece, w = _folded(piece)
-                rows: list[tuple] = []
                 owner = K.owners(w.first)
                 starts, places, grams, _ = _fingerprints(w)
                 own = [set(x) for x in fps[piece.first : piece.first + piece.n]]
-                todo = [(WINDOW, s) for s, p in zip(starts, places, strict=True) if int(grams[p].view(np.int64)) in own[owner[s]]]
+                todo = [(WINDOW, s, fp) for s, p in zip(starts, places, strict=True) if (fp := int(grams[p].view(np.int64))) in own[owner[s]]]
                 for size in short:
                     h = K.windows(w.hashes, size)
-                    todo += [(size, s) for s in K.spread(w.first, size) if int(h[s].view(np.int64)) in own[owner[s]]]
-                for size, s in todo:
-                    rows.append((piece.first + owner[s], int(s - w.first[owner[s]]), size, _phrase(piece, w, s, size)))
-                cols = list(zip(*rows, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["_key", "pos", "size", "phrase"])
-
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salt = F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")
+                    todo += [(size, s, fp) for s in K.spread(w.first, size) if (fp := int(h[s].view(np.int64))) in own[owner[s]]]
+                spots: dict[tuple, list[int]] = defaultdict(list)
+                for size, s, fp in todo:
+                    spots[piece.first + owner[s], fp, size, _phrase(piece, w, s, size)].append(int(s - w.first[owner[s]]))
+                cols = list(zip(*spots, strict=True)) or [()] * 4
+                spans = [np.array(x, dtype="<i8").tobytes() for x in spots.values()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(spans, pa.binary())], names=["_key", "fp", "size", "phrase", "spots"])
+
     unique = keyed.select(F.col(key).alias("_key"), "text").dropDuplicates(["_key"])
-    fps = windows.select("fp").distinct().withColumn("salt", salts)
-    candidates = unique.mapInArrow(marks, "fp long, _key string").withColumn("salt", salt).join(fps, ["fp", "salt"]).groupBy("_key").agg(F.collect_set("fp").alias("fps"))
-    found = unique.join(candidates, "_key").mapInArrow(extend, "_key string, pos long, size int, phrase binary").withColumn("salt", salt).repartition(n, "phrase", "salt")
-    hits = found.join(windows.select("phrase", "item_id").withColumn("salt", salts), ["phrase", "salt"])
-    by_doc = hits.groupBy(F.col("_key").alias(key)).agg(F.collect_set(F.struct("pos", "size")).alias(span_name), F.array_sort(F.collect_set("item_id")).alias(item_name))
+    marked = unique.mapInArrow(marks, "fp long, _key string")
+    fps = windows.select("fp").distinct()
+    counts, seen = probed(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")).join(fps, "fp", "left_semi"), [F.coalesce(F.sum("_n"), F.lit(0))])
+    candidates = salted_join(marked, counts.select("fp"), counts, seen[1], ["fp"]).groupBy("_key").agg(F.collect_set("fp").alias("fps"))
+    found = unique.join(candidates, "_key").mapInArrow(extend, "_key string, fp long, size int, phrase binary, spots binary")
+    hits = salted_join(found, windows.select("fp", "phrase", "item_id"), counts, seen[1], ["fp", "phrase"])
+    by_doc = hits.groupBy(F.col("_key").alias(key)).agg(F.collect_set(F.struct("spots", "size")).alias(span_name), F.array_sort(F.collect_set("item_id")).alias(item_name))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +232,8 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
             for own, found, n in zip(spans, items, count, strict=True):
                 mask = np.zeros(n, dtype=bool)
                 for x in own or ():
-                    mask[x["pos"] : x["pos"] + x["size"]] = True
+                    for at in np.frombuffer(x["spots"], dtype="<i8"):
+                        mask[at : at + x["size"]] = True
                 rows.append(_row(n, int(mask.sum()), set(found or ())))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(x)) for x in plain] + _arrays(rows), names=plain + NAMES)
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from querent.llm.common import texts as plain_texts
 from querent.llm import decontaminate, encode, kernels, language_id, media_columns, packing, sharding, token_counts, toxicity
@@ -236,6 +237,26 @@ def test_decontamination(spark, index_bytes):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({k[0]: 0 for k in want} | Counter(k[0] for k, n in want.items() for _ in range(n) if not k[-1])) - Counter()
 
 
+def test_decontamination_of_frequent_windows(spark):
+    """A window in every document, often in one of them, is dealt over salts by its measured count; rows are those of the map."""
+    passage = "a phrase that is in every document of this table " * 2
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit(passage), F.when(F.col("id") == 7, F.lit(passage * 300)).otherwise(F.concat(F.lit("and then "), F.col("id")))).alias("text"))
+    bench = spark.createDataFrame([(i, f"{passage} {i}") for i in range(3)] + [(9, "every document")], "item_id long, text string")
+    ways = [Counter(map(tuple, decontaminate.decontaminate(docs, bench, n).select("doc_id", *decontaminate.NAMES).collect())) for n in (decontaminate.INDEX_BYTES, -1)]
+    assert ways[0] == ways[1] and sum(ways[0].values()) == 5000 and all(row[-1] for row in ways[0])
+
+
+def test_salts_follow_counts(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") < 6000, 1).otherwise(F.col("id")).cast("long").alias("fp"), F.col("id").cast("string").alias("_key"))
+    by = rows.select("fp").distinct().withColumn("item", F.lit("x"))
+    joined = decontaminate.salted_join(rows, by, rows.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")), 9000, ["fp"])
+    assert joined.columns == ["fp", "_key", "item"] and joined.distinct().count() == joined.count() == 9000
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+    salts = rows.where("fp = 1").groupBy(F.expr("pmod(xxhash64(_key), 6)")).count().collect()
+    assert len(salts) == 6 and max(r["count"] for r in salts) < 2 * 1024
+
+
 def test_decontamination_of_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
