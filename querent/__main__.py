@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from querent.functions.answers import answer_sql
 from querent.operators import metrics, prompts, relations, selection, voting
-from querent.plans import dataset, encoder, hooks, llm_client, pipeline, tokens
+from querent.plans import dataset, encoder, hooks, lemmas, llm_client, pipeline, tokens
 from querent.sources import files, sinks, sqlite
 from querent.sources.stored import stored
 
 
 def preprocess(spark: SparkSession, args: argparse.Namespace) -> None:
-    dataset.preprocess(spark, dataset.Folder(args.data_dir, args.data_type))
+    """Writes question and linking files; with a lexicon, questions and names are matched by the lemmas it gives."""
+    folder = dataset.Folder(args.data_dir, args.data_type)
+    lexicon = spark.read.csv(args.lexicon, sep="\t", schema="form string, lemma string") if args.lexicon else None
+    dataset.preprocess(spark, folder, lemmas.fit(lexicon).annotator() if lexicon is not None else hooks.PlainTokens())
 
 
 def make_prompts(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -78,7 +81,7 @@ def parser() -> argparse.ArgumentParser:
         own.set_defaults(run=run)
 
     folder = ("data_dir", {"required": True}), ("data_type", {"choices": ["spider", "realistic", "bird"], "default": "spider"})
-    command("preprocess", preprocess, *folder)
+    command("preprocess", preprocess, *folder, ("lexicon", {"default": "", "help": "file of forms and lemmas, a tab between them, that a lemmatiser is induced from; plural endings alone without one"}))
     command(
         "prompts",
         make_prompts,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from querent import fixtures as X
 from querent.functions import answers, similarity, sql_text
 from querent.operators import linking, metrics, nearest, prompts, relations, selection, similarity_join, voting
-from querent.plans import dataset, hooks, llm_client
+from querent.plans import dataset, hooks, lemmas, llm_client
 from querent.sources import catalog as catalogs
 from querent.sources import files, sinks
 from querent.sources.stored import folder, stored
@@ -723,3 +723,54 @@ def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sinks.write_json_array(docs.select(F.col("doc_id").alias("idx"), F.col("doc_id").alias("id"), "text"), path)
     return files.json_array(spark, path, "struct<id:bigint,text:string>", whole=-1).select("idx", F.col("id").alias("doc_id"), F.md5("text").alias("digest"))
+
+
+# --- lemmas -------------------------------------------------------------------------------
+
+#: Endings of the given tables' lexicon: a word that is another word of three letters or more with one of these has the shortest such word as its lemma, others have themselves.
+_INFLECTED = ("s", "es", "ed", "er", "ly", "ing")
+_HELD = "substr(md5(form), 1, 1) < '4'"
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """form, lemma of every word of documents."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = stored(_table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0))).alias("form")).distinct(), "words")
+    cut = F.explode(F.array(*(F.when(F.col("form").endswith(e) & (F.length("form") >= len(e) + 3), F.lit(len(e))) for e in _INFLECTED)))
+    bases = words.select("form", cut.alias("cut")).where("cut is not null").select("form", F.expr("left(form, length(form) - cut)").alias("lemma"))
+    found = bases.join(words.withColumnRenamed("form", "lemma"), "lemma").groupBy("form").agg(F.min_by("lemma", F.length("lemma")).alias("lemma"))
+    return words.join(found, "form", "left").select("form", F.coalesce("lemma", "form").alias("lemma"))
+
+
+_LEXICON_SQL = f"""
+words AS (SELECT DISTINCT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) AS form FROM documents),
+bases AS (SELECT form, left(form, length(form) - length(x)) AS base FROM words, (VALUES {", ".join(f"('{e}')" for e in _INFLECTED)}) e(x) WHERE ends_with(form, x) AND length(form) >= length(x) + 3),
+found AS (SELECT form, min_by(base, length(base)) AS lemma FROM bases WHERE base IN (SELECT form FROM words) GROUP BY form),
+lexicon AS (SELECT form, coalesce(lemma, form) AS lemma FROM words LEFT JOIN found USING (form)),
+change AS (SELECT form, lemma, len(list_filter(range(1, least(length(form), length(lemma)) + 1), lambda i: left(form, i) = left(lemma, i))) AS common FROM lexicon WHERE NOT {_HELD}),
+ends AS (SELECT form, length(form) - common AS cut, substr(lemma, common + 1) AS add, unnest(range(length(form) - common, least(length(form), {lemmas.MAX_SUFFIX}) + 1)) AS k FROM change),
+taken AS (SELECT right(form, k) AS suffix, cut, add, count(*) AS n FROM ends GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY n DESC, cut, add) AS r FROM taken) WHERE r = 1 AND n >= {lemmas.LEAST}),
+shorter AS (SELECT suffix AS own, unnest(range(0, length(suffix))) AS k FROM best),
+above AS (SELECT own, max_by(best.cut, k) AS cut, max_by(best.add, k) AS add FROM shorter JOIN best ON best.suffix = right(own, k) GROUP BY own),
+rules AS (SELECT suffix, best.cut AS cut, best.add AS add, n FROM best LEFT JOIN above ON own = suffix WHERE best.cut <> coalesce(above.cut, 0) OR best.add <> coalesce(above.add, '')),
+asked AS (SELECT form, unnest(range(0, least(length(form), {lemmas.MAX_SUFFIX}) + 1)) AS k FROM lexicon),
+ruled AS (SELECT form, max_by(cut, k) AS cut, max_by(add, k) AS add FROM asked JOIN rules ON suffix = right(form, k) GROUP BY form),
+guessed AS (SELECT lexicon.form AS form, lemma, coalesce(nullif(left(lexicon.form, length(lexicon.form) - cut) || add, ''), lexicon.form) AS guess FROM lexicon LEFT JOIN ruled ON ruled.form = lexicon.form)
+"""
+
+
+@query("lemma_rules", f"WITH {_LEXICON_SQL} SELECT suffix, CAST(cut AS INTEGER) AS cut, add, n FROM rules")
+def lemma_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lemmas.fit(_lexicon(spark, sf_dir).where(f"not {_HELD}")).rules
+
+
+@query("lemma_exceptions", f"WITH {_LEXICON_SQL} SELECT form, lemma FROM guessed WHERE guess <> lemma AND NOT {_HELD}")
+def lemma_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lemmas.fit(_lexicon(spark, sf_dir).where(f"not {_HELD}")).exceptions
+
+
+@query("lemma_held_out", f"WITH {_LEXICON_SQL} SELECT count(*) AS n, CAST(coalesce(sum(CAST(guess = lemma AS INTEGER)), 0) AS BIGINT) AS hits FROM guessed WHERE {_HELD}")
+def lemma_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = stored(_lexicon(spark, sf_dir), "lexicon")
+    return lemmas.accuracy(lemmas.fit(lexicon.where(f"not {_HELD}")), lexicon.where(_HELD))

@@ -143,3 +143,16 @@ def test_query_reader(tmp_path):
 def test_folder_without_databases(spark, tmp_path):
     (tmp_path / "tables.json").write_text(json.dumps([TABLES]))
     assert dataset.Folder(str(tmp_path)).catalog(spark).kept().tables.count() == 2
+
+
+def test_lemmas_of_a_lexicon(spark, tmp_path):
+    """A name of the schema is found by a form whose lemma only the lexicon knows."""
+    database(tmp_path)
+    (tmp_path / "train_spider.json").write_text(rows([("who sang in the concert ?", "SELECT name FROM singer")]))
+    (tmp_path / "train_others.json").write_text("[]")
+    (tmp_path / "dev.json").write_text(rows([("whose titles rang ?", "SELECT title FROM concert")]))
+    (tmp_path / "forms.tsv").write_text("sang\tsinger\nrang\tyear\ntitles\ttitle\nnames\tname\n")
+    main(["preprocess", "--data_dir", str(tmp_path), "--lexicon", str(tmp_path / "forms.tsv")], spark)
+    (linked,) = [json.loads(x) for x in written(tmp_path / "enc" / "test_schema-linking.jsonl").splitlines()]
+    assert linked["question"] == ["whose", "title", "year", "?"]
+    assert set(linked["sc_link"]["q_col_match"]) == {"1,6", "2,7"}
