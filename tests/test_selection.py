@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from querent.operators import nearest, selection, similarity_join
+from querent.operators import nearest, selection, similarity_join, skew
 
 SCHEMA = "idx long, db_id string, question string, vector array<double>, skeleton string, pre_skeleton string"
 WORDS = ["select _ from _", "select _ from _ where _", "select _ from _ where _ order by _", "_", "", " select  _ ", "select count ( _ ) from _"]
@@ -136,6 +136,24 @@ def test_similarity_join_equals_brute_force(spark, threshold, hot, monkeypatch):
     assert {(r["a"], r["b"]): r["sim"] for r in found} == pytest.approx(want) and len(found) == len(want)
 
 
+def test_similarity_join_of_frequent_elements_and_clashing_codes(spark, monkeypatch):
+    """Elements of very many texts are broadcast, and codes that clash are made anew; pairs stay those of brute force."""
+    real, seeds = similarity_join._code, []
+
+    def clashing(element, seed):
+        seeds.append(seed)
+        return F.pmod(real(element, seed), F.lit(3)) if seed == 0 else real(element, seed)
+
+    monkeypatch.setattr(similarity_join, "_code", clashing)
+    monkeypatch.setattr(skew, "LEAST", 40)
+    a, b = texts(3, 60), texts(4, 60)
+    frame = lambda x: spark.createDataFrame([(t,) for t in x], "text string")
+    want = {(x, y) for x in a for y in b if x is not None and y is not None and selection.similarity(x, y) >= 0.6}
+    found = similarity_join.similar(frame(a), frame(b), 0.6).collect()
+    assert {(r["a"], r["b"]) for r in found} == want and len(found) == len(want) and seeds == [0, 1]
+    assert similarity_join.similar(frame(a).where("false"), frame(b), 0.6).count() == 0
+
+
 def test_elements(spark):
     row = spark.sql("SELECT ' b a  b b ' AS t").select(similarity_join.elements(F.col("t")).alias("e")).first()
     assert sorted(row["e"]) == [" 0", "a 0", "b 0", "b 1", "b 2"]
