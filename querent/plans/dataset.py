@@ -49,8 +49,11 @@ class Folder:
         return f"{self.path}/enc/{section}_schema-linking.jsonl"
 
     def catalog(self, spark: SparkSession) -> C.Catalog:
-        """From the database files where there are any, else from tables.json."""
-        return sqlite.catalog(spark, sqlite.databases(self.databases)) if files.exists(spark, self.databases) else C.read_tables_json(spark, self.tables)
+        """From the database files where there are any, else from tables.json; stored once in enc/ for the contents of these."""
+        if not files.exists(spark, self.databases):
+            return C.snapshot(spark, files.digest(spark, self.tables), f"{self.path}/enc", lambda: C.read_tables_json(spark, self.tables))
+        found = sqlite.databases(self.databases)
+        return C.snapshot(spark, sqlite.stamp(found), f"{self.path}/enc", lambda: sqlite.catalog(spark, found))
 
 
 def converted(questions: DataFrame, evidence: bool = True) -> DataFrame:

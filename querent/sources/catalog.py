@@ -9,11 +9,14 @@ col_id counts over the database from 1; 0 is `*`, which no frame holds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querent.sources.files import exists
+
 
 @dataclass(frozen=True)
 class Catalog:
@@ -68,6 +71,19 @@ def of_frames(tables: DataFrame, columns: DataFrame, foreign_keys: DataFrame) ->
     return Catalog(tables.drop("ddl").join(ddl(columns, foreign_keys).drop("table_name"), ["db_id", "table_id"], "left"), columns, foreign_keys)
 
 
+def snapshot(spark: SparkSession, key: str, root: str, make: Callable[[], Catalog]) -> Catalog:
+    """The catalog that is stored under root for a key of its sources' contents; made and stored if there is none.
+
+    Later uses, those of other sessions too, read what is stored. What a stopped run left unfinished is written anew.
+    """
+    place, frames = f"{root}/catalog-{key}", ("tables", "columns", "foreign_keys")
+    if not exists(spark, f"{place}/{frames[-1]}/_SUCCESS"):
+        made = make()
+        for name in frames:
+            getattr(made, name).write.mode("overwrite").parquet(f"{place}/{name}")
+    return Catalog(*(spark.read.parquet(f"{place}/{name}") for name in frames))
+
+
 TABLES_JSON = (
     "array<struct<db_id:string,table_names:array<string>,table_names_original:array<string>,column_names:array<array<string>>,"
     "column_names_original:array<array<string>>,column_types:array<string>,primary_keys:string,foreign_keys:array<array<int>>>>"

@@ -29,6 +29,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def digest(spark: SparkSession, path: str) -> str:
+    """A name for the contents of a file, or of the parts of a folder in order."""
+    parts = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("d"))
+    return parts.agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("path", "d"))), lambda x: x["d"])), 256)).first()[0]
+
+
 def json_array(spark: SparkSession, path: str, item: str, whole: int = documents.WHOLE) -> DataFrame:
     """idx and the item's fields of a JSON array of structs; a file of more bytes than ``whole`` is split over tasks."""
     if documents.size(spark, path) > whole:

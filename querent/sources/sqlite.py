@@ -7,6 +7,8 @@ Files must be reachable by path where tasks run. Text that is not UTF-8 loses th
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -32,6 +34,17 @@ def databases(folder: str) -> list[tuple[str, str]]:
     return out
 
 
+def stamp(files: list[tuple[str, str]]) -> str:
+    """A name for the contents of (db_id, path) files, by their sizes and times, those of a write-ahead log too."""
+    state = []
+    for db, path in files:
+        for name in (path, f"{path}-wal"):
+            if os.path.exists(name):
+                own = os.stat(name)
+                state.append([db, os.path.basename(name), own.st_size, own.st_mtime_ns])
+    return hashlib.sha256(json.dumps(state).encode()).hexdigest()
+
+
 def _kind(declared: str) -> str:
     d = declared.lower()
     if any(x in d for x in ("int", "real", "floa", "doub", "num", "dec")):

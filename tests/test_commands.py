@@ -156,3 +156,31 @@ def test_lemmas_of_a_lexicon(spark, tmp_path):
     (linked,) = [json.loads(x) for x in written(tmp_path / "enc" / "test_schema-linking.jsonl").splitlines()]
     assert linked["question"] == ["whose", "title", "year", "?"]
     assert set(linked["sc_link"]["q_col_match"]) == {"1,6", "2,7"}
+
+
+def test_catalog_is_stored_for_contents(spark, tmp_path, monkeypatch):
+    """One snapshot serves all uses while the database's contents are the same; a new column makes another one, and an unfinished one is made anew."""
+    database(tmp_path)
+    made = []
+    real = sqlite.catalog
+    monkeypatch.setattr(sqlite, "catalog", lambda *x: made.append(1) or real(*x))
+    folder = dataset.Folder(str(tmp_path))
+    rows_of = lambda c: [sorted(map(tuple, df.collect())) for df in (c.tables, c.columns, c.foreign_keys)]
+    first = rows_of(folder.catalog(spark))
+    assert rows_of(folder.catalog(spark)) == first == rows_of(real(spark, sqlite.databases(folder.databases))) and len(made) == 1
+    (kept,) = (tmp_path / "enc").glob("catalog-*")
+    (kept / "foreign_keys" / "_SUCCESS").unlink()
+    assert rows_of(folder.catalog(spark)) == first and len(made) == 2
+    con = sqlite3.connect(tmp_path / "database" / "music" / "music.sqlite")
+    con.executescript("ALTER TABLE singer ADD COLUMN height INTEGER")
+    con.close()
+    assert "height" in {r["column_name"] for r in folder.catalog(spark).columns.collect()} and len(made) == 3
+
+
+def test_catalog_of_a_file_is_stored(spark, tmp_path):
+    (tmp_path / "tables.json").write_text(json.dumps([TABLES]))
+    folder = dataset.Folder(str(tmp_path))
+    assert folder.catalog(spark).columns.count() == folder.catalog(spark).columns.count() == 8
+    (tmp_path / "tables.json").write_text(json.dumps([TABLES | {"db_id": "other"}]))
+    assert {r["db_id"] for r in folder.catalog(spark).tables.collect()} == {"other"}
+    assert len(list((tmp_path / "enc").glob("catalog-*"))) == 2
