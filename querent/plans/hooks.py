@@ -1,9 +1,9 @@
 """Encoders of texts and annotators of questions, as pluggable factories that run on the executors.
 
 An encoder gives a vector for each text, an annotator the tokens of each text. A factory is
-picklable; each task makes one of its own and hands it Arrow batches. The defaults work offline:
-they stand in for a sentence encoder and a lemmatiser, which are not shipped, and keep every
-path runnable; results depend on what is plugged in.
+picklable; each task makes one of its own and hands it Arrow batches. The defaults work offline
+and need nothing: ``encoder`` fits a better one on the corpus, ``lemmas`` induces one from a
+lexicon; results depend on what is plugged in.
 """
 
 from __future__ import annotations
