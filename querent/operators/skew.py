@@ -21,12 +21,16 @@ def frequent(rows: DataFrame, keys: list[str], hot: int | None = None, least: in
 
 def split_join(rows: DataFrame, by: DataFrame, keys: list[str], how: str = "inner", hot: int | None = None, least: int | None = None) -> DataFrame:
     """rows joined (inner or left) with by, which has one row a key: the rows of frequent keys stay where they are and get
-    their few rows of by as a broadcast; the others meet in a shuffle."""
+    their few rows of by as a broadcast; the others meet in a shuffle.
+
+    by is never broadcast whole: how large it is can't be told from the sizes of the files that it is made of.
+    """
     few = frequent(rows, keys, hot, least)
     if few is None:
-        return rows.join(by, keys, how)
+        return rows.join(by.hint("merge"), keys, how)
     few = F.broadcast(few)
     columns = [*keys, *(c for c in rows.columns if c not in keys), *(c for c in by.columns if c not in keys)]
-    own = rows.join(few, keys, "left_semi").join(F.broadcast(by.join(few, keys, "left_semi")), keys, how)
-    rest = rows.join(few, keys, "left_anti").join(by, keys, how)
+    own = rows if how == "inner" else rows.join(few, keys, "left_semi")
+    own = own.join(F.broadcast(by.join(few, keys, "left_semi")), keys, how)
+    rest = rows.join(few, keys, "left_anti").join(by.hint("merge"), keys, how)
     return own.select(*columns).union(rest.select(*columns))
