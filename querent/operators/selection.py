@@ -259,27 +259,82 @@ def _gated(pool: DataFrame, targets: pd.DataFrame, strategy: Strategy, threshold
     return met.withColumn("_passing", F.coalesce("_passing", F.array().cast("array<int>")))
 
 
+class Draw:
+    """The first k pool rows of each target so far, in an order that numbers and seed fix. Arrays of k places a target, whatever the pool's size."""
+
+    #: Targets and pool rows whose keys are made at once.
+    SIDE = 256, 1024
+
+    def __init__(self, targets: pd.DataFrame, k: int, seed: int = 0, cross_domain: bool = False):
+        self.t_idx, self.db, self.k, self.cross_domain = targets["t_idx"].to_numpy(dtype=np.int64), targets["t_db"].to_numpy(dtype=object), k, cross_domain
+        with np.errstate(over="ignore"):
+            self.part = self.t_idx.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed + 1)
+        most = np.iinfo(np.int64).max
+        self.free, self.key, self.c_idx = np.ones((len(targets), k), dtype=bool), np.full((len(targets), k), most), np.full((len(targets), k), most)
+
+    def _keys(self, at: slice, own: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = self.part[at][:, None] + own[None, :]
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            x >>= np.uint64(1)
+        return x.view(np.int64)
+
+    def add(self, c_idx: np.ndarray, db: np.ndarray) -> None:
+        for start in range(0, len(c_idx), self.SIDE[1]):
+            self._add(c_idx[start : start + self.SIDE[1]], db[start : start + self.SIDE[1]])
+
+    def _add(self, c_idx: np.ndarray, db: np.ndarray) -> None:
+        k, codes = self.k, None
+        own = c_idx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for start in range(0, len(self.t_idx), self.SIDE[0]):
+            at = slice(start, start + self.SIDE[0])
+            keys, bound = self._keys(at, own), self.key[at, -1]
+            if self.free[at, -1].any() and len(c_idx) > k:  # only the first rows of a task
+                if codes is None:
+                    codes = pd.factorize(np.concatenate([self.db, db]))[0] if self.cross_domain else np.zeros(len(self.db) + len(db), dtype=np.int64)
+                ranked = np.where(codes[: len(self.db)][at][:, None] == codes[None, len(self.db) :], np.iinfo(np.int64).max, keys) if self.cross_domain else keys
+                bound = np.minimum(bound, np.partition(ranked, k - 1, axis=1)[:, k - 1])
+            i, j = np.nonzero(keys <= bound[:, None])
+            if self.cross_domain and len(i):
+                other = np.asarray(db[j] != self.db[at][i], dtype=bool)
+                i, j = i[other], j[other]
+            if not len(i):
+                continue
+            changed, i_own = np.unique(i, return_inverse=True)
+            rows = changed + start
+            target = np.concatenate([np.repeat(np.arange(len(rows)), k), i_own])
+            free = np.concatenate([self.free[rows].ravel(), np.zeros(len(i), dtype=bool)])
+            key = np.concatenate([self.key[rows].ravel(), keys[i, j]])
+            c = np.concatenate([self.c_idx[rows].ravel(), c_idx[j]])
+            order = np.lexsort((c, key, free, target))
+            first = order[np.arange(len(order)) - np.searchsorted(target[order], target[order]) < k]
+            for held, new in ((self.free, free), (self.key, key), (self.c_idx, c)):
+                held[rows] = new[first].reshape(len(rows), k)
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        for start in range(0, len(self.t_idx), 4096):
+            at = slice(start, start + 4096)
+            i, j = np.nonzero(~self.free[at])
+            yield pd.DataFrame({"t_idx": self.t_idx[at][i], "c_idx": self.c_idx[at][i, j], "key": self.key[at][i, j]})
+
+
 def select_random(pool: DataFrame, targets: DataFrame, k: int, seed: int = 0, cross_domain: bool = False) -> DataFrame:
-    """(t_idx, c_idx, rank): k pool rows of each target in an order fixed by the seed. A task's k first suffice, so only these are shuffled."""
+    """(t_idx, c_idx, rank): k pool rows of each target in an order fixed by the seed.
+
+    A task's k first suffice, so only these are ranked. Each pair's place is fixed by itself, so each pair is looked at: the
+    work grows with targets times pool, and is dealt evenly over the cores.
+    """
     held = _held(targets.select(F.col("idx").alias("t_idx"), F.col("db_id").alias("t_db")))
     sent = pool.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
+        draw = Draw(sent.value, k, seed, cross_domain)
         for c in batches:
-            ids = c["idx"].to_numpy().astype(np.uint64)
-            for t_idx, t_db in zip(sent.value["t_idx"], sent.value["t_db"], strict=True):
-                with np.errstate(over="ignore"):
-                    x = ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(t_idx) & (2**64 - 1)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed + 1)
-                    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-                    x = (x ^ (x >> np.uint64(32))) >> np.uint64(1)
-                part = pd.DataFrame({"t_idx": t_idx, "c_idx": c["idx"].to_numpy(), "key": x.astype(np.int64)})
-                if cross_domain:
-                    part = part[c["db_id"].to_numpy() != t_db]
-                have = best.get(t_idx)
-                part = part if have is None else pd.concat([have, part])
-                best[t_idx] = part.sort_values(["key", "c_idx"]).iloc[:k]
-        yield from best.values()
-
-    rows = pool.select("idx", "db_id").mapInPandas(run, "t_idx long, c_idx long, key long")
+            draw.add(c["idx"].to_numpy(dtype=np.int64), c["db_id"].to_numpy(dtype=object))
+        yield from draw.rows()
+
+    dealt = pool.select("idx", "db_id").repartition(pool.sparkSession.sparkContext.defaultParallelism)
+    rows = dealt.mapInPandas(run, "t_idx long, c_idx long, key long")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("t_idx").orderBy("key", "c_idx"))).where(F.col("rank") <= k).select("t_idx", "c_idx", "rank")
