@@ -274,7 +274,7 @@ def relevant_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("relevant_tables_quality", rf"SELECT count(*) AS total, CAST(sum(CASE WHEN len(list_filter(true_tables, lambda t: NOT list_contains(tables, t))) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM (SELECT r.idx, r.tables, list(DISTINCT t.table_name) FILTER (list_contains(list_reduce(list_transform(regexp_split_to_array(lower(l.query), '\s+'), lambda w: string_split(w, '.')), lambda a, b: list_concat(a, b)), t.table_name)) AS true_tables FROM {_RELEVANT} r JOIN {X.LOG_SQL} l ON l.k = r.idx % 8 JOIN {X.TABLES_SQL} t ON t.db_id = r.db_id GROUP BY r.idx, r.tables)")
 def relevant_tables_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     relevant = _relevant(spark, sf_dir)
-    queries = relevant.select("idx", (F.col("idx") % 8).cast("int").alias("k")).join(F.broadcast(X.log(spark)), "k").select("idx", "query")
+    queries = X.questions(spark, sf_dir).select("idx", (F.col("idx") % 8).cast("int").alias("k")).join(F.broadcast(X.log(spark)), "k").select("idx", "query")
     return linking.relevant_table_quality(relevant, queries, X.catalog(spark).tables)
 
 
