@@ -1,4 +1,4 @@
-"""A join that a frequent key cannot skew."""
+"""Joins that a frequent key cannot skew, and rows dealt evenly."""
 
 from __future__ import annotations
 
@@ -9,6 +9,17 @@ from querent.sources.stored import stored
 
 #: Keys that can each have more than one in so many rows: at most as many. And rows below which no key is frequent.
 HOT, LEAST = 10_000, 100_000
+#: Bytes of text that a table may have to be broadcast whole, once they have been counted.
+SMALL = 16 << 20
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt over tasks by keys before work that is much for each: a small file, or one of few row groups, is read by few tasks.
+
+    The number of parts is given, so that parts of few bytes are not merged again.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
 
 
 def frequent(rows: DataFrame, keys: list[str], hot: int | None = None, least: int | None = None) -> DataFrame | None:
@@ -34,3 +45,14 @@ def split_join(rows: DataFrame, by: DataFrame, keys: list[str], how: str = "inne
     own = own.join(F.broadcast(by.join(few, keys, "left_semi")), keys, how)
     rest = rows.join(few, keys, "left_anti").join(by.hint("merge"), keys, how)
     return own.select(*columns).union(rest.select(*columns))
+
+
+def measured_join(rows: DataFrame, by: DataFrame, keys: list[str], how: str = "inner", hot: int | None = None, least: int | None = None, costly: bool = False) -> DataFrame:
+    """``split_join`` unless by, which is written and measured first, is small: then it is broadcast whole and all rows stay in their tasks.
+
+    costly rows are written before ``split_join`` counts them.
+    """
+    by = stored(by, "by")
+    if (by.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= SMALL:
+        return rows.join(F.broadcast(by), keys, how)
+    return split_join(stored(rows, "rows") if costly else rows, by, keys, how, hot, least)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from querent import fixtures as X
 from querent.functions import answers, similarity, sql_text
-from querent.operators import linking, metrics, nearest, prompts, relations, selection, similarity_join, voting
+from querent.operators import linking, metrics, nearest, prompts, relations, selection, similarity_join, skew, voting
 from querent.plans import dataset, hooks, lemmas, llm_client
 from querent.sources import catalog as catalogs
 from querent.sources import files, sinks
@@ -172,6 +172,11 @@ def question_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.ngrams(X.questions(spark, sf_dir)).select("idx", "start", "n", "gram")
 
 
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions, each question's links made where its idx is dealt to."""
+    return skew.spread(X.questions(spark, sf_dir), "idx")
+
+
 def _names(spark: SparkSession) -> DataFrame:
     c = X.catalog(spark)
     return linking.names(c.columns, c.tables)
@@ -179,17 +184,17 @@ def _names(spark: SparkSession) -> DataFrame:
 
 @query("link_names_exact", _ints(_EXACT, "idx", "start", "n", "kind", "target_id"))
 def link_names_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.exact_names(X.questions(spark, sf_dir), F.broadcast(_names(spark))).select("idx", "start", "n", "kind", "target_id")
+    return linking.exact_names(_questions(spark, sf_dir), F.broadcast(_names(spark))).select("idx", "start", "n", "kind", "target_id")
 
 
 @query("link_names_partial", _ints(_PARTIAL, "idx", "start", "n", "kind", "target_id"))
 def link_names_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.partial_names(X.questions(spark, sf_dir), F.broadcast(_names(spark))).select("idx", "start", "n", "kind", "target_id")
+    return linking.partial_names(_questions(spark, sf_dir), F.broadcast(_names(spark))).select("idx", "start", "n", "kind", "target_id")
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = X.catalog(spark)
-    return linking.name_links(X.questions(spark, sf_dir), c.columns, c.tables)
+    return linking.name_links(_questions(spark, sf_dir), c.columns, c.tables)
 
 
 _LINK = ("idx", "q_id", "kind", "target_id", "flag")
@@ -202,22 +207,22 @@ def link_names_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("link_values_number", _ints(_NUMLINKS, *_LINK))
 def link_values_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.number_links(X.questions(spark, sf_dir), X.catalog(spark).columns).select(*_LINK)
+    return linking.number_links(_questions(spark, sf_dir), X.catalog(spark).columns).select(*_LINK)
 
 
 @query("link_values_partial", _ints(_HITS, "idx", "q_id", "col_id"))
 def link_values_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.partial_values(X.questions(spark, sf_dir), linking.value_index(X.cells(spark, sf_dir))[0]).select("idx", "q_id", "col_id")
+    return linking.partial_values(_questions(spark, sf_dir), linking.value_index(X.cells(spark, sf_dir))[0]).select("idx", "q_id", "col_id")
 
 
 @query("link_values_islands", _ints(_CELLLINKS, *_LINK))
 def link_values_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.value_links(X.questions(spark, sf_dir), X.cells(spark, sf_dir)).select(*_LINK)
+    return linking.value_links(_questions(spark, sf_dir), X.cells(spark, sf_dir)).select(*_LINK)
 
 
 @query("link_cell_antijoin", _ints(_BARE, *_LINK))
 def link_cell_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.cells_without_names(linking.value_links(X.questions(spark, sf_dir), X.cells(spark, sf_dir)), _links(spark, sf_dir)).select(*_LINK)
+    return linking.cells_without_names(linking.value_links(_questions(spark, sf_dir), X.cells(spark, sf_dir)), _links(spark, sf_dir)).select(*_LINK)
 
 
 #: Hand-made matches (question, token, kind, target, flag) and what is left after disambiguation, by hand.
@@ -238,7 +243,7 @@ def link_match_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    q = X.questions(spark, sf_dir)
+    q = _questions(spark, sf_dir)
     return q, _links(spark, sf_dir), linking.number_links(q, X.catalog(spark).columns), linking.value_links(q, X.cells(spark, sf_dir))
 
 
