@@ -177,6 +177,97 @@ def repeated(docs: DataFrame, marks: Marks, n: int, within: bool = True, bytes_e
     return by_sender(grouped(docs.mapInArrow(send, SENT), n, ["bucket"], answer, SENT), 0, n).drop("values")
 
 
+#: Bits of a name that ``repeated_sides`` compares, and the bit above them: documents of the sender differ on this one already.
+_NAME = np.uint64((1 << 31) - 1)
+_FLAG = np.uint64(1 << 31)
+
+#: (document in the piece, position, fingerprint, two 64-bit names) of the marks of a piece; a name of 0 is none.
+Sides = Callable[[K.Piece], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _told(to: np.ndarray, names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For marks with buckets and names: whether other documents have the name too, and whether the mark is the first with it."""
+    known, first_of = np.zeros(len(to), dtype=bool), np.zeros(len(to), dtype=bool)
+    at = np.flatnonzero(names)
+    if len(at):
+        key = to[at].astype(np.uint64) << np.uint64(31) | names[at]
+        bits = len(at).bit_length()
+        if int(key.max()).bit_length() + bits <= 64:
+            # key and place fit one word, and sorting words is faster than sorting places by them
+            packed = np.sort(key << np.uint64(bits) | np.arange(len(at), dtype=np.uint64))
+            key, order = packed >> np.uint64(bits), (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        first, size = groups(key)
+        own = doc[at[order]]
+        known[at[order]] = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), size)
+        first_of[at[order[first]]] = True
+    return known, first_of
+
+
+def _shared(names: np.ndarray, sender: np.ndarray) -> np.ndarray:
+    """For names (the flag above them) in order of their senders: whether another sender has the name too, or one has it with the flag."""
+    at = np.flatnonzero(names & _NAME)
+    packed = np.sort((names[at] & _NAME) << np.uint64(32) | at.astype(np.uint64))
+    order = (packed & np.uint64((1 << 32) - 1)).astype(np.int64)
+    first, size = groups(packed >> np.uint64(32))
+    out = np.zeros(len(names), dtype=bool)
+    if len(first):
+        more = sender[order[first]] != sender[order[first + size - 1]]
+        out[order] = np.repeat(more | np.logical_or.reduceat((names[order] & _FLAG) > 0, first), size)
+    return out
+
+
+def repeated_sides(docs: DataFrame, marks: Sides, n: int, piece_bytes: int = K.PIECE) -> DataFrame:
+    """(doc_id, _h, places) as ``repeated`` gives, of marks of which one of two names (what lies to the left of the mark, to the
+    right) occurs in another document, on the same side. Marks that can share a name have one fingerprint, which deals them.
+
+    A sender tells each name once for each bucket: with the mark that asks for it, or, of marks that documents of its own
+    settle, with the first that has it.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sender, batch in senders(batches):
+            parts = [(d + piece.first, p, f, s) for piece in K.pieces(batch.column(1), piece_bytes) for d, p, f, s in [marks(piece)]]
+            if not parts:
+                continue
+            doc, pos, fp, sides = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if not len(fp):
+                continue
+            to = (fp % np.uint64(n)).astype(np.int64)
+            names = np.where(sides != 0, np.maximum(sides >> np.uint64(33), np.uint64(1)), np.uint64(0))
+            (known_l, first_l), (known_r, first_r) = (_told(to, names[:, i], doc) for i in (0, 1))
+            is_known = known_l | known_r
+            tells = [np.where(f, names[:, i] | np.where(k, _FLAG, np.uint64(0)), np.uint64(0)) for i, (k, f) in enumerate([(known_l, first_l), (known_r, first_r)])]
+            entry = np.where(is_known, tells[0] << np.uint64(32) | tells[1], names[:, 0] << np.uint64(32) | names[:, 1])
+            rows = [row(sender % n, sender, ids=sender_ids(batch), docs=pack(doc[is_known]), places=pack(pos[is_known]))]
+            asks, news = np.flatnonzero(~is_known), np.flatnonzero(is_known & (entry > 0))
+            ask_by, news_by = asks[np.argsort(to[asks], kind="stable")], news[np.argsort(to[news], kind="stable")]
+            ask_edges, news_edges = np.searchsorted(to[ask_by], np.arange(n + 1)), np.searchsorted(to[news_by], np.arange(n + 1))
+            for b in np.flatnonzero(np.diff(ask_edges) + np.diff(news_edges)):
+                a, k = ask_by[ask_edges[b] : ask_edges[b + 1]], news_by[news_edges[b] : news_edges[b + 1]]
+                rows.append(row(int(b), sender, docs=pack(doc[a]), places=pack(pos[a]), values=entry[a].tobytes() + entry[k].tobytes()))
+            yield record(rows)
+
+    def answer(group: pa.Table) -> pa.Table:
+        cols = {x: group[x].to_pylist() for x in FIELDS}
+        rows = [tuple(cols[c][i] for c in FIELDS) for i, x in enumerate(cols["values"]) if x is None]
+        asked = [i for i, x in enumerate(cols["values"]) if x is not None]
+        if asked:
+            entries = [np.frombuffer(cols["values"][i], dtype=np.uint64) for i in asked]
+            every, sender = np.concatenate(entries), np.repeat(np.arange(len(entries)), [len(e) for e in entries])
+            shared = _shared(every >> np.uint64(32), sender) | _shared(every & np.uint64((1 << 32) - 1), sender)
+            ends = np.cumsum([len(e) for e in entries])
+            for own, end, i in zip(entries, ends.tolist(), asked, strict=True):
+                hit = shared[end - len(own) : end][: len(cols["docs"][i]) // 4]
+                if hit.any():
+                    rows.append(row(cols["bucket"][i], cols["sender"][i], docs=pack(unpack(cols["docs"][i])[hit]), places=pack(unpack(cols["places"][i])[hit])))
+        return pa.Table.from_batches([record(rows)])
+
+    return by_sender(grouped(docs.mapInArrow(send, SENT), n, ["bucket"], answer, SENT), 0, n).drop("values")
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, _h, copy): keyed documents whose whole text a document of smaller doc_id has. Texts are compared by their SHA-256.
 

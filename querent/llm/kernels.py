@@ -44,22 +44,36 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit values."""
     with np.errstate(over="ignore"):
-        x = x ^ (x >> _U(30))
-        x = x * _U(0xBF58476D1CE4E5B9)
-        x = x ^ (x >> _U(27))
-        x = x * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
+        x = x ^ (x >> _U(30))  # an array of its own from here on
+        x *= _U(0xBF58476D1CE4E5B9)
+        x ^= x >> _U(27)
+        x *= _U(0x94D049BB133111EB)
+        x ^= x >> _U(31)
+        return x
+
+
+def sums(values: np.ndarray) -> np.ndarray:
+    """Of values (uint64): what ``windows`` and ``runs`` hash from."""
+    total = np.empty(len(values) + 1, dtype=np.uint64)
+    total[0] = 0
+    with np.errstate(over="ignore"):
+        np.cumsum(values * _power("up", _BASE, len(values)), out=total[1:])
+    return total
+
+
+def runs(total: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k consecutive values from each of some places on, by the ``sums`` of all."""
+    with np.errstate(over="ignore"):
+        return mix((total[at + k] - total[at]) * _power("down", _BASE_INV, len(total))[at])
 
 
-def windows(values: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k consecutive values (uint64); length len(values) - k + 1 or 0."""
+def windows(values: np.ndarray, k: int, total: np.ndarray | None = None) -> np.ndarray:
+    """Hash of every run of k consecutive values (uint64); length len(values) - k + 1 or 0. total: their ``sums``."""
     n = len(values)
     if n < k:
         return np.empty(0, dtype=np.uint64)
+    total = sums(values) if total is None else total
     with np.errstate(over="ignore"):
-        total = np.empty(n + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(values * _power("up", _BASE, n), out=total[1:])
         return mix((total[k:] - total[:-k]) * _power("down", _BASE_INV, n - k + 1))
 
 

@@ -6,7 +6,10 @@ matches are possible at all:
 
 0. A document whose whole text a smaller one has is settled; only its smallest copy goes on.
 1. Seeds. Every window has an anchor, the least of its hashed ANCHOR-byte strings; equal
-   windows have equal anchors. ``exchange`` finds the anchors that several documents have.
+   windows have equal anchors. Short strings recur by chance, more of them the larger the corpus,
+   so an anchor has two names: REACH bytes before it and itself, and itself and what follows up to
+   WINDOW - REACH bytes in all. A window has one of both whole, so ``repeated_sides`` finds the
+   anchors of which one name is in several documents.
 2. Shards. Around each such anchor, the bytes of the windows that have it (its context) go to
    the shard of the anchor's hash. A sender sends equal contexts once, from its smallest
    document; contexts that are equal in the shard are one string there. Hashes propose which
@@ -40,11 +43,15 @@ from pyspark.sql import functions as F
 
 from querent.llm import kernels as K
 from querent.llm.common import buckets, grouped, stored_bytes, table
-from querent.llm.exchange import FIELDS, SENT, by_sender, copies, groups, keyed, pack, record, repeated, row, sender_ids, senders, unpack, with_places
+from querent.llm.exchange import FIELDS, SENT, by_sender, copies, groups, keyed, pack, record, repeated_sides, row, sender_ids, senders, unpack, with_places
 from querent.llm.run_index import RunIndex
 
 WINDOW = 50
 ANCHOR = 16
+#: A window has so many bytes before its anchor, or all that are left of it from there on.
+REACH = (WINDOW - ANCHOR) // 2
+#: Bytes of documents whose anchors are found at a time: what is computed for them stays in the processor's caches.
+PIECE = 1 << 18
 #: Stored bytes of input for each shard of anchors and contexts.
 SHARD_BYTES = 2 << 20
 #: Different contexts of an anchor that a sender sends to its shard at most.
@@ -57,22 +64,27 @@ SENDER_BYTES, LEAST_MANY = 16 << 20, 8
 INDEX_BYTES = 1 << 18
 
 
-def _anchors(piece: K.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, first byte, byte after the last) of the anchors of a piece and of the windows that have them."""
+def _anchors(piece: K.Piece, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first byte, byte after the last) of the anchors of a piece and of the windows that have them. total: ``K.sums`` of its bytes."""
     starts = K.spread(piece.offsets, WINDOW)
     if not len(starts):
         return starts, np.empty(0, dtype=np.uint64), starts, starts
-    grams = K.windows(K._BYTE[piece.data], ANCHOR)
+    grams = K.windows(K._BYTE[piece.data], ANCHOR, total)
     places = K.winnow(grams, WINDOW - ANCHOR + 1)[starts]
     first, size = groups(places)
     at = places[first]
     return at, grams[at], starts[first], starts[first + size - 1] + WINDOW
 
 
-def _seeds(piece: K.Piece, _: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at, hashes, _, _ = _anchors(piece)
+def _seeds(piece: K.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    total = K.sums(K._BYTE[piece.data])
+    at, hashes, low, high = _anchors(piece, total)
     doc = np.searchsorted(piece.offsets, at, side="right") - 1
-    return doc, at - piece.offsets[doc], hashes
+    sides = np.zeros((len(at), 2), dtype=np.uint64)
+    left, right = np.flatnonzero(low <= at - REACH), np.flatnonzero(high >= at + WINDOW - REACH)
+    sides[left, 0] = np.maximum(K.runs(total, at[left] - REACH, ANCHOR + REACH), np.uint64(1))
+    sides[right, 1] = np.maximum(K.runs(total, at[right], WINDOW - REACH), np.uint64(1))
+    return doc, at - piece.offsets[doc], hashes, sides
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -100,7 +112,7 @@ def _send(n: int, many: int):
             order_of = np.frombuffer(sender_ids(batch), dtype=np.int64)[: batch.num_rows]
             parts: list[tuple[np.ndarray, ...]] = []
             shift = 0
-            for piece in K.pieces(batch.column(1)):
+            for piece in K.pieces(batch.column(1), PIECE):
                 wanted = np.zeros(len(piece.data), dtype=bool)
                 for d, x in enumerate(batch.column(3).slice(piece.first, piece.n).to_pylist()):
                     wanted[piece.offsets[d] + unpack(x)] = True
@@ -281,7 +293,7 @@ def _answer(n: int, crowd: int):
 def marked(docs: DataFrame, whole: DataFrame, n: int, many: int, crowd: int) -> DataFrame:
     """(doc_id, _h, places, values) of keyed documents that are no copies (whole): starts of contexts, and bits of the windows from there that are marked."""
     docs = with_places(docs, whole).where("copy is null").drop("copy")
-    seeds = repeated(docs, _seeds, n, within=False, bytes_each=6)
+    seeds = repeated_sides(docs, _seeds, n, PIECE)
     found = with_places(docs, seeds, "inner").select("doc_id", "text", "_h", "places").mapInArrow(_send(n, many), SENT)
 
     def split(df: DataFrame) -> DataFrame:
@@ -292,16 +304,25 @@ def marked(docs: DataFrame, whole: DataFrame, n: int, many: int, crowd: int) ->
     return by_sender(grouped(split(first), n, ["bucket", "dealt"], _windows_answered, SENT), 8, n)
 
 
-def _covered(n: int, copy: bool | None, places: bytes | None, values: bytes | None) -> np.ndarray:
-    """Mask over a document's bytes of those in marked windows."""
-    if copy:
-        return np.full(n, n >= WINDOW)
-    if not places:
-        return np.zeros(n, dtype=bool)
-    bits = np.unpackbits(np.frombuffer(values, dtype=np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    of, offset = np.nonzero(bits)
-    starts = unpack(places)[of] + offset
-    return K.covered(np.unique(starts), WINDOW, n)
+def _gone(piece: K.Piece, copy: list[bool | None], places: list[bytes | None], values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte after the last) of the maximal runs of covered bytes in the documents of a piece, ascending; no run crosses documents."""
+    of = [d for d, x in enumerate(places) if x and not copy[d]]
+    at = [unpack(places[d]) for d in of]
+    base = np.repeat(piece.offsets[of], [len(x) for x in at])
+    starts = np.concatenate([*at, np.empty(0, dtype=np.int64)]) + base
+    bits = np.unpackbits(np.frombuffer(b"".join(values[d] for d in of), dtype=np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    context, offset = np.nonzero(bits)
+    low = np.sort(starts[context] + offset)  # contexts of a document can overlap
+    high = low + WINDOW
+    sizes = np.diff(piece.offsets)
+    whole = np.flatnonzero(np.array([bool(x) for x in copy]) & (sizes >= WINDOW))
+    low, high = np.concatenate([low, piece.offsets[whole]]), np.concatenate([high, piece.offsets[whole + 1]])
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], high[order]
+    doc = np.searchsorted(piece.offsets, low, side="right")
+    new = np.ones(len(low) + 1, dtype=bool)
+    new[1:-1] = (low[1:] > high[:-1]) | (doc[1:] != doc[:-1])
+    return low[new[:-1]], high[new[1:]]
 
 
 def dedup(docs: DataFrame, keep_text: bool = True, many: int | None = None, crowd: int = CROWD) -> DataFrame:
@@ -314,19 +335,24 @@ def dedup(docs: DataFrame, keep_text: bool = True, many: int | None = None, crow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in K.pieces(batch.column(1)):
-                rows, own = [], batch.slice(piece.first, piece.n)
-                for d, marks in enumerate(zip(*(own.column(i).to_pylist() for i in (3, 4, 5)), strict=True)):
-                    raw = piece.data[piece.offsets[d] : piece.offsets[d + 1]]
-                    gone = _covered(len(raw), *marks)
-                    kept = raw[~gone].tobytes()
-                    spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and bool(gone[0])))
-                    rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                arrays = [own.column(0), own.column(2), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))]
+            for piece in K.pieces(batch.column(1), PIECE):
+                own = batch.slice(piece.first, piece.n)
+                low, high = _gone(piece, *(own.column(i).to_pylist() for i in (3, 4, 5)))
+                edge = np.zeros(len(piece.data) + 1, dtype=np.int8)
+                edge[low] += 1
+                edge[high] -= 1  # of one document, where that of another may begin
+                data = piece.data[np.cumsum(edge[:-1], dtype=np.int8) == 0]
+                doc = np.searchsorted(piece.offsets, low, side="right") - 1
+                removed = np.bincount(doc, weights=high - low, minlength=piece.n).astype(np.int64)
+                sizes = np.diff(piece.offsets)
+                ends = np.cumsum(sizes - removed).tolist()
+                kept = [data[a:b].data for a, b in zip([0, *ends], ends, strict=False)]
+                arrays = [own.column(0), own.column(2), pa.array(sizes), pa.array(removed), pa.array(np.bincount(doc, minlength=piece.n).astype(np.int64))]
+                arrays.append(pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
+                if keep_text:
+                    arrays.append(pa.array([x.tobytes() for x in kept], pa.binary()))
                 names = ["doc_id", "_h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                yield pa.RecordBatch.from_arrays(arrays[: 6 + keep_text], names=names[: 6 + keep_text])
+                yield pa.RecordBatch.from_arrays(arrays, names=names[: 6 + keep_text])
 
     if many is None:
         many = max(LEAST_MANY, min(MANY, 8 * CROWD * SENDER_BYTES // max(1, stored_bytes(docs))))
