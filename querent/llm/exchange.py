@@ -113,11 +113,11 @@ def by_sender(answers: DataFrame, bytes_each: int, n: int, read: Callable[[pa.Ta
     return found.groupBy("doc_id", "_h").agg(F.max(F.struct("places", "values")).alias("_own")).select("doc_id", "_h", "_own.places", "_own.values")
 
 
-def repeated(docs: DataFrame, marks: Marks, n: int, within: bool = True, bytes_each: int = 8) -> DataFrame:
+def repeated(docs: DataFrame, marks: Marks, n: int, bytes_each: int = 8) -> DataFrame:
     """(doc_id, _h, places): for each document its marks whose fingerprint occurs at another place too.
 
-    docs has doc_id, text, _h first, then what marks needs; n is the number of buckets. within: other places of the
-    same document count. bytes_each: bytes of a fingerprint that are compared within a bucket, the upper ones (fewer
+    docs has doc_id, text, _h first, then what marks needs; n is the number of buckets. Other places of the same
+    document count. bytes_each: bytes of a fingerprint that are compared within a bucket, the upper ones (fewer
     where a false match does no harm). places are packed positions, ascending. Documents without any are left out.
     """
 
@@ -128,11 +128,7 @@ def repeated(docs: DataFrame, marks: Marks, n: int, within: bool = True, bytes_e
                 continue
             order = np.argsort(fp, kind="stable")
             first, size = groups(fp[order])
-            if within:
-                known = size > 1
-            else:
-                own = doc[order]
-                known = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+            known = size > 1
             is_known = np.empty(len(fp), dtype=bool)
             is_known[order] = np.repeat(known, size)
             rows = [row(sender % n, sender, ids=sender_ids(batch), docs=pack(doc[is_known]), places=pack(pos[is_known]))]

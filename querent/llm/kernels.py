@@ -297,11 +297,3 @@ def spread(first: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, dtype=np.int64)
     base = np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
     return base + np.arange(sizes.sum())
-
-
-def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Mask over n places of those within ``length`` of a start."""
-    edge = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + length, n), -1)
-    return np.cumsum(edge[:-1]) > 0
